@@ -378,9 +378,11 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     return whole.union(cold).union(hot)
 
 
-def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LENGTH, name: str = "kept", **how) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LENGTH, name: str = "kept", as_text: bool = False, **how) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and `name`, the bytes that stay, to df, whose other columns stay as they are.
 
+    as_text: the bytes that stay as a string, without the parts of characters that a cut has left.
+
     A null text counts as empty, and texts shorter than `length` bytes keep all. Repeated rows are places of their own, so texts
     found twice lose every byte that a window covers. Columns with these names are replaced.
     """
@@ -390,9 +392,9 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LE
     rows = df.withColumns(keys)
     keyed = rows.select(F.col("_kd").alias("kd"), F.col("_kt").alias("kt"), F.coalesce(text, F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
     spans = repeated_ranges(keyed, length, **how)
-    gone = spans.groupBy("kd", "kt").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = rows.join(gone, (F.col("_kd") == F.col("kd")) & (F.col("_kt") == F.col("kt")), "left").drop("kd", "kt", "_kd", "_kt")
-    schema = joined.drop("_spans").select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit(None).cast("binary").alias(name)).schema
+    gone = spans.groupBy(F.col("kd").alias("_kd"), F.col("kt").alias("_kt")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    joined = rows.join(gone, ["_kd", "_kt"], "left").drop("_kd", "_kt")
+    schema = joined.drop("_spans").select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit(None).cast("string" if as_text else "binary").alias(name)).schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -416,7 +418,9 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LE
                 out.append((e - s, int((hi - lo).sum()), len(lo), kept))
             cols = list(zip(*out, strict=True)) or [()] * 4
             keep = [i for i, x in enumerate(batch.schema.names) if x != "_spans"]
-            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            if as_text:
+                cols[3] = [x.decode("utf-8", "ignore") for x in cols[3]]
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], [*(batch.schema.names[i] for i in keep), "n_bytes", "n_removed", "n_spans", name])
 
     return joined.mapInArrow(run, schema)
