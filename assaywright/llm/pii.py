@@ -114,17 +114,21 @@ def find_spans(df: DataFrame, key: str, text: str = "text", near: int = NEAR, th
 
     seen = slim.filter(F.size("base") > 0).select("_kd", "_kt", F.explode("mentions").alias("m")).select("_kd", "_kt", "m.entity", "m.words")
     entities = seen.select("entity", "_kd", "_kt").distinct().groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("_kt").alias("texts")).filter(F.col("texts") >= least_texts).select("entity", "n_e")
-    words = stored(seen.join(entities, "entity", "left_semi").select("_kd", "_kt", "entity", F.explode("words").alias("w")).select("_kd", "_kt", "entity", "w.start", "w.end", "w.term"), "pii-terms")
+    around = stored(seen.select("_kd", "_kt", "entity", F.explode("words").alias("w")).select("_kd", "_kt", "entity", "w.start", "w.end", "w.term"), "pii-terms")
+    words = around.join(entities, "entity", "left_semi")
     pairs = words.select("entity", "term", "_kd", "_kt").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("_kt").alias("texts")).filter(F.col("texts") >= least_texts).drop("texts")
+    # a term is in at least as many documents as it stands near entities in: pairs that fall short even so need no count of the corpus
+    at_least = around.select("term", "_kd", "_kt").distinct().groupBy("term").agg(F.count("*").alias("n_least"))
+    total = float(max(2, slim.count()))
+    share = lambda n_t: F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col(n_t))) / F.log(F.lit(total) / F.col("n_e"))
+    pairs = pairs.join(entities, "entity").join(at_least, "term").filter((F.col("n_e") < total) & (share("n_least") >= threshold)).drop("n_least")
     pairs = stored(pairs, "pii-pairs")
     terms = stored(pairs.select("term").distinct(), "pii-candidates")
     n_terms = terms.count()
     if n_terms:
         every = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term"))
         counted = every.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-        total = float(max(2, slim.count()))
-        share = F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_e"))
-        telling = pairs.join(entities, "entity").join(counted, "term").filter((F.col("n_e") < total) & (share >= threshold)).select("entity", "term")
+        telling = pairs.join(counted, "term").filter(share("n_t") >= threshold).select("entity", "term")
         extra = words.join(telling, ["entity", "term"], "left_semi").groupBy("_kd", "_kt").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(TERM).alias("kind"))).alias("extra"))
         slim = slim.join(extra, ["_kd", "_kt"], "left")
         extra_col = F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
