@@ -43,3 +43,9 @@ def share(part: Column, whole: Column) -> Column:
 def listed(*items: Column) -> Column:
     """An array of those items that are not null, in order."""
     return F.array_compact(F.array(*items))
+
+
+def upper_median(values: Column | str) -> Column:
+    """The element in the middle of the sorted array, the upper one of two."""
+    x = F.array_sort(col(values))
+    return F.get(x, (F.size(x) / 2).cast("int"))

@@ -259,3 +259,35 @@ def dq_duplicates(spark, d):
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
 def dq_orphans(spark, d):
     return quality.orphans(V.t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", V.t(spark, d, "customer").filter("c_custkey % 10 <> 0"), "c_custkey")
+
+
+@query("SELECT l_orderkey % 50 AS track_id, l_linenumber AS frame, coalesce(avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 0e0) AS red, coalesce(avg(CASE WHEN l_returnflag = 'N' THEN l_partkey % 256 END), 0e0) AS green, coalesce(avg(CASE WHEN l_returnflag = 'N' THEN l_suppkey % 256 END), 0e0) AS blue FROM lineitem GROUP BY ALL")
+def skin_means(spark, d):
+    px = V.t(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("track_id"), F.col("l_linenumber").alias("frame"), F.col("l_quantity").alias("red"), (F.col("l_partkey") % 256).alias("green"), (F.col("l_suppkey") % 256).alias("blue"), (F.col("l_returnflag") == "N").alias("skin"))
+    return signals.skin_means(px)
+
+
+@query("SELECT c_custkey AS track_id, CASE WHEN c_custkey % 3 = 0 THEN 25e0 ELSE 3e1 END AS fps, 6e1 AS pupil_distance, 224e0 * n AS sum_x1, CASE WHEN c_custkey % 2 = 0 THEN 1e0 ELSE 5e-1 * n END AS sum_openness FROM (SELECT c_custkey, c_custkey % 5 AS n FROM customer) WHERE n > 0")
+def track_defaults(spark, d):
+    k = F.col("c_custkey")
+    boxes = F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    t = V.t(spark, d, "customer").select(k.alias("track_id"), (k % 5).cast("int").alias("n_frames"), boxes.alias("boxes"), F.when(k % 2 == 0, F.array(F.lit(1.0))).alias("openness"), F.lit(None).cast("double").alias("pupil_distance"), F.when(k % 3 == 0, 25.0).alias("fps"))
+    got = ingest.with_track_defaults(t)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return got.select("track_id", "fps", "pupil_distance", total(F.transform("boxes", lambda b: b["x1"])).alias("sum_x1"), total("openness").alias("sum_openness"))
+
+
+@query("SELECT event_id, value * 5e-1 AS half, 0e0 AS broken FROM events")
+def model_inference(spark, d):
+    """Two pluggable models over Arrow batches, of which one fails and so scores 0.0."""
+    from ..operators import ensemble
+
+    return ensemble.infer(V.t(spark, d, "events").select("event_id", "value"), {"half": lambda pdf: pdf["value"] * 0.5, "broken": lambda pdf: pdf["none"]}, ["value"]).drop("value")
+
+
+@query("SELECT l_orderkey, list_sort(list(l_quantity))[CAST(count(*) // 2 + 1 AS BIGINT)] AS m FROM lineitem GROUP BY l_orderkey")
+def upper_medians(spark, d):
+    from ..functions.numeric import upper_median
+
+    g = V.t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
+    return g.select("l_orderkey", upper_median("q").alias("m"))

@@ -385,3 +385,13 @@ def stream_fanout(spark, d):
         one = spark.read.parquet(f"{root}/out/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("record"), "n")
         out = one if out is None else out.union(one)
     return out
+
+
+@query("SELECT a.event_id // 2 AS scan_id, a.value AS l1, b.value AS l2 FROM events a JOIN events b ON a.event_id // 2 = b.event_id // 2 AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND b.ts BETWEEN a.ts - INTERVAL 40 DAY AND a.ts + INTERVAL 40 DAY")
+def stream_join(spark, d):
+    """Two layers of a scan joined as streams, within an interval that bounds the state."""
+    root = _tmp(spark)
+    s = _source(spark, d).select(F.floor(F.col("event_id") / 2).alias("scan_id"), (F.col("event_id") % 2).alias("side"), "value", "ts")
+    one = lambda k, v, t: s.filter(F.col("side") == k).select("scan_id", F.col("value").alias(v), F.col("ts").alias(t)).withWatermark(t, "40 days")
+    flows.run_to_end(flows.join_layers(one(0, "l1", "t1"), one(1, "l2", "t2"), "t1", "t2", "40 days").select("scan_id", "l1", "l2"), f"{root}/out", f"{root}/cp")
+    return spark.read.schema("scan_id bigint, l1 double, l2 double").parquet(f"{root}/out")

@@ -69,6 +69,13 @@ def correlate_batch(layers: DataFrame) -> DataFrame:
     return g.withColumn("complete", done).drop("_t")
 
 
+def join_layers(a: DataFrame, b: DataFrame, ta: str, tb: str, within: str) -> DataFrame:
+    """Two watermarked streams on scan_id, times no further apart than `within`; rows past it leave the state."""
+    near = F.col(tb).between(F.col(ta) - F.expr(f"INTERVAL {within}"), F.col(ta) + F.expr(f"INTERVAL {within}"))
+    other = b.withColumnRenamed("scan_id", "_scan")
+    return a.join(other, (F.col("scan_id") == F.col("_scan")) & near).drop("_scan")
+
+
 def fan_out(sinks: dict[str, Callable[[DataFrame], DataFrame]], root: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: derives each record table from the batch and writes it under its batch number, so a repeated batch replaces itself."""
 
