@@ -220,7 +220,7 @@ def error_budget(spark, d):
     return ops.error_budget(_av(spark, d), 0.7).select("tenant_id", round_to("budget_left", 6).alias("budget_left"), "band")
 
 
-_SLOT = "SELECT event_type AS metric, (epoch(ts)::BIGINT - 1704067200) // 86400 AS slot, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL"
+_SLOT = "SELECT event_type AS metric, (CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 86400 AS slot, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL"
 
 
 @query(f"WITH m AS ({_SLOT}), o AS (SELECT metric AS alert, slot, value FROM m WHERE value > 5), r AS (SELECT *, slot - row_number() OVER (PARTITION BY alert ORDER BY slot) AS run FROM o) SELECT alert, 'P2' AS priority, min(slot) AS first_slot, max(slot) AS last_slot, count(*) AS held, max(value) AS peak FROM r GROUP BY alert, run HAVING count(*) >= 2")
@@ -231,7 +231,7 @@ def alert_for_duration(spark, d):
     return ops.held_for(m, rules)
 
 
-_CNT = "SELECT user_id % 10 AS key, (epoch(ts)::BIGINT - 1704067200) // 86400 AS day, hour(ts) // 8 AS slot, count(*) AS n FROM events GROUP BY ALL"
+_CNT = "SELECT user_id % 10 AS key, (CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 86400 AS day, hour(ts) // 8 AS slot, count(*) AS n FROM events GROUP BY ALL"
 
 
 @query(f"WITH c AS ({_CNT}) SELECT key, day, slot, n, baseline, baseline > 0 AND n > baseline * 3 AS wave FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY key, slot ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) / 7e0 AS baseline FROM c)")
@@ -246,7 +246,7 @@ def wave_clusters(spark, d):
     return ops.clusters(s, ["fingerprint", "region"], 2)
 
 
-@query("SELECT event_id AS call_id, recent_failures, recent_failures >= 3 AS open FROM (SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 3 ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures FROM events)")
+@query("SELECT event_id AS call_id, recent_failures, recent_failures >= 3 AS open FROM (SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 3 ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures FROM events)")
 def circuit_breaker(spark, d):
     c = V.t(spark, d, "events").select((F.col("user_id") % 3).alias("service"), F.col("event_id").alias("call_id"), "ts", (F.col("event_type") == "error").alias("failed"))
     return ops.circuit_breaker(c, 3, 21600).select("call_id", "recent_failures", "open")
@@ -262,7 +262,7 @@ def incident_metrics(spark, d):
     return ops.incident_metrics(o).withColumn("month", F.col("month").cast("timestamp_ntz"))
 
 
-@query("SELECT event_type AS topic, (epoch(ts)::BIGINT - 1704067200) // 86400 AS slot, count(*) AS lag, CASE WHEN count(*) > 2 * b THEN 'SCALE_OUT_FAST' WHEN count(*) > b THEN 'SCALE_OUT' ELSE 'HOLD' END AS decision FROM events JOIN (VALUES ('view', 5), ('click', 7), ('error', 9), ('purchase', 3), ('signup', 1)) x(t, b) ON t = event_type GROUP BY topic, slot, b")
+@query("SELECT event_type AS topic, (CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 86400 AS slot, count(*) AS lag, CASE WHEN count(*) > 2 * b THEN 'SCALE_OUT_FAST' WHEN count(*) > b THEN 'SCALE_OUT' ELSE 'HOLD' END AS decision FROM events JOIN (VALUES ('view', 5), ('click', 7), ('error', 9), ('purchase', 3), ('signup', 1)) x(t, b) ON t = event_type GROUP BY topic, slot, b")
 def scaling_decisions(spark, d):
     lag = V.t(spark, d, "events").groupBy(F.col("event_type").alias("topic"), F.floor((F.unix_timestamp("ts") - 1704067200) / 86400).alias("slot")).agg(F.count("*").alias("lag"))
     return ops.scale_decision(lag, {"view": 5, "click": 7, "error": 9, "purchase": 3, "signup": 1}).drop("bound")
