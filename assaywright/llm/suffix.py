@@ -11,7 +11,9 @@ is ever shuffled:
 4. What is left are segments found once whose anchor is found elsewhere, mostly the two ends of a repeated passage. They are
    dealt out by anchor with one copy of every other segment of that anchor. Each shard gets a suffix array by induced sorting
    and its permuted common prefixes, which give the windows that repeat. An anchor with more segments than a shard may hold
-   (a boilerplate line with as many contexts as documents) is counted by window hash instead, in partial sums.
+   (a boilerplate line with as many contexts as documents) is split further: its windows are cut by their distance from the
+   anchor into pieces of eight, which all hold the same 193 bytes. Pieces whose 193 bytes are found once go, equal pieces
+   repeat, and only pieces between the two are counted window by window. All of this is partial sums over hashes.
 
 Rows that are equal in key and text count as places of their own.
 """
@@ -26,14 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytelevel import span_hashes
-from ._common import flat_utf8, ranges, row_groups, small_batches, stored, table
+from ._common import flat_utf8, ranges, released, row_groups, small_batches, stored, table
 
 LENGTH = 200
 GRAM = 32
 #: Distinct segments of one anchor that a suffix-array shard takes; anchors with more are counted by window hash.
 MOST_SEGMENTS = 512
 #: A shard's suffix array is made over about this many bytes.
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 1 << 19
+#: Windows of a hot anchor that are looked at together.
+PIECE = 8
 _CHUNK = 1 << 17
 
 
@@ -42,8 +46,8 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
     """The suffix array of s (integers from 1 to top) with an implied smallest end mark, which is left out.
 
     Suffixes are classified as larger or smaller than the next; leftmost smaller ones are sorted by sorting their
-    substrings (recursively, under new names, where names repeat), and induce the order of all others in two sweeps over the
-    buckets. A sweep takes a bucket at a time in numpy; the recursion, whose alphabet is large, sweeps suffix by suffix.
+    substrings (recursively, under new names, where names repeat), and induce the order of all others in two linear sweeps over
+    the buckets, a bucket at a time in numpy.
     """
     n = len(s)
     if n == 0:
@@ -73,7 +77,7 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
         count = np.diff(np.append(-1, run))
         back = np.repeat(run, count) - np.arange(len(by))
         sa[ends[c[by]] - 1 - back] = order[by]
-        return _sweep(sa, s, small, heads, ends, top)
+        return _sweep(sa, s, small, heads, ends)
 
     sa = induce(places)
     if len(places) > 1:
@@ -82,14 +86,44 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
         m = int(names.max()) + 1
         reduced = names[places]
         if m < len(places):
-            inner = suffix_array(reduced[:-1], m - 1) if reduced[-1] == 0 else None
-            order = places[np.append(len(places) - 1, inner)]
+            order = places[_rank_names(reduced, m)]
         else:
             order = places[np.argsort(reduced, kind="stable")]
         sa = induce(order)
     return sa[1:]
 
 
+def _rank_names(names: np.ndarray, m: int) -> np.ndarray:
+    """The order of the suffixes of a sequence of names of which some repeat; the last name is the only 0.
+
+    Recursion under new names: neighbouring names that repeat are named together, by their order as pairs, until no name repeats.
+    Names that are unique keep their place and are not looked at again.
+    """
+    n, step = len(names), 1
+    rank = names.astype(np.int64)
+    size = np.bincount(rank, minlength=m)
+    rank = (np.cumsum(size) - size)[rank]  # the place where each name's group begins
+    order = np.argsort(rank, kind="stable")
+    live = np.flatnonzero(size[names] > 1)
+    while len(live):
+        nxt = live + step
+        key = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
+        by = np.lexsort((key, rank[live]))
+        live, key = live[by], key[by]
+        group = rank[live]
+        first = np.append(True, group[1:] != group[:-1])
+        new = first | np.append(True, key[1:] != key[:-1])
+        at = np.arange(len(live))
+        begin = np.maximum.accumulate(np.where(first, at, 0))
+        head = np.maximum.accumulate(np.where(new, at, 0))
+        order[group + at - begin] = live
+        rank[live] = group + head - begin
+        one = new & np.append(new[1:], True)
+        live = live[~one]
+        step *= 2
+    return order
+
+
 def _names(s: np.ndarray, small: np.ndarray, places: np.ndarray, ranked: np.ndarray, n: int) -> np.ndarray:
     """Names of leftmost-smaller substrings, given in sorted order: equal ones share a name. The end mark has name 0."""
     nxt = np.full(n, n - 1)
@@ -114,24 +148,7 @@ def _names(s: np.ndarray, small: np.ndarray, places: np.ndarray, ranked: np.ndar
     return names
 
 
-def _sweep(sa: np.ndarray, s: np.ndarray, small: np.ndarray, heads: np.ndarray, ends: np.ndarray, top: int) -> np.ndarray:
-    n = len(s)
-    if top > 1024:  # many small buckets
-        chars, is_small, out = s.tolist(), small.tolist(), sa.tolist()
-        head, tail = heads.tolist(), ends.tolist()
-        for i in range(n):
-            j = out[i] - 1
-            if j >= 0 and not is_small[j]:
-                c = chars[j]
-                out[head[c]] = j
-                head[c] += 1
-        for i in range(n - 1, -1, -1):
-            j = out[i] - 1
-            if j >= 0 and is_small[j]:
-                c = chars[j]
-                tail[c] -= 1
-                out[tail[c]] = j
-        return np.array(out, np.int64)
+def _sweep(sa: np.ndarray, s: np.ndarray, small: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.ndarray:
     head, tail = heads.copy(), ends.copy()
     used = np.flatnonzero(ends > heads)
 
@@ -236,10 +253,11 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
 
 
 # ---- anchors
-def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window in the text, number of windows, hash of the gram at the anchor, hash of the segment) for runs of windows."""
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, first window in the text, number of windows, hash of the gram at the anchor, hash of the segment, place of the anchor in the
+    segment) for runs of windows."""
     n = len(data)
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     width = length - gram + 1
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -268,23 +286,23 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         last = np.minimum(stop, offsets[row[c0 + s] + 1] - length + 1 - c0)
         k = last - s
         seg = span_hashes(part, s, s + k + length - 1) ^ ((at[s] - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        for o, v in zip(out, (row[c0 + s], c0 + s - offsets[row[c0 + s]], k, g[at[s]], seg), strict=True):
+        for o, v in zip(out, (row[c0 + s], c0 + s - offsets[row[c0 + s]], k, g[at[s]], seg, at[s] - s), strict=True):
             o.append(v)
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
 def _occurrences(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(ahash, shash, kd, kt, start, windows) of every segment; keyed has kd, kt and text."""
+    """(ahash, shash, kd, kt, start, windows, rel) of every segment; keyed has kd, kt and text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             kd, kt = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             data, offsets = flat_utf8(batch.column(2))
-            for a, b in row_groups(offsets, 1 << 22):
-                row, start, k, ah, sh = _anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah.view(np.int64), sh.view(np.int64), kd[a:b][row], kt[a:b][row], start.astype(np.int64), k.astype(np.int32))], ["ahash", "shash", "kd", "kt", "start", "windows"])
+            for a, b in row_groups(offsets, 1 << 20):
+                row, start, k, ah, sh, rel = _anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah.view(np.int64), sh.view(np.int64), kd[a:b][row], kt[a:b][row], start.astype(np.int64), k.astype(np.int32), rel.astype(np.int32))], ["ahash", "shash", "kd", "kt", "start", "windows", "rel"])
 
-    return keyed.select("kd", "kt", "text").mapInArrow(run, "ahash bigint, shash bigint, kd bigint, kt bigint, start bigint, windows int")
+    return keyed.select("kd", "kt", "text").mapInArrow(released(run), "ahash bigint, shash bigint, kd bigint, kt bigint, start bigint, windows int, rel int")
 
 
 def _anchor_counts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -293,29 +311,29 @@ def _anchor_counts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offsets = flat_utf8(batch.column(0))
-            for a, b in row_groups(offsets, 1 << 22):
+            for a, b in row_groups(offsets, 1 << 20):
                 ah = _anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)[3]
                 v, n = np.unique(ah, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.uint64).view(np.int64)), pa.array(n)], ["ahash", "n"])
 
-    return keyed.select("text").mapInArrow(run, "ahash bigint, n bigint").groupBy("ahash").agg(F.sum("n").alias("n"))
+    return keyed.select("text").mapInArrow(released(run), "ahash bigint, n bigint").groupBy("ahash").agg(F.sum("n").alias("n"))
 
 
 # ---- putting it together
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(kd, kt, start, end): ranges of bytes to remove. keyed: kd (bigint), kt (bigint) name a text, text; kd and kt not null."""
-    again = _anchor_counts(keyed, length, gram).filter("n > 1").select("ahash")
+    again = stored(_anchor_counts(keyed, length, gram).filter("n > 1").select("ahash"), "anchors-found-again")
     found = stored(_occurrences(keyed, length, gram).join(again, "ahash", "left_semi"), "repeated-anchors")
-    place = F.struct("kd", "kt", "start", "windows")
+    place = F.struct("kd", "kt", "start", "windows", "rel")
     classes = stored(found.groupBy("ahash", "shash").agg(F.count("*").alias("n"), F.min(place).alias("at")), "segment-classes")
     whole = found.join(classes.filter("n > 1").select("ahash", "shash"), ["ahash", "shash"], "left_semi").select("kd", "kt", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"))
     several = classes.groupBy("ahash").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("ahash", "kinds")
-    open_ = stored(classes.join(several, "ahash").select("ahash", (F.col("n") == 1).alias("one"), F.col("kinds"), "at.kd", "at.kt", "at.start", "at.windows"), "open-segments")
+    open_ = stored(classes.join(several, "ahash").select("ahash", (F.col("n") == 1).alias("one"), F.col("kinds"), "at.kd", "at.kt", "at.start", "at.windows", "at.rel"), "open-segments")
     texts = keyed.select("kd", "kt", "text")
 
     def with_bytes(some: DataFrame) -> DataFrame:
         """The bytes of each segment, cut out of its text."""
-        wanted = some.groupBy("kd", "kt").agg(F.collect_list(F.struct("ahash", "one", "start", "windows")).alias("want"))
+        wanted = some.groupBy("kd", "kt").agg(F.collect_list(F.struct("ahash", "one", "start", "windows", "rel")).alias("want"))
         unique = texts.join(wanted, ["kd", "kt"]).select("kd", "kt", "text", "want")
 
         def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,11 +341,11 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
                 kd, kt, want = (batch.column(i).to_pylist() for i in (0, 1, 3))
                 data, offs = flat_utf8(batch.column(2))
                 raw = data.tobytes()
-                rows = [(w["ahash"], w["one"], d, t, w["start"], raw[o + w["start"] : o + w["start"] + w["windows"] + length - 1]) for d, t, o, ws in zip(kd, kt, offs[:-1].tolist(), want, strict=True) for w in ws]
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["ahash", "one", "kd", "kt", "start", "seg"])
+                rows = [(w["ahash"], w["one"], d, t, w["start"], w["rel"], raw[o + w["start"] : o + w["start"] + w["windows"] + length - 1]) for d, t, o, ws in zip(kd, kt, offs[:-1].tolist(), want, strict=True) for w in ws]
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["ahash", "one", "kd", "kt", "start", "rel", "seg"])
 
-        return unique.mapInArrow(cut, "ahash bigint, one boolean, kd bigint, kt bigint, start bigint, seg binary")
+        return unique.mapInArrow(released(cut), "ahash bigint, one boolean, kd bigint, kt bigint, start bigint, rel int, seg binary")
 
     def spans(kd: int, kt: int, start: int, wins: np.ndarray) -> list[tuple[int, int, int, int]]:
         if not len(wins):
@@ -341,9 +359,9 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            uniq = list(dict.fromkeys(h[5] for h in held if not h[1]))  # others' copies; those found once are distinct
+            uniq = list(dict.fromkeys(h[6] for h in held if not h[1]))  # others' copies; those found once are distinct
             ones = [h for h in held if h[1]]
-            hits = repeated_windows([h[5] for h in ones] + uniq, length)
+            hits = repeated_windows([h[6] for h in ones] + uniq, length)
             rows = [r for h, w in zip(ones, hits, strict=False) for r in spans(h[2], h[3], h[4], w)]
             cols = list(zip(*rows, strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["kd", "kt", "start", "end"])
@@ -355,10 +373,30 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
                     held, size = [], 0
                 last = row[0]
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if held:
             yield flush()
 
+    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            data, offs = flat_utf8(batch.column(6))
+            n = np.diff(offs) - length + 1
+            rel = np.asarray(batch.column(5)).astype(np.int64)
+            low = (rel - n + 1) // PIECE
+            count = rel // PIECE - low + 1
+            r = np.repeat(np.arange(batch.num_rows), count)
+            j = ranges(low, count)
+            far, close = np.minimum(rel[r], PIECE * j + PIECE - 1), np.maximum(rel[r] - n[r] + 1, PIECE * j)
+            first = offs[:-1][r] + rel[r] - far
+            k = far - close + 1
+            core = offs[:-1][r] + rel[r] - PIECE * j
+            at = span_hashes(data, core, core + length - PIECE + 1) ^ (j.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
+            whole_piece = span_hashes(data, first, first + k + length - 1) ^ far.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+            raw = data.tobytes()
+            seg = [raw[x:y] for x, y in zip(first.tolist(), (first + k + length - 1).tolist(), strict=True)]
+            col = [np.asarray(batch.column(i)) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(col[0][r]), pa.array(at.view(np.int64)), pa.array(whole_piece.view(np.int64)), pa.array(col[1][r]), pa.array(col[2][r]), pa.array(col[3][r]), pa.array(col[4][r] + first - offs[:-1][r]), pa.array(k.astype(np.int32)), pa.array(seg, pa.binary())], ["ahash", "core", "piece", "one", "kd", "kt", "start", "windows", "seg"])
+
     def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offs = flat_utf8(batch.column(5))
@@ -366,15 +404,20 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
             first = ranges(offs[:-1], n)
             h = span_hashes(data, first, first + length)
             r = np.repeat(np.arange(batch.num_rows), n)
-            rest = [np.asarray(batch.column(i)) for i in (0, 2, 3, 4)]
-            one = np.asarray(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(rest[0][r]), pa.array(h.view(np.int64)), pa.array(rest[1][r]), pa.array(rest[2][r]), pa.array(rest[3][r] + first - offs[:-1][r]), pa.array(np.where(one[r], 1, 0))], ["ahash", "whash", "kd", "kt", "start", "one"])
-
-    cold = with_bytes(open_.filter(F.col("kinds") <= most_segments)).repartition("ahash").sortWithinPartitions("ahash", "kd", "kt", "start").mapInArrow(shards, "kd bigint, kt bigint, start bigint, end bigint")
-    many = with_bytes(open_.filter(F.col("kinds") > most_segments)).mapInArrow(windows, "ahash bigint, whash bigint, kd bigint, kt bigint, start bigint, one bigint")
-    many = stored(many, "open-windows")
+            col = [np.asarray(batch.column(i)) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(col[0][r]), pa.array(h.view(np.int64)), pa.array(col[1][r]), pa.array(col[2][r]), pa.array(col[3][r]), pa.array(col[4][r] + first - offs[:-1][r])], ["ahash", "whash", "one", "kd", "kt", "start"])
+
+    cold = with_bytes(open_.filter(F.col("kinds") <= most_segments)).repartition("ahash").sortWithinPartitions("ahash", "kd", "kt", "start").mapInArrow(released(shards), "kd bigint, kt bigint, start bigint, end bigint")
+    parts = stored(with_bytes(open_.filter(F.col("kinds") > most_segments)).mapInArrow(released(pieces), "ahash bigint, core bigint, piece bigint, one boolean, kd bigint, kt bigint, start bigint, windows int, seg binary"), "hot-pieces")
+    sorts = stored(parts.groupBy("ahash", "core", "piece").agg(F.count("*").alias("n"), F.min(F.struct("kd", "kt", "start")).alias("at"), F.min("one").alias("one"), F.min("seg").alias("seg")), "hot-sorts")
+    to = lambda df: df.select("kd", "kt", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"))
+    equal = to(parts.filter("one").join(sorts.filter("n > 1").select("ahash", "core", "piece"), ["ahash", "core", "piece"], "left_semi"))
+    between = sorts.groupBy("ahash", "core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("ahash", "core")
+    some = sorts.join(between, ["ahash", "core"], "left_semi").select("ahash", (F.col("one") & (F.col("n") == 1)).alias("one"), "at.kd", "at.kt", "at.start", "seg")
+    many = stored(some.mapInArrow(released(windows), "ahash bigint, whash bigint, one boolean, kd bigint, kt bigint, start bigint"), "hot-windows")
     twice = many.groupBy("ahash", "whash").agg(F.count("*").alias("n")).filter("n > 1").select("ahash", "whash")
-    hot = many.filter("one = 1").join(twice, ["ahash", "whash"], "left_semi").select("kd", "kt", "start", (F.col("start") + length).alias("end"))
+    near = many.filter("one").join(twice, ["ahash", "whash"], "left_semi").select("kd", "kt", "start", (F.col("start") + length).alias("end"))
+    hot = equal.union(near)
     return whole.union(cold).union(hot)
 
 
@@ -423,7 +466,7 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LE
             made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], [*(batch.schema.names[i] for i in keep), "n_bytes", "n_removed", "n_spans", name])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
