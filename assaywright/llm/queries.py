@@ -35,5 +35,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+#: The other operators have no equal in SQL: hashes, models, codecs and packings.
+ORACLE = {
+    "op10_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 95e-2),
+r(vec_id, low) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, r.low FROM r JOIN p ON p.a = r.vec_id)
+SELECT r.vec_id, coalesce(any_value(l.n), 0) AS n_links, min(low) AS component_id, min(low) = r.vec_id AS kept
+FROM r LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = r.vec_id GROUP BY r.vec_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE

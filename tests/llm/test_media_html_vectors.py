@@ -185,3 +185,15 @@ def test_pipeline_of_nothing(spark):
     for name, stage in c.STAGES:
         docs = c.stored(stage(spark, docs, DATA), name)
         assert docs.count() == 0
+
+
+def test_vectors_sql(spark):
+    import duckdb
+
+    from assaywright.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    want = sorted(con.sql(oracle_sql()["op10_embedding_near_dedup"]).fetchall())
+    got = embedding.op10_embedding_near_dedup(spark, DATA).select("vec_id", "n_links", "component_id", "kept")
+    assert sorted(map(tuple, got.collect())) == want
