@@ -20,7 +20,7 @@ _MUL, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Pieces longer than this are merged one by one with a heap, as merging all at once takes a pass per merge.
 LONG = 40
 #: A worker forgets its table of pieces beyond this many, so its memory is bounded.
-MOST_PIECES = 600_000
+MOST_PIECES = 250_000
 _POWERS: dict[str, np.ndarray] = {}
 _HEADS = np.array([(1 << 8 * k) - 1 for k in range(7)], np.uint64)
 
@@ -68,7 +68,7 @@ def class_table(path: str) -> bytes:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
-        m = max(n, 1 << 20)
+        m = max(n, 1 << 18)
         for name, base in (("p", _MUL), ("i", _INV)):
             a = np.full(m, base, np.uint64)
             a[0] = 1
@@ -314,7 +314,8 @@ class ByteLevelBPE:
             if self.index.n + len(fresh) > MOST_PIECES and self.index.n:
                 self._forget()
                 return self._known(data, starts, ends)
-            ids, lens = self.merge(data, starts[one], ends[one])
+            made = [self.merge(data, starts[one[k : k + 8192]], ends[one[k : k + 8192]]) for k in range(0, len(one), 8192)]
+            ids, lens = (np.concatenate(x) for x in zip(*made, strict=True))
             at = self.index.add(fresh)
             need = int(at[-1]) + 1
             if need > len(self.at):
@@ -355,7 +356,7 @@ class ByteLevelBPE:
         return np.diff(cut[np.searchsorted(starts, offsets)])
 
 
-def batches(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20):
+def batches(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18):
     """(data, offsets, first row, last row, whether the row goes on) in runs of about `most` bytes. A longer text is cut before a
     space between two visible ASCII characters, which every splitter of this kind cuts as well, so the parts encode alone."""
     from ._common import row_groups

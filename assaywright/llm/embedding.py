@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, stored, table
+from ._common import released, small_batches, stored, table
 from .components import components
 
 THRESHOLD = 0.95
@@ -164,7 +164,7 @@ def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_rows:
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.reshape(-1))], ["at", "x"])
 
-    got = distinct.select("v").mapInArrow(moments, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()  # d * d rows
+    got = distinct.select("v").mapInArrow(released(moments), "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()  # d * d rows
     second = np.zeros(d * d)
     second[got["at"].to_numpy(np.int64)] = got["x"]
     basis = np.ascontiguousarray(np.linalg.eigh(second.reshape(d, d))[1][:, ::-1])
@@ -178,7 +178,7 @@ def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_rows:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([r.tobytes() for r in u.astype("<f8")], pa.binary()), pa.array(u @ shared.value[:, 0])], ["h", "g", "id", "copies", "u", "y"])
 
     kind = distinct.schema["id"].dataType.simpleString()
-    turned = stored(distinct.select("h", "g", "id", "copies", "v").mapInArrow(rotate, f"h bigint, g bigint, id {kind}, copies bigint, u binary, y double"), "vectors-rotated")
+    turned = stored(distinct.select("h", "g", "id", "copies", "v").mapInArrow(released(rotate), f"h bigint, g bigint, id {kind}, copies bigint, u binary, y double"), "vectors-rotated")
     blocks = max(1, -(-n // block_rows))
     cuts = sorted(turned.stat.approxQuantile("y", [k / blocks for k in range(1, blocks)], 0.2 / blocks)) if blocks > 1 else []
     # blocks are intervals of y; block b meets all whose interval begins within reach of its end
@@ -195,7 +195,7 @@ def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_rows:
             b = np.searchsorted(cut, np.asarray(batch.column(5)), side="right")
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(b, pa.int32()), pa.array(lo[b], pa.int32()), pa.array(hi[b], pa.int32())], ["h", "g", "id", "copies", "u", "block", "lo", "hi"])
 
-    dealt = turned.mapInArrow(deal, f"h bigint, g bigint, id {kind}, copies bigint, u binary, block int, lo int, hi int")
+    dealt = turned.mapInArrow(released(deal), f"h bigint, g bigint, id {kind}, copies bigint, u binary, block int, lo int, hi int")
     tiles = dealt.select("h", "g", "id", "copies", "u", "block", F.explode(F.sequence("lo", "hi")).alias("_o")).withColumns({"ti": F.least("block", "_o"), "tj": F.greatest("block", "_o")}).drop("_o")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_utf8, row_groups, small_batches, table
+from ._common import flat_utf8, released, row_groups, small_batches, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -94,7 +94,7 @@ def fit(df: DataFrame, text: str, label: str, key: str, sample_rows: int = SAMPL
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     small_batches(spark)
-    got = sample.mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most labels x buckets
+    got = sample.mapInArrow(released(count), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most labels x buckets
     counts = np.zeros((len(labels), BUCKETS + 1))
     counts.reshape(-1)[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(float)
     counts = counts[:, :BUCKETS] + 0.1
@@ -138,7 +138,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 score[a:b] = np.where(has, p[np.arange(b - a), k], 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytelevel import codec
-from ._common import small_batches, stored, table
+from ._common import released, small_batches, stored, table
 from .tokens import codec_parts, encoded_rows, vocabulary_path
 
 CAPACITY = 1024
@@ -99,7 +99,7 @@ def token_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CA
             arrays = [batch.column(batch.schema.get_field_index(key)).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=False))]
             yield pa.RecordBatch.from_arrays(arrays, [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * ids)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(released(run), schema)
 
 
 def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
@@ -144,7 +144,7 @@ def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
             keep = [i for i, x in enumerate(batch.schema.names) if x != "_r"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(seq), pa.array(off)], [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(released(place), schema)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

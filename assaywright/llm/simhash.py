@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_utf8, small_batches, stored, table
+from ._common import flat_utf8, released, small_batches, stored, table
 from .components import components
 
 RADIUS = 3
@@ -66,7 +66,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fp") -> Dat
             fps = np.array([fingerprint(raw[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def variant_plan() -> list[tuple[int, int, int]]:
@@ -159,7 +159,7 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
                 a.append(p)
                 b.append(q)
             p, q = np.concatenate(a).tolist(), np.concatenate(b).tolist()
-            if len(seen) > 500_000:
+            if len(seen) > 50_000:
                 seen.clear()  # only spares repeats
             fresh = [e for e in dict.fromkeys(zip(p, q, strict=True)) if e not in seen]
             seen.update(fresh)
@@ -177,7 +177,7 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
         if rest.shape[1]:
             yield edges(*rest)
 
-    found = dealt.mapInArrow(verify, "a bigint, b bigint")
+    found = dealt.mapInArrow(released(verify), "a bigint, b bigint")
     flip = F.lit(-(1 << 63)).cast("bigint")  # so that signed order is the order of unsigned values
     return components(found.select(F.col("a").bitwiseXOR(flip).alias("a"), F.col("b").bitwiseXOR(flip).alias("b"))).select(F.col("node").bitwiseXOR(flip).alias("node"), F.col("root").bitwiseXOR(flip).alias("root"))
 

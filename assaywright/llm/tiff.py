@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_utf8, small_batches, table
+from ._common import flat_utf8, released, small_batches, table
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Field types of the format: bytes and struct letter.
@@ -294,7 +294,7 @@ def with_media(df: DataFrame, text: str = "text", name: str = "media") -> DataFr
                 out.append(write_pages([px.reshape(rows, ROW)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def media_pages(df: DataFrame, media: str = "media") -> DataFrame:
@@ -321,7 +321,7 @@ def media_pages(df: DataFrame, media: str = "media") -> DataFrame:
             kept = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*batch.schema.names, *kinds])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def feature(payload: bytes) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytelevel import ByteLevelBPE, batches, class_table, codec
-from ._common import flat_utf8, small_batches, table
+from ._common import flat_utf8, released, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -104,7 +104,7 @@ def count_tokens(df: DataFrame, text: str = "text", limit: int = 512, path: str
                 n[a:b] += m.count(part, offs)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], [*batch.schema.names, "n_bytes", "n_tokens", "over_limit"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, ids: bool = True) -> DataFrame:
@@ -135,7 +135,7 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, id
             types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=False))], [*batch.schema.names, *names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
