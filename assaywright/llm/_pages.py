@@ -27,6 +27,7 @@ PHRASES = {
     "form": "name|email|submit|search|password|your message|send|enter your email|sign up|select a country",
     "share": "share|tweet|share on facebook|print|email this|follow|like|copy link",
 }
+SYLLABLES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur é ü ñ ß ç".split()
 TAGS = {"nav": ["nav", "div", "ul"], "head": ["header", "div"], "foot": ["footer", "div"], "side": ["aside", "div", "section"], "ads": ["div", "aside", "ins", "section"], "note": ["div", "section", "dialog", "p", "aside"], "comm": ["section", "div", "ol"], "form": ["form", "div", "fieldset"], "share": ["div", "ul"]}
 NAMES = {"nav": NAV, "head": HEAD, "foot": FOOT, "side": SIDE, "ads": ADS, "note": NOTE, "comm": COMM, "form": FORM, "share": SHARE}
 
@@ -36,7 +37,7 @@ class Maker:
         self.r = random.Random(seed)
 
     def word(self) -> str:
-        return "".join(self.r.choice("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur é ü ñ ß ç".split()) for _ in range(self.r.randint(1, 4)))
+        return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
 
     def sentence(self, least: int = 3, most: int = 22) -> str:
         w = [self.word() for _ in range(self.r.randint(least, most))]

@@ -10,19 +10,22 @@ blocks. Character references are decoded, white space in a block becomes one spa
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import html as entities
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import released, small_batches, table
 from ._pages import Maker
 
 PATH_BUCKETS, WORD_BUCKETS, MEASURES, VECTOR, HIDDEN = 1024, 512, 8, 32, 24
@@ -283,7 +286,7 @@ class Labeller:
         loss = float(-np.mean(truth * np.log(p + 1e-7) + (1 - truth) * np.log(1 - p + 1e-7)))
         return loss, grads
 
-    def train(self, pages: list[list[Block]], epochs: int, batch: int = 32, rate: float = 0.01) -> None:
+    def train(self, pages: list[list[Block]], epochs: int, batch: int = 64, rate: float = 0.015) -> None:
         pages = [p for p in pages if p]
         data = [(describe(p), np.array([b.mark for b in p], np.float32)) for p in pages]
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -324,14 +327,35 @@ class Labeller:
         return out
 
 
-TRAIN_PAGES, EPOCHS = 1500, 8
+@contextlib.contextmanager
+def _one_thread() -> Iterator[None]:
+    """Small matrix products are slower on many threads than on one; the driver's numpy uses all cores otherwise."""
+    calls = []
+    for path in (Path(np.__file__).resolve().parents[1] / "numpy.libs").glob("*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            get, put = (getattr(lib, name.format(x), None) for x in ("get", "set"))
+            if get and put:
+                calls.append((put, int(get())))
+                break
+    for put, _ in calls:
+        put(1)
+    try:
+        yield
+    finally:
+        for put, n in calls:
+            put(n)
+
+
+TRAIN_PAGES, EPOCHS = 1000, 8
 
 
 @functools.lru_cache(maxsize=1)
 def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
     maker = Maker(seed)
     model = Labeller()
-    model.train([blocks(maker.page(), marks=True) for _ in range(pages)], epochs)
+    with _one_thread():
+        model.train([blocks(maker.page(), marks=True) for _ in range(pages)], epochs)
     return model
 
 
@@ -352,7 +376,7 @@ def extract(df: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
             texts = [" ".join(b.text for b, k in zip(p, keep, strict=True) if k) for p, keep in zip(pages, model.label(pages), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names, name, "n_chars"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
