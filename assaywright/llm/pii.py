@@ -6,8 +6,8 @@ an entity (the matched string) and a term stand near each other is compared with
     disclosure(e, t) = log(n(e, t) * N / (n(e) * n(t))) / log(N / n(e)),
 
 the pointwise mutual information as a share of the entity's information content; 1 means that the term is found with the
-entity only. Terms at or over the threshold, seen with the entity in enough different texts, are spans of kind `term` wherever
-they stand near that entity. sanitise() puts [KIND] in place of spans, which generalises entities and removes terms.
+entity only. Terms at or over the threshold are spans of kind `term` wherever they stand near that entity. The query and the
+pipeline judge every pair, also those of one text only; `least_texts` asks for more texts. sanitise() puts [KIND] in place of spans, which generalises entities and removes terms.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ WORD = r"\p{L}{4,}"
 #: Characters on either side of an entity that are its surroundings.
 NEAR = 80
 THRESHOLD = 0.85
-#: Different texts in which entity and term must stand together.
+#: Different texts in which entity and term must stand together, unless the caller says otherwise: op4 and the pipeline take 1.
 LEAST_TEXTS = 3
 #: Terms up to this many are looked for by broadcast, more by a shuffled join.
 BROADCAST_TERMS = 100_000
@@ -161,6 +161,6 @@ def sanitise(df: DataFrame, key: str, text: str = "text", **how) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = find_spans(docs, "doc_id")
+    found = find_spans(docs, "doc_id", least_texts=1)
     count = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))

@@ -193,3 +193,16 @@ def test_disclosing_terms(spark):
     assert got[100] == "uniquea [TERM] [TERM] [TERM] [TERM] [EMAIL] [TERM] common [TERM] aaaaa"
     assert got[0] == rows[0][1] and got[200] == rows[64][1] and got[300] is None
     assert pii.sanitise(df.limit(0), "doc_id").count() == 0
+
+
+def test_terms_of_one_mention(spark, tmp_path):
+    """op4 and the pipeline judge entities that stand in a single text."""
+    import corpus_pipeline
+
+    rows = [(i, f"filler words here common number{i}") for i in range(60)] + [(100, "common Quillfeather wrote from bob@x.org here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans"] for r in pii.op4_pii(spark, str(tmp_path)).collect()}
+    assert got[100] == "term:7:19,term:20:25,term:26:30,email:31:40" and not any(got[i] for i in range(60))
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, df, str(tmp_path)).collect()}
+    assert clean[100] == "common [TERM] [TERM] [TERM] [EMAIL] here" and clean[7] == rows[7][1]
