@@ -1,12 +1,12 @@
 """Personal data by patterns and information-theoretic sanitisation, with DataFrame functions only: op4.
 
-Base spans come from four patterns. The method adds the terms around them that give an entity away: over all documents, how often
-an entity (the matched string) and a term stand near each other is compared with how often either occurs,
+Base spans come from four patterns. The method adds the terms that give an entity away: over all documents, how often an entity
+(the matched string) and a term, which is any word or number, stand in one document is compared with how often either occurs,
 
     disclosure(e, t) = log(n(e, t) * N / (n(e) * n(t))) / log(N / n(e)),
 
 the pointwise mutual information as a share of the entity's information content; 1 means that the term is found with the
-entity only. Terms at or over the threshold are spans of kind `term` wherever they stand near that entity. The query and the
+entity only. Terms at or over the threshold are spans of kind `term` wherever they stand in a text with that entity. The query and the
 pipeline judge every pair, also those of one text only; `least_texts` asks for more texts. sanitise() puts [KIND] in place of spans, which generalises entities and removes terms.
 """
 
@@ -26,9 +26,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD = r"\p{L}{4,}"
-#: Characters on either side of an entity that are its surroundings.
-NEAR = 80
+#: Every word or number is a term.
+TOKEN = r"[\p{L}\p{M}\p{N}]+"
+PIECE = 256
 THRESHOLD = 0.85
 #: Different texts in which entity and term must stand together, unless the caller says otherwise: op4 and the pipeline take 1.
 LEAST_TEXTS = 3
@@ -90,17 +90,26 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
-def _surroundings(text: Column, start: Column, end: Column, near: int) -> Column:
-    """Words around a span, with their places; words that the window's edge cuts are left out."""
-    left = F.substring(text, F.greatest(start - near + 1, F.lit(1)), F.least(start, F.lit(near)))
-    left = F.when(start > near, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring(text, end + 1, F.lit(near))
-    right = F.when(F.length(right) == near, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    shift = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["word"]).alias("term")))
-    return F.concat(shift(located(left, WORD), start - F.length(left)), shift(located(right, WORD), end))
+def tokens(text: Column) -> Column:
+    """All words and numbers with code points: array of (start, end, term), terms in lower case. As located(), but its sums run over
+    pieces of PIECE tokens, so that the time of very long texts stays in proportion to their length."""
+    parts = F.filter(F.zip_with(F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda gap, word: F.struct(F.length(gap).alias("gap"), F.length(word).alias("size"), F.lower(word).alias("term"))), lambda x: x["term"].isNotNull())
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(PIECE)), lambda i: F.slice(parts, i, F.lit(PIECE)))
 
+    def long(piece: Column) -> Column:
+        return F.aggregate(piece, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
 
-def find_spans(df: DataFrame, key: str, text: str = "text", near: int = NEAR, threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["size"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["term"].alias("term")))).alias("out"))
+
+    none = F.array().cast("array<struct<at:int,piece:array<struct<gap:int,size:int,term:string>>>>")
+    placed = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, p: F.struct((acc["at"] + long(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), p.alias("piece")))).alias("out")), lambda acc: acc["out"])
+    return F.flatten(F.transform(placed, lambda p: F.aggregate(p["piece"], F.struct(p["at"].alias("at"), F.array().cast("array<struct<start:int,end:int,term:string>>").alias("out")), step, lambda acc: acc["out"])))
+
+
+def find_spans(df: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """(_kd, _kt, key, base, spans) for every row of df: base spans, and all spans with those of kind `term`.
 
     A null text is empty and has no spans. Rows that are equal in key and text have equal spans. Terms are never taken out of
@@ -108,17 +117,24 @@ def find_spans(df: DataFrame, key: str, text: str = "text", near: int = NEAR, th
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.xxhash64(F.lit(1), key).alias("_kd"), F.xxhash64(body).alias("_kt"), F.col(key).alias("_key"), body.alias("_text")).withColumn("base", base_spans(F.col("_text")))
-    inside = lambda w, base: F.exists(base, lambda b: (w["start"] < b["end"]) & (w["end"] > b["start"]))
-    mentions = F.transform("base", lambda b: F.struct(F.concat_ws(":", b["kind"], F.lower(b["word"])).alias("entity"), F.filter(_surroundings(F.col("_text"), b["start"], b["end"], near), lambda w: ~inside(w, F.col("base"))).alias("words")))
-    slim = stored(rows.select("_kd", "_kt", "_key", "base", mentions.alias("mentions")), "pii-spans")
-
-    seen = slim.filter(F.size("base") > 0).select("_kd", "_kt", F.explode("mentions").alias("m")).select("_kd", "_kt", "m.entity", "m.words")
-    entities = seen.select("entity", "_kd", "_kt").distinct().groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct("_kt").alias("texts")).filter(F.col("texts") >= least_texts).select("entity", "n_e")
-    around = stored(seen.select("_kd", "_kt", "entity", F.explode("words").alias("w")).select("_kd", "_kt", "entity", "w.start", "w.end", "w.term"), "pii-terms")
-    words = around.join(entities, "entity", "left_semi")
-    pairs = words.select("entity", "term", "_kd", "_kt").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("_kt").alias("texts")).filter(F.col("texts") >= least_texts).drop("texts")
-    # a term is in at least as many documents as it stands near entities in: pairs that fall short even so need no count of the corpus
-    at_least = around.select("term", "_kd", "_kt").distinct().groupBy("term").agg(F.count("*").alias("n_least"))
+    slim = stored(rows.select("_kd", "_kt", "_key", "base", F.when(F.size("base") > 0, F.col("_text")).alias("_text")), "pii-spans")
+
+    inside = F.exists("base", lambda b: (F.col("w.start") < b["end"]) & (F.col("w.end") > b["start"]))
+    words = slim.filter(F.size("base") > 0).select("_kd", "_kt", "base", F.explode(tokens(F.col("_text"))).alias("w")).filter(~inside).select("_kd", "_kt", "w.start", "w.end", "w.term")
+    words = stored(words, "pii-terms")
+    seen = slim.select("_kd", "_kt", F.explode("base").alias("b")).select("_kd", "_kt", F.concat_ws(":", "b.kind", F.lower("b.word")).alias("entity")).distinct()
+    there = words.select("_kd", "_kt", "term").distinct()
+
+    def counted_texts(df: DataFrame, name: str, *by: str) -> DataFrame:
+        if least_texts <= 1:
+            return df.groupBy(*by).agg(F.count("*").alias(name))
+        return df.groupBy(*by).agg(F.count("*").alias(name), F.count_distinct("_kt").alias("texts")).filter(F.col("texts") >= least_texts).drop("texts")
+
+    entities = counted_texts(seen, "n_e", "entity")
+    together = stored(seen.join(entities.select("entity"), "entity", "left_semi").join(there, ["_kd", "_kt"]), "pii-together")
+    pairs = counted_texts(together, "n_et", "entity", "term")
+    # a term is in at least as many documents as it stands in with entities: pairs that fall short even so need no count of the corpus
+    at_least = there.groupBy("term").agg(F.count("*").alias("n_least"))
     total = float(max(2, slim.count()))
     share = lambda n_t: F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col(n_t))) / F.log(F.lit(total) / F.col("n_e"))
     pairs = pairs.join(entities, "entity").join(at_least, "term").filter((F.col("n_e") < total) & (share("n_least") >= threshold)).drop("n_least")
@@ -126,10 +142,11 @@ def find_spans(df: DataFrame, key: str, text: str = "text", near: int = NEAR, th
     terms = stored(pairs.select("term").distinct(), "pii-candidates")
     n_terms = terms.count()
     if n_terms:
-        every = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term"))
+        every = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TOKEN), F.lit(0)))).alias("term"))
         counted = every.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
         telling = pairs.join(counted, "term").filter(share("n_t") >= threshold).select("entity", "term")
-        extra = words.join(telling, ["entity", "term"], "left_semi").groupBy("_kd", "_kt").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(TERM).alias("kind"))).alias("extra"))
+        told = together.join(telling, ["entity", "term"], "left_semi").select("_kd", "_kt", "term").distinct()
+        extra = words.join(told, ["_kd", "_kt", "term"], "left_semi").groupBy("_kd", "_kt").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(TERM).alias("kind"))).alias("extra"))
         slim = slim.join(extra, ["_kd", "_kt"], "left")
         extra_col = F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
     else:

@@ -206,3 +206,20 @@ def test_terms_of_one_mention(spark, tmp_path):
     assert got[100] == "term:7:19,term:20:25,term:26:30,email:31:40" and not any(got[i] for i in range(60))
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, df, str(tmp_path)).collect()}
     assert clean[100] == "common [TERM] [TERM] [TERM] [EMAIL] here" and clean[7] == rows[7][1]
+
+
+def test_terms_of_whole_documents(spark):
+    """Short names and numbers, far from the entity and wherever they stand: by brute force."""
+    r = random.Random(9)
+    common = ["here", "we", "go", "7", "on"]
+    fill = lambda n: " ".join(r.choice(common) for _ in range(n))
+    rows = [(i, fill(30)) for i in range(60)] + [(100, f"Li {fill(300)} li@x.org {fill(300)} case4711 Bob's LI 4711 e\u0301t\u00e9 {fill(700)} Bob"), (101, f"{fill(5)} 10.0.0.7 Bob \U0001f600 Zo\u00eb")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x["doc_id"]: {(s["start"], s["end"]) for s in x["spans"] if s["kind"] == pii.TERM} for x in pii.find_spans(df, "doc_id", least_texts=1).collect()}
+    holds = Counter(w for _, t in rows for w in {m[0].lower() for m in re.finditer(r"[\w\u0301]+", t)})
+    for i, t in rows:
+        base = spans_brute(t)
+        free = [m for m in re.finditer(r"[\w\u0301]+", t) if all(m.end() <= b[0] or m.start() >= b[2] for b in base)]
+        told = {(m.start(), m.end()) for m in free if base and np.log(len(rows) / holds[m[0].lower()]) / np.log(len(rows)) >= pii.THRESHOLD - 1e-12}
+        assert got[i] == told, i
+    assert len(got[100]) == 6 and len(got[101]) == 1 and not any(got[i] for i in range(60))  # bob is in two of 62 texts
