@@ -180,6 +180,11 @@ sr AS (SELECT *, CAST(jumps AS DOUBLE) / nullif(steps, 0) AS r, s / nullif(steps
 saccades AS (SELECT track_id, steps, CASE WHEN ipd < 1e-6 OR steps = 0 THEN 0e0 ELSE r END AS saccade_ratio, CASE WHEN ipd < 1e-6 OR steps = 0 THEN 5e-1 ELSE greatest(CASE WHEN r < 5e-2 THEN least(1e0, (5e-2 - r) / 5e-2) WHEN r > 3e-1 THEN least(1e0, (r - 3e-1) / 7e-1) ELSE 0e0 END, CASE WHEN steps >= 30 AND mean > 0 AND sqrt(greatest(q / steps - mean * mean, 0e0)) / mean < 5e-1 THEN 4e-1 ELSE 0e0 END) END AS saccade_anomaly FROM sr)"""
 
 
+def _sql_tracks(spark, d):
+    """The tracks of the registered SQL (V.TRACKS), which ends at customer 40; queries without SQL take all tracks."""
+    return V.tracks(spark, d).filter("track_id <= 40")
+
+
 def _rounded(df, *cols: str):
     return df.withColumns({c: round_to(c, 6) for c in cols})
 
@@ -190,17 +195,17 @@ def _rounded_sql(cols: list[str], rest: list[str]) -> str:
 
 @query(V.with_(V.TRACKS, BLINK) + f"SELECT {_rounded_sql(['blink_rate', 'rate_anomaly', 'mean_duration_ms', 'duration_anomaly'], ['track_id', 'frames', 'blinks'])} FROM blinks")
 def blink_metrics(spark, d):
-    return _rounded(signals.blink_metrics(V.tracks(spark, d)), "blink_rate", "rate_anomaly", "mean_duration_ms", "duration_anomaly")
+    return _rounded(signals.blink_metrics(_sql_tracks(spark, d)), "blink_rate", "rate_anomaly", "mean_duration_ms", "duration_anomaly")
 
 
 @query(V.with_(V.TRACKS, SACC) + f"SELECT {_rounded_sql(['saccade_ratio', 'saccade_anomaly'], ['track_id', 'steps'])} FROM saccades")
 def saccade_metrics(spark, d):
-    return _rounded(signals.saccade_metrics(V.tracks(spark, d)), "saccade_ratio", "saccade_anomaly")
+    return _rounded(signals.saccade_metrics(_sql_tracks(spark, d)), "saccade_ratio", "saccade_anomaly")
 
 
 @query(V.with_(V.TRACKS, BLINK, SACC) + f"SELECT track_id, {_r6('CASE WHEN frames < 90 THEN 0e0 ELSE greatest(0e0, least(1e0, rate_anomaly * 3e-1 + duration_anomaly * 25e-2 + saccade_anomaly * 45e-2)) END')} AS eye_score FROM blinks JOIN saccades USING (track_id)")
 def eye_scores(spark, d):
-    t = V.tracks(spark, d)
+    t = _sql_tracks(spark, d)
     both = signals.blink_metrics(t).join(signals.saccade_metrics(t), "track_id")
     return _rounded(signals.eye_score(both), "eye_score").select("track_id", "eye_score")
 
@@ -208,7 +213,7 @@ def eye_scores(spark, d):
 @query(V.with_(V.TRACKS) + f"SELECT track_id, frame, {_r6('px - a - b * frame')} AS detrended FROM track_frames JOIN (SELECT track_id AS t, regr_slope(px, frame) AS b, regr_intercept(px, frame) AS a FROM track_frames GROUP BY track_id) ON t = track_id WHERE track_id % 4 = 0")
 def detrended_motion(spark, d):
     """Only tracks that don't move are compared digit by digit: others hang on the order of sums."""
-    got = signals.detrended(V.tracks(spark, d).filter("track_id % 4 = 0"), "px")
+    got = signals.detrended(_sql_tracks(spark, d).filter("track_id % 4 = 0"), "px")
     return _rounded(got, "detrended").select("track_id", "frame", "detrended")
 
 

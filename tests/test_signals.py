@@ -52,3 +52,18 @@ def test_blinks(spark):
     assert r["blinks"] == 6 and r["blink_rate"] == pytest.approx(18) and r["mean_duration_ms"] == pytest.approx(200) and r["duration_anomaly"] == 0.6
     r = rate([0.1] * 10 + [1.0] * 90 + [0.1] * 10)  # an offset first and an onset without an end: no pair is left
     assert (r["blinks"], r["rate_anomaly"], r["duration_anomaly"]) == (0, 1.0, 1.0)
+
+
+def test_track_queries_take_every_customer(spark):
+    from assaywright.plans import detection
+
+    data = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{data}/customer.parquet").count()
+    faces = {r["face_id"]: r for r in detection.track_spectra(spark, data).collect()}
+    assert len(faces) == n > 40
+    assert sum(r["faces_analyzed"] for r in detection.l2_rollup(spark, data).collect()) == n
+    for k in (41, 42, n - 1):  # by the arithmetic of the fixture
+        i = np.arange(241 - k % 3 * 40, dtype=float)
+        shake = np.sin(i * 2.5) * 3 if k % 2 == 0 else np.sin(i * 0.1)
+        boxes = np.column_stack([shake + 10, 0 * i + 20, 110 + i * 0.01, 0 * i + 120 + k])
+        assert faces[k]["flicker_score"] == pytest.approx(signals.flicker(boxes, 30)[0], abs=1e-9)
