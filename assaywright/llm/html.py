@@ -35,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video noembed noframes xmp".split())
 #: An opening tag ends an open element of these within the given limits.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
+#: What may stand in head; any other start tag ends it, unless a title is open.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta script style noscript template noframes".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|itemprop|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -124,6 +126,10 @@ def blocks(page: str, marks: bool = False) -> list[Block]:
             elif tag in BLOCK:
                 flush()
             continue
+        if tag not in IN_HEAD and any(t == "head" for t, _ in stack) and not any(t == "title" for t, _ in stack):
+            flush()
+            del stack[next(k for k, (t, _) in enumerate(stack) if t == "head") :]
+            links = sum(t == "a" for t, _ in stack)
         if tag in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n

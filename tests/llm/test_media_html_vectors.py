@@ -197,3 +197,12 @@ def test_vectors_sql(spark):
     want = sorted(con.sql(oracle_sql()["op10_embedding_near_dedup"]).fetchall())
     got = embedding.op10_embedding_near_dedup(spark, DATA).select("vec_id", "n_links", "component_id", "kept")
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_head_ends_without_body_tag():
+    from assaywright.llm import html as pages
+
+    for more in ("", "</article>"):
+        got = [b.text for b in pages.blocks(f"<head><title>About <b>T</b></title><meta charset=x><script>a<p></script><article><p>First text.<p>Second <i>text</i>.{more}")]
+        assert got == ["First text.", "Second text."]
+    assert [b.text for b in pages.blocks("<head><title>T</title></head><body><p>Text.</body>")] == ["Text."]
