@@ -2,7 +2,8 @@
 
 Pre-tokens are found from the class of each code point (letter, number, white space, other) in one pass over the bytes of
 many texts at once; the pieces are looked up by hash in a table of pieces already encoded; only new pieces are merged, all of
-them together.
+them together. A hash only says where to look: every piece found is compared with the table's bytes, and pieces whose hash
+another one has taken are kept by their bytes.
 """
 
 from __future__ import annotations
@@ -19,10 +20,21 @@ LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 0
 _MUL, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: Pieces longer than this are merged one by one with a heap, as merging all at once takes a pass per merge.
 LONG = 40
-#: A worker forgets its table of pieces beyond this many, so its memory is bounded.
-MOST_PIECES = 250_000
+#: A worker forgets its table of pieces (but for those entered for good) beyond so many pieces or bytes, so its memory is bounded.
+MOST_PIECES, MOST_BYTES = 250_000, 32 << 20
 _POWERS: dict[str, np.ndarray] = {}
-_HEADS = np.array([(1 << 8 * k) - 1 for k in range(7)], np.uint64)
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _sure_cuts() -> np.ndarray:
+    table = np.zeros((256, 256), bool)
+    table[0x21:0x7F, [0x20, 0x0A, 0x09, 0x0D]] = True
+    word, mark = [c for c in range(0x80) if chr(c).isalnum()], list(b".,;:!?\"()")
+    table[np.ix_(word, mark)] = table[np.ix_(mark, word)] = True
+    return table
+
+
+_CUT = _sure_cuts()
 
 
 def byte_symbols() -> list[str]:
@@ -133,15 +145,31 @@ class ByteLevelBPE:
             within = np.flatnonzero(within)
             inside[w[within], w[within + 1]] = True
             self.cuts = ~inside
+        self.lasting: tuple[bytes, ...] = ()
+        self._forget()
+
+    def enter(self, words: tuple[bytes, ...]) -> None:
+        """Put pieces into the table for good."""
+        self.lasting = words
         self._forget()
 
     def _forget(self) -> None:
         self.index = HashIndex(18)
-        self.head = np.zeros(1 << 16, np.uint64)  # the first bytes and the length: checked besides the hash
+        self.clash: dict[bytes, int] = {}  # pieces whose hash another piece has
+        self.head = np.zeros(1 << 16, np.uint64)  # the first eight bytes
+        self.size = np.zeros(1 << 16, np.int64)
+        self.from_ = np.zeros(1 << 16, np.int64)  # where the piece stands in raw
         self.at = np.zeros(1 << 16, np.int64)
         self.len = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint16)
-        self.pooled = 0
+        self.raw = np.zeros(1 << 18, np.uint8)
+        self.pooled = self.held = self.stay = 0
+        if self.lasting:
+            ends = np.cumsum([len(w) for w in self.lasting])
+            self._known(np.frombuffer(b"".join(self.lasting), np.uint8), np.append(0, ends[:-1]), ends)
+            self.stay, self.stay_bytes = self.index.n, self.held
+        else:
+            self.stay_bytes = 0
 
     # ---- boundaries
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,36 +331,64 @@ class ByteLevelBPE:
         """Positions in the table of each piece; new pieces are merged and entered."""
         keys = span_hashes(data, starts, ends)
         size = ends - starts
-        padded = np.append(data, np.zeros(8, np.uint8))
-        words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
-        head = words[starts] & _HEADS[np.minimum(size, 6)] | np.minimum(size, 0xFFFF).astype(np.uint64) << np.uint64(48)
         got = self.index.get(keys)
         new = np.flatnonzero(got < 0)
         if len(new):
             fresh, one = np.unique(keys[new], return_index=True)
             one = new[one]
-            if self.index.n + len(fresh) > MOST_PIECES and self.index.n:
+            full = self.index.n + len(fresh) - self.stay > MOST_PIECES or self.held + int(size[one].sum()) - self.stay_bytes > MOST_BYTES
+            if full and self.index.n > self.stay:
                 self._forget()
                 return self._known(data, starts, ends)
-            made = [self.merge(data, starts[one[k : k + 8192]], ends[one[k : k + 8192]]) for k in range(0, len(one), 8192)]
-            ids, lens = (np.concatenate(x) for x in zip(*made, strict=True))
-            at = self.index.add(fresh)
-            need = int(at[-1]) + 1
-            if need > len(self.at):
-                grow = max(need, 2 * len(self.at))
-                self.head, self.at, self.len = (np.resize(x, grow) for x in (self.head, self.at, self.len))
-            if self.pooled + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, max(self.pooled + len(ids), 2 * len(self.pool)))
-            self.pool[self.pooled : self.pooled + len(ids)] = ids
-            self.at[at] = self.pooled + np.cumsum(lens) - lens
-            self.len[at] = lens
-            self.head[at] = head[one]
-            self.pooled += len(ids)
-            got[new] = at[np.searchsorted(fresh, keys[new])]
-        if (bad := self.head[got] != head).any():
-            raise ValueError(f"two pieces share a 64-bit hash: {data[starts[bad.argmax()]:ends[bad.argmax()]].tobytes()!r}")
+            got[new] = self._enter(self.index.add(fresh), data, starts[one], ends[one])[np.searchsorted(fresh, keys[new])]
+        words = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))  # the eight bytes from each place on
+        bad = (self.size[got] != size) | (self.head[got] != words[starts] & _HEADS[np.minimum(size, 8)])
+        k, live = 8, np.flatnonzero((size > 8) & ~bad)
+        kept = np.ndarray(len(self.raw) - 7, "<u8", self.raw, strides=(1,))
+        while len(live):  # eight bytes at a time; the last eight may overlap the ones before
+            step = np.minimum(k, size[live] - 8)
+            bad[live] |= kept[self.from_[got[live]] + step] != words[starts[live] + step]
+            k += 8
+            live = live[(size[live] > k) & ~bad[live]]
+            if k >= 64:  # few are as long: compared whole
+                for i in live.tolist():
+                    f = int(self.from_[got[i]])
+                    bad[i] = not np.array_equal(self.raw[f : f + size[i]], data[starts[i] : ends[i]])
+                break
+        for i in np.flatnonzero(bad).tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            if word not in self.clash:
+                at = np.array([self.index.n])
+                self.index.n += 1
+                self.clash[word] = int(self._enter(at, data, starts[i : i + 1], ends[i : i + 1])[0])
+            got[i] = self.clash[word]
         return got
 
+    def _enter(self, at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Merge new pieces and keep their ids and bytes at consecutive positions `at`."""
+        made = [self.merge(data, starts[k : k + 8192], ends[k : k + 8192]) for k in range(0, len(starts), 8192)]
+        ids, lens = (np.concatenate(x) for x in zip(*made, strict=True))
+        size = ends - starts
+        need = int(at[-1]) + 1
+        if need > len(self.at):
+            grow = max(need, 2 * len(self.at))
+            self.head, self.size, self.from_, self.at, self.len = (np.resize(x, grow) for x in (self.head, self.size, self.from_, self.at, self.len))
+        if self.pooled + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, max(self.pooled + len(ids), 2 * len(self.pool)))
+        more = int(size.sum())
+        if self.held + more + 8 > len(self.raw):
+            self.raw = np.resize(self.raw, max(self.held + more + 8, 2 * len(self.raw)))
+        self.pool[self.pooled : self.pooled + len(ids)] = ids
+        self.at[at] = self.pooled + np.cumsum(lens) - lens
+        self.len[at] = lens
+        self.raw[self.held : self.held + more] = data[ranges(starts, size)]
+        self.from_[at] = self.held + np.cumsum(size) - size
+        self.size[at] = size
+        self.head[at] = np.ndarray(len(self.raw) - 7, "<u8", self.raw, strides=(1,))[self.from_[at]] & _HEADS[np.minimum(size, 8)]
+        self.pooled += len(ids)
+        self.held += more
+        return at
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's ids begin and end in them."""
         starts, ends, special = self.pieces(data, offsets)
@@ -357,8 +413,9 @@ class ByteLevelBPE:
 
 
 def batches(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18):
-    """(data, offsets, first row, last row, whether the row goes on) in runs of about `most` bytes. A longer text is cut before a
-    space between two visible ASCII characters, which every splitter of this kind cuts as well, so the parts encode alone."""
+    """(data, offsets, first row, last row, whether the row goes on) in runs of about `most` bytes. A longer text is cut where every
+    splitter of this kind cuts as well, so the parts encode alone: before white space behind a visible ASCII character, and
+    between an ASCII letter or digit and a mark of punctuation."""
     from ._common import row_groups
 
     for a, b in row_groups(offsets, most):
@@ -366,8 +423,7 @@ def batches(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18):
         if b - a > 1 or len(part) <= 2 * most:
             yield part, offs, a, b
             continue
-        seen = (part > 0x20) & (part < 0x7F)
-        ok = np.flatnonzero((part[1:-1] == 0x20) & seen[:-2] & seen[2:]) + 1
+        ok = np.flatnonzero(_CUT[part[:-1], part[1:]]) + 1
         cuts, at = [0], most
         while at < len(part) and (k := np.searchsorted(ok, at)) < len(ok):
             cuts.append(int(ok[k]))

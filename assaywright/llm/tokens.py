@@ -1,7 +1,7 @@
 """Token counts, encoding with decoding, and what both share: op6 and op9.
 
 Counts use a whole-token shortcut: every vocabulary string is put through the merges once, on the driver; those that come out
-as one token are entered into the workers' table before any text, so that pre-tokens equal to them count one without merging.
+as one token stand in the workers' table for good, so that pre-tokens equal to them count one without merging.
 Encoding splits pre-tokens further at forced boundaries: pairs of neighbouring bytes that occur inside no vocabulary string.
 """
 
@@ -92,11 +92,8 @@ def count_tokens(df: DataFrame, text: str = "text", limit: int = 512, path: str
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = codec(spec.value, classes.value, False)
-        if not m.index.n:
-            words = whole.value
-            data = np.frombuffer(b"".join(words), np.uint8)
-            offs = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-            m._known(data, offs[:-1], offs[1:])
+        if not m.lasting:
+            m.enter(whole.value)
         for batch in it:
             data, offsets = flat_utf8(batch.column(batch.schema.get_field_index(text)))
             n = np.zeros(len(offsets) - 1, np.int64)

@@ -46,6 +46,73 @@ def test_ids_equal_the_library(cuts):
     assert [got.get(i, []) for i in range(len(want))] == want
 
 
+def codec(cuts: bool) -> ByteLevelBPE:
+    path = tokens.vocabulary_path()
+    with open(path, "rb") as f:
+        return ByteLevelBPE(f.read(), class_table(path), cuts)
+
+
+def ids_of(m: ByteLevelBPE, some: list[str], most: int = 1 << 18) -> list[list[int]]:
+    raw = [t.encode() for t in some]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    got: list[list[int]] = [[] for _ in some]
+    for part, o, a, b in batches(data, offs, most):
+        ids, cut = m.encode(part, o)
+        for i in range(b - a):
+            got[a + i].extend(ids[cut[i] : cut[i + 1]].tolist())
+    return got
+
+
+def thue_morse(n: int = 10) -> tuple[str, str]:
+    """Two words of 2**n letters that every polynomial modulo 2**64 gives one hash."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("cuts", [True, False])
+@pytest.mark.parametrize("lead", ["", "prefix", "x y "])
+def test_pieces_of_one_hash(cuts, lead):
+    from assaywright.llm._bytelevel import span_hashes
+
+    a, b = thue_morse()
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    h = span_hashes(raw, np.array([0, 1024]), np.array([1024, 2048]))
+    assert h[0] == h[1]
+    some = [lead + a, lead + b, lead + a, f"{b} {a}", lead + thue_morse(11)[1], lead + thue_morse(11)[0]]
+    want = [e.ids for e in library().encode_batch(some, add_special_tokens=False)]
+    m = codec(cuts)
+    assert ids_of(m, some) == want and ids_of(m, some[::-1]) == want[::-1]
+
+
+def test_a_full_table_keeps_whole_tokens(monkeypatch):
+    from assaywright.llm import _bytelevel
+
+    monkeypatch.setattr(_bytelevel, "MOST_PIECES", 50)
+    words = tokens.whole_tokens(tokens.vocabulary_path())
+    m = codec(False)
+    m.enter(words)
+    at = m._known(*(x := (np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words[:-1])]), np.cumsum(list(map(len, words))))))
+    some = texts(400)
+    want = [e.ids for e in library().encode_batch(some, add_special_tokens=False)]
+    forgot = []
+    monkeypatch.setattr(m, "_forget", lambda f=m._forget: forgot.append(m.index.n) or f())
+    assert ids_of(m, some, 2000) == want
+    assert len(forgot) > 5 and m.stay == len(words)
+    before = m.index.n
+    assert (m._known(*x) == at).all() and m.index.n == before  # nothing had to be merged again
+
+
+def test_long_texts_are_cut_where_it_is_safe():
+    r = random.Random(3)
+    parts = ["word", " ", "\n", "\t", "a1", "2.5", "'s", "don't", "(x)", "<|endoftext|>", '"', "  ", "é", "end.", "!", "\r\n", "'", "　"]
+    some = ["".join(r.choice(parts) for _ in range(3000)) for _ in range(4)] + ["x" * 9000, "one,two;three" * 500]
+    want = [e.ids for e in library().encode_batch(some, add_special_tokens=False)]
+    for most in (64, 500, 4000):
+        assert ids_of(codec(True), some, most) == want
+
+
 def test_whole_tokens_are_single():
     words = tokens.whole_tokens(tokens.vocabulary_path())
     assert len(words) > 49_000
@@ -123,3 +190,58 @@ def test_packing(spark):
         assert at <= 1024
     assert len(place) <= -(-sum(r["length"] for r in rows) // 1024) + 1
     assert packing.pack(packing.stored(packing.token_pieces(df.limit(0), "doc_id"), "none"), "doc_id").count() == 0
+
+
+# ---- the registered queries
+def corpus(spark, tmp_path):
+    """A documents table with hard rows and a clash of every column that a query adds."""
+    a, b = thue_morse()
+    rows = list(enumerate([*texts(120), a, b, "p " + a, "p " + b, None, "", "Same row", "word " * 2500]))
+    rows += [rows[-2], rows[-2], (500, None)]
+    clash = "n_bytes", "n_tokens", "over_limit", "ids_sha256", "decoded_sha256", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    df = spark.createDataFrame([(*r, *["own"] * len(clash)) for r in rows], "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in clash))
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    return rows
+
+
+def ids_by_library(t: str | None) -> list[int]:
+    return library().encode(t or "", add_special_tokens=False).ids
+
+
+def test_op6(spark, tmp_path):
+    rows = corpus(spark, tmp_path)
+    got = tokens.op6_token_counts(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    assert dict(got.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}
+    assert sorted(map(tuple, got.collect())) == sorted((i, len((t or "").encode()), n := len(ids_by_library(t)), n > 512) for i, t in rows)
+
+
+def test_op9(spark, tmp_path):
+    rows = corpus(spark, tmp_path)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = [(i, len(x), sha(np.array(x, "<u4").tobytes()), sha(library().decode(x, skip_special_tokens=False).encode())) for i, t in rows for x in [ids_by_library(t)]]
+    got = tokens.op9_bpe_round_trip(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_op5(spark, tmp_path):
+    rows = corpus(spark, tmp_path)
+    want = []
+    for i, t in rows:
+        x = [*ids_by_library(t), 2]
+        edges = [0, *range(len(x) % 1024 or 1024, len(x) + 1, 1024)]
+        want += [(i, p, s, e - s, zlib.crc32(np.array(x[s:e], "<u4").tobytes())) for p, (s, e) in enumerate(zip(edges, edges[1:], strict=False))]
+    got = [tuple(r) for r in packing.op5_best_fit_packing(spark, str(tmp_path)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset").collect()]
+    assert sorted(r[:5] for r in got) == sorted(want)
+    filled: dict[int, list] = {}
+    for r in got:
+        filled.setdefault(r[5], []).append((r[6], r[3]))
+    for spans in filled.values():
+        spans.sort()
+        assert all(o == sum(n for _, n in spans[:k]) for k, (o, _) in enumerate(spans)) and sum(n for _, n in spans) <= 1024
+    assert len(filled) <= -(-sum(r[3] for r in got) // 1024) + 1
+
+
+def test_queries_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for fn in (packing.op5_best_fit_packing, tokens.op6_token_counts, tokens.op9_bpe_round_trip):
+        assert fn(spark, str(tmp_path)).count() == 0
