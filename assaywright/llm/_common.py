@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch sent to Python; with texts of 100 kB a batch stays near 25 MB.
 ARROW_ROWS = 256
@@ -77,6 +78,20 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def salted_semi_join(left: DataFrame, right: DataFrame, keys: list[str], place: list[str], share: int = 10_000, salts: int = 64) -> DataFrame:
+    """Rows of left whose keys stand in right, which has one row for each key and n, how many rows of left it has.
+
+    Keys with more than 10,000 rows and more than one in `share` of all (so at most `share` of them, a broadcast of bounded size)
+    are dealt to `salts` tasks by a hash of `place`; all others need no salt.
+    """
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = right.filter(F.col("n") > max(10_000, total // share)).select(*keys)
+    salt = F.pmod(F.xxhash64(*place), F.lit(salts)).cast("int")
+    dealt = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    each = F.when(F.col("n") > max(10_000, total // share), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.select(*keys, F.explode(each).alias("_salt")), [*keys, "_salt"], "left_semi").drop("_salt").select(*left.columns)
+
+
 def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as (bytes, offsets): row i is bytes[offsets[i]:offsets[i + 1]], nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,20 +7,25 @@ is ever shuffled:
    alone, so equal windows have equal anchors at equal places. The windows of one anchor occurrence follow one another; with
    their bytes they are a segment of at most 2 * length - gram bytes. About one byte in 85 is an anchor.
 2. Anchors are counted. Windows whose anchor is found once repeat nowhere.
-3. For repeated anchors, equal segments are counted: all windows of a segment found twice repeat.
-4. What is left are segments found once whose anchor is found elsewhere, mostly the two ends of a repeated passage. They are
-   dealt out by anchor with one copy of every other segment of that anchor. Each shard gets a suffix array by induced sorting
-   and its permuted common prefixes, which give the windows that repeat. An anchor with more segments than a shard may hold
-   (a boilerplate line with as many contexts as documents) is split further: its windows are cut by their distance from the
-   anchor into pieces of eight, which all hold the same 193 bytes. Pieces whose 193 bytes are found once go, equal pieces
-   repeat, and only pieces between the two are counted window by window. All of this is partial sums over hashes.
-
+3. Equal segments (by a cryptographic digest of 128 bits) are one string with a count: where it is above one, all its windows repeat.
+   Anchors all of whose segments are found again need nothing more.
+4. The other anchors are shards: all their different segments meet, and get a suffix array by induced sorting and its permuted common
+   prefixes, which tell the windows that repeat. Before that, segments are cut to the windows that can repeat at all: a window that
+   reaches d bytes to the left of the anchor needs some other segment with the same d bytes there, and likewise to the right.
+5. An anchor with more different segments than a shard may hold (a boilerplate line with as many contexts as documents) is dealt out
+   by content: its windows are cut by their distance from the anchor into pieces of eight, which all hold the same 193 bytes, and
+   those bytes are the shard's key instead of the anchor. Pieces whose 193 bytes are found once repeat nowhere; equal pieces are one
+   string with a count; the others get suffix arrays as above. Should even 193 bytes have that many surroundings, their pieces are
+   dealt out by whole windows, that is, counted by digest.
+
+Places are matched to strings that repeat by joins whose frequent keys (found by count, at most 10,000) are salted.
 Rows that are equal in key and text count as places of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytelevel import span_hashes
-from ._common import flat_utf8, ranges, released, row_groups, small_batches, stored, table
+from ._common import discard, flat_utf8, ranges, released, row_groups, salted_semi_join, small_batches, stored, table
 
 LENGTH = 200
 GRAM = 32
-#: Distinct segments of one anchor that a suffix-array shard takes; anchors with more are counted by window hash.
-MOST_SEGMENTS = 512
+#: Different segments of one anchor that a shard takes, about 1 MB at most; anchors with more are dealt out by more content.
+MOST_SEGMENTS = 4096
 #: A shard's suffix array is made over about this many bytes.
 SHARD_BYTES = 1 << 19
 #: Windows of a hot anchor that are looked at together.
@@ -47,7 +52,7 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
 
     Suffixes are classified as larger or smaller than the next; leftmost smaller ones are sorted by sorting their
     substrings (recursively, under new names, where names repeat), and induce the order of all others in two linear sweeps over
-    the buckets, a bucket at a time in numpy.
+    the buckets: a bucket at a time in numpy where buckets are few, an element at a time where they are many.
     """
     n = len(s)
     if n == 0:
@@ -77,8 +82,9 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
         count = np.diff(np.append(-1, run))
         back = np.repeat(run, count) - np.arange(len(by))
         sa[ends[c[by]] - 1 - back] = order[by]
-        return _sweep(sa, s, small, heads, ends)
+        return sweep(sa, s, small, heads, ends)
 
+    sweep = _sweep_each if np.count_nonzero(size) * 100 > n else _sweep
     sa = induce(places)
     if len(places) > 1:
         ranked = sa[lms[sa]]
@@ -86,44 +92,13 @@ def suffix_array(s: np.ndarray, top: int) -> np.ndarray:
         m = int(names.max()) + 1
         reduced = names[places]
         if m < len(places):
-            order = places[_rank_names(reduced, m)]
+            order = places[np.append(len(places) - 1, suffix_array(reduced[:-1], m - 1))]  # the end mark's name is the only 0
         else:
             order = places[np.argsort(reduced, kind="stable")]
         sa = induce(order)
     return sa[1:]
 
 
-def _rank_names(names: np.ndarray, m: int) -> np.ndarray:
-    """The order of the suffixes of a sequence of names of which some repeat; the last name is the only 0.
-
-    Recursion under new names: neighbouring names that repeat are named together, by their order as pairs, until no name repeats.
-    Names that are unique keep their place and are not looked at again.
-    """
-    n, step = len(names), 1
-    rank = names.astype(np.int64)
-    size = np.bincount(rank, minlength=m)
-    rank = (np.cumsum(size) - size)[rank]  # the place where each name's group begins
-    order = np.argsort(rank, kind="stable")
-    live = np.flatnonzero(size[names] > 1)
-    while len(live):
-        nxt = live + step
-        key = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
-        by = np.lexsort((key, rank[live]))
-        live, key = live[by], key[by]
-        group = rank[live]
-        first = np.append(True, group[1:] != group[:-1])
-        new = first | np.append(True, key[1:] != key[:-1])
-        at = np.arange(len(live))
-        begin = np.maximum.accumulate(np.where(first, at, 0))
-        head = np.maximum.accumulate(np.where(new, at, 0))
-        order[group + at - begin] = live
-        rank[live] = group + head - begin
-        one = new & np.append(new[1:], True)
-        live = live[~one]
-        step *= 2
-    return order
-
-
 def _names(s: np.ndarray, small: np.ndarray, places: np.ndarray, ranked: np.ndarray, n: int) -> np.ndarray:
     """Names of leftmost-smaller substrings, given in sorted order: equal ones share a name. The end mark has name 0."""
     nxt = np.full(n, n - 1)
@@ -206,58 +181,119 @@ def _sweep(sa: np.ndarray, s: np.ndarray, small: np.ndarray, heads: np.ndarray,
     return sa
 
 
-def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+def _sweep_each(sa: np.ndarray, s: np.ndarray, small: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As _sweep, one element after the other: what is entered behind the place of reading is read later."""
+    out, head, tail = sa.tolist(), heads.tolist(), ends.tolist()
+    before = np.full(len(s) + 1, -1)  # the character before each place; the last is for empty places
+    before[1:-1] = s[:-1]
+    larger = np.where(np.append(np.append(True, small[:-1]), True), -1, before).tolist()
+    smaller = np.where(np.append(np.append(False, small[:-1]), False), before, -1).tolist()
+    for j in out:
+        c = larger[j]
+        if c >= 0:
+            at = head[c]
+            out[at] = j - 1
+            head[c] = at + 1
+    for j in reversed(out):
+        c = smaller[j]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            out[at] = j - 1
+    return np.array(out, np.int64)
+
+
+def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int, only: np.ndarray | None = None) -> np.ndarray:
     """For each place i, how much the suffix there has in common with the one before it in the suffix array, up to most (and a
-    few more); permuted, that is by place and not by rank. Characters are compared eight at a time."""
-    n = len(s)
+    few more); permuted, that is by place and not by rank. only: ascending places to be looked at, others give 0.
+
+    Characters are compared eight bytes at a time. Every eighth place of a run is compared from its beginning; for the next ones
+    all but the last characters of what was found there are known to agree.
+    """
+    n, size = len(s), s.dtype.itemsize
+    step = 8 // size
     prev = np.full(n, -1)
     prev[sa[1:]] = sa[:-1]
-    padded = np.append(s.astype("<u2"), np.zeros(4, "<u2"))
-    words = np.ndarray(n + 1, "<u8", padded, strides=(2,))
+    words = np.ndarray(n + 1, "<u8", np.append(s, np.zeros(step, s.dtype)), strides=(size,))
     out = np.zeros(n, np.int64)
-    live = np.flatnonzero(prev >= 0)
-    k = 0
-    while len(live) and k < most:
-        inside = (live + k <= n) & (prev[live] + k <= n)
-        live = live[inside]
-        x = words[live + k] ^ words[prev[live] + k]
-        low = x & (~x + np.uint64(1))
-        same = np.where(x == 0, 4, (np.bitwise_count(np.maximum(low, np.uint64(1)) - np.uint64(1)) // 16).astype(np.int64))
-        out[live] += same
-        live = live[x == 0]
-        k += 4
+    places = np.arange(n) if only is None else only
+    places = places[prev[places] >= 0]
+    run = np.flatnonzero(np.append(True, np.diff(places) > 1)[: len(places)])
+    nth = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
+    lead = nth % 8 == 0
+
+    def extend(live: np.ndarray) -> None:
+        while len(live):
+            k = out[live]
+            going = (k < most) & (live + k < n) & (prev[live] + k < n)
+            live, k = live[going], k[going]
+            x = words[live + k] ^ words[prev[live] + k]
+            low = x & (~x + np.uint64(1))
+            out[live] += np.where(x == 0, step, (np.bitwise_count(np.maximum(low, np.uint64(1)) - np.uint64(1)) // (8 * size)).astype(np.int64))
+            live = live[x == 0]
+
+    extend(places[lead])
+    rest = places[~lead]
+    from_ = places[np.maximum.accumulate(np.where(lead, np.arange(len(places)), 0))[~lead]]
+    out[rest] = np.maximum(0, np.minimum(out[from_], n - np.maximum(from_, prev[from_])) - (rest - from_))
+    extend(rest)
     return np.minimum(out, n - np.maximum(np.arange(n), np.maximum(prev, 0)))
 
 
 def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment, the starts of windows of `length` bytes that also start somewhere else in the segments."""
+    if not segments:
+        return []
     sizes = np.array([len(x) + 1 for x in segments])
-    raw = b"".join(x + b"\0" for x in segments)
-    s = np.frombuffer(raw, np.uint8).astype(np.int64) + 2
+    raw = np.frombuffer(b"".join(x + b"\0" for x in segments), np.uint8)
+    s = raw.astype(np.int64) + 2
     stops = np.cumsum(sizes) - 1
     s[stops] = 1  # ends of segments; no window that counts reaches one
     sa = suffix_array(s, 257)
-    pre = permuted_prefixes(s, sa, length)
-    seg = np.repeat(np.arange(len(segments)), sizes)
-    room = stops[seg] - np.arange(len(s))
-    hit = pre >= length
-    nxt = np.full(len(s), -1)
-    nxt[sa[:-1]] = sa[1:]
-    has_next = nxt >= 0
-    hit[has_next] |= pre[nxt[has_next]] >= length
-    hit &= room >= length
+    room = np.repeat(stops, sizes) - np.arange(len(s))
+    full = room >= length
+    both = sa[1:][full[sa[1:]] & full[sa[:-1]]]  # equal windows follow one another, with none but such between them
+    pre = permuted_prefixes(raw, sa, length, np.sort(both))
+    hit = np.zeros(len(s), bool)
+    same = pre[sa[1:]] >= length
+    hit[sa[1:][same]] = hit[sa[:-1][same]] = True
     begin = stops - sizes + 1
     at = np.flatnonzero(hit)
     cut = np.searchsorted(at, np.append(begin, len(s)))
     return [at[cut[i] : cut[i + 1]] - begin[i] for i in range(len(segments))]
 
 
+def _reach(group: np.ndarray, sides: list[bytes], width: int) -> np.ndarray:
+    """How many bytes each string has at least in common with the nearest other one of its group, at most (zeros behind its end
+    count as bytes, so it may be told too much, never too little)."""
+    k = len(sides)
+    flat = np.zeros((k, 4 + width), np.uint8)
+    flat[:, :4] = group.astype(">u4").view(np.uint8).reshape(-1, 4)
+    flat[:, 4:] = np.frombuffer(b"".join(x[:width].ljust(width, b"\0") for x in sides), np.uint8).reshape(k, width)
+    order = np.argsort(flat.view(f"S{4 + width}")[:, 0], kind="stable")
+    flat = flat[order]
+    differ = flat[1:] != flat[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), 4 + width) - 4  # below 0: another group
+    out = np.zeros(k, np.int64)
+    out[order] = np.maximum(np.append(0, common), np.append(common, 0))
+    return out
+
+
+def trimmed(group: np.ndarray, rel: np.ndarray, segments: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the windows of each segment that can repeat within its group, by what stands left and right of the anchor at rel."""
+    far = _reach(group, [x[:r][::-1] for x, r in zip(segments, rel.tolist(), strict=True)], length)
+    near = _reach(group, [x[r:] for x, r in zip(segments, rel.tolist(), strict=True)], length)
+    windows = np.array([len(x) for x in segments]) - length + 1
+    first = np.maximum(0, rel - far)  # a window that begins at w reaches rel - w bytes to the left
+    end = np.minimum(windows, rel + near - length + 1)
+    return first, np.maximum(end, first)
+
+
 # ---- anchors
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, first window in the text, number of windows, hash of the gram at the anchor, hash of the segment, place of the anchor in the
-    segment) for runs of windows."""
+    """(row, first window in the text, number of windows, hash of the gram at the anchor, place of the anchor in the segment) for runs
+    of windows. Within a chunk, hashes that share their leading 44 bits are told apart by place alone."""
     n = len(data)
-    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     width = length - gram + 1
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -285,12 +321,17 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         stop = np.append(s[1:], len(at))
         last = np.minimum(stop, offsets[row[c0 + s] + 1] - length + 1 - c0)
         k = last - s
-        seg = span_hashes(part, s, s + k + length - 1) ^ ((at[s] - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        for o, v in zip(out, (row[c0 + s], c0 + s - offsets[row[c0 + s]], k, g[at[s]], seg, at[s] - s), strict=True):
+        for o, v in zip(out, (row[c0 + s], c0 + s - offsets[row[c0 + s]], k, g[at[s]], at[s] - s), strict=True):
             o.append(v)
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray) -> pa.Array:
+    """128 bits for each stretch and small number that goes with it: equal digests stand for equal strings."""
+    raw = data.tobytes()
+    return pa.array([blake2b(raw[s:e], digest_size=16, salt=x.to_bytes(4, "little")).digest() for s, e, x in zip(starts.tolist(), ends.tolist(), salt.tolist(), strict=True)], pa.binary())
+
+
 def _occurrences(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """(ahash, shash, kd, kt, start, windows, rel) of every segment; keyed has kd, kt and text."""
 
@@ -299,10 +340,15 @@ def _occurrences(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             kd, kt = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             data, offsets = flat_utf8(batch.column(2))
             for a, b in row_groups(offsets, 1 << 20):
-                row, start, k, ah, sh, rel = _anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ah.view(np.int64), sh.view(np.int64), kd[a:b][row], kt[a:b][row], start.astype(np.int64), k.astype(np.int32), rel.astype(np.int32))], ["ahash", "shash", "kd", "kt", "start", "windows", "rel"])
+                part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                row, start, k, ah, rel = _anchors(part, offs, length, gram)
+                for lo in range(0, len(row), 1 << 16):  # of very long texts
+                    some = slice(lo, lo + (1 << 16))
+                    at = offs[row[some]] + start[some]
+                    sh = _digests(part, at, at + k[some] + length - 1, rel[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(ah[some].astype(np.uint64).view(np.int64)), sh, pa.array(kd[a:b][row[some]]), pa.array(kt[a:b][row[some]]), pa.array(start[some].astype(np.int64)), pa.array(k[some].astype(np.int32)), pa.array(rel[some].astype(np.int32))], ["ahash", "shash", "kd", "kt", "start", "windows", "rel"])
 
-    return keyed.select("kd", "kt", "text").mapInArrow(released(run), "ahash bigint, shash bigint, kd bigint, kt bigint, start bigint, windows int, rel int")
+    return keyed.select("kd", "kt", "text").mapInArrow(released(run), "ahash bigint, shash binary, kd bigint, kt bigint, start bigint, windows int, rel int")
 
 
 def _anchor_counts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -321,14 +367,22 @@ def _anchor_counts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 
 # ---- putting it together
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, most_segments: int = MOST_SEGMENTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(kd, kt, start, end): ranges of bytes to remove. keyed: kd (bigint), kt (bigint) name a text, text; kd and kt not null."""
-    again = stored(_anchor_counts(keyed, length, gram).filter("n > 1").select("ahash"), "anchors-found-again")
-    found = stored(_occurrences(keyed, length, gram).join(again, "ahash", "left_semi"), "repeated-anchors")
-    place = F.struct("kd", "kt", "start", "windows", "rel")
-    classes = stored(found.groupBy("ahash", "shash").agg(F.count("*").alias("n"), F.min(place).alias("at")), "segment-classes")
-    whole = found.join(classes.filter("n > 1").select("ahash", "shash"), ["ahash", "shash"], "left_semi").select("kd", "kt", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"))
+    """(kd, kt, start, end): ranges of bytes to remove, stored. keyed: kd (bigint), kt (bigint) name a text, text; kd and kt not null."""
+    made: list[DataFrame] = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
+    place = ["kd", "kt", "start"]
+    span = F.struct("kd", "kt", "start", "windows", "rel")
+    to = lambda df: df.select("kd", "kt", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"))
+    again = held(_anchor_counts(keyed, length, gram).filter("n > 1"), "anchors-found-again")
+    found = held(salted_semi_join(_occurrences(keyed, length, gram), again, ["ahash"], place), "repeated-anchors")
+    classes = held(found.groupBy("ahash", "shash").agg(F.count("*").alias("n"), F.min(span).alias("at")), "segment-classes")
+    whole = to(salted_semi_join(found, classes.filter("n > 1").select("ahash", "shash", "n"), ["ahash", "shash"], place))
     several = classes.groupBy("ahash").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("ahash", "kinds")
-    open_ = stored(classes.join(several, "ahash").select("ahash", (F.col("n") == 1).alias("one"), F.col("kinds"), "at.kd", "at.kt", "at.start", "at.windows", "at.rel"), "open-segments")
+    open_ = held(classes.join(several, "ahash").select("ahash", (F.col("n") == 1).alias("one"), F.col("kinds"), "at.kd", "at.kt", "at.start", "at.windows", "at.rel"), "open-segments")
     texts = keyed.select("kd", "kt", "text")
 
     def with_bytes(some: DataFrame) -> DataFrame:
@@ -342,37 +396,43 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
                 data, offs = flat_utf8(batch.column(2))
                 raw = data.tobytes()
                 rows = [(w["ahash"], w["one"], d, t, w["start"], w["rel"], raw[o + w["start"] : o + w["start"] + w["windows"] + length - 1]) for d, t, o, ws in zip(kd, kt, offs[:-1].tolist(), want, strict=True) for w in ws]
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["ahash", "one", "kd", "kt", "start", "rel", "seg"])
-
-        return unique.mapInArrow(released(cut), "ahash bigint, one boolean, kd bigint, kt bigint, start bigint, rel int, seg binary")
+                for lo in range(0, max(1, len(rows)), 1 << 14):
+                    cols = list(zip(*rows[lo : lo + (1 << 14)], strict=True)) or [()] * 7
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["g", "one", "kd", "kt", "start", "rel", "seg"])
 
-    def spans(kd: int, kt: int, start: int, wins: np.ndarray) -> list[tuple[int, int, int, int]]:
-        if not len(wins):
-            return []
-        gap = np.flatnonzero(np.diff(wins) > 1)
-        lo, hi = wins[np.append(0, gap + 1)], wins[np.append(gap, len(wins) - 1)]
-        return [(kd, kt, start + int(a), start + int(b) + length) for a, b in zip(lo, hi, strict=True)]
+        # a text that is there twice under one key gives its segments twice: one copy is enough
+        return unique.mapInArrow(released(cut), "g bigint, one boolean, kd bigint, kt bigint, start bigint, rel int, seg binary")
 
     def shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups, one after the other, in suffix arrays of about shard_bytes."""
         held: list[tuple] = []
-        size, last = 0, None
+        size, last, groups = 0, None, 0
 
         def flush() -> pa.RecordBatch:
-            uniq = list(dict.fromkeys(h[6] for h in held if not h[1]))  # others' copies; those found once are distinct
-            ones = [h for h in held if h[1]]
-            hits = repeated_windows([h[6] for h in ones] + uniq, length)
-            rows = [r for h, w in zip(ones, hits, strict=False) for r in spans(h[2], h[3], h[4], w)]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
+            group, one, kd, kt, start, rel, seg = zip(*held, strict=True)
+            first, end = trimmed(np.array(group), np.array(rel, np.int64), list(seg), length)
+            live = np.flatnonzero(end > first).tolist()
+            hits = repeated_windows([seg[i][first[i] : end[i] + length - 1] for i in live], length)
+            cols: list[list[int]] = [[], [], [], []]
+            for i, wins in zip(live, hits, strict=True):
+                if one[i] and len(wins):
+                    gap = np.flatnonzero(np.diff(wins) > 1)
+                    at = start[i] + int(first[i])
+                    for lo, hi in zip(wins[np.append(0, gap + 1)].tolist(), wins[np.append(gap, len(wins) - 1)].tolist(), strict=True):
+                        for c, v in zip(cols, (kd[i], kt[i], at + lo, at + hi + length), strict=True):
+                            c.append(v)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["kd", "kt", "start", "end"])
 
         for batch in it:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size >= shard_bytes:
-                    yield flush()
-                    held, size = [], 0
-                last = row[0]
-                held.append(row)
+                if row[0] != last:
+                    if size >= shard_bytes:
+                        yield flush()
+                        held, size = [], 0
+                    last, groups = row[0], groups + 1
+                if held and held[-1][0] == groups and held[-1][2:6] == row[2:6]:
+                    continue  # the same place of a text that is there twice
+                held.append((groups, *row[1:]))
                 size += len(row[6])
         if held:
             yield flush()
@@ -390,35 +450,38 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
             first = offs[:-1][r] + rel[r] - far
             k = far - close + 1
             core = offs[:-1][r] + rel[r] - PIECE * j
-            at = span_hashes(data, core, core + length - PIECE + 1) ^ (j.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
-            whole_piece = span_hashes(data, first, first + k + length - 1) ^ far.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+            by = span_hashes(data, core, core + length - PIECE + 1) ^ (j.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
             raw = data.tobytes()
             seg = [raw[x:y] for x, y in zip(first.tolist(), (first + k + length - 1).tolist(), strict=True)]
             col = [np.asarray(batch.column(i)) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(col[0][r]), pa.array(at.view(np.int64)), pa.array(whole_piece.view(np.int64)), pa.array(col[1][r]), pa.array(col[2][r]), pa.array(col[3][r]), pa.array(col[4][r] + first - offs[:-1][r]), pa.array(k.astype(np.int32)), pa.array(seg, pa.binary())], ["ahash", "core", "piece", "one", "kd", "kt", "start", "windows", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(by.view(np.int64)), _digests(data, first, first + k + length - 1, far), *(pa.array(c[r]) for c in col[1:4]), pa.array(col[4][r] + first - offs[:-1][r]), pa.array(k.astype(np.int32)), pa.array(far.astype(np.int32)), pa.array(seg, pa.binary())], ["g", "piece", "one", "kd", "kt", "start", "windows", "rel", "seg"])
 
     def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            data, offs = flat_utf8(batch.column(5))
+            data, offs = flat_utf8(batch.column(6))
             n = np.diff(offs) - length + 1
             first = ranges(offs[:-1], n)
-            h = span_hashes(data, first, first + length)
             r = np.repeat(np.arange(batch.num_rows), n)
             col = [np.asarray(batch.column(i)) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(col[0][r]), pa.array(h.view(np.int64)), pa.array(col[1][r]), pa.array(col[2][r]), pa.array(col[3][r]), pa.array(col[4][r] + first - offs[:-1][r])], ["ahash", "whash", "one", "kd", "kt", "start"])
-
-    cold = with_bytes(open_.filter(F.col("kinds") <= most_segments)).repartition("ahash").sortWithinPartitions("ahash", "kd", "kt", "start").mapInArrow(released(shards), "kd bigint, kt bigint, start bigint, end bigint")
-    parts = stored(with_bytes(open_.filter(F.col("kinds") > most_segments)).mapInArrow(released(pieces), "ahash bigint, core bigint, piece bigint, one boolean, kd bigint, kt bigint, start bigint, windows int, seg binary"), "hot-pieces")
-    sorts = stored(parts.groupBy("ahash", "core", "piece").agg(F.count("*").alias("n"), F.min(F.struct("kd", "kt", "start")).alias("at"), F.min("one").alias("one"), F.min("seg").alias("seg")), "hot-sorts")
-    to = lambda df: df.select("kd", "kt", "start", (F.col("start") + F.col("windows") + length - 1).alias("end"))
-    equal = to(parts.filter("one").join(sorts.filter("n > 1").select("ahash", "core", "piece"), ["ahash", "core", "piece"], "left_semi"))
-    between = sorts.groupBy("ahash", "core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("ahash", "core")
-    some = sorts.join(between, ["ahash", "core"], "left_semi").select("ahash", (F.col("one") & (F.col("n") == 1)).alias("one"), "at.kd", "at.kt", "at.start", "seg")
-    many = stored(some.mapInArrow(released(windows), "ahash bigint, whash bigint, one boolean, kd bigint, kt bigint, start bigint"), "hot-windows")
-    twice = many.groupBy("ahash", "whash").agg(F.count("*").alias("n")).filter("n > 1").select("ahash", "whash")
-    near = many.filter("one").join(twice, ["ahash", "whash"], "left_semi").select("kd", "kt", "start", (F.col("start") + length).alias("end"))
-    hot = equal.union(near)
-    return whole.union(cold).union(hot)
+            yield pa.RecordBatch.from_arrays([_digests(data, first, first + length, np.zeros(len(first), np.int64)), *(pa.array(c[r]) for c in col[1:4]), pa.array(col[4][r] + first - offs[:-1][r])], ["window", "one", "kd", "kt", "start"])
+
+    rows = ["g", "one", "kd", "kt", "start", "rel", "seg"]
+    few = with_bytes(open_.filter(F.col("kinds") <= most_segments))
+    parts = held(with_bytes(open_.filter(F.col("kinds") > most_segments)).dropDuplicates(["g", *place]).mapInArrow(released(pieces), "g bigint, piece binary, one boolean, kd bigint, kt bigint, start bigint, windows int, rel int, seg binary"), "hot-pieces")
+    first = F.min(F.struct("kd", "kt", "start", "rel", "seg"))
+    sorts = held(parts.groupBy("g", "piece").agg(F.count("*").alias("n"), F.min("one").alias("one"), first.alias("at")), "hot-sorts")
+    equal = to(salted_semi_join(parts.filter("one").drop("seg"), sorts.filter("n > 1").select("g", "piece", "n"), ["g", "piece"], place))
+    kinds = sorts.groupBy("g").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    some = sorts.join(kinds, "g").select("g", (F.col("one") & (F.col("n") == 1)).alias("one"), "at.kd", "at.kt", "at.start", "at.rel", "at.seg", "kinds")
+    every = few.select(*rows).union(some.filter(F.col("kinds") <= most_segments).select(*rows))
+    near = every.repartition("g").sortWithinPartitions("g", *place).mapInArrow(released(shards), "kd bigint, kt bigint, start bigint, end bigint")
+    many = held(some.filter(F.col("kinds") > most_segments).select(*rows).mapInArrow(released(windows), "window binary, one boolean, kd bigint, kt bigint, start bigint"), "hot-windows")
+    twice = many.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1")
+    last = salted_semi_join(many.filter("one"), twice, ["window"], place).select("kd", "kt", "start", (F.col("start") + length).alias("end"))
+    out = stored(whole.union(equal).union(near).union(last), "repeated-ranges")
+    for df in made:
+        discard(df)
+    return out
 
 
 def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LENGTH, name: str = "kept", as_text: bool = False, **how) -> DataFrame:
@@ -427,7 +490,8 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LE
     as_text: the bytes that stay as a string, without the parts of characters that a cut has left.
 
     A null text counts as empty, and texts shorter than `length` bytes keep all. Repeated rows are places of their own, so texts
-    found twice lose every byte that a window covers. Columns with these names are replaced.
+    found twice lose every byte that a window covers. Very long texts are looked at whole, in chunks that overlap by a window. An empty
+    table gives no rows. Columns with these names are replaced.
     """
     small_batches(df.sparkSession)
     df = df.drop("n_bytes", "n_removed", "n_spans", name)
