@@ -28,12 +28,10 @@ PATTERNS = {
 }
 #: Every word or number is a term.
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
-PIECE = 256
+PIECE = 64
 THRESHOLD = 0.85
 #: Different texts in which entity and term must stand together, unless the caller says otherwise: op4 and the pipeline take 1.
 LEAST_TEXTS = 3
-#: Terms up to this many are looked for by broadcast, more by a shuffled join.
-BROADCAST_TERMS = 100_000
 _SPAN = "array<struct<start:int,end:int,word:string>>"
 
 
@@ -112,45 +110,45 @@ def tokens(text: Column) -> Column:
 def find_spans(df: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """(_kd, _kt, key, base, spans) for every row of df: base spans, and all spans with those of kind `term`.
 
-    A null text is empty and has no spans. Rows that are equal in key and text have equal spans. Terms are never taken out of
-    base spans. A corpus without entities, or where none stands in `least_texts` different texts, has base spans only.
+    A null text is empty and has no spans, and so has an empty one; texts of any length are taken whole. Rows that are equal in key
+    and text have equal spans and count as documents of their own in every total (documents, n_e, n_t, n_et). Terms are never taken
+    out of base spans. A corpus without entities, or where none stands in `least_texts` different texts, has base spans only; an
+    empty table gives no rows. Other columns of df are not looked at.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.xxhash64(F.lit(1), key).alias("_kd"), F.xxhash64(body).alias("_kt"), F.col(key).alias("_key"), body.alias("_text")).withColumn("base", base_spans(F.col("_text")))
     slim = stored(rows.select("_kd", "_kt", "_key", "base", F.when(F.size("base") > 0, F.col("_text")).alias("_text")), "pii-spans")
 
     inside = F.exists("base", lambda b: (F.col("w.start") < b["end"]) & (F.col("w.end") > b["start"]))
-    words = slim.filter(F.size("base") > 0).select("_kd", "_kt", "base", F.explode(tokens(F.col("_text"))).alias("w")).filter(~inside).select("_kd", "_kt", "w.start", "w.end", "w.term")
+    held = slim.filter(F.size("base") > 0).groupBy("_kd", "_kt").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("_text").alias("_text"))
+    words = held.select("_kd", "_kt", "copies", "base", F.explode(tokens(F.col("_text"))).alias("w")).filter(~inside).select("_kd", "_kt", "copies", "w.start", "w.end", "w.term")
     words = stored(words, "pii-terms")
-    seen = slim.select("_kd", "_kt", F.explode("base").alias("b")).select("_kd", "_kt", F.concat_ws(":", "b.kind", F.lower("b.word")).alias("entity")).distinct()
-    there = words.select("_kd", "_kt", "term").distinct()
+    entity = F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["word"])))
+    seen = held.select("_kd", "_kt", "copies", F.explode(F.array_distinct(entity)).alias("entity"))
+    there = words.groupBy("_kd", "_kt", "term").agg(F.first("copies").alias("copies"))
 
     def counted_texts(df: DataFrame, name: str, *by: str) -> DataFrame:
         if least_texts <= 1:
-            return df.groupBy(*by).agg(F.count("*").alias(name))
-        return df.groupBy(*by).agg(F.count("*").alias(name), F.count_distinct("_kt").alias("texts")).filter(F.col("texts") >= least_texts).drop("texts")
+            return df.groupBy(*by).agg(F.sum("copies").alias(name))
+        return df.groupBy(*by).agg(F.sum("copies").alias(name), F.count_distinct("_kt").alias("texts")).filter(F.col("texts") >= least_texts).drop("texts")
 
     entities = counted_texts(seen, "n_e", "entity")
-    together = stored(seen.join(entities.select("entity"), "entity", "left_semi").join(there, ["_kd", "_kt"]), "pii-together")
+    together = stored(seen.join(entities.select("entity"), "entity", "left_semi").join(there.drop("copies"), ["_kd", "_kt"]), "pii-together")
     pairs = counted_texts(together, "n_et", "entity", "term")
     # a term is in at least as many documents as it stands in with entities: pairs that fall short even so need no count of the corpus
-    at_least = there.groupBy("term").agg(F.count("*").alias("n_least"))
+    at_least = there.groupBy("term").agg(F.sum("copies").alias("n_least"))
     total = float(max(2, slim.count()))
     share = lambda n_t: F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col(n_t))) / F.log(F.lit(total) / F.col("n_e"))
     pairs = pairs.join(entities, "entity").join(at_least, "term").filter((F.col("n_e") < total) & (share("n_least") >= threshold)).drop("n_least")
     pairs = stored(pairs, "pii-pairs")
-    terms = stored(pairs.select("term").distinct(), "pii-candidates")
-    n_terms = terms.count()
-    if n_terms:
-        every = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TOKEN), F.lit(0)))).alias("term"))
-        counted = every.join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-        telling = pairs.join(counted, "term").filter(share("n_t") >= threshold).select("entity", "term")
-        told = together.join(telling, ["entity", "term"], "left_semi").select("_kd", "_kt", "term").distinct()
-        extra = words.join(told, ["_kd", "_kt", "term"], "left_semi").groupBy("_kd", "_kt").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(TERM).alias("kind"))).alias("extra"))
-        slim = slim.join(extra, ["_kd", "_kt"], "left")
-        extra_col = F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
-    else:
-        extra_col = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    # all terms of the corpus are counted, in partial sums within tasks, so what is shuffled is vocabulary and not text
+    every = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0)))).alias("term"))
+    counted = every.groupBy("term").agg(F.count("*").alias("n_t"))
+    telling = pairs.join(counted, "term").filter(share("n_t") >= threshold).select("entity", "term")
+    told = together.join(telling, ["entity", "term"], "left_semi").select("_kd", "_kt", "term").distinct()
+    extra = words.join(told, ["_kd", "_kt", "term"], "left_semi").groupBy("_kd", "_kt").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit(TERM).alias("kind"))).alias("extra"))
+    slim = slim.join(extra, ["_kd", "_kt"], "left")
+    extra_col = F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end"), b["kind"].alias("kind")))
     return slim.select("_kd", "_kt", F.col("_key").alias(key), base.alias("base"), F.array_sort(F.concat(base, extra_col)).alias("spans"))
 
@@ -162,7 +160,7 @@ def spelled(spans: Column) -> Column:
 
 def sanitise(df: DataFrame, key: str, text: str = "text", **how) -> DataFrame:
     """df with [KIND] in place of every span of its text; spans that overlap are replaced together, by the first one's kind. Null
-    texts stay null, other columns stay as they are."""
+    texts stay null, empty ones empty, repeated rows all get the same text; other columns stay as they are, whatever their names."""
     found = find_spans(df, key, text, **how).filter(F.size("spans") > 0).select("_kd", "_kt", F.col("spans").alias("_spans")).dropDuplicates(["_kd", "_kt"])
     keyed = df.withColumns({"_kd": F.xxhash64(F.lit(1), key), "_kt": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     body = F.col(text)
