@@ -130,7 +130,7 @@ def removed(texts: list, n: int) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("how", [{"shard_bytes": 3000}, {"most_segments": 2}])
+@pytest.mark.parametrize("how", [{"shard_bytes": 3000}, {"most_segments": 2}, {"most_segments": 9, "shard_bytes": 1}])
 def test_repeats(spark, how):
     r = random.Random(5)
     word = lambda n: "".join(r.choice(["a", "b", "ab", "é", "中", "xyz "]) for _ in range(n))
@@ -151,6 +151,68 @@ def test_repeats(spark, how):
     assert suffix.remove_repeats(df.limit(0), "doc_id").count() == 0
 
 
+def test_sweeps_agree(monkeypatch):
+    """Induction by buckets and by elements give one array, and reduced texts are sorted by recursion."""
+    r = random.Random(8)
+    deep = []
+    inner = suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda s, top: deep.append(len(s)) or inner(s, top))
+    for _ in range(60):
+        t = np.array([r.randint(1, 3) for _ in range(300)] * r.randint(1, 3), np.int64)
+        got = []
+        for sweep in (suffix._sweep, suffix._sweep_each):
+            monkeypatch.setattr(suffix, "_sweep", sweep)
+            got.append(inner(t, 3).tolist())
+        monkeypatch.undo()
+        monkeypatch.setattr(suffix, "suffix_array", lambda s, top: deep.append(len(s)) or inner(s, top))
+        assert got[0] == got[1] == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert len(deep) > 100
+
+
+def test_windows_that_repeat():
+    """Trimming by both sides of the anchor loses no window that repeats, and the arrays find all of them."""
+    r = random.Random(6)
+    for _ in range(80):
+        n = 12
+        core = "".join(r.choice("ab") for _ in range(4))
+        segs = list({("".join(r.choice("ab") for _ in range(r.randint(4, 9))), "".join(r.choice("ab") for _ in range(r.randint(8, 10)))) for _ in range(r.randint(1, 30))})
+        raw, rel = [(x + core + y).encode() for x, y in segs], np.array([len(x) for x, _ in segs])
+        raw, rel = zip(*[(b, k) for b, k in zip(raw, rel, strict=True) if len(b) >= n], strict=True)
+        first, end = suffix.trimmed(np.zeros(len(raw), int), np.array(rel), list(raw), n)
+        seen = Counter((k - w, b[w : w + n]) for b, k in zip(raw, rel, strict=True) for w in range(min(k, len(b) - n) + 1))
+        for b, k, lo, hi in zip(raw, rel, first.tolist(), end.tolist(), strict=True):
+            again = [w for w in range(min(k, len(b) - n) + 1) if seen[k - w, b[w : w + n]] > 1]
+            assert all(lo <= w < hi for w in again)
+        got = suffix.repeated_windows(list(raw), n)
+        all_ = Counter(b[w : w + n] for b in raw for w in range(len(b) - n + 1))
+        assert [g.tolist() for g in got] == [[w for w in range(len(b) - n + 1) if all_[b[w : w + n]] > 1] for b in raw]
+    assert suffix.repeated_windows([], 5) == []
+
+
+def test_texts_over_chunks(spark):
+    """Texts longer than the chunk in which anchors are found (2**17 bytes) and than a row group (2**20)."""
+    r = random.Random(12)
+    fill = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, q = fill(700), fill(400)
+    edge = (1 << 17) - 350  # p lies over the chunk's end
+    a = fill(edge) + p + fill(140_000) + q + fill(50)
+    b = fill(1 << 20) + q + fill((1 << 17) - 900) + p + fill(70_000) + p
+    rows = [(1, a), (2, b), (3, fill(90) + p), (4, fill(300))]
+    df = spark.createDataFrame([(*x, 1, 2, 3, "k") for x in rows], "doc_id bigint, text string, n_bytes int, n_removed int, n_spans int, kept string")
+    raw = {i: t.encode() for i, t in rows}
+    count = Counter(x[w : w + 200] for x in raw.values() for w in range(len(x) - 199))
+    for got in suffix.remove_repeats(df, "doc_id").collect():
+        x = raw[got["doc_id"]]
+        gone = np.zeros(len(x) + 1, int)
+        for w in range(len(x) - 199):
+            if count[x[w : w + 200]] > 1:
+                gone[w] += 1
+                gone[w + 200] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        assert got["n_removed"] == gone.sum() and bytes(got["kept"]) == np.frombuffer(x, np.uint8)[~gone].tobytes()
+        assert got["n_bytes"] == len(x) and got["n_spans"] == {1: 2, 2: 3, 3: 1, 4: 0}[got["doc_id"]]
+
+
 def test_op3_on_documents(spark):
     docs = table(spark, DATA, "documents").select("doc_id", "text").collect()
     want = {d["doc_id"]: w for d, w in zip(docs, removed([d["text"] for d in docs], 200), strict=True)}
