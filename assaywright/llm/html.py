@@ -1,18 +1,23 @@
 """Main text of web pages by a recurrent block labeller: op8.
 
-A page becomes a sequence of leaf blocks, each with the names on its tag path, its words (hashed) and a few measures. A bidirectional LSTM in
-numpy reads the whole sequence and decides on every block in its context. It is trained here, from a fixed seed, on invented pages
-(_pages.py) with known main text, once in each driver; the weights (under 1 MB) are broadcast.
+A page becomes a sequence of leaf blocks, each with the names on its tag path, its words (both hashed) and a few measures. A
+bidirectional LSTM in numpy reads the whole sequence and decides on every block in its context. It is trained from a fixed seed
+on invented pages (_pages.py) with known main text, by `python -m assaywright.llm.html`, which writes the weights to
+labeller.npz beside this file together with what they were made from; where that file is missing or made from something else,
+the driver trains anew. The weights (under 1 MB) are broadcast.
 
 Text in one block is joined over inline tags; blocks begin and end at block-level tags. Markup, comments, head, scripts and styles are never
-blocks. Character references are decoded, white space in a block becomes one space, and kept blocks are joined by one space.
+blocks. Character references are decoded, white space in a block becomes one space, and kept blocks are joined by one space. Time is
+in proportion to a page's length, however its tags are nested or broken.
 """
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import ctypes
 import functools
+import hashlib
 import html as entities
 import re
 import zlib
@@ -28,7 +33,9 @@ from pyspark.sql import functions as F
 from ._common import released, small_batches, table
 from ._pages import Maker
 
-PATH_BUCKETS, WORD_BUCKETS, MEASURES, VECTOR, HIDDEN = 1024, 512, 8, 32, 24
+PATH_BUCKETS, WORD_BUCKETS, MEASURES, VECTOR, HIDDEN = 1024, 2048, 8, 32, 24
+#: Blocks of one page that are described at once.
+LONG = 8192
 #: Elements that break blocks, that never hold text, that close by themselves, and whose content is dropped.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul button label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,51 +45,108 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 #: What may stand in head; any other start tag ends it, unless a title is open.
 IN_HEAD = frozenset("html head title base basefont bgsound link meta script style noscript template noframes".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|itemprop|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAMED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag: a quote hides what it holds only after an equals sign.
+_REST = re.compile(r"""(?>[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_TELLING = frozenset("class id role itemprop aria-label".split())
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _LANDMARK = frozenset("article main nav aside header footer form section dialog".split())
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+#: Of those whose content is dropped, the ones that run to the end of the page if they are never closed.
+_ENDLESS = frozenset("script style xmp noembed noframes".split())
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: np.ndarray  # ascending buckets of the names of all open elements
     linked: int  # characters inside links
     mark: bool = False
 
 
-@functools.lru_cache(maxsize=20_000)
-def _element(tag: str, attrs: str) -> tuple[str, ...]:
-    """What an element adds to a path: its name and the parts of its class, id and role."""
-    out = ["t:" + tag]
-    for name, a, b, c in _ATTR.findall(attrs):
-        if name.lower() == "hidden":
-            out.append("hidden")
-        out += ["n:" + x.lower() for x in _NAME.findall(a or b or c)[:12]]
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % PATH_BUCKETS
+
+
+def _names(tag: str, attrs: str) -> tuple[int, ...]:
+    """The buckets of what an element adds to a path: its name and the parts of its class, id and role."""
+    out = [_bucket("t:" + tag)]
+    for name, value in _ATTR.findall(attrs):
+        name = name.lower()
+        if name == "hidden":
+            out.append(_bucket("hidden"))
+        elif name in _TELLING:
+            out += [_bucket("n:" + x.lower()) for x in _NAME.findall(value)]
     return tuple(dict.fromkeys(out))
 
 
+_names_again = functools.lru_cache(maxsize=20_000)(_names)
+
+
+class _Open:
+    """The open elements of a page: their order, where each name stands, and the buckets of the path."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[int, ...], int, str]] = []  # name, buckets, nearest block element, nearest landmark
+        self.where: dict[str, list[int]] = {}
+        self.live: dict[int, int] = {}
+        self._path: np.ndarray | None = None
+
+    def has(self, tag: str) -> bool:
+        return bool(self.where.get(tag))
+
+    def last(self, tags: frozenset[str] | set[str]) -> int:
+        """The place of the innermost open element of these, -1 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def push(self, tag: str, buckets: tuple[int, ...]) -> None:
+        k = len(self.stack)
+        near, mark = (self.stack[-1][2], self.stack[-1][3]) if k else (-1, "")
+        self.stack.append((tag, buckets, k if tag in BLOCK else near, tag if tag in _LANDMARK else mark))
+        self.where.setdefault(tag, []).append(k)
+        for b in buckets:
+            self.live[b] = self.live.get(b, 0) + 1
+        self._path = None
+
+    def cut(self, k: int) -> None:
+        """Close the element at place k and all inside it."""
+        while len(self.stack) > k:
+            tag, buckets, _, _ = self.stack.pop()
+            self.where[tag].pop()
+            for b in buckets:
+                self.live[b] -= 1
+                if not self.live[b]:
+                    del self.live[b]
+        self._path = None
+
+    def near(self) -> int:
+        return self.stack[-1][2] if self.stack else -1
+
+    def path(self) -> np.ndarray:
+        if self._path is None:
+            own = self.stack[self.near()][0] if self.near() >= 0 else ""
+            mark = self.stack[-1][3] if self.stack else ""
+            self._path = np.array(sorted({*self.live, _bucket("l:" + own), _bucket("i:" + mark)}), np.int64)
+        return self._path
+
+
 def blocks(page: str, marks: bool = False) -> list[Block]:
     """The page's leaf blocks in order. marks: \\x01 and \\x02 begin and end what is to be marked (for training)."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    open_ = _Open()
     out: list[Block] = []
     held: list[str] = []
-    linked, links, inside = 0, 0, False
+    linked, inside = 0, False
 
     def flush() -> None:
         nonlocal held, linked
-        if held:
+        if held and not open_.has("head") and not open_.has("title"):
             text = "".join(held)
             if "&" in text:
                 text = entities.unescape(text)
             text = " ".join(text.split())
             if text:
-                path = [x for _, e in stack if e for x in e]
-                names = [n for n, _ in stack]
-                own = next((n for n in reversed(names) if n in BLOCK), "")
-                mark = next((n for n in reversed(names) if n in _LANDMARK), "")
-                out.append(Block(text, (*dict.fromkeys(path), "l:" + own, "i:" + mark), linked, inside))
+                out.append(Block(text, open_.path(), linked, inside))
         held, linked = [], 0
 
     def text_of(s: str) -> None:
@@ -96,93 +160,103 @@ def blocks(page: str, marks: bool = False) -> list[Block]:
                     held.append(piece)
             return
         held.append(s)
-        if links:
+        if open_.has("a"):
             linked += len(s)
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
+    hiding = True  # whether quotes may hide the end of a tag; not any more once they have hidden it up to the end of the page
+    unclosed: set[str] = set()
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt > at:
+            text_of(page[at:lt])
+        if lt < 0:
             text_of(page[at:])
             break
-        if m.start() > at:
-            text_of(page[at : m.start()])
-        at = m.end()
-        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2)
+            at = end + 3 if end >= 0 else n
             continue
-        tag = tag.lower()
+        m = _NAMED.match(page, lt) if lt < last else None
+        if m is None:
+            if lt < last and page.startswith(("<!", "<?"), lt):
+                at = page.find(">", lt) + 1
+            elif lt < last:
+                text_of("<")
+                at = lt + 1
+            else:
+                text_of(page[lt:])
+                break
+            continue
+        rest = _REST.match(page, m.end()) if hiding else None
+        if rest is None:
+            hiding = False
+            at = page.find(">", m.end()) + 1
+            if not at:
+                text_of(page[lt:])
+                break
+        else:
+            at = rest.end()
+        close, tag, attrs = m[1], m[2].lower(), page[m.end() : at - 1]
         if close:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                flush()
-            if any(t == tag for t, _ in stack):
-                if tag in BLOCK:
-                    flush()
-                while True:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == tag:
-                        break
-            elif tag in BLOCK:
+            if tag in BLOCK:
                 flush()
+            if open_.has(tag):
+                open_.cut(open_.where[tag][-1])
             continue
-        if tag not in IN_HEAD and any(t == "head" for t, _ in stack) and not any(t == "title" for t, _ in stack):
+        if tag not in IN_HEAD and open_.has("head") and not open_.has("title"):
             flush()
-            del stack[next(k for k, (t, _) in enumerate(stack) if t == "head") :]
-            links = sum(t == "a" for t, _ in stack)
+            open_.cut(open_.where["head"][0])
         if tag in RAW and not attrs.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
+            end = None if tag in unclosed else _ENDS[tag].search(page, at)
+            if end is not None:
+                at = page.find(">", end.end()) + 1 or n
+                continue
+            unclosed.add(tag)
+            if tag in _ENDLESS:
+                break
         if tag == "br":
             held.append(" ")
         if tag in BLOCK:
             flush()
             if tag not in ("button", "label", "option", "optgroup", "select"):  # these may stand in a paragraph
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in BLOCK and stack[k][0] != "p"), -1)
-                if depth >= 0 and stack[depth][0] == "p":
-                    links -= sum(t == "a" for t, _ in stack[depth:])
-                    del stack[depth:]
+                k = open_.near()
+                if k >= 0 and open_.stack[k][0] == "p":
+                    open_.cut(k)
         if tag in CLOSES:
             ends, limit = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in limit:
-                    break
-                if stack[k][0] in ends:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    if tag != "tr":
-                        break
+            low = open_.last(limit)
+            k = open_.last(ends)
+            if k > low:
+                if tag == "tr":  # a cell and its row
+                    k = min(w[i] for t in ends if (i := bisect.bisect_right(w := open_.where.get(t, []), low)) < len(w))
+                open_.cut(k)
         if tag in VOID:
             continue
-        if len(stack) < 400:
-            stack.append((tag, _element(tag, attrs) if tag in BLOCK or tag in ("a", "span") or attrs else ("t:" + tag,)))
-            links += tag == "a"
+        telling = tag in BLOCK or tag in ("a", "span") or attrs
+        open_.push(tag, (_names if len(attrs) > 300 else _names_again)(tag, attrs if telling else ""))
     flush()
-    return [b for b in out if "t:head" not in b.path and "t:title" not in b.path]
+    return out
 
 
-@functools.lru_cache(maxsize=50_000)
-def _path_buckets(path: tuple[str, ...]) -> np.ndarray:
-    return np.array([zlib.crc32(x.encode()) % PATH_BUCKETS for x in path], np.int64)
+def _word_bucket(word: str) -> int:
+    return PATH_BUCKETS + zlib.crc32(word.encode("utf-8", "replace")) % WORD_BUCKETS
 
 
-@functools.lru_cache(maxsize=200_000)
-def _word_bucket(word: str) -> int:
-    return PATH_BUCKETS + zlib.crc32(word.encode()) % WORD_BUCKETS
+_word_again = functools.lru_cache(maxsize=100_000)(_word_bucket)
 
 
-def describe(page: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, weights, where each block's begin, measures) of a page's blocks."""
+def describe(page: list[Block], first: int = 0, total: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, weights, where each block's begin, measures) of a page's blocks, or of those from `first` on of `total`."""
     buckets, weights, begin, measures = [], [], [], []
-    at, total = 0, len(page)
-    for i, b in enumerate(page):
-        p = _path_buckets(b.path)
+    at, total = 0, total or len(page)
+    for i, b in enumerate(page, first):
+        p = b.path
         low = b.text.lower().split()
-        words = list(dict.fromkeys(low))
-        w = np.fromiter(map(_word_bucket, words), np.int64, len(words))
+        words = set(low)
+        w = np.array(sorted({_word_again(x) if len(x) < 40 else _word_bucket(x) for x in words}), np.int64)
         buckets += [p, w]
-        weights += [np.ones(len(p), np.float32), np.full(len(w), 1 / max(4.0, len(words)), np.float32)]
+        weights += [np.ones(len(p), np.float32), np.full(len(w), 1 / max(4.0, len(w)), np.float32)]
         begin.append(at)
         at += len(p) + len(w)
         n = len(b.text)
@@ -195,10 +269,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _run(z: np.ndarray, u: np.ndarray, keep: bool = False):
-    """LSTM over z (time, pages, 4 * HIDDEN): hidden states, and what the way back needs."""
+def _run(z: np.ndarray, u: np.ndarray, keep: bool = False, state: tuple[np.ndarray, np.ndarray] | None = None):
+    """LSTM over z (time, pages, 4 * HIDDEN) from a state (zeros if none): hidden states, what the way back needs, the last state."""
     t, b, _ = z.shape
-    h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
+    h, c = state or (np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32))
     hs = np.zeros((t, b, HIDDEN), np.float32)
     saved = []
     for k in range(t):
@@ -213,7 +287,7 @@ def _run(z: np.ndarray, u: np.ndarray, keep: bool = False):
         hs[k] = h
         if keep:
             saved.append((*before, i, f, o, g, tc))
-    return hs, saved
+    return hs, saved, (h, c)
 
 
 def _back(dh: np.ndarray, u: np.ndarray, saved: list) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +335,7 @@ class Labeller:
         for half, at, u in ((slice(0, 4 * HIDDEN), fwd, "uf"), (slice(4 * HIDDEN, None), rev, "ub")):
             z = np.zeros((t * len(sizes), 4 * HIDDEN), np.float32)
             z[at] = x[:, half]
-            hs, saved = _run(z.reshape(t, len(sizes), -1), self.w[u], keep)
+            hs, saved, _ = _run(z.reshape(t, len(sizes), -1), self.w[u], keep)
             parts.append((hs.reshape(-1, HIDDEN)[at], saved, at))
         both = np.concatenate([parts[0][0], parts[1][0]], axis=1)
         score = both @ self.w["o"][:, 0] + self.w["c"]
@@ -315,8 +389,23 @@ class Labeller:
                         second[k] += 0.001 * (g * g - second[k])
                         self.w[k] -= now * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8)
 
+    def score_long(self, page: list[Block]) -> np.ndarray:
+        """The scores of one page, read in stretches of LONG blocks whose states are handed on, so that only scores are kept."""
+        n = len(page)
+        out = np.full(n, self.w["c"][0], np.float32)
+        for u, back in (("uf", False), ("ub", True)):
+            half, part = (slice(4 * HIDDEN, None), slice(HIDDEN, None)) if back else (slice(0, 4 * HIDDEN), slice(0, HIDDEN))
+            state = None
+            for lo in sorted(range(0, n, LONG), reverse=back):
+                some = page[lo : lo + LONG]
+                x = self._inputs([describe(some, lo, n)])[-1][:, half]
+                hs, _, state = _run(np.ascontiguousarray(x[::-1] if back else x)[:, None, :], self.w[u], state=state)
+                got = hs[:, 0] @ self.w["o"][part, 0]
+                out[lo : lo + LONG] += got[::-1] if back else got
+        return out
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """For each page which blocks are main text. Pages of like length are run together."""
+        """For each page which blocks are main text. Pages of like length are run together, very long ones alone."""
         out = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
         i = 0
@@ -325,6 +414,10 @@ class Labeller:
             while j < len(order) and j - i < 128 and (j - i + 1) * len(pages[order[j]]) <= 20_000:
                 j += 1
             some = order[i:j]
+            if len(some) == 1:
+                out[some[0]] = self.score_long(pages[some[0]]) > 0
+                i = j
+                continue
             score, _ = self.forward([describe(pages[k]) for k in some])
             cut = np.cumsum([0, *[len(pages[k]) for k in some]])
             for k, s, e in zip(some, cut, cut[1:], strict=False):
@@ -353,11 +446,11 @@ def _one_thread() -> Iterator[None]:
             put(n)
 
 
-TRAIN_PAGES, EPOCHS = 1000, 8
+TRAIN_PAGES, EPOCHS, SEED = 40_000, 8, 11
+WEIGHTS = Path(__file__).with_name("labeller.npz")
 
 
-@functools.lru_cache(maxsize=1)
-def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
+def fit(pages: int, epochs: int, seed: int) -> Labeller:
     maker = Maker(seed)
     model = Labeller()
     with _one_thread():
@@ -365,12 +458,40 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 11) -> L
     return model
 
 
+def recipe() -> str:
+    """What the weights hang on: the numbers above and a digest of the page maker and of this module's reading of pages."""
+    made = hashlib.sha256((Path(__file__).with_name("_pages.py").read_text()).encode())
+    made.update("".join(f"{b.text}|{b.path.tolist()}|{b.linked}" for b in blocks(Maker(SEED).page())).encode())
+    return f"{TRAIN_PAGES} pages, {EPOCHS} epochs, seed {SEED}, {made.hexdigest()}"
+
+
+@functools.lru_cache(maxsize=1)
+def trained() -> Labeller:
+    """The labeller with the stored weights, or trained anew if there are none of this recipe."""
+    model = Labeller()
+    if WEIGHTS.is_file():
+        with np.load(WEIGHTS, allow_pickle=False) as f:
+            if str(f["recipe"]) == recipe():
+                model.w = {k: f[k].astype(np.float32) for k in model.w}
+                return model
+    return fit(TRAIN_PAGES, EPOCHS, SEED)
+
+
+def store_weights() -> None:
+    """Train and write the weights, in half precision (which the held-out tests read too)."""
+    w = fit(TRAIN_PAGES, EPOCHS, SEED).w
+    np.savez_compressed(WEIGHTS, recipe=recipe(), **{k: v.astype(np.float16) for k, v in w.items()})
+
+
 def extract(df: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
     """Adds the main text and its number of code points, n_chars. A null or empty page, or one without main text, has "" and 0.
-    Columns of these names are replaced."""
+    Repeated rows have equal texts; pages of any length and depth are read whole. An empty table gives no rows. Columns of these
+    names are replaced, unless one of them is the page itself, which is read first."""
     spark = df.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(trained().w)
+    if html in (name, "n_chars"):
+        return extract(df.withColumnRenamed(html, "_html"), "_html", name).drop("_html")
     df = df.drop(name, "n_chars")
     schema = df.select("*", F.lit(None).cast("string").alias(name), F.lit(None).cast("bigint").alias("n_chars")).schema
 
@@ -388,3 +509,9 @@ def extract(df: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+if __name__ == "__main__":
+    from assaywright.llm import html as module  # not the copy that runs as __main__
+
+    module.store_weights()

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assaywright.llm import embedding, html, tiff
 from assaywright.llm._common import table
@@ -115,10 +116,95 @@ def test_op8(spark):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+def test_weights_are_of_this_recipe():
+    with np.load(html.WEIGHTS, allow_pickle=False) as f:
+        assert str(f["recipe"]) == html.recipe()
+
+
+def test_training_learns():
+    """The stored weights come from this: a few pages already halve the error of no model."""
+    small, maker = html.fit(400, 4, 5), Maker(77)
+    pages = [html.blocks(maker.page(), marks=True) for _ in range(60)]
+    wrong = sum(int((k != np.array([b.mark for b in p])).sum()) for p, k in zip(pages, small.label(pages), strict=True))
+    assert wrong / sum(map(len, pages)) < 0.1
+
+
 def test_html_edges(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "<script>only</script>"), (4, "<p>" * 3000 + "x")], "id int, html string")
-    got = {r["id"]: r for r in html.extract(df).collect()}
-    assert all(got[i]["text"] == "" and got[i]["n_chars"] == 0 for i in (1, 2, 3))
+    rows = [(1, None), (2, ""), (3, "<script>only</script>"), (4, "<p>" * 3000 + "A word or two stood here, and that was all of it."), (5, "<article><p>Same page.</p></article>"), (5, "<article><p>Same page.</p></article>"), (6, "<!-- never closed <p>x"), (7, "<title>T</title><svg>"), (8, " \n\t ")]
+    df = spark.createDataFrame([(*r, "own", "own", 3) for r in rows], "id int, html string, text string, n_chars string, url int")
+    got = sorted((r["id"], r["text"], r["n_chars"], r["url"]) for r in html.extract(df).collect())
+    assert got == [(1, "", 0, 3), (2, "", 0, 3), (3, "", 0, 3), (4, rows[3][1][9000:], 49, 3), (5, "Same page.", 10, 3), (5, "Same page.", 10, 3), (6, "", 0, 3), (7, "", 0, 3), (8, "", 0, 3)]
+    assert html.extract(df.limit(0)).count() == 0
+    same = html.extract(df.select("id", F.col("html").alias("text")), html="text")  # the page column has the result's name
+    assert same.columns == ["id", "text", "n_chars"] and sorted(map(tuple, same.collect())) == [x[:3] for x in got]
+
+
+def test_op8_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id bigint, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = html.op8_html_extraction(spark, str(tmp_path))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 0
+
+
+PARTS = [
+    "The river rose again on Monday, and the council met to discuss new flood defences for the old town.",
+    "Officials said that the cost would be shared, although nobody could say yet how much it would be.",
+    "Residents remember the flood of 1998 well.",
+    "We lost everything, said one of them, who has lived there for forty years.",
+    "Work is to begin in spring.",
+    "The last wall was built a century ago and has cracked in several places.",
+]
+BODY = "<h1>Flood defences</h1>" + "".join(f"<p>{x}</p>" for x in PARTS)
+MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{BODY}</body>", f"<body><div class=container>{BODY}</div></body>", f"<div id=x1>{BODY}</div>", f"<body>{MENU}{BODY}</body>", f"<table><tr><td>{MENU}</td><td>{BODY}</td></tr></table>", f"<article>{BODY}</article>",
+        f"<header><a href=/>Logo</a></header><main>{BODY}</main><footer>About us</footer>", f"<div class='cookie-banner'><p>We use cookies to improve your experience.</p><button>Accept</button></div><main>{BODY}</main><aside><p>Subscribe to our newsletter.</p></aside>",
+        f"<div class=wrapper><div class=navigation><a href=/>Home</a> <a href=/a>About</a></div><div class=post>{BODY}</div><div class=sidebar><h3>Related</h3><ul><li><a href=/x>Something else happened</a></li></ul></div><div id=comments><h3>2 Comments</h3><div class=comment><p>What a good article, I thought so too.</p></div></div><div id=footer>Copyright 2024</div></div>",
+        "<body>" + "<div>" * 401 + "<nav><a href=/>Home</a></nav>" + "</div>" * 401 + f"<article>{BODY}</article></body>", "<i>" * 2000 + f"<nav><a href=/>Home</a></nav><article>{BODY}</article>",
+    ],
+)
+def test_pages_made_by_hand(page):
+    p = html.blocks(page)
+    assert [b.text for b, k in zip(p, html.trained().label([p])[0], strict=True) if k] == ["Flood defences", *PARTS]
+
+
+def test_one_paragraph_is_main_text():
+    for page in (f"<body><p>{PARTS[0]}</p></body>", PARTS[0], f"<article>{PARTS[0]}</article>"):
+        p = html.blocks(page)
+        assert html.trained().label([p])[0].tolist() == [True]
+
+
+def test_deep_elements_count():
+    nav = html.blocks("<div>" * 900 + "<nav><a href=x>Home</a></nav>")[0]
+    assert html._bucket("t:nav") in nav.path and html._bucket("i:nav") in nav.path and nav.linked == 4
+    many = html.blocks('<div class="' + " ".join("a" * k for k in range(1, 40)) + ' sidebar">x</div>')[0]
+    assert html._bucket("n:sidebar") in many.path
+
+
+@pytest.mark.parametrize(
+    "page", ["<a " * 340_000, '<a b=">"' * 120_000, "<div>" * 200_000, "<b>" * 100_000 + "<div>x</div>" * 50_000, "<svg>" * 200_000, "<script>" + "</script " * 100_000, "<! " * 300_000, "<ul>" + "<b>" * 100_000 + "<li>x</li>" * 50_000, "<a '\"=\"'" * 100_000 + ">", "<" * 10**6, "&" * 10**6]
+)
+def test_time_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html.blocks(page)
+    assert time.process_time() - began < 5  # a quadratic reader takes minutes
+
+
+def test_long_pages_are_labelled_whole(monkeypatch):
+    maker = Maker(31)
+    pages = [html.blocks(maker.page()) for _ in range(40)]
+    m = html.trained()
+    whole = m.label(pages)
+    monkeypatch.setattr(html, "LONG", 7)
+    for p, k in zip(pages, whole, strict=True):
+        if p:
+            score = m.score_long(p)
+            assert ((score > 0) == k).all() and np.allclose(score, m.forward([html.describe(p)])[0], atol=1e-3)
 
 
 # ---- vectors
