@@ -1,11 +1,13 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison: op10.
 
 Unit vectors are rotated onto the eigenvectors of the corpus' second moments (a rotation keeps every cosine), largest first, and
-ordered by their first coordinate into blocks. Two blocks meet in a tile only if their first coordinates are near enough for
-the threshold. In a tile the leading coordinates are multiplied first; what the rest can add is at most the product of the
-suffix norms, and pairs for which even that stays below the threshold stop there. Survivors get further coordinates, and
-those left are decided by the cosine in double precision. A tile returns one row for each vector that has a link in it: its
-number of links and the smallest vector that it reaches there, so dense groups never become pairs.
+ordered by their first coordinate into blocks of bounded size: intervals of it, of which one that too many vectors share is dealt to
+several blocks by hash. Two blocks meet in a tile only if their first coordinates are near enough for the threshold. In a tile the
+leading coordinates are multiplied first; what the rest can add is at most the product of the suffix norms, and pairs for which
+even that stays below the threshold stop there. Survivors get further coordinates, and those left are decided by the cosine in double
+precision; so near the threshold that rounding could tell, by dot products of the vectors as given. A tile returns one row for
+each vector that has a link in it: its number of links and the smallest vector that it reaches there, so dense groups never
+become pairs.
 """
 
 from __future__ import annotations
@@ -22,19 +24,31 @@ from ._common import released, small_batches, stored, table
 from .components import components
 
 THRESHOLD = 0.95
-BLOCK_ROWS = 4096
-SUB = 1024
+#: Bytes of vectors in a block; a tile holds two. Blocks of few vectors are not made smaller than a share of all of them.
+BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 4
+#: Intervals of the first coordinate that are counted, and vectors that are compared at once.
+BINS, SUB = 1 << 16, 1024
 #: Coordinates after which the bound is tried.
 STAGES = (16, 32)
-#: What rounding in single precision may hide.
-SLACK = 1e-4
+#: What rounding in single precision, and in products of unit vectors, may hide.
+SLACK, CLOSE = 1e-4, 1e-9
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near one: exact, and no square overflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows as given: exact where products and sums of components are, as for small whole numbers."""
+    e = lambda a, b: np.einsum("ij,ij->i", a, b)
+    return e(x, y) / np.sqrt(e(x, x) * e(y, y))
+
+
 def _spread(near: np.ndarray, low_a: np.ndarray, low_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest label that each row and column reaches through near."""
     big = np.iinfo(np.int64).max
@@ -53,8 +67,10 @@ def _spread(near: np.ndarray, low_a: np.ndarray, low_b: np.ndarray) -> tuple[np.
         low_a, low_b = a, b
 
 
-def near_pairs(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of x and y have a cosine of at least threshold. px, py: the same rows rotated, in single precision."""
+def near_pairs(raw: tuple[np.ndarray, np.ndarray], unit: tuple[np.ndarray, np.ndarray], turned: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Which rows on the one side have a cosine of at least threshold with which on the other: rows as given, as units, and rotated in single
+    precision. Where so many pairs outlast the leading coordinates that picking them out costs more than multiplying on, all are."""
+    (x, y), (px, py) = unit, turned
     d = px.shape[1]
     stages = [s for s in STAGES if s < d] or [d]
     m = stages[0]
@@ -62,32 +78,48 @@ def near_pairs(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, thr
     dot = px[:, :m] @ py[:, :m].T
     may = dot + rest(px, m)[:, None] * rest(py, m)[None, :] >= threshold - SLACK
     if may.mean() > 0.05:
-        return x @ y.T >= threshold
-    r, c = np.nonzero(may)
-    part = dot[r, c]
-    for a, b in zip(stages, stages[1:], strict=False):
-        part = part + np.einsum("ij,ij->i", px[r, a:b], py[c, a:b])
-        ok = part + rest(px, b)[r] * rest(py, b)[c] >= threshold - SLACK
-        r, c, part = r[ok], c[ok], part[ok]
-    ok = np.einsum("ij,ij->i", x[r], y[c]) >= threshold
-    near = np.zeros(may.shape, bool)
-    near[r[ok], c[ok]] = True
+        cos = x @ y.T
+        near = cos >= threshold
+        r, c = np.nonzero(np.abs(cos - threshold) <= CLOSE)
+    else:
+        r, c = np.nonzero(may)
+        part = dot[r, c]
+        for a, b in zip(stages, stages[1:], strict=False):
+            part = part + np.einsum("ij,ij->i", px[r, a:b], py[c, a:b])
+            ok = part + rest(px, b)[r] * rest(py, b)[c] >= threshold - SLACK
+            r, c, part = r[ok], c[ok], part[ok]
+        cos = np.einsum("ij,ij->i", x[r], y[c])
+        near = np.zeros(may.shape, bool)
+        near[r, c] = cos >= threshold
+        close = np.abs(cos - threshold) <= CLOSE
+        r, c = r[close], c[close]
+    for k in range(0, len(r), 1 << 14):  # both ways come to the same result
+        i, j = r[k : k + (1 << 14)], c[k : k + (1 << 14)]
+        near[i, j] = _cosines(raw[0][i], raw[1][j]) >= threshold
     return near
 
 
-def compare_tile(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, units: np.ndarray, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare_tile(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, raw: np.ndarray, basis: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, links, smallest id reached) of the vectors that have a link in the tile of the one or two blocks given."""
+    units = _units(raw)
     rotated = (units @ basis).astype(np.float32)
     first = np.flatnonzero(block == block.min())
     second = np.flatnonzero(block == block.max())
     same = block.min() == block.max()
     links = np.zeros(len(ids), np.int64)
-    edges: list[np.ndarray] = []
+    parent = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     for i in range(0, len(first), SUB):
         a = first[i : i + SUB]
         for j in range(i if same else 0, len(second), SUB):
             b = second[j : j + SUB]
-            near = near_pairs(units[a], units[b], rotated[a], rotated[b], threshold)
+            near = near_pairs((raw[a], raw[b]), (units[a], units[b]), (rotated[a], rotated[b]), threshold)
             if same and i == j:
                 near &= ~np.eye(len(a), dtype=bool)
             if not near.any():
@@ -97,19 +129,10 @@ def compare_tile(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, units:
                 np.add.at(links, b, copies[a] @ near)
             la, lb = _spread(near, a.astype(np.int64), b.astype(np.int64))
             for at, low in ((a, la), (b, lb)):
-                edges.append(np.array([at, low])[:, low != at])
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in np.concatenate(edges, axis=1).T.tolist() if edges else []:
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
+                for x, y in zip(at[low != at].tolist(), low[low != at].tolist(), strict=True):
+                    p, q = root(x), root(y)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
     at = np.flatnonzero(links)
     label = np.array([root(int(k)) for k in at], np.int64)
     low = np.full(len(ids), np.iinfo(np.int64).max)
@@ -117,12 +140,13 @@ def compare_tile(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, units:
     return at, links[at], low[label]
 
 
-def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_links, component_id, kept) of every row of df.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; so do vectors of different
     lengths with each other. Equal vectors link with each other and are compared with the others once. Rows that share a key
-    count as one in components. kept is false where the key is null. An empty table gives no rows.
+    count as one in components. kept is false where the key is null. An empty table gives no rows. Repeated rows come out as often as
+    they are there. Other columns of df are left out, whatever their names.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
@@ -133,8 +157,12 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = THR
     rows = df.select(F.col(key).alias("id"), v.alias("v"), usable.alias("ok"))
     keyed = rows.select("id", "ok", F.when(F.col("ok"), F.xxhash64("v")).alias("h"), F.when(F.col("ok"), F.xxhash64(F.lit(1), "v")).alias("g"), "v")
     distinct = stored(keyed.filter("ok and id is not null").groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "vectors")
-    shapes = {r["d"]: r["n"] for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    made = [_compare(distinct.filter(F.size("v") == d), d, n, threshold, block_rows) for d, n in sorted(shapes.items())]
+    # lengths of which a block holds all vectors are compared in one pass, grouped by length; of others there are few
+    shapes = distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).withColumn("n_least", F.greatest(F.floor(F.lit(block_bytes) / (8 * F.col("d"))), F.lit(1)))
+    large = {r["d"]: r["n"] for r in shapes.filter("n > n_least").collect()}
+    made = [_compare(distinct.filter(F.size("v") == d), d, n, threshold, block_bytes) for d, n in sorted(large.items())]
+    if shapes.filter("n <= n_least").limit(1).count():
+        made.append(_compare_small(distinct.filter(~F.size("v").isin(list(large))) if large else distinct, threshold))
     slim = keyed.select("id", "h", "g")
     if not made:
         return slim.select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
@@ -151,48 +179,96 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = THR
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
-def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_rows: int) -> DataFrame:
+LINKS = "id bigint, h bigint, g bigint, links bigint, root bigint"
+
+
+def _links(pdf: pd.DataFrame, basis: np.ndarray, raw: np.ndarray, block: np.ndarray, threshold: float) -> pd.DataFrame:
+    ids = pdf["id"].to_numpy(np.int64)
+    at, links, low = compare_tile(ids, pdf["copies"].to_numpy(np.int64), block, raw, basis, threshold)
+    return pd.DataFrame({"id": ids[at], "h": pdf["h"].to_numpy()[at], "g": pdf["g"].to_numpy()[at], "links": links, "root": low})
+
+
+def _compare_small(distinct: DataFrame, threshold: float) -> DataFrame:
+    """Links among vectors of each length, for lengths of which one block holds all."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw = _scaled(np.array(pdf["v"].tolist(), np.float64))
+        u = _units(raw)
+        return _links(pdf, np.ascontiguousarray(np.linalg.eigh(u.T @ u)[1][:, ::-1]), raw, np.zeros(len(pdf), np.int64), threshold)
+
+    return distinct.withColumn("d", F.size("v")).groupBy("d").applyInPandas(one, LINKS)
+
+
+def blocks_of(counts: np.ndarray, rows: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first block of each bin, blocks that share it, first and last partner of each block) for vectors counted by bins of the first
+    coordinate. Bins follow one another into blocks of about `rows`; one with more is dealt to several blocks of its own."""
+    first, shared = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    low: list[int] = []
+    high: list[int] = []
+    size = 0
+    for k in np.flatnonzero(counts).tolist():
+        n = int(counts[k])
+        if n > rows:
+            shared[k] = -(-n // rows)
+            first[k] = len(low)
+            low += [k] * int(shared[k])
+            high += [k] * int(shared[k])
+            size = rows  # what follows begins anew
+            continue
+        if not low or size + n > rows:
+            low.append(k)
+            high.append(k)
+            size = 0
+        first[k] = len(low) - 1
+        high[-1] = k
+        size += n
+    low_, high_ = np.array(low, np.int64), np.array(high, np.int64)
+    # bins are 2 / BINS wide; one more on either side for rounding
+    far = int(np.ceil(reach * BINS / 2)) + 2
+    last = np.searchsorted(low_, high_ + far, side="right") - 1
+    lowest = np.searchsorted(np.maximum.accumulate(high_), low_ - far, side="left")
+    return first, shared, np.minimum(lowest, np.arange(len(low_))), np.maximum(last, np.arange(len(low_)))
+
+
+def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_bytes: int) -> DataFrame:
     """(id, h, g, links, root): a row for each vector and tile in which it has links."""
     spark = distinct.sparkSession
 
     def moments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for batch in it:
-            x = np.asarray(batch.column(0).flatten()).reshape(-1, d)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.reshape(-1))], ["at", "x"])
-
-    got = distinct.select("v").mapInArrow(released(moments), "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()  # d * d rows
-    second = np.zeros(d * d)
-    second[got["at"].to_numpy(np.int64)] = got["x"]
-    basis = np.ascontiguousarray(np.linalg.eigh(second.reshape(d, d))[1][:, ::-1])
+            u = _units(_scaled(np.asarray(batch.column(0).flatten()).reshape(-1, d)))
+            total += u.T @ u
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array([row.tobytes() for row in total], pa.binary())], ["at", "x"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "x": [sum(np.frombuffer(x, "<f8") for x in pdf["x"]).tobytes()]})
+
+    got = distinct.select("v").mapInArrow(released(moments), "at bigint, x binary").groupBy("at").applyInPandas(added, "at bigint, x binary").toPandas()  # d rows of d numbers
+    second = np.stack([np.frombuffer(x, "<f8") for x in got.sort_values("at")["x"]])
+    basis = np.ascontiguousarray(np.linalg.eigh(second)[1][:, ::-1])
     shared = spark.sparkContext.broadcast(basis)
+    kind = distinct.schema["id"].dataType.simpleString()
 
     def rotate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x = np.asarray(batch.column(4).flatten()).reshape(-1, d)
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
-            u = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([r.tobytes() for r in u.astype("<f8")], pa.binary()), pa.array(u @ shared.value[:, 0])], ["h", "g", "id", "copies", "u", "y"])
+            x = _scaled(np.asarray(batch.column(4).flatten()).reshape(-1, d))
+            y = _units(x) @ shared.value[:, 0]
+            bin_ = np.clip(np.floor((y + 1) * (BINS / 2)), 0, BINS - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary()), pa.array(bin_)], ["h", "g", "id", "copies", "u", "bin"])
 
-    kind = distinct.schema["id"].dataType.simpleString()
-    turned = stored(distinct.select("h", "g", "id", "copies", "v").mapInArrow(released(rotate), f"h bigint, g bigint, id {kind}, copies bigint, u binary, y double"), "vectors-rotated")
-    blocks = max(1, -(-n // block_rows))
-    cuts = sorted(turned.stat.approxQuantile("y", [k / blocks for k in range(1, blocks)], 0.2 / blocks)) if blocks > 1 else []
-    # blocks are intervals of y; block b meets all whose interval begins within reach of its end
-    reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
-    edges = np.array([-np.inf, *cuts])
-    high = np.array([*cuts, np.inf])
-    last = np.searchsorted(edges, high + reach, side="right") - 1
-    lowest = np.searchsorted(last, np.arange(blocks), side="left")
-    bounds = spark.sparkContext.broadcast((np.array(cuts), lowest, last))  # three numbers for block_rows vectors
+    turned = stored(distinct.select("h", "g", "id", "copies", "v").mapInArrow(released(rotate), f"h bigint, g bigint, id {kind}, copies bigint, u binary, bin int"), "vectors-rotated")
+    counts = np.zeros(BINS, np.int64)
+    for r in turned.groupBy("bin").agg(F.count("*").alias("n")).collect():  # at most BINS rows
+        counts[r["bin"]] = r["n"]
+    rows = max(1, min(block_bytes // (8 * d), -(-n // LEAST_BLOCKS)))
+    bounds = spark.sparkContext.broadcast(blocks_of(counts, rows, float(np.sqrt(2 - 2 * threshold)) + SLACK))  # two numbers a bin and a block
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, lo, hi = bounds.value
+        first, several, lo, hi = bounds.value
         for batch in it:
-            b = np.searchsorted(cut, np.asarray(batch.column(5)), side="right")
+            k = np.asarray(batch.column(5))
+            b = first[k] + (np.asarray(batch.column(0)).view(np.uint64) % several[k].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(b, pa.int32()), pa.array(lo[b], pa.int32()), pa.array(hi[b], pa.int32())], ["h", "g", "id", "copies", "u", "block", "lo", "hi"])
 
     dealt = turned.mapInArrow(released(deal), f"h bigint, g bigint, id {kind}, copies bigint, u binary, block int, lo int, hi int")
@@ -201,13 +277,12 @@ def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_rows:
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         block = pdf["block"].to_numpy()
         if pdf["ti"].iloc[0] != pdf["tj"].iloc[0] and block.min() == block.max():  # the other block is empty
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("id", "int64"), ("h", "int64"), ("g", "int64"), ("links", "int64"), ("root", "int64"))})
-        ids = pdf["id"].to_numpy(np.int64)
-        at, links, low = compare_tile(ids, pdf["copies"].to_numpy(np.int64), block, _units(pdf["u"].tolist()), shared.value, threshold)
-        return pd.DataFrame({"id": ids[at], "h": pdf["h"].to_numpy()[at], "g": pdf["g"].to_numpy()[at], "links": links, "root": low})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("id", "h", "g", "links", "root")})
+        return _links(pdf, shared.value, np.frombuffer(b"".join(pdf["u"]), "<f8").reshape(len(pdf), d), block, threshold)
 
-    return tiles.groupBy("ti", "tj").applyInPandas(tile, "id bigint, h bigint, g bigint, links bigint, root bigint")
+    return tiles.groupBy("ti", "tj").applyInPandas(tile, LINKS)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
