@@ -11,8 +11,8 @@ blocks one mask and one set of flips is enough:
 
 so mask i goes with flips in later blocks: 4 + 48 + 32 + 16 = 100 variants for each distinct fingerprint, not the 2081 of a whole
 ball of radius two. Variants are shuffled, and colliding fingerprints are verified by their distance. A bucket holds at most
-49 * 2**16 distinct fingerprints, so its size is bounded however many documents there are; in large buckets, partners are again
-found by flips and not by comparing all pairs. Buckets emit a star for each linked set, not pairs.
+49 * 2**16 distinct fingerprints (25 MB), so its size is bounded however many documents there are; large buckets are verified on
+65,536 words of flips and not by comparing all pairs. Buckets emit a star for each linked set, not pairs.
 """
 
 from __future__ import annotations
@@ -80,55 +80,72 @@ def variant_plan() -> list[tuple[int, int, int]]:
 
 
 def stars(fps: np.ndarray, radius: int = RADIUS, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest, member) for every linked set among distinct fingerprints that lie in one bucket."""
+    """(smallest, member) for every linked set among distinct fingerprints, `most` rows of all pairs at a time."""
     n = len(fps)
     label = np.arange(n)
-    if n <= most:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-        while True:
-            low = np.where(near, label[None, :], n).min(axis=1)
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-    else:  # the same by flips: a pair at distance d meets where each side flips d/2 bits, so no pairs are formed
-        one = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        parent = list(range(n))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        order = np.argsort(fps)
-        ranked = fps[order]
-        ball = np.concatenate([fps[:, None], fps[:, None] ^ one[None, :]], axis=1)  # 65 for each
-        keys, who = ball.reshape(-1), np.repeat(np.arange(n), 65)
-        by = np.argsort(keys, kind="stable")
-        keys, who = keys[by], who[by]
-        same = keys[1:] == keys[:-1]  # all within one of a variant lie within two of each other
-        for x, y in zip(who[:-1][same].tolist(), who[1:][same].tolist(), strict=True):
-            if (p := root(x)) != (q := root(y)):
-                parent[max(p, q)] = min(p, q)
-        first = np.flatnonzero(np.append(True, ~same))
-        mids, owner = keys[first], who[first]
-        for p in range(64):  # distance three: two flips meet one
-            for q in range(p + 1, 64):
-                two = ranked ^ (one[p] | one[q])
-                at = np.minimum(np.searchsorted(mids, two), len(mids) - 1)
-                for k in np.flatnonzero(mids[at] == two).tolist():
-                    x, y = root(int(order[k])), root(int(owner[at[k]]))
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-        label = np.array([root(i) for i in range(n)])
-    low = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
+    while True:
+        low = np.concatenate([np.where(np.bitwise_count(fps[k : k + most, None] ^ fps[None, :]) <= radius, label[None, :], n).min(axis=1) for k in range(0, n, most)])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return _stars_of(fps, label)
+
+
+def _stars_of(fps: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = np.full(int(label.max()) + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
     np.minimum.at(low, label, fps)
     rep = low[label]
     other = rep != fps
     return rep[other], fps[other]
 
 
+_NEAR = {d: np.array([m for m in range(1, 1 << BLOCK) if m.bit_count() == d]) for d in (1, 2, 3)}
+
+
+def bucket_stars(fps: np.ndarray, block: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """stars() of a whole bucket of any size: distinct fingerprints that differ from `key` in block `block` and one later bit at most.
+
+    Such a fingerprint is a value v of the block and a flip f (a later bit, or none), so all of a bucket are 65,536 words of flips. Of
+    one v, all with some flip lie within two bits of each other; they are one node, as are those of v and a neighbour of v. So there
+    are two nodes a value, and links between them follow from the words of v and of v with one to three bits changed.
+    """
+    size = 1 << BLOCK
+    shift = np.uint64(BLOCK * block)
+    diff = (fps ^ np.uint64(key % (1 << 64))) & ~(np.uint64(size - 1) << shift)
+    v = ((fps >> shift) & np.uint64(size - 1)).astype(np.int64)
+    words = np.zeros(size, np.uint64)
+    np.bitwise_or.at(words, v, diff)
+    none = np.zeros(size, bool)
+    none[v[diff == 0]] = True
+    some = words != 0
+    at = np.arange(size)
+    label = np.concatenate([np.where(none, at, 2 * size), np.where(some, at + size, 2 * size)])  # nodes (v, none) and (v, any flip)
+    a, c = label[:size], label[size:]
+
+    while True:
+        before = label.copy()
+        both = none & some  # one bit apart
+        a[both] = c[both] = np.minimum(a, c)[both]
+        for d, masks in _NEAR.items():
+            for m in masks.tolist():
+                w = at ^ m
+                hit = none & none[w]
+                a[hit] = np.minimum(a, a[w])[hit]
+                if d <= 2:
+                    hit = none & some[w]
+                    a[hit] = np.minimum(a, c[w])[hit]
+                    hit = some & none[w]
+                    c[hit] = np.minimum(c, a[w])[hit]
+                hit = some & some[w] if d == 1 else (words & words[w]) != 0
+                c[hit] = np.minimum(c, c[w])[hit]
+        node = label < 2 * size
+        label[node] = label[label[node]]
+        if (label == before).all():
+            break
+    return _stars_of(fps, label[v + size * (diff != 0)])
+
+
 def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """(node, root): the distinct fingerprints that link with another, and the smallest (as unsigned) that each reaches.
 
@@ -155,7 +172,8 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
             a.append(np.minimum(u, v)[near])
             b.append(np.maximum(u, v)[near])
             for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                p, q = stars(np.unique(x[s : s + n].view(np.uint64)))
+                some = np.unique(x[s : s + n].view(np.uint64))
+                p, q = stars(some) if n <= 4096 else bucket_stars(some, int(i[s]), int(k[s]))
                 a.append(p)
                 b.append(q)
             p, q = np.concatenate(a).tolist(), np.concatenate(b).tolist()
@@ -186,7 +204,8 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, fp, component_id) of every row of df: component_id is the smallest key of the rows that are linked with it.
 
     Texts that are null or have no words have fingerprint zero and are linked like others. Rows without a key get the id of
-    their component; it is null if no row of the component has one.
+    their component; it is null if no row of the component has one. Repeated rows come out as often as they are there; texts of any
+    length are read whole, in runs of shingles; an empty table gives no rows. Other columns of df, whatever their names, are left out.
     """
     rows = stored(with_fingerprint(df.select(key, text), text).select(key, "fp"), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min(key).alias("_low")), "fingerprint-classes")
@@ -199,6 +218,7 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
     docs = table(spark, sf_dir, "documents")
     got = near_duplicates(docs, "doc_id")
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
