@@ -1,8 +1,8 @@
 """TIFF columns: op7. Image directories are walked, strips and tiles are decoded (none, PackBits, LZW, deflate), predictors are undone,
 and one row is made for each page; images of 8-bit samples can also be written.
 
-Broken files give no rows or stop at the broken page; nothing outside the file's bytes is read, and no page may hold more samples than
-`most_bytes`.
+Broken files give no rows or stop at the broken page; nothing outside the file's bytes is read, and a page that says it has more samples
+than its stored bytes could hold by the best its compression can do is a broken one. There is no other limit on a page.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ _TYPES = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_SIZE, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_SIZE = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 #: Samples in a row of the pages that the query writes, and rows in a strip.
 ROW, STRIP_ROWS = 64, 256
+#: The most bytes that one stored byte can stand for: a deflate code of one bit for 258, an LZW code of 12 bits for 4096 - 256, a pair for 128.
+_MOST = {NONE: 1, PACKBITS: 64, LZW: 2560, DEFLATE: 2064, OLD_DEFLATE: 2064}
 
 
 # ---- compression
@@ -189,14 +191,14 @@ def _unpredict_float(raw: np.ndarray, rows: int, cols: int, samples: int, order:
     return np.ascontiguousarray(flat.transpose(0, 2, 1)).reshape(rows, cols, samples, size)[..., :: 1 if order == ">" else -1].copy().view(f"{order}f{size}")[..., 0]
 
 
-def read_pages(raw: bytes, most_bytes: int = 1 << 30) -> Iterator[dict]:
+def read_pages(raw: bytes) -> Iterator[dict]:
     """Each page's width, height, samples, bits and pixels, (height, width, samples), in the file's order. Ends at a page it can't read."""
     for page, (order, tags) in enumerate(_directories(raw)):
         one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
         width, height, samples, compression, predictor = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
         bits = one(BITS, 1)
         floats = tags.get(339, (1,))[0] == 3
-        if len(set(tags.get(BITS, (1,)))) > 1 or bits not in (1, 2, 4, 8, 16, 32, 64) or width * height * samples * max(1, bits // 8) > most_bytes:
+        if len(set(tags.get(BITS, (1,)))) > 1 or bits not in (1, 2, 4, 8, 16, 32, 64) or compression not in _MOST:
             return
         kind = np.dtype(f"{order}{'f' if floats else 'u'}{max(1, bits // 8)}")
         planes = samples if one(PLANAR, 1) == 2 and samples > 1 else 1
@@ -209,6 +211,9 @@ def read_pages(raw: bytes, most_bytes: int = 1 << 30) -> Iterator[dict]:
         across, down = -(-width // bw), -(-height // bh)
         if min(len(at), len(sizes)) < across * down * planes:
             return
+        used = sum(sizes[: across * down * planes])
+        if used > len(raw) or height * (width * samples * bits // 8) > used * _MOST[compression]:
+            return
         pixels = np.zeros((height, width, samples), kind)
         try:
             for k in range(across * down * planes):
@@ -274,12 +279,28 @@ def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
 
 
 # ---- columns
+def stored_form(size: int) -> dict:
+    """How the page of a payload is written, by its length alone: PackBits or LZW where a directory outweighs the samples, deflated
+    strips, and from 256 kB on deflated tiles of 64 x 64 with horizontal differences."""
+    if size <= ROW:
+        return {"compression": PACKBITS}
+    if size <= 4 * ROW:
+        return {"compression": LZW}
+    if size < 1 << 18:
+        return {"compression": DEFLATE}
+    return {"compression": DEFLATE, "predictor": 2, "tile": 64}
+
+
 def with_media(df: DataFrame, text: str = "text", name: str = "media") -> DataFrame:
-    """Adds a TIFF of one page that stores the text's UTF-8, padded with zeros to a positive multiple of 64, as rows of 64 samples.
+    """Adds a TIFF of one page that stores the text's UTF-8, padded with zeros to a positive multiple of 64, as rows of 64 samples, in
+    the form that stored_form() gives.
 
-    A null text is stored as an empty one: one row of zeros. A column of this name is replaced.
+    A null text is stored as an empty one: one row of zeros. Equal texts have equal files; texts of any length are stored whole. An empty
+    table gives no rows. A column of this name is replaced, and so is the text, if that is its name.
     """
     small_batches(df.sparkSession)
+    if text == name:
+        return with_media(df.withColumnRenamed(text, "_text"), "_text", name).drop("_text")
     df = df.drop(name)
     schema = df.select("*", F.lit(None).cast("binary").alias(name)).schema
 
@@ -291,7 +312,7 @@ def with_media(df: DataFrame, text: str = "text", name: str = "media") -> DataFr
                 rows = max(1, -(-(e - s) // ROW))
                 px = np.zeros(rows * ROW, np.uint8)
                 px[: e - s] = data[s:e]
-                out.append(write_pages([px.reshape(rows, ROW)]))
+                out.append(write_pages([px.reshape(rows, ROW)], **stored_form(rows * ROW)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
 
     return df.mapInArrow(released(run), schema)
@@ -301,7 +322,8 @@ def media_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row for each page of each row's TIFF: df's columns and page, width, height, samples, bits, payload (the samples' bytes, row by row)
     and feature, the mean, deviation and entropy of the payload's bytes with the difference of neighbours.
 
-    Null, empty and foreign bytes give no rows. Columns of these names are replaced.
+    Null, empty and foreign bytes give no rows, and neither does an empty table; repeated rows give repeated pages. Columns of these names
+    are replaced.
     """
     small_batches(df.sparkSession)
     kinds = {"page": "int", "width": "int", "height": "int", "samples": "int", "bits": "int", "payload": "binary", "feature": "string"}
@@ -338,9 +360,10 @@ def feature(payload: bytes) -> str:
 
 
 def op7_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes through a TIFF and back: lengths, digests and a feature of what was read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored_form = with_media(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "media")
-    pages = media_pages(stored_form)
+    media = with_media(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "media")
+    pages = media_pages(media)
     return pages.select(
         "doc_id",
         "n_bytes",
