@@ -507,6 +507,7 @@ def extract(df: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", "n_chars")
 

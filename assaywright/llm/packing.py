@@ -148,6 +148,7 @@ def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place."""
     docs = table(spark, sf_dir, "documents")
     pieces = stored(token_pieces(docs, "doc_id"), "packing-pieces")
     return pack(pieces, "doc_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

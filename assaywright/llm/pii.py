@@ -175,6 +175,7 @@ def sanitise(df: DataFrame, key: str, text: str = "text", **how) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and all spans of every document, every pair of entity and term judged."""
     docs = table(spark, sf_dir, "documents")
     found = find_spans(docs, "doc_id", least_texts=1)
     count = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("bigint").alias(f"n_{kind}")

@@ -534,6 +534,7 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LE
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start anywhere else too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = remove_repeats(docs, "doc_id")
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

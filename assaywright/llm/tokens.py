@@ -136,10 +136,12 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, id
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs).drop("text")
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode(docs, ids=False).drop("text")
