@@ -70,10 +70,41 @@ def test_op7(spark):
 
 
 def test_media_edges(spark):
-    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "é" * 40_000, "x")], "id int, text string, page string")
-    got = {r["id"]: r for r in tiff.media_pages(tiff.with_media(df)).collect()}
-    assert bytes(got[1]["payload"]) == bytes(got[2]["payload"]) == bytes(64) and bytes(got[3]["payload"]).rstrip(b"\0").decode() == "é" * 40_000
+    """Null, empty, repeated and long texts, in every stored form, with names that clash."""
+    texts = [None, "", "x" * 64, "x" * 65, "é" * 100, "ab" * 3000, "é" * 140_000, "line\n" * 60_000, "ab" * 3000]
+    df = spark.createDataFrame([(k, t, "x", "own", 7) for k, t in enumerate(texts)], "id int, text string, page string, media string, width int")
+    got = tiff.media_pages(tiff.with_media(df)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = (texts[r["id"]] or "").encode()
+        assert bytes(r["payload"]) == raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0") and r["page"] == 0 and r["width"] == 64
+    assert len({r["media"] for r in got if r["id"] in (5, 8)}) == 1 and len({r["feature"] for r in got if r["id"] in (5, 8)}) == 1
+    assert {next(iter(tiff._directories(bytes(r["media"]))))[1][tiff.COMPRESSION][0] for r in got} == {tiff.PACKBITS, tiff.LZW, tiff.DEFLATE}
+    assert any(tiff.TILE_AT in next(iter(tiff._directories(bytes(r["media"]))))[1] for r in got)
     assert tiff.media_pages(tiff.with_media(df.limit(0))).count() == 0
+    same = tiff.media_pages(tiff.with_media(df.select("id", F.col("text").alias("media")), text="media")).collect()
+    assert sorted(r["payload"] for r in same) == sorted(r["payload"] for r in got)
+
+
+def test_a_page_that_claims_too_much():
+    """A header of 4 billion samples over a few bytes is a broken page, and takes no memory; a page that is a thousandfold its bytes is not."""
+    import struct
+
+    raw = bytearray(tiff.write_pages([np.zeros((64, 64), np.uint8)]))
+    at = struct.unpack_from("<I", raw, 4)[0] + 2
+    for i in range(struct.unpack_from("<H", raw, at - 2)[0]):
+        tag = struct.unpack_from("<H", raw, at + 12 * i)[0]
+        if tag in (tiff.WIDTH, tiff.HEIGHT, tiff.ROWS):
+            struct.pack_into("<I", raw, at + 12 * i + 8, 65_000)
+    assert list(tiff.read_pages(bytes(raw))) == []
+    for compression in (tiff.DEFLATE, tiff.LZW, tiff.PACKBITS, tiff.NONE):
+        blank = np.zeros((4096, 512), np.uint8)
+        assert (next(tiff.read_pages(tiff.write_pages([blank], compression, rows=4096)))["pixels"][:, :, 0] == blank).all()
+
+
+def test_op7_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, feature string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert tiff.op7_media_tiff(spark, str(tmp_path)).count() == 0
 
 
 # ---- pages
@@ -232,19 +263,53 @@ def vectors_brute(rows: list, t: float = 0.95) -> dict:
     return {rows[i][0]: (links[i], min(groups[root(i)])) for i in range(n)}
 
 
-@pytest.mark.parametrize("block_rows", [60, 4096])
-def test_vectors(spark, block_rows):
+@pytest.mark.parametrize("block_bytes", [60 * 96, 4 << 20])
+def test_vectors(spark, block_bytes):
     r = np.random.default_rng(0)
     base = r.normal(size=(20, 12))
     rows = [(i * 3 + 1, (base[i % 20] + r.normal(size=12) * r.choice([0.05, 0.2, 0.5])).astype(np.float32).tolist()) for i in range(300)]
     rows += [(5001, None), (5002, [0.0] * 12), (5003, [float("nan")] * 12), (5004, [1.0, None] + [0.0] * 10), (5005, []), (5006, [1.0, 2.0]), (5007, [2.0, 4.0]), (5008, rows[0][1]), (5009, rows[0][1])]
     df = spark.createDataFrame(rows, "id bigint, v array<float>")
-    got = {x["id"]: x for x in embedding.near_duplicates(df, "id", "v", block_rows=block_rows).collect()}
+    got = {x["id"]: x for x in embedding.near_duplicates(df, "id", "v", block_bytes=block_bytes).collect()}
     assert {i: (x["n_links"], x["component_id"]) for i, x in got.items()} == vectors_brute(rows)
     assert all(x["kept"] == (i == x["component_id"]) for i, x in got.items())
     assert embedding.near_duplicates(df.limit(0), "id", "v").count() == 0
 
 
+def test_multiples_of_one_vector(spark):
+    """All first coordinates tie: blocks stay small, and no pair is lost or made twice."""
+    n, rows = 6000, 500
+    counts = np.zeros(embedding.BINS, np.int64)
+    counts[[70, 500, 40_000]] = 50_000, 30, 200
+    first, several, lo, hi = embedding.blocks_of(counts, rows, 0.32)
+    assert several[70] == 100 and first[500] == 100 and first[40_000] == 100 and (lo[:101] == 0).all() and (hi[:100] == 100).all()  # the next block begins within reach
+    df = spark.range(n).selectExpr("id", "transform(array(3d, -1d, 2d, 0.5d), x -> x * (1 + id / 7d)) as v")
+    got = embedding.near_duplicates(df, "id", "v", block_bytes=rows * 32).groupBy("n_links", "component_id").count().collect()
+    assert [tuple(r) for r in got] == [(n - 1, 0, n)]
+
+
+def test_cosines_at_the_threshold(spark):
+    """Cosines of exactly 0.95 link, the next ones below don't, whatever the lengths and however dense the tile."""
+    at = [20.0, 0, 0, 0, 0], [19.0, 6, 1, 1, 1]
+    rows = [(1, list(at[0])), (2, list(at[1])), (3, [x * 7 for x in at[1]]), (4, [x * 1e200 for x in at[0]]), (5, [x * 3e-200 for x in at[1]]), (6, [19.0, 6, 1, 1, 1.0000001])]
+    far = np.random.default_rng(4).normal(size=(400, 5)) - [9, 0, 0, 0, 0]  # a dense cluster, and many apart
+    wide = np.eye(5)[np.arange(900) % 5] * -1.0 + np.random.default_rng(5).normal(size=(900, 5)) * 0.05
+    for more in (far, np.abs(wide) * [-1, -1, -1, -1, -1]):
+        df = spark.createDataFrame(rows + [(100 + i, v.tolist()) for i, v in enumerate(more)], "id bigint, v array<double>")
+        for size in (1 << 22, 4000):
+            got = {r["id"]: (r["n_links"], r["component_id"]) for r in embedding.near_duplicates(df, "id", "v", block_bytes=size).filter("id < 100").collect()}
+            assert got == {1: (4, 1), 4: (4, 1), 2: (5, 1), 3: (5, 1), 5: (5, 1), 6: (3, 1)}, got
+
+
+def test_op10_edges(spark, tmp_path):
+    rows = [(1, [1.0, 0.0], "x", 1), (1, [1.0, 0.0], "x", 1), (2, None, "x", 1), (3, [0.0, 0.0], "x", 1), (4, [2.0, 0.0], "x", 1), (5, [float("inf"), 1.0], "x", 1)] + [(10 + k, [1.0] * k, "x", 1) for k in range(1, 30)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, kept string, component_id int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, embedding.op10_embedding_near_dedup(spark, str(tmp_path)).collect()))
+    alone = [(i, 0, i, True) for i in [2, 3, 5] + [10 + k for k in range(1, 30)] if i != 12]
+    assert [g for g in got if g[0] not in (1, 4, 12)] == alone
+    assert [g for g in got if g[0] in (1, 4)] == [(1, 2, 1, True), (1, 2, 1, True), (4, 2, 1, False)]
+
+
 # ---- pipeline
 def test_pipeline_stages(spark):
     import corpus_pipeline as c

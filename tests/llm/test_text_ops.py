@@ -30,13 +30,84 @@ def test_language_held_out(spark):
 def test_language_edges(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "de"), (4, "12 34 !!", "en"), (5, "", None), (6, "the dog", None), (7, "½²", "x"), (8, "the " * 50_000, "en")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("own"))
-    got = {r["doc_id"]: r for r in language.predict(df, language.fit(df, "text", "lang", "doc_id")).collect()}
+    got = {r["doc_id"]: r for r in language.predict(df, language.fit(df, "text", "lang")).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 4, 5, 6, 7, 8)] == ["en", "de", "und", "und", "und", "en", "und", "en"]
     assert got[3]["score"] == 0.0
-    none = language.fit(df.limit(0), "text", "lang", "doc_id")
+    none = language.fit(df.limit(0), "text", "lang")
     assert {r["lang_pred"] for r in language.predict(df, none).collect()} == {"und"}
 
 
+def bayes_brute(rows: list[tuple], texts: list[str | None], orders=language.ORDERS) -> list[tuple]:
+    """Multinomial naive Bayes over hashed character n-grams in plain Python: (label, score) of each text."""
+    import math
+
+    import pyarrow.compute as pc
+
+    def grams(t: str) -> Counter:
+        c = re.sub(r"[\x00-\x60\x7b-\x7f]+", " ", pc.utf8_lower(t).as_py())  # letter by letter
+        out = Counter()
+        for k in orders:
+            for i in range(len(c) - k + 1):
+                h = 0
+                for x in c[i : i + k]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(x) + 1) % (1 << 64)
+                out[(h * 0xD6E8FEB86659FD93) % (1 << 64) >> 49] += 1
+        return out
+
+    labels = sorted({y for _, y in rows if y is not None})
+    counts = {y: Counter() for y in labels}
+    for t, y in {(t, y) for t, y in rows if t is not None and y is not None}:  # copies count once
+        counts[y].update(grams(t))
+    n = Counter(y for t, y in rows if t is not None and y is not None)
+    size = {y: sum(counts[y].values()) + 0.1 * language.BUCKETS for y in labels}
+    out = []
+    for t in texts:
+        if t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        logs = [math.log(n[y] / sum(n.values())) + sum(k * math.log((counts[y][g] + 0.1) / size[y]) for g, k in grams(t).items()) for y in labels]
+        best = max(logs)
+        out.append((labels[logs.index(best)], 1 / sum(math.exp(x - best) for x in logs)))
+    return out
+
+
+def test_op1_by_brute_force(spark, tmp_path):
+    r = random.Random(3)
+    words = {"aa": ["the", "cat", "sat", "on", "it"], "bb": ["der", "hund", "und", "die", "katze"], "cc": ["кот", "и", "пёс", "на"]}
+    docs = [(i, " ".join(r.choice(words[y] + ["x", "42", "İ", "ß"]) for _ in range(r.randint(1, 12))) + r.choice(["", "!", " ..", "\n"]), r.choice([y, y, y, None]) if i % 7 else r.choice(["aa", "bb"])) for i, y in enumerate(r.choice(sorted(words)) for _ in range(90))]
+    docs += [(900, None, "aa"), (901, "", "bb"), (902, "12 !", "cc"), (903, "½²", None), docs[4], docs[4], (904, docs[4][1], docs[4][2])]
+    df = spark.createDataFrame([(*d, "own", "own", "own") for d in docs], "doc_id bigint, text string, lang string, lang_pred string, score string, held_out string")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    import zlib
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    want = bayes_brute([(t, y) for i, t, y in docs if not held(i)], [t for _, t, _ in docs])
+    got = sorted(map(tuple, language.op1_language_id(spark, str(tmp_path)).select("doc_id", "held_out", "lang_pred", "score").collect()))
+    for g, w in zip(got, sorted((i, held(i), *x) for (i, _, _), x in zip(docs, want, strict=True)), strict=True):
+        assert g[:3] == w[:3] and g[3] == pytest.approx(w[3], abs=1e-4)
+
+
+def test_many_labels_ties_and_long_texts(spark, monkeypatch):
+    rows = [(i, chr(0x4E00 + i) * 5, f"l{i:03}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(df, "text", "lang")
+    assert len(model.labels) == 150
+    long = "".join(chr(0x4E00 + 77) + "  1 " for _ in range(300_000))  # 2 MB, in parts
+    some = spark.createDataFrame([(1, long), (2, chr(0x4E00 + 5)), (3, "q"), (3, "q")], "doc_id bigint, text string")
+    got = {x["doc_id"]: x for x in language.predict(some, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["l077", "l005", "l000"]  # equally likely: the first
+    assert language.predict(some.limit(0), model).count() == 0
+    import pyarrow as pa
+
+    r = random.Random(1)
+    text = "".join(r.choice(["ab", "é", "  ", "1", "中", "\U0001f600", "z", "\n\n\n"]) for _ in range(4000))
+    col = pa.array(["first", text, None, "last", ""])
+    full = {a: sorted(x.ravel().tolist()) for a, b, o, x, _ in language._ngrams(pa.array([text]))}[0]
+    for size in (7, 64, 1000):
+        parts = [x.ravel() for a, b, o, x, _ in language._ngrams(col, size) if a == 1]
+        assert len(parts) > 3 and Counter(np.concatenate(parts).tolist()) - Counter({language.BUCKETS: 10**6}) == Counter(full) - Counter({language.BUCKETS: 10**6})
+
+
 # ---- near-duplicates
 def fp_brute(t: str) -> int:
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -75,6 +146,35 @@ def test_simhash(spark):
     assert simhash.near_duplicates(df.limit(0), "doc_id").count() == 0
 
 
+def test_op2(spark, tmp_path):
+    """The query's spelling of what the operator finds: hex digits, smallest ids, repeated and clashing rows."""
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").collect()] + [(9001, None), (9002, ""), (9003, "One two"), (9004, "ONE\ttwo"), (9003, "One two"), (9005, "w " * 60_000), (9006, "w " * 60_001)]
+    spark.createDataFrame([(*d, 1, "own", "own") for d in docs], "doc_id bigint, text string, fp int, fingerprint string, component_id string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    fps = [fp_brute(t) for _, t in docs]
+    low = reach(list(range(len(docs))), fps)
+    groups: dict[int, list] = {}
+    for k, (i, _) in enumerate(docs):
+        groups.setdefault(low[k], []).append(i)
+    want = sorted((i, f"{fp:016x}", min(groups[low[k]])) for k, ((i, _), fp) in enumerate(zip(docs, fps, strict=True)))
+    assert sorted(map(tuple, simhash.op2_simhash_near_dedup(spark, str(tmp_path)).select("doc_id", "fingerprint", "component_id").collect())) == want
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert simhash.op2_simhash_near_dedup(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("spread", [16, 11])
+def test_large_buckets(spread):
+    """Buckets of one block's values, whole or with a flip behind it, against all pairs."""
+    r = np.random.default_rng(spread)
+    k = r.integers(0, 2**63, dtype=np.uint64) << np.uint64(16)
+    for n, flips in ((300, 0), (1500, 6), (1500, 48)):
+        low = r.integers(0, 1 << spread, n).astype(np.uint64)
+        flip = r.integers(0, flips + 1, n)
+        fps = np.unique(k ^ low ^ np.where(flip > 0, np.uint64(1) << (np.uint64(15) + flip.astype(np.uint64)), np.uint64(0)))
+        small, large = simhash.stars(fps, most=10**9), simhash.bucket_stars(fps, 0, int(k))
+        as_sets = lambda x: set(zip(*map(list, x), strict=True))
+        assert as_sets(small) == as_sets(large)
+
+
 def test_simhash_links_all_distances(spark):
     r = np.random.default_rng(1)
     fps = []
@@ -90,8 +190,6 @@ def test_simhash_links_all_distances(spark):
     got = {x["node"]: x["root"] for x in simhash.linked(stored(spark.createDataFrame([(sign(x),) for x in fps], "fp bigint"), "fps")).collect()}
     want = reach(fps, fps)
     assert all(got.get(sign(x), sign(x)) == sign(want[x]) for x in fps)
-    a, b = (simhash.stars(np.array(fps, np.uint64), most=m) for m in (10, 10**9))
-    assert set(zip(*map(list, a), strict=True)) == set(zip(*map(list, b), strict=True))
 
 
 def test_components_of_a_long_chain(spark):
@@ -285,3 +383,48 @@ def test_terms_of_whole_documents(spark):
         told = {(m.start(), m.end()) for m in free if base and np.log(len(rows) / holds[m[0].lower()]) / np.log(len(rows)) >= pii.THRESHOLD - 1e-12}
         assert got[i] == told, i
     assert len(got[100]) == 6 and len(got[101]) == 1 and not any(got[i] for i in range(60))  # bob is in two of 62 texts
+
+
+def test_op4_by_brute_force(spark, tmp_path):
+    """All spans of the query from patterns and disclosure in plain Python; repeated rows count as documents in every total."""
+    import math
+
+    r = random.Random(21)
+    common = [f"w{k}" for k in range(25)]
+    names = ["Quill", "Li", "Ödön", "4711", "Bob"]
+    mail = ["a@x.org", "b.c@y.co.uk", "10.0.0.7", "+49 30 1234567", "4111 1111 1111 1111"]
+    docs = [(i, " ".join(r.choice(common) for _ in range(r.randint(3, 30))) + (f" {names[k := r.randrange(5)]} {mail[k]} {names[k if r.random() < 0.9 else 0]}," if r.random() < 0.3 else "")) for i in range(120)]
+    docs += [(500, None), (501, ""), docs[3], docs[3], *[d for d in docs if "Quill" in d[1]][:2], (502, "Only here: zed@q.net " + "long " * 6000 + "Zed")]
+    spark.createDataFrame([(*d, "own", 1) for d in docs], "doc_id bigint, text string, spans string, base int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    base = [spans_brute(t) for _, t in docs]
+    entities = [{f"{k}:{(t or '')[s:e].lower()}" for s, _, e, k in b} for (_, t), b in zip(docs, base, strict=True)]
+    words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t or "")] for _, t in docs]
+    free = [[w for w in ws if all(w[1] <= b[0] or w[0] >= b[2] for b in bs)] for ws, bs in zip(words, base, strict=True)]
+    n, n_t, n_e, n_et = len(docs), Counter(), Counter(), Counter()
+    for ws, fs, es in zip(words, free, entities, strict=True):
+        n_t.update({w[2] for w in ws})
+        n_e.update(es)
+        n_et.update({(e, w[2]) for e in es for w in fs})
+    for (i, t), bs, fs, es in zip(docs, base, free, entities, strict=True):
+        told = {w[2] for w in fs for e in es if n_e[e] < n and math.log(n_et[e, w[2]] * n / (n_e[e] * n_t[w[2]])) / math.log(n / n_e[e]) >= pii.THRESHOLD - 1e-12}
+        bs.extend((s, 4, e, "term") for s, e, w in fs if w in told)
+    want = []
+    for (i, t), bs in zip(docs, base, strict=True):
+        say = lambda x: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(x))
+        own = [b for b in bs if b[3] != "term"]
+        want.append((i, *(sum(b[3] == k for b in own) for k in pii.KINDS), hashlib.sha256(say(own).encode()).hexdigest(), say(bs)))
+    got = pii.op4_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    assert dict(got.dtypes)["n_email"] == "bigint" and sorted(map(tuple, got.collect())) == sorted(want)
+    assert sum("term" in w[-1] for w in want) > 10
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pii.op4_pii(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_op3_query_edges(spark, tmp_path):
+    p = "A passage of more than two hundred bytes that stands in several texts, é and all. " * 4
+    docs = [(1, None), (2, ""), (3, "x" + p + "y"), (4, p), (4, p), (5, "z" * 250), (6, "short")]
+    spark.createDataFrame([(*d, "own", 1) for d in docs], "doc_id bigint, text string, kept string, n_removed int").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((i, *w[:3], hashlib.sha256(w[3]).hexdigest()) for (i, _), w in zip(docs, removed([t for _, t in docs], 200), strict=True))
+    assert sorted(map(tuple, suffix.op3_suffix_array_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == want
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert suffix.op3_suffix_array_dedup(spark, f"{tmp_path}/none").count() == 0
