@@ -75,7 +75,8 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 
 def token_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end: int = END, path: str | None = None, ids: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]) of every text and its end id, in pieces of `capacity` ids of which the first may
-    be shorter. A null text is empty: one piece that holds the end id alone."""
+    be shorter. A null text is empty: one piece that holds the end id alone. Repeated rows give repeated pieces, texts of any length
+    are encoded whole, an empty table gives no rows. Other columns of df are left out, whatever their names."""
     spark = df.sparkSession
     small_batches(spark)
     spec, classes = codec_parts(spark, path or vocabulary_path())
@@ -127,8 +128,9 @@ def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
         bins += times
     shared = spark.sparkContext.broadcast({n: np.array(v).T for n, v in by_length.items()})  # a few rows for each length
     before = counted.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_g", F.coalesce("_before", F.lit(0)).alias("_before"))
+    # rows are already dealt by length and group, so a merge join moves only the counts, which no task gets all of
     in_group = Window.partitionBy("length", "_g").orderBy(key, "piece")
-    ranked = salted.withColumn("_r", F.row_number().over(in_group) - 1).join(before, ["length", "_g"]).withColumn("_r", F.col("_r") + F.col("_before")).drop("_before", "_g")
+    ranked = salted.withColumn("_r", F.row_number().over(in_group) - 1).join(before.hint("merge"), ["length", "_g"]).withColumn("_r", F.col("_r") + F.col("_before")).drop("_before", "_g")
     schema = ranked.drop("_r").select("*", F.lit(None).cast("bigint").alias("sequence_id"), F.lit(None).cast("bigint").alias("offset")).schema
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

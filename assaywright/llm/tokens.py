@@ -78,7 +78,7 @@ def count_tokens(df: DataFrame, text: str = "text", limit: int = 512, path: str
     """Adds n_bytes, n_tokens and over_limit to df.
 
     A null text counts as empty: 0 bytes and tokens. Columns of these names that df has already are replaced. Texts of any
-    length are counted whole. Special strings inside texts count as one token, as by the library's default.
+    length are counted whole, repeated rows each; an empty table gives no rows. Special strings inside texts count as one token, as by the library's default.
     """
     spark = df.sparkSession
     path = path or vocabulary_path()
@@ -107,7 +107,8 @@ def count_tokens(df: DataFrame, text: str = "text", limit: int = 512, path: str
 def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, ids: bool = True) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids and decoded to df.
 
-    A null text encodes as empty: no ids, decoded "". Columns of these names that df has already are replaced. The digests are of
+    A null text encodes as empty: no ids, decoded "". Texts of any length are encoded whole, repeated rows each; an empty table gives
+    no rows. Columns of these names that df has already are replaced. The digests are of
     the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8; bytes that are no UTF-8 decode as the
     replacement character, as the library does.
     """

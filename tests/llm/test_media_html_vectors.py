@@ -290,8 +290,8 @@ def test_multiples_of_one_vector(spark):
 
 def test_cosines_at_the_threshold(spark):
     """Cosines of exactly 0.95 link, the next ones below don't, whatever the lengths and however dense the tile."""
-    at = [20.0, 0, 0, 0, 0], [19.0, 6, 1, 1, 1]
-    rows = [(1, list(at[0])), (2, list(at[1])), (3, [x * 7 for x in at[1]]), (4, [x * 1e200 for x in at[0]]), (5, [x * 3e-200 for x in at[1]]), (6, [19.0, 6, 1, 1, 1.0000001])]
+    at = [20.0, 0.0, 0.0, 0.0, 0.0], [19.0, 6.0, 1.0, 1.0, 1.0]
+    rows = [(1, list(at[0])), (2, list(at[1])), (3, [x * 7 for x in at[1]]), (4, [x * 2.0**600 for x in at[0]]), (5, [x * 3 * 2.0**-600 for x in at[1]]), (6, [19.0, 6.0, 1.0, 1.0, 1.0000001])]
     far = np.random.default_rng(4).normal(size=(400, 5)) - [9, 0, 0, 0, 0]  # a dense cluster, and many apart
     wide = np.eye(5)[np.arange(900) % 5] * -1.0 + np.random.default_rng(5).normal(size=(900, 5)) * 0.05
     for more in (far, np.abs(wide) * [-1, -1, -1, -1, -1]):
