@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch sent to Python; with texts of 100 kB a batch stays near 25 MB.
+#: Rows that functions over batches see at once; with texts of 100 kB that is near 25 MB.
 ARROW_ROWS = 256
 
 
@@ -23,21 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows and bytes of the batches that Python workers hold, and let workers import this package from where the
-    driver has it (on a cluster it is installed or sent with --py-files)."""
+def ready(spark: SparkSession) -> None:
+    """Let workers import this package from where the driver has it (on a cluster it is installed or sent with --py-files)."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For functions over batches: a worker, which lives on for other tasks, gives what it has freed back to the system at the end."""
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = ARROW_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For functions over batches: they see at most `rows` rows at once, whatever the session's settings (Spark itself bounds the bytes of
+    a batch), and a worker, which lives on for other tasks, gives what it has freed back to the system at the end."""
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(it)
+        yield from run(batch.slice(lo, rows) for batch in it for lo in range(0, max(1, batch.num_rows), rows))
         gc.collect()
         pa.default_memory_pool().release_unused()
         try:
@@ -49,9 +48,12 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (tests on one machine) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary one; a
+    cluster has none that executors could share, so that is an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="assaywright-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import released, small_batches, stored, table
+from ._common import ready, released, stored, table
 from .components import components
 
 THRESHOLD = 0.95
@@ -151,7 +151,7 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = THR
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
     spark = df.sparkSession
-    small_batches(spark, 4096)
+    ready(spark)
     v = F.col(vector).cast("array<double>")
     usable = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(key).alias("id"), v.alias("v"), usable.alias("ok"))
@@ -244,7 +244,7 @@ def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_bytes:
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"at": pdf["at"].iloc[:1], "x": [sum(np.frombuffer(x, "<f8") for x in pdf["x"]).tobytes()]})
 
-    got = distinct.select("v").mapInArrow(released(moments), "at bigint, x binary").groupBy("at").applyInPandas(added, "at bigint, x binary").toPandas()  # d rows of d numbers
+    got = distinct.select("v").mapInArrow(released(moments, 4096), "at bigint, x binary").groupBy("at").applyInPandas(added, "at bigint, x binary").toPandas()  # d rows of d numbers
     second = np.stack([np.frombuffer(x, "<f8") for x in got.sort_values("at")["x"]])
     basis = np.ascontiguousarray(np.linalg.eigh(second)[1][:, ::-1])
     shared = spark.sparkContext.broadcast(basis)
@@ -257,7 +257,7 @@ def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_bytes:
             bin_ = np.clip(np.floor((y + 1) * (BINS / 2)), 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary()), pa.array(bin_)], ["h", "g", "id", "copies", "u", "bin"])
 
-    turned = stored(distinct.select("h", "g", "id", "copies", "v").mapInArrow(released(rotate), f"h bigint, g bigint, id {kind}, copies bigint, u binary, bin int"), "vectors-rotated")
+    turned = stored(distinct.select("h", "g", "id", "copies", "v").mapInArrow(released(rotate, 4096), f"h bigint, g bigint, id {kind}, copies bigint, u binary, bin int"), "vectors-rotated")
     counts = np.zeros(BINS, np.int64)
     for r in turned.groupBy("bin").agg(F.count("*").alias("n")).collect():  # at most BINS rows
         counts[r["bin"]] = r["n"]
@@ -271,7 +271,7 @@ def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_bytes:
             b = first[k] + (np.asarray(batch.column(0)).view(np.uint64) % several[k].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(b, pa.int32()), pa.array(lo[b], pa.int32()), pa.array(hi[b], pa.int32())], ["h", "g", "id", "copies", "u", "block", "lo", "hi"])
 
-    dealt = turned.mapInArrow(released(deal), f"h bigint, g bigint, id {kind}, copies bigint, u binary, block int, lo int, hi int")
+    dealt = turned.mapInArrow(released(deal, 4096), f"h bigint, g bigint, id {kind}, copies bigint, u binary, block int, lo int, hi int")
     tiles = dealt.select("h", "g", "id", "copies", "u", "block", F.explode(F.sequence("lo", "hi")).alias("_o")).withColumns({"ti": F.least("block", "_o"), "tj": F.greatest("block", "_o")}).drop("_o")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:

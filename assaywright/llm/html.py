@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import released, small_batches, table
+from ._common import ready, released, table
 from ._pages import Maker
 
 PATH_BUCKETS, WORD_BUCKETS, MEASURES, VECTOR, HIDDEN = 1024, 2048, 8, 32, 24
@@ -488,7 +488,7 @@ def extract(df: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
     Repeated rows have equal texts; pages of any length and depth are read whole. An empty table gives no rows. Columns of these
     names are replaced, unless one of them is the page itself, which is read first."""
     spark = df.sparkSession
-    small_batches(spark)
+    ready(spark)
     shared = spark.sparkContext.broadcast(trained().w)
     if html in (name, "n_chars"):
         return extract(df.withColumnRenamed(html, "_html"), "_html", name).drop("_html")

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_utf8, released, row_groups, small_batches, table
+from ._common import flat_utf8, ready, released, row_groups, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -119,7 +119,7 @@ def fit(df: DataFrame, text: str, label: str, sample_rows: int = SAMPLE_ROWS) ->
                 n = np.bincount(back, np.concatenate([c for _, c in keys]), minlength=len(at)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
 
-    small_batches(spark)
+    ready(spark)
     got = sample.mapInArrow(released(count), "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # at most labels x buckets
     counts = np.zeros((len(labels), BUCKETS + 1))
     counts.reshape(-1)[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(float)
@@ -139,7 +139,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     results; an empty table gives no rows. Columns of these names that df has already are replaced.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    ready(spark)
     shared = spark.sparkContext.broadcast(model)  # 128 kB a label
     df = df.drop("lang_pred", "score")
     schema = df.select("*", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score")).schema

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytelevel import codec
-from ._common import released, small_batches, stored, table
+from ._common import ready, released, stored, table
 from .tokens import codec_parts, encoded_rows, vocabulary_path
 
 CAPACITY = 1024
@@ -78,7 +78,7 @@ def token_pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CA
     be shorter. A null text is empty: one piece that holds the end id alone. Repeated rows give repeated pieces, texts of any length
     are encoded whole, an empty table gives no rows. Other columns of df are left out, whatever their names."""
     spark = df.sparkSession
-    small_batches(spark)
+    ready(spark)
     spec, classes = codec_parts(spark, path or vocabulary_path())
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids
@@ -146,7 +146,7 @@ def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
             keep = [i for i, x in enumerate(batch.schema.names) if x != "_r"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(seq), pa.array(off)], [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
-    return ranked.mapInArrow(released(place), schema)
+    return ranked.mapInArrow(released(place, 1 << 16), schema)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

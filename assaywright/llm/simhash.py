@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_utf8, released, small_batches, stored, table
+from ._common import flat_utf8, ready, released, stored, table
 from .components import components
 
 RADIUS = 3
@@ -55,7 +55,7 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """Adds the fingerprint as a signed 64-bit integer. A text that is null or has no word has fingerprint zero."""
-    small_batches(df.sparkSession)
+    ready(df.sparkSession)
     df = df.drop(name)
     schema = df.select("*", F.lit(None).cast("bigint").alias(name)).schema
 
@@ -152,7 +152,7 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
     fps: distinct fingerprints, stored.
     """
     spark = fps.sparkSession
-    small_batches(spark, 100_000)
+    ready(spark)
     plan = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("i"), F.lit(keep).cast("bigint").alias("keep"), F.lit(flip).cast("bigint").alias("flip")) for i, keep, flip in variant_plan()])
     variants = fps.select(fp, F.explode(plan).alias("v")).select(F.col("v.i").alias("i"), F.col(fp).bitwiseAND(F.col("v.keep")).bitwiseXOR(F.col("v.flip")).alias("k"), fp)
     dealt = variants.repartition("i", "k").sortWithinPartitions("i", "k", fp)
@@ -195,7 +195,7 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
         if rest.shape[1]:
             yield edges(*rest)
 
-    found = dealt.mapInArrow(released(verify), "a bigint, b bigint")
+    found = dealt.mapInArrow(released(verify, 1 << 20), "a bigint, b bigint")
     flip = F.lit(-(1 << 63)).cast("bigint")  # so that signed order is the order of unsigned values
     return components(found.select(F.col("a").bitwiseXOR(flip).alias("a"), F.col("b").bitwiseXOR(flip).alias("b"))).select(F.col("node").bitwiseXOR(flip).alias("node"), F.col("root").bitwiseXOR(flip).alias("root"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytelevel import span_hashes
-from ._common import discard, flat_utf8, ranges, released, row_groups, salted_semi_join, small_batches, stored, table
+from ._common import discard, flat_utf8, ranges, ready, released, row_groups, salted_semi_join, stored, table
 
 LENGTH = 200
 GRAM = 32
@@ -493,7 +493,7 @@ def remove_repeats(df: DataFrame, key: str, text: str = "text", length: int = LE
     found twice lose every byte that a window covers. Very long texts are looked at whole, in chunks that overlap by a window. An empty
     table gives no rows. Columns with these names are replaced.
     """
-    small_batches(df.sparkSession)
+    ready(df.sparkSession)
     df = df.drop("n_bytes", "n_removed", "n_spans", name)
     keys = {"_kd": F.xxhash64(F.lit(1), key), "_kt": F.xxhash64(text)}  # two hashes name a text of a row
     rows = df.withColumns(keys)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_utf8, released, small_batches, table
+from ._common import flat_utf8, ready, released, table
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Field types of the format: bytes and struct letter.
@@ -298,7 +298,7 @@ def with_media(df: DataFrame, text: str = "text", name: str = "media") -> DataFr
     A null text is stored as an empty one: one row of zeros. Equal texts have equal files; texts of any length are stored whole. An empty
     table gives no rows. A column of this name is replaced, and so is the text, if that is its name.
     """
-    small_batches(df.sparkSession)
+    ready(df.sparkSession)
     if text == name:
         return with_media(df.withColumnRenamed(text, "_text"), "_text", name).drop("_text")
     df = df.drop(name)
@@ -325,7 +325,7 @@ def media_pages(df: DataFrame, media: str = "media") -> DataFrame:
     Null, empty and foreign bytes give no rows, and neither does an empty table; repeated rows give repeated pages. Columns of these names
     are replaced.
     """
-    small_batches(df.sparkSession)
+    ready(df.sparkSession)
     kinds = {"page": "int", "width": "int", "height": "int", "samples": "int", "bits": "int", "payload": "binary", "feature": "string"}
     df = df.drop(*kinds)
     schema = df.select("*", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).schema

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytelevel import ByteLevelBPE, batches, class_table, codec
-from ._common import flat_utf8, released, small_batches, table
+from ._common import flat_utf8, ready, released, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -82,7 +82,7 @@ def count_tokens(df: DataFrame, text: str = "text", limit: int = 512, path: str
     """
     spark = df.sparkSession
     path = path or vocabulary_path()
-    small_batches(spark)
+    ready(spark)
     spec, classes = codec_parts(spark, path)
     whole = spark.sparkContext.broadcast(whole_tokens(path))  # at most the vocabulary
     df = df.drop("n_bytes", "n_tokens", "over_limit")
@@ -114,7 +114,7 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, id
     """
     spark = df.sparkSession
     path = path or vocabulary_path()
-    small_batches(spark)
+    ready(spark)
     spec, classes = codec_parts(spark, path)
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids", "decoded"] * ids
     df = df.drop(*names)
