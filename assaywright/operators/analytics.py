@@ -108,6 +108,11 @@ def page(df: DataFrame, size: int, after: tuple | None = None, ts: str = "ts", k
     return df.orderBy(ts, key).limit(min(size, 100))
 
 
+def page_with_total(df: DataFrame, size: int, after: tuple | None = None, ts: str = "ts", key: str = "scan_id") -> DataFrame:
+    """page() with total_count, the number of rows of df over all pages: a scalar subquery, counted apart from the page."""
+    return page(df, size, after, ts, key).withColumn("total_count", df.agg(F.count("*")).scalar())
+
+
 def dashboard_filter(df: DataFrame, verdicts: tuple[str, ...] | None = None, least: float | None = None, most: float | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Only the conditions that are given; they reach the scan."""
     for cond in (verdicts and F.col("verdict").isin(*verdicts), least is not None and F.col("risk_score") >= least, most is not None and F.col("risk_score") <= most, start is not None and F.col("ts") >= start, end is not None and F.col("ts") < end):

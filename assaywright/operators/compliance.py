@@ -95,6 +95,12 @@ def expired(verdicts: DataFrame, policies: DataFrame, as_of: Column, ts: str = "
     return verdicts.join(p, "tenant_id").filter(F.col(ts) < as_of - F.make_dt_interval(F.col("data_retention_days")))
 
 
+def purge_processing(scans: DataFrame, as_of: Column, hours: int = 1, done: tuple[str, ...] = ("completed", "failed")) -> tuple[DataFrame, DataFrame]:
+    """(kept, purged) of processing metadata (status, ts): what has ended and is older than `hours` goes; scans under way stay."""
+    old = F.coalesce(F.col("status").isin(*done) & (F.col("ts") < as_of - F.make_dt_interval(hours=F.lit(hours))), F.lit(False))
+    return scans.filter(~old), scans.filter(old)
+
+
 def survivors(verdicts: DataFrame, policies: DataFrame, as_of: Column, key: str = "scan_id", ts: str = "ts") -> DataFrame:
     return verdicts.join(expired(verdicts, policies, as_of, ts).select(key), key, "left_anti")
 

@@ -35,18 +35,20 @@ def ensemble_wide(df: DataFrame, scores: str = "s", weights: dict[str, float] =
 
 
 def infer(df: DataFrame, models: dict[str, Callable[[pd.DataFrame], pd.Series]], inputs: list[str]) -> DataFrame:
-    """Adds a score for each model from its function over Arrow batches; a function that fails gives 0.0 for its batch."""
+    """Adds a score for each model from its function over Arrow batches, and failed_models, how many of them gave none: a function that
+    fails on a batch scores 0.0 there, which is told apart from a score of zero by that count."""
     out = df
     for name, fn in models.items():
-        out = out.withColumn(name, F.pandas_udf(_guarded(fn), "double")(F.struct(*inputs)))
-    return out
+        out = out.withColumn(name, F.pandas_udf(_guarded(fn), "struct<score:double,failed:boolean>")(F.struct(*inputs)))
+    failed = sum((F.col(f"{name}.failed").cast("int") for name in models), F.lit(0))
+    return out.withColumn("failed_models", failed).withColumns({name: F.col(f"{name}.score") for name in models})
 
 
-def _guarded(fn: Callable[[pd.DataFrame], pd.Series]) -> Callable[[pd.DataFrame], pd.Series]:
-    def call(pdf: pd.DataFrame) -> pd.Series:
+def _guarded(fn: Callable[[pd.DataFrame], pd.Series]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            return fn(pdf).astype("float64")
+            return pd.DataFrame({"score": fn(pdf).astype("float64").to_numpy(), "failed": False})
         except Exception:  # noqa: BLE001  a model that is down must not stop the scan
-            return pd.Series([0.0] * len(pdf))
+            return pd.DataFrame({"score": [0.0] * len(pdf), "failed": True})
 
     return call

@@ -1,8 +1,9 @@
 """Perceptual hashes of luminance grids and lookups by Hamming distance.
 
-The lookup is an equi join on bands: with one band more than the largest distance, two hashes within it agree on some band. Bands are
-as even as 64 bits allow; candidates are checked by the bit count of the exclusive or. A reference set whose size has been checked to
-be small is broadcast instead. Both ways give the same rows.
+The lookup is an equi join on bands: of three bands (more beyond a distance of eight) two hashes within the distance differ in some band
+by a third of it at most. Each side emits its bands, and as many flips of single bits as make such bands meet: none, on one side, or on
+both. So bands are wide (21 bits), and few pairs that lie apart meet by chance. Candidates are checked by the bit count of the exclusive
+or. A reference set that has been counted and found small is broadcast instead, on request. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Largest distance of each family, in the order in which equal distances win.
 FAMILIES = {"ahash": 5, "dhash": 6, "phash": 8}
+#: References up to this many are compared with all queries, where the caller asks for it.
+MOST_BROADCAST = 10_000
 
 
 def _bits(flags: Column) -> Column:
@@ -36,11 +39,12 @@ def dhash(grid: Column) -> Column:
 
 
 def phash_of(grid: np.ndarray) -> int:
-    """grid: 32 x 32. The 63 lowest frequencies of the orthonormal cosine transform without the constant, against their upper median."""
+    """grid: 32 x 32. The 63 lowest frequencies of the orthonormal cosine transform without the constant, against their upper median; in
+    millionths, so that frequencies that are equal but for rounding are equal."""
     n = 32
     k = np.arange(n)
     c = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / (2 * n)) * np.sqrt(np.where(k == 0, 1, 2) / n)[:, None]
-    low = (c @ np.asarray(grid, float).reshape(n, n) @ c.T)[:8, :8].reshape(-1)[1:]
+    low = np.floor((c @ np.asarray(grid, float).reshape(n, n) @ c.T)[:8, :8].reshape(-1)[1:] * 1e6 + 0.5)
     return sum(1 << i for i, x in enumerate(low) if x > np.sort(low)[31])
 
 
@@ -71,25 +75,46 @@ def band_edges(bands: int) -> list[tuple[int, int]]:
     return out
 
 
-def _banded(df: DataFrame, h: str, bands: int) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(i).alias("b"), F.call_function("shiftrightunsigned", F.col(h), F.lit(at)).bitwiseAND(F.lit((1 << n) - 1).cast("bigint")).alias("v")) for i, (at, n) in enumerate(band_edges(bands))])
-    return df.withColumn("_band", F.explode(each)).withColumns({"_b": F.col("_band.b"), "_v": F.col("_band.v")}).drop("_band")
+def band_plan(threshold: int) -> tuple[int, int]:
+    """(bands, differing bits in some band at most) for two hashes within the threshold."""
+    bands = max(3, -(-(threshold + 1) // 3))
+    return bands, threshold // bands
+
+
+def _banded(df: DataFrame, h: str, bands: int, flips: bool) -> DataFrame:
+    """A row for each band of each hash, and with flips for each of its bits changed."""
+    each = [(i, at, n, m) for i, (at, n) in enumerate(band_edges(bands)) for m in (0, *(1 << k for k in range(n if flips else 0)))]
+    one = lambda i, at, n, m: F.struct(F.lit(i).alias("b"), F.call_function("shiftrightunsigned", F.col(h), F.lit(at)).bitwiseAND(F.lit((1 << n) - 1).cast("bigint")).bitwiseXOR(F.lit(m).cast("bigint")).alias("v"))
+    return df.withColumn("_band", F.explode(F.array(*[one(*x) for x in each]))).withColumns({"_b": F.col("_band.b"), "_v": F.col("_band.v")}).drop("_band")
 
 
 def matches(queries: DataFrame, refs: DataFrame, threshold: int, method: str = "banded") -> DataFrame:
     """(query columns..., ref_id, distance) within threshold. queries has `h`; refs has ref_id and `ref_h`. method: banded or broadcast.
 
-    Equal hashes on either side are met once: candidates are joined on distinct hashes, then joined back.
+    Equal hashes on either side are met once: candidates are joined on distinct hashes, then joined back. broadcast counts the references
+    first, and takes bands after all if there are more than MOST_BROADCAST.
     """
-    if method == "broadcast":
+    if method == "broadcast" and refs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return queries.join(F.broadcast(refs), hamming(F.col("h"), F.col("ref_h")) <= threshold).withColumn("distance", hamming(F.col("h"), F.col("ref_h"))).drop("ref_h")
-    bands = threshold + 1
-    a = _banded(queries.select("h").distinct(), "h", bands)
-    b = _banded(refs.select("ref_h").distinct(), "ref_h", bands)
+    bands, differ = band_plan(threshold)
+    a = _banded(queries.select("h").distinct(), "h", bands, differ >= 1)
+    b = _banded(refs.select("ref_h").distinct(), "ref_h", bands, differ >= 2)
     pairs = a.join(b, ["_b", "_v"]).filter(hamming(F.col("h"), F.col("ref_h")) <= threshold).select("h", "ref_h").distinct()
     return queries.join(pairs, "h").join(refs, "ref_h").withColumn("distance", hamming(F.col("h"), F.col("ref_h"))).drop("ref_h")
 
 
+def family_matches(frames: DataFrame, refs: DataFrame, key: list[str], families: dict[str, int] = FAMILIES) -> DataFrame:
+    """frames: key columns and a hash column for each family; refs: ref_id and the same. All matches within each family's distance:
+    (key..., family_ord, family, ref_id, distance)."""
+    out = None
+    for i, (name, threshold) in enumerate(families.items()):
+        q = frames.filter(F.col(name).isNotNull()).select(*key, F.col(name).alias("h"))
+        r = refs.filter(F.col(name).isNotNull()).select("ref_id", F.col(name).alias("ref_h"))
+        one = matches(q, r, threshold).select(*key, F.lit(i).alias("family_ord"), F.lit(name).alias("family"), "ref_id", "distance")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def best_match(found: DataFrame, key: str) -> DataFrame:
     """One row for each key: least distance; of equal ones the first frame, family and reference."""
     return found.groupBy(key).agg(F.min(F.struct("distance", "frame", "family_ord", "ref_id")).alias("m")).select(key, "m.distance", "m.frame", "m.family_ord", "m.ref_id")

@@ -19,6 +19,7 @@ SUSPICIOUS = (
     ("after effects", 0.15), ("premiere", 0.05), ("davinci resolve", 0.05), ("ffmpeg", 0.10), ("handbrake", 0.08), ("obs", 0.03),
     ("avisynth", 0.12), ("vapoursynth", 0.12), ("nuke", 0.10), ("blender", 0.10),
 )
+#: Names of transcoders in encoder strings, and usual shapes of pictures.
 TRANSCODERS = ("ffmpeg", "handbrake", "avidemux", "mencoder")
 ASPECTS = (16.0 / 9.0, 9.0 / 16.0, 4.0 / 3.0, 3.0 / 4.0, 1.0)
 

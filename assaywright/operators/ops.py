@@ -54,6 +54,14 @@ def error_budget(df: DataFrame, target: float) -> DataFrame:
     return df.withColumn("band", F.when(b <= 0, "EXHAUSTED").when(b < 0.10, "INCIDENT").when(b < 0.25, "FREEZE").when(b <= 0.50, "CAUTION").otherwise("NORMAL"))
 
 
+def budget_burn(daily: DataFrame, target: float, days: int = 30) -> DataFrame:
+    """daily: (service, day, requests, errors). Over the last days, by time and not by rows: requests, errors and the share of the error
+    budget that they burn."""
+    w = Window.partitionBy("service").orderBy(F.unix_timestamp("day")).rangeBetween(-(days - 1) * 86400, 0)
+    got = daily.select("service", "day", F.sum("requests").over(w).alias("requests"), F.sum("errors").over(w).alias("errors"))
+    return got.withColumn("burned", F.try_divide(F.col("errors").cast("double"), F.col("requests") * (1.0 - target)))
+
+
 def held_for(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Alerts whose condition held in `slots` successive slots.
 
@@ -76,6 +84,15 @@ def wave_baseline(counts: DataFrame, days: int = 7, factor: float = 3.0) -> Data
     return counts.withColumn("baseline", base).withColumn("wave", (F.col("baseline") > 0) & (F.col("n") > F.col("baseline") * factor))
 
 
+def wave_targets(rows: DataFrame, low_trust: float = 0.3) -> DataFrame:
+    """rows: (fingerprint, target, tenant_id, trust). What a wave's clusters are judged by: for each fingerprint its rows, targets, tenants,
+    the share of accounts of low trust, and the target that most of its rows aim at (of equal ones the first)."""
+    by = rows.groupBy("fingerprint", "target").agg(F.count("*").alias("n"), F.count_if(F.col("trust") < low_trust).alias("low"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "target"))
+    got = by.groupBy("fingerprint").agg(F.sum("n").alias("rows"), F.count("*").alias("targets"), F.sum("low").alias("low"), best.alias("best"))
+    return got.select("fingerprint", "rows", "targets", share(F.col("low"), F.col("rows")).alias("low_trust_share"), F.col("best.target").alias("main_target"), (-F.col("best.n")).alias("main_target_rows"))
+
+
 def clusters(rows: DataFrame, by: list[str], least: int) -> DataFrame:
     """Groups of at least so many rows with equal fingerprints."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("tenant_id").alias("tenants"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).filter(F.col("n") >= least)

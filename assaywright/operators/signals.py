@@ -54,38 +54,60 @@ def butter_band(order: int, low: float, high: float) -> tuple[np.ndarray, np.nda
 
 
 def _run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out, z = np.empty_like(x), state.copy()
-    for i, v in enumerate(x):
-        y = b[0] * v + z[0]
-        z[:-1] = z[1:]
-        z[-1] = 0.0
-        z += b[1:] * v - a[1:] * y
-        out[i] = y
+    """The filter over the last axis of x (tracks, frames), all tracks at once; state: (tracks, order)."""
+    out, z = np.empty_like(x), np.concatenate([state, np.zeros((len(x), 1))], axis=1)
+    for i in range(x.shape[1]):
+        v = x[:, i, None]
+        y = b[0] * v + z[:, :1]
+        z[:, :-1] = z[:, 1:] + b[1:] * v - a[1:] * y
+        out[:, i] = y[:, 0]
     return out
 
 
+def resting_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The filter's state after a constant one has come in for ever."""
+    n = len(a) - 1
+    companion = np.eye(n) - np.column_stack([-a[1:], np.vstack([np.eye(n - 1), np.zeros((1, n - 1))])])
+    return np.linalg.solve(companion, b[1:] - a[1:] * b[0])
+
+
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forwards and backwards over the series, which is extended oddly at both ends; the state begins at rest for the first value."""
+    """Forwards and backwards over the series (one, or several of equal length), which are extended oddly at both ends; the state begins at
+    rest for the first value."""
+    if x.ndim == 1:
+        return zero_phase(b, a, x[None, :])[0]
     n = len(a) - 1
     pad = 3 * (n + 1)
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    companion = np.eye(n) - np.column_stack([-a[1:], np.vstack([np.eye(n - 1), np.zeros((1, n - 1))])])
-    rest = np.linalg.solve(companion, b[1:] - a[1:] * b[0])
-    y = _run_filter(b, a, ext, rest * ext[0])
-    y = _run_filter(b, a, y[::-1], rest * y[-1])[::-1]
-    return y[pad:-pad]
+    ext = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1)
+    rest = resting_state(b, a)
+    y = _run_filter(b, a, ext, rest * ext[:, :1])
+    y = _run_filter(b, a, y[:, ::-1], rest * y[:, -1:])[:, ::-1]
+    return y[:, pad:-pad]
+
+
+def filtered(greens: list[np.ndarray], fps: list[float]) -> list[np.ndarray | None]:
+    """The pulse band of each series; tracks of equal length and rate are filtered together. None for those too short or flat."""
+    out: list[np.ndarray | None] = [None] * len(greens)
+    alike: dict[tuple[int, float], list[int]] = {}
+    for i, (g, f) in enumerate(zip(greens, fps, strict=True)):
+        if len(g) >= PULSE_FRAMES and g.std() >= 1e-8:
+            alike.setdefault((len(g), f), []).append(i)
+    for (_, f), some in alike.items():
+        x = np.stack([(greens[i] - greens[i].mean()) / greens[i].std() for i in some])
+        got = zero_phase(*butter_band(PULSE_ORDER, PULSE_LOW / (f / 2), min(PULSE_HIGH / (f / 2), 0.99)), x)
+        for i, y in zip(some, got, strict=True):
+            out[i] = y
+    return out
 
 
-def pulse(green: np.ndarray, fps: float) -> tuple[float, float, float | None]:
-    """(absence, quality, beats a minute) from the mean green of the skin in each frame."""
+def pulse(green: np.ndarray, fps: float, x: np.ndarray | None = None) -> tuple[float, float, float | None]:
+    """(absence, quality, beats a minute) from the mean green of the skin in each frame. x: filtered() of it, if it is there already."""
     n = len(green)
     if n < PULSE_FRAMES:
         return 0.5, 0.0, None
-    std = green.std()
-    if std < 1e-8:
+    if green.std() < 1e-8:
         return 1.0, 0.0, None
-    nyquist = fps / 2
-    x = zero_phase(*butter_band(PULSE_ORDER, PULSE_LOW / nyquist, min(PULSE_HIGH / nyquist, 0.99)), (green - green.mean()) / std)
+    x = filtered([green], [fps])[0] if x is None else x
     power = np.abs(np.fft.rfft(x * np.hanning(n)))
     freqs = np.fft.rfftfreq(n, 1.0 / fps)
     band = (freqs >= PULSE_LOW) & (freqs <= PULSE_HIGH)
@@ -108,9 +130,10 @@ def track_spectra(tracks: DataFrame) -> DataFrame:
     def run(it):
         for pdf in it:
             rows = []
-            for r in pdf.itertuples(index=False):
+            greens = [np.asarray(g, float) for g in pdf["green"]]
+            for r, green, x in zip(pdf.itertuples(index=False), greens, filtered(greens, pdf["fps"].tolist()), strict=True):
                 boxes = np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in r.boxes], float).reshape(-1, 4)
-                rows.append((r.scan_id, r.face_id, *flicker(boxes, r.fps), *pulse(np.asarray(r.green, float), r.fps)))
+                rows.append((r.scan_id, r.face_id, *flicker(boxes, r.fps), *pulse(green, r.fps, x)))
             yield pd.DataFrame(rows, columns=["scan_id", "face_id", "flicker_score", "flicker_hz", "flicker_ratio", "rppg_absence", "rppg_quality", "bpm"])
 
     return tracks.select("scan_id", "face_id", "boxes", "green", "fps").mapInPandas(run, "scan_id bigint, face_id bigint, flicker_score double, flicker_hz double, flicker_ratio double, rppg_absence double, rppg_quality double, bpm double")
@@ -168,8 +191,15 @@ def eye_score(df: DataFrame) -> DataFrame:
 
 def detrended(frames: DataFrame, value: str, key: str = "track_id", order: str = "frame") -> DataFrame:
     """Adds detrended: value less its least-squares line over order."""
-    fit = frames.groupBy(key).agg(F.regr_slope(value, order).alias("_b"), F.regr_intercept(value, order).alias("_a"))
-    return frames.join(fit, key).withColumn("detrended", F.col(value) - F.col("_a") - F.col("_b") * F.col(order)).drop("_a", "_b")
+    x, y = F.col(order).cast("double"), F.col(value).cast("double")
+    both = y.isNotNull()
+    total = lambda c: F.sum(F.when(both, c))
+    # plain sums: exact for whole and half numbers, so they don't hang on the order of rows
+    fit = frames.groupBy(key).agg(F.count(y).alias("_n"), total(x).alias("_x"), total(y).alias("_y"), total(x * x).alias("_xx"), total(x * y).alias("_xy"))
+    n, sx, sy, sxx, sxy = (F.col(c) for c in ("_n", "_x", "_y", "_xx", "_xy"))
+    slope = F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))  # one frame has no slope
+    fit = fit.select(key, slope.alias("_b"), F.try_divide(sy - slope * sx, n.cast("double")).alias("_a"))
+    return frames.join(fit, key).withColumn("detrended", y - F.col("_a") - F.col("_b") * x).drop("_a", "_b")
 
 
 def face_composite(rppg: Column, flick: Column, eye: Column) -> Column:

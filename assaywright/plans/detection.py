@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
 from ..operators import hashing, ingest, l1, quality, signals
+from ..sources import readers
 from . import views as V
 from .registry import query
 
@@ -23,8 +24,10 @@ COMP = """c0 AS (SELECT *, len(gop) AS n, list_sum(gop) / CAST(len(gop) AS DOUBL
 c1 AS (SELECT *, CASE WHEN n >= 2 THEN CASE WHEN mean > 0 THEN sqrt(list_reduce(list_prepend(0e0, list_transform(gop, lambda x: (x - mean) * (x - mean))), lambda a, b: a + b) / n) / mean ELSE 0e0 END END AS cv FROM c0),
 comp AS (SELECT *, greatest(0e0, least(1e0, CASE WHEN cv > 3e-1 THEN least(cv - 3e-1, 5e-1) ELSE 0e0 END + CASE WHEN ratio < 15e-2 THEN least(15e-2 - ratio, 3e-1) ELSE 0e0 END + CASE WHEN ratio > 4e0 THEN least((ratio - 4e0) * 5e-2, 2e-1) ELSE 0e0 END + CASE WHEN transcoded THEN 5e-2 ELSE 0e0 END)) AS compression_score,
     concat_ws(',', CASE WHEN cv > 3e-1 THEN 'L1_COMP_GOP_INCONSISTENT' END, CASE WHEN ratio < 15e-2 THEN 'L1_COMP_UNDERCOMPRESSED' END, CASE WHEN ratio > 4e0 THEN 'L1_COMP_OVERCOMPRESSED' END, CASE WHEN transcoded THEN 'L1_COMP_TRANSCODED' END) AS ccodes FROM c1)"""
-DIST = "CASE WHEN video_id % 29 = 0 THEN CAST(video_id % 9 AS INTEGER) END"
+DIST = "match_distance"
 VID = V.with_(V.VIDEO, META, COMP)
+#: Videos with what their frames match.
+MATCHED = V.with_(V.VIDEO, META, COMP, V.FAMILIES, "hit AS (SELECT comp.*, match_distance FROM comp LEFT JOIN fbest USING (video_id))")
 _r6 = lambda x: f"floor({x} * 1e6 + 5e-1) / 1e6"
 
 
@@ -32,14 +35,31 @@ def scanned(spark, d):
     return l1.compression_scan(l1.metadata_scan(V.video_metadata(spark, d)))
 
 
+def _frames(spark, d):
+    """The frames' hashes, stored, as six scans read them and the transform hash takes Python workers."""
+    path = readers.scratch(spark, "frames")
+    V.frame_hashes(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def best_matches(spark, d):
+    """(video_id, distance, frame, family_ord, ref_id): the best match of each video over its frames and all families."""
+    frames = _frames(spark, d)
+    return hashing.best_match(hashing.family_matches(frames, V.family_references(frames), ["video_id", "frame"]), "video_id")
+
+
+def with_distance(df, spark, d):
+    return df.join(best_matches(spark, d).select("video_id", F.col("distance").alias("match_distance")), "video_id", "left")
+
+
 @query(V.with_(V.VIDEO) + "SELECT video_id, txt AS search_text FROM searchable")
 def l1_searchable_text(spark, d):
-    return V.video_metadata(spark, d).select("video_id", l1.searchable().alias("search_text"))
+    return V.video_metadata(spark, d, gops=False).select("video_id", l1.searchable().alias("search_text"))
 
 
 @query(VID + f"SELECT video_id, {_r6('metadata_score')} AS metadata_score, tools, mcodes AS codes FROM meta")
 def l1_metadata_scan(spark, d):
-    return l1.metadata_scan(V.video_metadata(spark, d)).select("video_id", round_to("metadata_score", 6).alias("metadata_score"), F.array_join("detected_tools", ",").alias("tools"), F.array_join("metadata_codes", ",").alias("codes"))
+    return l1.metadata_scan(V.video_metadata(spark, d, gops=False)).select("video_id", round_to("metadata_score", 6).alias("metadata_score"), F.array_join("detected_tools", ",").alias("tools"), F.array_join("metadata_codes", ",").alias("codes"))
 
 
 @query(VID + f"SELECT video_id, {_r6('cv')} AS gop_cv, {_r6('ratio')} AS bitrate_ratio, {_r6('compression_score')} AS compression_score, ccodes AS codes FROM comp")
@@ -47,20 +67,37 @@ def l1_compression_scan(spark, d):
     return l1.compression_scan(V.video_metadata(spark, d)).select("video_id", round_to("gop_cv", 6).alias("gop_cv"), round_to("bitrate_ratio", 6).alias("bitrate_ratio"), round_to("compression_score", 6).alias("compression_score"), F.array_join("compression_codes", ",").alias("codes"))
 
 
-@query(VID + f"SELECT video_id, {DIST} AS match_distance, CASE WHEN {DIST} IS NOT NULL THEN CASE WHEN {DIST} = 0 THEN 1e0 WHEN {DIST} <= 3 THEN 95e-2 WHEN {DIST} <= 6 THEN 85e-2 ELSE 7e-1 END END AS match_confidence, CASE WHEN {DIST} <= 3 THEN 'BLOCK' WHEN {DIST} IS NOT NULL THEN 'ESCALATE' WHEN metadata_score >= 4e-1 OR compression_score >= 5e-1 OR metadata_score * 6e-1 + compression_score * 4e-1 >= 35e-2 THEN 'ESCALATE' ELSE 'ALLOW' END AS decision FROM comp")
+@query(V.with_(V.FAMILIES) + "SELECT vec_id AS frame, CASE fam WHEN 0 THEN 'ahash' WHEN 1 THEN 'dhash' ELSE 'phash' END AS family, ref_id, d AS distance FROM fmatch")
+def hash_families(spark, d):
+    """All matches of frames in three families, each with its own distance."""
+    frames = _frames(spark, d)
+    return hashing.family_matches(frames, V.family_references(frames), ["frame"]).select("frame", "family", "ref_id", "distance")
+
+
+@query(V.with_(V.FAMILIES) + "SELECT video_id, match_distance AS distance, frame, family_ord, ref_id FROM fbest")
+def hash_lookup(spark, d):
+    """The best match of each video: least distance, then first frame, family and reference."""
+    return best_matches(spark, d)
+
+
+_DECISION = "CASE WHEN match_distance <= 3 THEN 'BLOCK' WHEN match_distance IS NOT NULL THEN 'ESCALATE' WHEN metadata_score >= 4e-1 OR compression_score >= 5e-1 OR metadata_score * 6e-1 + compression_score * 4e-1 >= 35e-2 THEN 'ESCALATE' ELSE 'ALLOW' END"
+
+
+@query(MATCHED + f"SELECT video_id, match_distance, CASE WHEN match_distance = 0 THEN 1e0 WHEN match_distance <= 3 THEN 95e-2 WHEN match_distance <= 6 THEN 85e-2 WHEN match_distance IS NOT NULL THEN 7e-1 END AS match_confidence, {_DECISION} AS decision FROM hit")
 def l1_decision(spark, d):
-    s = scanned(spark, d).withColumn("match_distance", F.when(F.col("video_id") % 29 == 0, (F.col("video_id") % 9).cast("int")))
+    """Metadata, compression and the lookup of frames in three families, decided together."""
+    s = with_distance(scanned(spark, d), spark, d)
     return l1.decide(s).select("video_id", "match_distance", F.when(F.col("match_distance").isNotNull(), l1.match_confidence(F.col("match_distance"))).alias("match_confidence"), "decision")
 
 
-@query(VID + f"SELECT decision, count(*) AS n FROM (SELECT CASE WHEN {DIST} <= 3 THEN 'BLOCK' WHEN {DIST} IS NOT NULL THEN 'ESCALATE' WHEN metadata_score >= 4e-1 OR compression_score >= 5e-1 OR metadata_score * 6e-1 + compression_score * 4e-1 >= 35e-2 THEN 'ESCALATE' ELSE 'ALLOW' END AS decision FROM comp) WHERE decision = 'ESCALATE' GROUP BY ALL")
+@query(MATCHED + f"SELECT decision, count(*) AS n FROM (SELECT {_DECISION} AS decision FROM hit) WHERE decision = 'ESCALATE' GROUP BY ALL")
 def l1_escalations(spark, d):
     return l1_decision(spark, d).filter("decision = 'ESCALATE'").groupBy("decision").agg(F.count("*").alias("n"))
 
 
-@query(VID + f"SELECT video_id, CASE WHEN video_id % 23 = 0 OR n_chars * 100000 > 500000000 THEN 'REJECT' WHEN {DIST} = 0 THEN 'BLOCK' WHEN tools <> '' THEN 'FORWARD_HIGH' ELSE 'FORWARD_NORMAL' END AS edge_action FROM meta")
+@query(MATCHED + "SELECT video_id, CASE WHEN video_id % 23 = 0 OR n_chars * 100000 > 500000000 THEN 'REJECT' WHEN match_distance = 0 THEN 'BLOCK' WHEN tools <> '' THEN 'FORWARD_HIGH' ELSE 'FORWARD_NORMAL' END AS edge_action FROM hit")
 def edge_decisions(spark, d):
-    s = l1.metadata_scan(V.video_metadata(spark, d)).withColumns({"match_distance": F.when(F.col("video_id") % 29 == 0, (F.col("video_id") % 9).cast("int")), "valid_format": F.col("video_id") % 23 != 0, "size_bytes": F.col("n_chars") * 100000})
+    s = with_distance(l1.metadata_scan(V.video_metadata(spark, d, gops=False)), spark, d).withColumns({"valid_format": F.col("video_id") % 23 != 0, "size_bytes": F.col("n_chars") * 100000})
     return l1.edge_action(s).select("video_id", "edge_action")
 
 
@@ -78,11 +115,9 @@ def dhash(spark, d):
     return V.t(spark, d, "embeddings").select("vec_id", hashing.dhash(grid).alias("h"))
 
 
-@query()
+@query(V.with_(V.FAMILIES) + "SELECT vec_id, p AS phash FROM fams")
 def phash(spark, d):
-    """The transform has no exact SQL twin: its median test hangs on the last bits. Tests compare with a direct double sum."""
-    grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform("embedding", lambda x: F.floor((x.cast("double") + 1.0) * 127.0) + i)))
-    return hashing.phash(V.t(spark, d, "embeddings").select("vec_id", grid.alias("grid"))).select("vec_id", "phash")
+    return V.frame_hashes(spark, d).select(F.col("frame").alias("vec_id"), "phash")
 
 
 def _matches(t: int) -> str:
@@ -121,9 +156,11 @@ def hash_feed_dedup(spark, d):
     return hashing.latest_references(_feed(spark, d).withColumn("ref_h", F.col("k"))).select("ref_id", "ref_h")
 
 
-@query(f"WITH feed AS (SELECT * FROM ({_FEED}) WHERE k < 500) (SELECT ref_id FROM feed ORDER BY match_count DESC, ref_id LIMIT 50) UNION (SELECT ref_id FROM feed ORDER BY added_at DESC, ref_id LIMIT 30) UNION (SELECT ref_id FROM feed WHERE region = 'EU' ORDER BY match_count DESC, ref_id LIMIT 20)")
+@query(f"WITH one AS (SELECT ref_id, max(struct_pack(a := added_at, h := k, b := match_count, c := region)) AS m FROM ({_FEED}) GROUP BY ref_id), feed AS (SELECT ref_id, m.a AS added_at, m.b AS match_count, m.c AS region FROM one) (SELECT ref_id FROM feed ORDER BY match_count DESC, ref_id LIMIT 50) UNION (SELECT ref_id FROM feed ORDER BY added_at DESC, ref_id LIMIT 30) UNION (SELECT ref_id FROM feed WHERE region = 'EU' ORDER BY match_count DESC, ref_id LIMIT 20)")
 def edge_hash_subset(spark, d):
-    return hashing.edge_subset(_feed(spark, d).filter("k < 500"), 50, 30, 20, "EU")
+    """The limits are the subset's definition; the feed is reduced to the last row of each reference first."""
+    last = _feed(spark, d).groupBy("ref_id").agg(F.max(F.struct("added_at", F.col("k").alias("h"), "match_count", "region")).alias("m")).select("ref_id", "m.added_at", "m.match_count", "m.region")
+    return hashing.edge_subset(last, 50, 30, 20, "EU")
 
 
 @query("SELECT event_id, CASE WHEN trim(u) = '' THEN 'EMPTY_UPLOAD_ID' WHEN size <= 0 THEN 'EMPTY_VIDEO' END AS error, CASE WHEN tier <= 0 THEN 3 ELSE least(tier, 3) END AS scan_tier, CASE p WHEN 1 THEN 'LOW' WHEN 3 THEN 'HIGH' WHEN 4 THEN 'CRITICAL' ELSE 'NORMAL' END AS scan_priority, concat_ws(':', user_id, u) AS partition_key FROM (SELECT event_id, user_id, CASE WHEN event_id % 31 = 0 THEN ' ' ELSE 'u' || event_id END AS u, event_id % 7 * 1000 AS size, CAST(event_id % 6 AS INTEGER) AS tier, event_id % 5 AS p FROM events)")
@@ -141,16 +178,25 @@ def chunk_assembly(spark, d):
     return ingest.assemble_chunks(rows.union(rows.filter("chunk_index = 0")))
 
 
-@query("SELECT doc_id, step_ms, i AS frame_index, i * step_ms AS timestamp_ms FROM (SELECT doc_id, CASE WHEN dur < 10 THEN 33 WHEN dur < 60 THEN 1000 ELSE 2000 END AS step_ms, unnest(range(0, CAST(least(ceil(dur * 1e3 / CASE WHEN dur < 10 THEN 33 WHEN dur < 60 THEN 1000 ELSE 2000 END), 300) AS BIGINT)))::INTEGER AS i FROM (SELECT doc_id, greatest(n_chars * 5000 / 500000e0, 1e0) AS dur FROM documents WHERE doc_id < 100))")
+@query("SELECT doc_id, step_ms, i AS frame_index, i * step_ms AS timestamp_ms FROM (SELECT doc_id, CASE WHEN dur < 10 THEN 33 WHEN dur < 60 THEN 1000 ELSE 2000 END AS step_ms, unnest(range(0, CAST(least(ceil(dur * 1e3 / CASE WHEN dur < 10 THEN 33 WHEN dur < 60 THEN 1000 ELSE 2000 END), 300) AS BIGINT)))::INTEGER AS i FROM (SELECT doc_id, greatest(n_chars * 5000 / 500000e0, 1e0) AS dur FROM documents))")
 def frame_schedule(spark, d):
-    v = V.t(spark, d, "documents").filter("doc_id < 100").select("doc_id", (F.col("n_chars") * 5000).alias("size_bytes"))
+    v = V.t(spark, d, "documents").select("doc_id", (F.col("n_chars") * 5000).alias("size_bytes"))
     return ingest.frame_schedule(v).select("doc_id", "step_ms", "frame_index", "timestamp_ms")
 
 
-@query("SELECT doc_id, sha256(unhex(hex(text) || lpad(hex(doc_id % 256), 2, '0') || lpad(hex((doc_id // 256) % 256), 2, '0') || '0000')) AS content_hash FROM documents WHERE doc_id < 65536")
+_BYTE = lambda k: f"lpad(hex((doc_id // {256**k}) % 256), 2, '0')"
+
+
+@query(f"SELECT doc_id, sha256(unhex(hex(text) || {_BYTE(0)} || {_BYTE(1)} || {_BYTE(2)} || {_BYTE(3)})) AS content_hash FROM documents")
 def crop_hash(spark, d):
-    v = V.t(spark, d, "documents").filter("doc_id < 65536")
-    return v.select("doc_id", ingest.crop_hash(F.hex("text"), F.col("doc_id")).alias("content_hash"))
+    return V.t(spark, d, "documents").select("doc_id", ingest.crop_hash(F.hex("text"), F.col("doc_id")).alias("content_hash"))
+
+
+@query("SELECT event_id AS frame_index, 256e0 AS side, 98e-2 AS confidence FROM events WHERE event_type <> 'purchase'")
+def detect_faces(spark, d):
+    """Frames without pixels get the stand-in's face; purchases stand for frames that have some."""
+    frames = V.t(spark, d, "events").select(F.col("event_id").alias("frame_index"), F.when(F.col("event_type") == "purchase", F.lit("px")).when(F.col("event_type") == "click", F.lit("")).alias("pixels"))
+    return ingest.detect_faces(frames).select("frame_index", F.col("box.x1").alias("side"), "confidence")
 
 
 @query("SELECT sha256(text) AS h, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY sha256(text)")
@@ -180,11 +226,6 @@ sr AS (SELECT *, CAST(jumps AS DOUBLE) / nullif(steps, 0) AS r, s / nullif(steps
 saccades AS (SELECT track_id, steps, CASE WHEN ipd < 1e-6 OR steps = 0 THEN 0e0 ELSE r END AS saccade_ratio, CASE WHEN ipd < 1e-6 OR steps = 0 THEN 5e-1 ELSE greatest(CASE WHEN r < 5e-2 THEN least(1e0, (5e-2 - r) / 5e-2) WHEN r > 3e-1 THEN least(1e0, (r - 3e-1) / 7e-1) ELSE 0e0 END, CASE WHEN steps >= 30 AND mean > 0 AND sqrt(greatest(q / steps - mean * mean, 0e0)) / mean < 5e-1 THEN 4e-1 ELSE 0e0 END) END AS saccade_anomaly FROM sr)"""
 
 
-def _sql_tracks(spark, d):
-    """The tracks of the registered SQL (V.TRACKS), which ends at customer 40; queries without SQL take all tracks."""
-    return V.tracks(spark, d).filter("track_id <= 40")
-
-
 def _rounded(df, *cols: str):
     return df.withColumns({c: round_to(c, 6) for c in cols})
 
@@ -195,49 +236,99 @@ def _rounded_sql(cols: list[str], rest: list[str]) -> str:
 
 @query(V.with_(V.TRACKS, BLINK) + f"SELECT {_rounded_sql(['blink_rate', 'rate_anomaly', 'mean_duration_ms', 'duration_anomaly'], ['track_id', 'frames', 'blinks'])} FROM blinks")
 def blink_metrics(spark, d):
-    return _rounded(signals.blink_metrics(_sql_tracks(spark, d)), "blink_rate", "rate_anomaly", "mean_duration_ms", "duration_anomaly")
+    return _rounded(signals.blink_metrics(V.tracks(spark, d)), "blink_rate", "rate_anomaly", "mean_duration_ms", "duration_anomaly")
 
 
 @query(V.with_(V.TRACKS, SACC) + f"SELECT {_rounded_sql(['saccade_ratio', 'saccade_anomaly'], ['track_id', 'steps'])} FROM saccades")
 def saccade_metrics(spark, d):
-    return _rounded(signals.saccade_metrics(_sql_tracks(spark, d)), "saccade_ratio", "saccade_anomaly")
+    return _rounded(signals.saccade_metrics(V.tracks(spark, d)), "saccade_ratio", "saccade_anomaly")
 
 
 @query(V.with_(V.TRACKS, BLINK, SACC) + f"SELECT track_id, {_r6('CASE WHEN frames < 90 THEN 0e0 ELSE greatest(0e0, least(1e0, rate_anomaly * 3e-1 + duration_anomaly * 25e-2 + saccade_anomaly * 45e-2)) END')} AS eye_score FROM blinks JOIN saccades USING (track_id)")
 def eye_scores(spark, d):
-    t = _sql_tracks(spark, d)
+    t = V.tracks(spark, d)
     both = signals.blink_metrics(t).join(signals.saccade_metrics(t), "track_id")
     return _rounded(signals.eye_score(both), "eye_score").select("track_id", "eye_score")
 
 
-@query(V.with_(V.TRACKS) + f"SELECT track_id, frame, {_r6('px - a - b * frame')} AS detrended FROM track_frames JOIN (SELECT track_id AS t, regr_slope(px, frame) AS b, regr_intercept(px, frame) AS a FROM track_frames GROUP BY track_id) ON t = track_id WHERE track_id % 4 = 0")
+_LINE = "SELECT track_id AS t, count(*) AS n, sum(CAST(frame AS DOUBLE)) AS sx, sum(px) AS sy, sum(CAST(frame AS DOUBLE) * frame) AS sxx, sum(frame * px) AS sxy FROM track_frames GROUP BY track_id"
+
+
+@query(V.with_(V.TRACKS) + f"SELECT track_id, frame, {_r6('(px - (sy - b * sx) / n - b * frame)')} AS detrended FROM track_frames JOIN (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM ({_LINE})) ON t = track_id")
 def detrended_motion(spark, d):
-    """Only tracks that don't move are compared digit by digit: others hang on the order of sums."""
-    got = signals.detrended(_sql_tracks(spark, d).filter("track_id % 4 = 0"), "px")
+    """All tracks; sums of whole and half numbers are exact, so both sides have one line."""
+    got = signals.detrended(V.tracks(spark, d), "px")
     return _rounded(got, "detrended").select("track_id", "frame", "detrended")
 
 
 def _full_tracks(spark, d):
+    """Whole tracks, whose motion and colour differ in strength and frequency."""
     f = V.tracks(spark, d, n=240)
     i, k = F.col("frame").cast("double"), F.col("track_id").cast("double")
-    shake = F.when(F.col("track_id") % 2 == 0, F.sin(i * 2.5) * 3).otherwise(F.sin(i * 0.1))
-    at = F.struct("frame", F.struct((shake + 10).alias("x0"), F.lit(20.0).alias("y0"), (F.lit(110.0) + i * 0.01).alias("x1"), (F.lit(120.0) + k).alias("y1")).alias("box"), (F.lit(128.0) + F.sin(i * 2 * 3.141592653589793 * 1.2 / 30.0) * (F.col("track_id") % 3)).alias("green"))
+    shake = F.sin(i * (0.1 + k % 40 * 0.07)) * (1 + k % 3)
+    green = 128.0 + F.sin(i * 0.2513 * (0.6 + k % 11 * 0.1)) * (k % 3) + F.sin(i * 1.9) * 0.3 * (k % 2)
+    at = F.struct("frame", F.struct((shake + 10).alias("x0"), F.lit(20.0).alias("y0"), (F.lit(110.0) + i * 0.01).alias("x1"), (F.lit(120.0) + k).alias("y1")).alias("box"), green.alias("green"))
     g = f.groupBy("track_id").agg(F.array_sort(F.collect_list(at)).alias("a"))
     return g.select((F.col("track_id") % 10).alias("scan_id"), F.col("track_id").alias("face_id"), F.transform("a", lambda x: x["box"]).alias("boxes"), F.transform("a", lambda x: x["green"]).alias("green"), F.lit(30.0).alias("fps"))
 
 
-@query()
+def _filter_sql(name: str, source: str) -> str:
+    """One pass of the pulse filter over lists x by track, a frame at a time: `name` has (k, y)."""
+    b, a = signals.butter_band(signals.PULSE_ORDER, signals.PULSE_LOW / 15, signals.PULSE_HIGH / 15)
+    n = len(a) - 1
+    num = lambda x: f"({float(x)!r}::DOUBLE)"
+    rest = signals.resting_state(b, a)
+    start = ", ".join(f"x[1] * {num(r)} AS z{j + 1}" for j, r in enumerate(rest))
+    y = f"({num(b[0])} * x[t + 1] + z1)"
+    step = ", ".join((f"z{j + 1} + " if j < n else "") + f"{num(b[j])} * x[t + 1] - {num(a[j])} * {y}" for j in range(1, n + 1))
+    zs = ", ".join(f"z{j + 1}" for j in range(n))
+    return f"{name}_run(k, t, y, {zs}) AS (SELECT k, 0, 0e0, {start} FROM {source} UNION ALL SELECT k, t + 1, {y}, {step} FROM {name}_run JOIN {source} USING (k) WHERE t < len(x)), {name} AS (SELECT k, list(y ORDER BY t) AS y FROM {name}_run WHERE t > 0 GROUP BY k)"
+
+
+SPECTRA = f"""ft AS (SELECT c_custkey AS k, CAST(241 - c_custkey % 3 * 40 AS BIGINT) AS n, CAST(i AS DOUBLE) AS i, sin(i * (1e-1 + c_custkey % 40 * 7e-2)) * (1 + c_custkey % 3) + 10 AS x0, 110e0 + i * 1e-2 AS x1, 120e0 + c_custkey AS y1,
+    128e0 + sin(i * 2513e-4 * (6e-1 + c_custkey % 11 * 1e-1)) * (c_custkey % 3) + sin(i * 19e-1) * 3e-1 * (c_custkey % 2) AS green FROM customer, unnest(range(0, 241 - CAST(c_custkey % 3 AS BIGINT) * 40)) AS x(i)),
+edges AS (SELECT k, n, i, u.e AS e, u.s AS s FROM ft, unnest([{{'e': 0, 's': x0}}, {{'e': 1, 's': 20e0}}, {{'e': 2, 's': x1}}, {{'e': 3, 's': y1}}, {{'e': 4, 's': x1 - x0}}, {{'e': 5, 's': y1 - 20}}]) AS q(u)),
+lines AS (SELECT k, e, regr_slope(s, i) AS b, regr_intercept(s, i) AS a FROM edges GROUP BY k, e),
+flat AS (SELECT k, n, e, i, (s - a - b * i) * (5e-1 - 5e-1 * cos(2 * pi() * i / (n - 1))) AS s FROM edges JOIN lines USING (k, e)),
+power AS (SELECT k, n, e, f, pow(sum(s * cos(2 * pi() * f * i / n)), 2) + pow(sum(s * sin(2 * pi() * f * i / n)), 2) AS p FROM flat, unnest(range(0, n // 2 + 1)) AS z(f) GROUP BY k, n, e, f),
+ratios AS (SELECT k, n, e, sum(CASE WHEN f * 30e0 / n >= 8 THEN p ELSE 0 END) / sum(p) AS ratio, (min(struct_pack(a := -p, b := f)) FILTER (f * 30e0 / n >= 8)).b * 30e0 / n AS hz FROM power GROUP BY k, n, e HAVING sum(p) >= 1e-12),
+best AS (SELECT k, max(ratio) AS ratio, min(struct_pack(a := -floor(ratio * 1e9), b := e, c := hz)).c AS hz FROM ratios WHERE ratio > 0 GROUP BY k),
+norm AS (SELECT k, avg(green) AS m, stddev_pop(green) AS sd FROM ft GROUP BY k),
+series AS (SELECT k, list((green - m) / sd ORDER BY i) AS x FROM ft JOIN norm USING (k) WHERE sd >= 1e-8 GROUP BY k),
+ext AS (SELECT k, list_concat(list_transform(range(27, 0, -1), lambda j: 2 * x[1] - x[j + 1]), list_concat(x, list_transform(range(1, 28), lambda j: 2 * x[len(x)] - x[len(x) - j]))) AS x FROM series),
+{_filter_sql("forth", "ext")},
+turned AS (SELECT k, list_reverse(y) AS x FROM forth),
+{_filter_sql("back", "turned")},
+pulsed AS (SELECT k, list_reverse(y)[28:len(y) - 27] AS x FROM back),
+tones AS (SELECT k, f, len(x) AS n, sqrt(pow(list_sum(list_transform(range(0, len(x)), lambda i: x[i + 1] * (5e-1 - 5e-1 * cos(2 * pi() * i / (len(x) - 1))) * cos(2 * pi() * f * i / len(x)))), 2) + pow(list_sum(list_transform(range(0, len(x)), lambda i: x[i + 1] * (5e-1 - 5e-1 * cos(2 * pi() * i / (len(x) - 1))) * sin(2 * pi() * f * i / len(x)))), 2)) AS p
+  FROM pulsed, unnest(range(0, len(x) // 2 + 1)) AS z(f) WHERE f * 30e0 / len(x) BETWEEN 7e-1 AND 4),
+peak AS (SELECT k, n, min(struct_pack(a := -p, b := f)).b AS top, max(p) AS high FROM tones GROUP BY k, n),
+snrs AS (SELECT k, any_value(top) * 30e0 / any_value(peak.n) * 60 AS bpm, any_value(high) / (avg(p) FILTER (abs(f - top) > 1)) AS snr FROM tones JOIN peak USING (k) GROUP BY k),
+spectra AS (SELECT c_custkey % 10 AS scan_id, c_custkey AS face_id, coalesce(least(1e0, ratio / 3e-1), 0e0) AS flicker_score, hz AS flicker_hz, coalesce(ratio, 0e0) AS flicker_ratio,
+    CASE WHEN snr IS NULL THEN 1e0 WHEN snr >= 6 THEN 0e0 ELSE 1 - snr / 6 END AS rppg_absence, CASE WHEN snr IS NULL THEN 0e0 ELSE least(snr / 3, 1e0) END AS rppg_quality, bpm
+  FROM customer LEFT JOIN best ON best.k = c_custkey LEFT JOIN snrs ON snrs.k = c_custkey)"""
+_SPECTRAL = ["flicker_score", "flicker_hz", "flicker_ratio", "rppg_absence", "rppg_quality", "bpm"]
+
+
+@query("WITH RECURSIVE " + SPECTRA + f" SELECT {_rounded_sql(_SPECTRAL, ['scan_id', 'face_id'])} FROM spectra")
 def track_spectra(spark, d):
-    """Flicker and pulse: spectra of whole series in numpy; tests compare with direct transforms."""
-    return signals.track_spectra(_full_tracks(spark, d))
+    """Flicker and pulse of whole tracks. The SQL transforms by sums of cosines and runs the filter a frame at a time."""
+    return _rounded(signals.track_spectra(_full_tracks(spark, d)), *_SPECTRAL)
+
+
+_WORST = ["rppg_absence_score", "rppg_signal_quality", "micro_flicker_score", "eye_movement_anomaly_score", "l2_escalation_score"]
 
 
-@query()
+@query("WITH RECURSIVE " + ",\n".join([SPECTRA, V.tracks_sql(240), BLINK, SACC]) + f""",
+eyes AS (SELECT track_id, CASE WHEN frames < 90 THEN 0e0 ELSE greatest(0e0, least(1e0, rate_anomaly * 3e-1 + duration_anomaly * 25e-2 + saccade_anomaly * 45e-2)) END AS e FROM blinks JOIN saccades USING (track_id)),
+comp AS (SELECT *, greatest(0e0, least(1e0, rppg_absence * 35e-2 + flicker_score * 3e-1 + e * 35e-2)) AS c FROM spectra JOIN eyes ON track_id = face_id),
+worst AS (SELECT scan_id, count(*) AS faces_analyzed, max(rppg_absence) AS rppg_absence_score, min(rppg_quality) AS rppg_signal_quality, max(flicker_score) AS micro_flicker_score, max(e) AS eye_movement_anomaly_score, max(c) AS l2_escalation_score FROM comp GROUP BY scan_id)
+SELECT {_rounded_sql(_WORST, ['scan_id', 'faces_analyzed'])}, l2_escalation_score >= 35e-2 AS escalate_to_l3, concat_ws(',', CASE WHEN rppg_absence_score > 6e-1 THEN 'BIO_RPPG_ABSENT' END, CASE WHEN micro_flicker_score > 5e-1 THEN 'BIO_BOUNDARY_FLICKER' END, CASE WHEN eye_movement_anomaly_score > 5e-1 THEN 'BIO_EYE_ANOMALY' END) AS bio_codes FROM worst""")
 def l2_rollup(spark, d):
     s = signals.track_spectra(_full_tracks(spark, d))
     t = V.tracks(spark, d, n=240)
     eyes = signals.eye_score(signals.blink_metrics(t).join(signals.saccade_metrics(t), "track_id")).select(F.col("track_id").alias("face_id"), "eye_score")
-    return signals.roll_up(s.join(eyes, "face_id"))
+    return _rounded(signals.roll_up(s.join(eyes, "face_id")), *_WORST).withColumn("bio_codes", F.array_join("bio_codes", ","))
 
 
 @query(f"WITH faces AS (SELECT event_id % 100 AS scan_id, {V._s_sql(5003)} AS a, {V._s_sql(5011)} AS q, {V._s_sql(4001)} AS f, {V._s_sql(6007)} AS e FROM events), c AS (SELECT *, greatest(0e0, least(1e0, a * 35e-2 + f * 3e-1 + e * 35e-2)) AS c FROM faces) SELECT scan_id, count(*) AS faces_analyzed, max(a) AS rppg_absence_score, min(q) AS rppg_signal_quality, max(f) AS micro_flicker_score, max(e) AS eye_movement_anomaly_score, max(c) AS l2_escalation_score, max(c) >= 35e-2 AS escalate_to_l3, concat_ws(',', CASE WHEN max(a) > 6e-1 THEN 'BIO_RPPG_ABSENT' END, CASE WHEN max(f) > 5e-1 THEN 'BIO_BOUNDARY_FLICKER' END, CASE WHEN max(e) > 5e-1 THEN 'BIO_EYE_ANOMALY' END) AS bio_codes FROM c GROUP BY scan_id")
@@ -282,9 +373,9 @@ def track_defaults(spark, d):
     return got.select("track_id", "fps", "pupil_distance", total(F.transform("boxes", lambda b: b["x1"])).alias("sum_x1"), total("openness").alias("sum_openness"))
 
 
-@query("SELECT event_id, value * 5e-1 AS half, 0e0 AS broken FROM events")
+@query("SELECT event_id, value * 5e-1 AS half, 0e0 AS broken, 1 AS failed_models FROM events")
 def model_inference(spark, d):
-    """Two pluggable models over Arrow batches, of which one fails and so scores 0.0."""
+    """Two pluggable models over Arrow batches, of which one fails, scores 0.0 and is counted."""
     from ..operators import ensemble
 
     return ensemble.infer(V.t(spark, d, "events").select("event_id", "value"), {"half": lambda pdf: pdf["value"] * 0.5, "broken": lambda pdf: pdf["none"]}, ["value"]).drop("value")

@@ -102,6 +102,14 @@ def retention_expired(spark, d):
     return compliance.expired(scored(spark, d).select("scan_id", "tenant_id", "ts"), p, V.as_of()).select("scan_id", "tenant_id")
 
 
+@query(f"SELECT event_id AS scan_id, CASE event_type WHEN 'view' THEN 'completed' WHEN 'click' THEN 'failed' ELSE 'processing' END AS status, event_type NOT IN ('view', 'click') OR ts >= TIMESTAMP '{V.AS_OF}' - INTERVAL 1 HOUR AS kept FROM events")
+def processing_retention(spark, d):
+    """Processing metadata that has ended goes after an hour; what is under way stays."""
+    status = F.when(F.col("event_type") == "view", "completed").when(F.col("event_type") == "click", "failed").otherwise("processing")
+    kept, purged = compliance.purge_processing(V.t(spark, d, "events").select(F.col("event_id").alias("scan_id"), status.alias("status"), "ts"), V.as_of())
+    return kept.withColumn("kept", F.lit(True)).unionByName(purged.withColumn("kept", F.lit(False))).drop("ts")
+
+
 @query(BASE + f"SELECT scan_id FROM scored WHERE ts >= TIMESTAMP '{V.AS_OF}' - INTERVAL 15 DAY")
 def ttl_filter(spark, d):
     return compliance.within_ttl(scored(spark, d), "ts", 15, V.as_of()).select("scan_id")
@@ -220,6 +228,15 @@ def error_budget(spark, d):
     return ops.error_budget(_av(spark, d), 0.7).select("tenant_id", round_to("budget_left", 6).alias("budget_left"), "band")
 
 
+@query("WITH dy AS (SELECT event_type AS service, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS requests, CAST(sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY ALL), w AS (SELECT service, day, CAST(sum(requests) OVER x AS BIGINT) AS requests, CAST(sum(errors) OVER x AS BIGINT) AS errors FROM dy WINDOW x AS (PARTITION BY service ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)) SELECT *, floor(errors / (requests * (1e0 - 9e-1)) * 1e6 + 5e-1) / 1e6 AS burned FROM w")
+def budget_burn(spark, d):
+    """The error budget that the last 30 days burn, for each service and day."""
+    from ..functions.numeric import round_to
+
+    e = V.t(spark, d, "events").groupBy(F.col("event_type").alias("service"), F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("requests"), F.count_if(F.col("value") > 20).alias("errors"))
+    return ops.budget_burn(e, 0.9).withColumn("burned", round_to("burned", 6))
+
+
 _SLOT = "SELECT event_type AS metric, (CAST(floor(epoch(ts)) AS BIGINT) - 1704067200) // 86400 AS slot, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY ALL"
 
 
@@ -246,6 +263,12 @@ def wave_clusters(spark, d):
     return ops.clusters(s, ["fingerprint", "region"], 2)
 
 
+@query("WITH r AS (SELECT event_type AS fingerprint, user_id % 20 AS target, (event_id * 7919 % 1000) / 1e3 AS trust FROM events), g AS (SELECT fingerprint, target, count(*) AS n, sum(CASE WHEN trust < 3e-1 THEN 1 ELSE 0 END) AS low FROM r GROUP BY ALL) SELECT fingerprint, CAST(sum(n) AS BIGINT) AS rows, count(*) AS targets, CAST(sum(low) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS low_trust_share, min(struct_pack(n := -n, t := target)).t AS main_target, -min(struct_pack(n := -n, t := target)).n AS main_target_rows FROM g GROUP BY fingerprint")
+def wave_targets(spark, d):
+    r = V.t(spark, d, "events").select(F.col("event_type").alias("fingerprint"), (F.col("user_id") % 20).alias("target"), (F.col("user_id") % 25).alias("tenant_id"), ((F.col("event_id") * 7919 % 1000) / F.lit(1000.0)).alias("trust"))
+    return ops.wave_targets(r)
+
+
 @query("SELECT event_id AS call_id, recent_failures, recent_failures >= 3 AS open FROM (SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 3 ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures FROM events)")
 def circuit_breaker(spark, d):
     c = V.t(spark, d, "events").select((F.col("user_id") % 3).alias("service"), F.col("event_id").alias("call_id"), "ts", (F.col("event_type") == "error").alias("failed"))
@@ -314,6 +337,41 @@ def sandbox_ground_truth(spark, d):
     return s.groupBy("category").agg(F.count("*").alias("samples"), F.count_if("is_fake").alias("fakes"), mean6("doc_len").alias("avg_chars"))
 
 
+# ---- storage
+@query("SELECT o_orderkey, o_custkey, o_orderdate, strftime(o_orderdate, '%Y%m') AS month FROM orders WHERE strftime(o_orderdate, '%Y%m') BETWEEN '199703' AND '199806'")
+def month_scan(spark, d):
+    """Months of a table that is stored by month and sorted by key inside files: other months are not opened."""
+    path = readers.scratch(spark, "months")
+    readers.write_by_month(V.t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), path, "o_orderdate", ("o_custkey",))
+    return readers.read_months(spark, path, "199703", "199806").withColumn("month", F.col("month").cast("string"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (7, 11, 100)")
+def point_lookup(spark, d):
+    """Rows of some keys, by a filter that reaches the scan."""
+    return readers.lookup(V.t(spark, d, "orders"), "o_custkey", 7, 11, 100).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-01-15' AS archived FROM orders")
+def archive_read(spark, d):
+    """Orders before a date move to the archive, which is read back beside those that stay."""
+    path = readers.scratch(spark, "archive")
+    stay = readers.archive(V.t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), path, F.lit("1998-01-15").cast("timestamp"), "o_orderdate", ("o_custkey",))
+    old = spark.read.parquet(path)
+    return old.select("o_orderkey", F.lit(True).alias("archived")).union(stay.select("o_orderkey", F.lit(False)))
+
+
+@query("SELECT user_id || ':' || event_type AS key, CAST(event_id AS BIGINT) AS event_id, event_type, CAST(value AS DOUBLE) AS value FROM events")
+def keyed_messages(spark, d):
+    """Messages written by key, as a topic holds them, and read again; each key is in one partition."""
+    path = readers.scratch(spark, "topic")
+    readers.write_keyed(V.t(spark, d, "events").select("event_id", "user_id", "event_type", "value"), path, ["user_id", "event_type"], "event_id")
+    raw = spark.read.schema("key string, value string, partition int").json(path)
+    once = raw.groupBy("key").agg(F.count_distinct("partition").alias("n")).filter("n > 1")
+    got = raw.join(once, "key", "left_anti").withColumn("m", F.from_json("value", "event_id bigint, event_type string, value double"))
+    return got.select("key", "m.event_id", "m.event_type", "m.value")
+
+
 # ---- streams: run over the table to its end, then read what was written
 def _tmp(spark) -> str:
     return readers.scratch(spark, "stream")
@@ -324,12 +382,11 @@ def _source(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT event_type, count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) AS day FROM events) GROUP BY ALL")
-def stream_window_counts(spark, d):
-    """Daily tumbling windows; the table is rewritten with each batch, so open windows are there too."""
-    root = _tmp(spark)
-    _complete(flows.windowed_counts(_source(spark, d), "ts", ["event_type"], "1 day"), root)
-    return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.sum("n").alias("n"))
+def _in_turn(spark, root: str, *parts):
+    """A stream that gets each part as a micro-batch of its own."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
 
 def _complete(df, root: str) -> None:
@@ -337,6 +394,14 @@ def _complete(df, root: str) -> None:
     q.awaitTermination()
 
 
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_window_counts(spark, d):
+    """Daily tumbling windows; the table is rewritten with each batch, so open windows are there too."""
+    root = _tmp(spark)
+    _complete(flows.windowed_counts(_source(spark, d), "ts", ["event_type"], "1 day"), root)
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("SELECT window_start::TIMESTAMP AS window_start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_start FROM events) GROUP BY ALL")
 def stream_sliding_counts(spark, d):
     root = _tmp(spark)
@@ -344,54 +409,107 @@ def stream_sliding_counts(spark, d):
     return spark.read.parquet(f"{root}/out")
 
 
-@query("SELECT count(DISTINCT user_id) AS n FROM events")
+_PASSED = "make_timestamp(1000 * (epoch_ms(max(ts)) - 172800000))"
+
+
+@query(f"WITH early AS (SELECT {_PASSED} AS w FROM events WHERE event_type NOT IN ('error', 'purchase')), last AS (SELECT {_PASSED} AS w FROM events), k AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type FROM events, early WHERE event_type <> 'error' OR date_trunc('hour', ts) + INTERVAL 1 HOUR > w) SELECT window_start, event_type, count(*) AS n FROM k, last WHERE window_start + INTERVAL 1 HOUR <= w GROUP BY ALL")
+def stream_late_rows(spark, d):
+    """Errors come last, two batches behind the rest: those of windows that the watermark (two days) has passed by then are dropped, the
+    others count; windows are given out once, when the watermark has passed them. A batch drops by the watermark that the batch before
+    it closed windows with, so purchases, which come second, all count."""
+    root = _tmp(spark)
+    e = V.t(spark, d, "events").select(F.col("ts").cast("timestamp"), "event_type")
+    src = _in_turn(spark, root, e.filter("event_type not in ('error', 'purchase')"), e.filter("event_type = 'purchase'"), e.filter("event_type = 'error'"))
+    flows.run_to_end(flows.windowed_counts(src, "ts", ["event_type"], "1 hour", late="2 days"), f"{root}/out", f"{root}/cp")
+    return spark.read.schema("window_start timestamp, event_type string, n bigint").parquet(f"{root}/out")
+
+
+@query("WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM n GROUP BY user_id, k")
+def stream_sessions(spark, d):
+    """Sessions of users, closed by six hours without events."""
+    root = _tmp(spark)
+    _complete(flows.session_counts(_source(spark, d), "ts", ["user_id"], "6 hours"), root)
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events")
 def stream_dedup(spark, d):
+    """A feed that brings every event twice, in batches of their own: each comes out once, with all its columns."""
     root = _tmp(spark)
-    flows.run_to_end(flows.deduplicated(_source(spark, d), ["user_id"], "ts", "400 days").select("user_id"), f"{root}/out", f"{root}/cp")
-    return spark.read.schema("user_id bigint").parquet(f"{root}/out").agg(F.count("*").alias("n"))
+    e = V.t(spark, d, "events").select("event_id", F.col("ts").cast("timestamp"), "user_id", "event_type")
+    flows.run_to_end(flows.deduplicated(_in_turn(spark, root, e.union(e.filter("event_type = 'view'")), e), ["event_id"], "ts", "400 days"), f"{root}/out", f"{root}/cp")
+    return spark.read.schema(e.schema).parquet(f"{root}/out")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'dead' ELSE 'written' END AS outcome, CASE WHEN event_type = 'error' THEN 3 END AS attempts FROM events")
+def stream_dead_letters(spark, d):
+    """A sink that refuses batches with errors always, and those with clicks twice: three tries, then the dead letters; nothing is lost."""
+    root = _tmp(spark)
+    e = V.t(spark, d, "events").select("event_id", "event_type")
+    tries: dict[int, int] = {}
+
+    def sink(batch, number):
+        tries[number] = tries.get(number, 0) + 1
+        bad = [r["event_type"] for r in batch.select("event_type").distinct().collect()]  # a batch has one type here
+        if "error" in bad or ("click" in bad and tries[number] < 3):
+            raise RuntimeError("refused")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    types = ["view", "click", "error"]
+    parts = [e.filter(F.col("event_type") == t) for t in types] + [e.filter(~F.col("event_type").isin(types))]
+    flows.run_batches(_in_turn(spark, root, *parts), flows.guarded(sink, f"{root}/dead"), f"{root}/cp")
+    ok = spark.read.schema("event_id bigint, event_type string").parquet(f"{root}/out")
+    dead = spark.read.schema("event_id bigint, event_type string, error string, attempts int").parquet(f"{root}/dead").filter("error = 'RuntimeError: refused'")
+    return ok.select("event_id", F.lit("written").alias("outcome"), F.lit(None).cast("int").alias("attempts")).union(dead.select("event_id", F.lit("dead"), "attempts"))
 
 
-_LAY = "layer_rows AS (SELECT event_id // 3 AS scan_id, CAST(event_id % 3 + 1 AS INTEGER) AS tier, (event_id * 7919 % 1000) / 1e3 AS score, CAST(event_id // 3 % 3 + 1 AS INTEGER) AS terminal_tier, ts FROM events)"
+_TIER = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END"
+_LAY = f"layer_rows AS (SELECT event_id // 5 AS scan_id, {_TIER} AS tier, (event_id * 7919 % 1000) / 1e3 AS score, CAST(event_id // 5 % 3 + 1 AS INTEGER) AS terminal_tier, ts FROM events), last AS (SELECT scan_id, max(terminal_tier) AS t, max(ts) AS last_ts, {', '.join(f'max(struct_pack(a := ts, b := score)) FILTER (tier = {k}).b AS l{k}' for k in (1, 2, 3))} FROM layer_rows GROUP BY scan_id), p AS (SELECT *, l1 IS NOT NULL AND (t < 2 OR l2 IS NOT NULL) AND (t < 3 OR l3 IS NOT NULL) AS complete FROM last)"
+_LAY = _LAY.replace("max(struct_pack(a := ts, b := score)) FILTER (tier = 1).b", "(max(struct_pack(a := ts, b := score)) FILTER (tier = 1)).b").replace("max(struct_pack(a := ts, b := score)) FILTER (tier = 2).b", "(max(struct_pack(a := ts, b := score)) FILTER (tier = 2)).b").replace("max(struct_pack(a := ts, b := score)) FILTER (tier = 3).b", "(max(struct_pack(a := ts, b := score)) FILTER (tier = 3)).b")
 
 
 def _layers(df):
     k = F.col("event_id")
-    return df.select(F.floor(k / 3).alias("scan_id"), (k % 3 + 1).cast("int").alias("tier"), ((k * 7919 % 1000) / F.lit(1000.0)).alias("score"), (F.floor(k / 3) % 3 + 1).cast("int").alias("terminal_tier"), "ts")
+    tier = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(3)
+    return df.select(F.floor(k / 5).alias("scan_id"), tier.alias("tier"), ((k * 7919 % 1000) / F.lit(1000.0)).alias("score"), (F.floor(k / 5) % 3 + 1).cast("int").alias("terminal_tier"), "ts")
 
 
-@query("WITH " + _LAY + ", p AS (SELECT scan_id, max(terminal_tier) AS t, max(score) FILTER (tier = 1) AS l1, max(score) FILTER (tier = 2) AS l2, max(score) FILTER (tier = 3) AS l3 FROM layer_rows GROUP BY scan_id) SELECT scan_id, l1 IS NOT NULL AND (t < 2 OR l2 IS NOT NULL) AND (t < 3 OR l3 IS NOT NULL) AS complete FROM p WHERE l1 IS NOT NULL AND (t < 2 OR l2 IS NOT NULL) AND (t < 3 OR l3 IS NOT NULL)")
+@query("WITH " + _LAY + " SELECT scan_id, l1, l2, l3, last_ts, complete FROM p, (SELECT epoch_ms(max(ts)) - 3600000 AS w FROM events) WHERE complete OR epoch_ms(last_ts) + 3600000 < w")
 def stream_correlator(spark, d):
+    """Scans come out once, with all scores: at their terminal tier, or incomplete when the watermark has passed their timeout. Those that may
+    still become complete stay in the state."""
     root = _tmp(spark)
-    flows.run_to_end(flows.correlate(_layers(_source(spark, d)), "40 days"), f"{root}/out", f"{root}/cp")
-    return spark.read.schema(flows.OUT).parquet(f"{root}/out").filter("complete").select("scan_id", "complete").distinct()
+    flows.run_to_end(flows.correlate(_layers(_source(spark, d)), "1 hour"), f"{root}/out", f"{root}/cp")
+    return spark.read.schema(flows.OUT).parquet(f"{root}/out")
 
 
-@query("WITH " + _LAY + ", p AS (SELECT scan_id, max(terminal_tier) AS t, max(score) FILTER (tier = 1) AS l1, max(score) FILTER (tier = 2) AS l2, max(score) FILTER (tier = 3) AS l3 FROM layer_rows GROUP BY scan_id) SELECT scan_id, l1, l2, l3, l1 IS NOT NULL AND (t < 2 OR l2 IS NOT NULL) AND (t < 3 OR l3 IS NOT NULL) AS complete FROM p")
+@query("WITH " + _LAY + " SELECT scan_id, l1, l2, l3, complete FROM p")
 def batch_correlator(spark, d):
     return flows.correlate_batch(_layers(V.t(spark, d, "events"))).select("scan_id", "l1", "l2", "l3", "complete")
 
 
-@query(BASE + "SELECT 'audit' AS record, count(*) AS n FROM scored UNION ALL SELECT 'statements', count(*) FROM scored WHERE verdict <> 'ALLOW' UNION ALL SELECT 'manifests', count(*) FROM scored WHERE verdict <> 'ALLOW'")
+@query(BASE + "SELECT 'audit' AS record, scan_id, verdict FROM scored UNION ALL SELECT 'statements', scan_id, verdict FROM scored WHERE verdict <> 'ALLOW' UNION ALL SELECT 'manifests', scan_id, verdict FROM scored WHERE verdict <> 'ALLOW'")
 def stream_fanout(spark, d):
     """Verdicts fan out to three record tables in each micro-batch, with the same functions as in batch."""
     root = _tmp(spark)
     scans = V.scan_facts(spark, d)
     scans.write.parquet(f"{root}/in")
     src = scoring.risk_score(spark.readStream.schema(scans.schema).parquet(f"{root}/in"))
-    sinks = {"audit": compliance.audit_log, "statements": compliance.statements, "manifests": compliance.manifests}
+    sinks = {"audit": compliance.audit_log, "statements": lambda s: compliance.statements(s).join(s.select("scan_id", "verdict"), "scan_id"), "manifests": compliance.manifests}
     flows.run_batches(src, flows.fan_out(sinks, f"{root}/out"), f"{root}/cp")
     out = None
     for name in sinks:
-        one = spark.read.parquet(f"{root}/out/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("record"), "n")
+        one = spark.read.parquet(f"{root}/out/{name}")
+        one = one.select(F.lit(name).alias("record"), "scan_id", (F.col("verdict") if "verdict" in one.columns else F.col("decision")).alias("verdict"))
         out = one if out is None else out.union(one)
     return out
 
 
-@query("SELECT a.event_id // 2 AS scan_id, a.value AS l1, b.value AS l2 FROM events a JOIN events b ON a.event_id // 2 = b.event_id // 2 AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND b.ts BETWEEN a.ts - INTERVAL 40 DAY AND a.ts + INTERVAL 40 DAY")
+@query("SELECT a.event_id // 2 AS scan_id, a.value AS l1, b.value AS l2 FROM events a JOIN events b ON a.event_id // 2 = b.event_id // 2 AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 300000000")
 def stream_join(spark, d):
     """Two layers of a scan joined as streams, within an interval that bounds the state."""
     root = _tmp(spark)
     s = _source(spark, d).select(F.floor(F.col("event_id") / 2).alias("scan_id"), (F.col("event_id") % 2).alias("side"), "value", "ts")
-    one = lambda k, v, t: s.filter(F.col("side") == k).select("scan_id", F.col("value").alias(v), F.col("ts").alias(t)).withWatermark(t, "40 days")
-    flows.run_to_end(flows.join_layers(one(0, "l1", "t1"), one(1, "l2", "t2"), "t1", "t2", "40 days").select("scan_id", "l1", "l2"), f"{root}/out", f"{root}/cp")
+    one = lambda k, v, t: s.filter(F.col("side") == k).select("scan_id", F.col("value").alias(v), F.col("ts").alias(t)).withWatermark(t, "1 hour")
+    flows.run_to_end(flows.join_layers(one(0, "l1", "t1"), one(1, "l2", "t2"), "t1", "t2", "5 minutes").select("scan_id", "l1", "l2"), f"{root}/out", f"{root}/cp")
     return spark.read.schema("scan_id bigint, l1 double, l2 double").parquet(f"{root}/out")

@@ -284,6 +284,15 @@ def keyset_page(spark, d):
     return analytics.page(scored(spark, d).select("scan_id", "ts", "verdict"), 50, (datetime.datetime(2024, 1, 10), 0))
 
 
+@query(BASE + "SELECT scan_id, ts, verdict, (SELECT count(*) FROM scored WHERE verdict <> 'ALLOW') AS total_count FROM scored WHERE verdict <> 'ALLOW' AND (ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND scan_id > 0)) ORDER BY ts, scan_id LIMIT 50")
+def page_with_total(spark, d):
+    """A page with the number of rows over all pages."""
+    import datetime
+
+    flagged = scored(spark, d).filter("verdict <> 'ALLOW'").select("scan_id", "ts", "verdict")
+    return analytics.page_with_total(flagged, 50, (datetime.datetime(2024, 1, 10), 0))
+
+
 @query(BASE + "SELECT scan_id, verdict, risk_score FROM scored WHERE verdict IN ('BLOCK', 'FLAG_URGENT') AND risk_score >= 7e-1")
 def verdict_stream_filter(spark, d):
     return analytics.dashboard_filter(scored(spark, d), ("BLOCK", "FLAG_URGENT"), 0.7).select("scan_id", "verdict", "risk_score")

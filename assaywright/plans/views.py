@@ -127,7 +127,8 @@ POLICIES = """policies AS (
   FROM nation, unnest([0, 1, 2]) AS x(v) WHERE n_nationkey % 7 <> 0)"""
 
 
-def video_metadata(spark: SparkSession, d: str) -> DataFrame:
+def video_metadata(spark: SparkSession, d: str, gops: bool = True) -> DataFrame:
+    """gops: with the sizes of picture groups, which take an aggregate over another table."""
     k = F.col("doc_id")
     pick = lambda items, n: F.get(F.array(*map(F.lit, items)), (k % n).cast("int"))
     g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("g"))
@@ -138,7 +139,8 @@ def video_metadata(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 10 != 9, F.lit("h264")).alias("codec"), F.lit("mp4").alias("container"), F.when(k % 9 != 8, pick(ENCODERS, len(ENCODERS))).alias("encoder"), tags.alias("exif_tags"), F.when(k % 6 != 5, (k * 37 % 20000).cast("double")).alias("bitrate_kbps"),
         F.when(k % 5 != 4, F.lit(25.0)).alias("fps"), pick([s[0] for s in SIZES], 5).alias("width"), pick([s[1] for s in SIZES], 5).alias("height"), F.coalesce("gop_sizes", F.array().cast("array<int>")).alias("gop_sizes"), F.when(k % 4 == 0, True).when(k % 4 == 1, False).alias("c2pa_valid"),
     )
-    return docs.join(gop, "doc_id", "left").select(k.alias("video_id"), "n_chars", md.alias("md"))
+    docs = docs.join(gop, "doc_id", "left") if gops else docs.withColumn("gop_sizes", F.lit(None).cast("array<int>"))
+    return docs.select(k.alias("video_id"), "n_chars", md.alias("md"))
 
 
 def _case(items, key: str = "doc_id") -> str:
@@ -189,6 +191,24 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", ahash(F.col("grid")).alias("h"))
 
 
+def frame_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """(video_id, frame, ahash, dhash, phash): two frames a video, hashed in three families."""
+    from ..operators import hashing
+
+    lum = lambda x: F.floor((x.cast("double") + 1.0) * 127.0)
+    small = F.transform("embedding", lambda x: lum(x).cast("int"))
+    wide = F.transform(F.concat("embedding", F.slice("embedding", 1, 8)), lambda x: lum(x).cast("int"))
+    big = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform("embedding", lambda x: lum(x) + i)))
+    e = t(spark, d, "embeddings").select("vec_id", hashing.ahash(small).alias("ahash"), hashing.dhash(wide).alias("dhash"), big.alias("grid"))
+    return hashing.phash(e).select(F.floor(F.col("vec_id") / 2).alias("video_id"), F.col("vec_id").alias("frame"), "ahash", "dhash", "phash")
+
+
+def family_references(frames: DataFrame) -> DataFrame:
+    """Every fifth frame as a reference, each family's hash with some of its lowest bits flipped."""
+    mask = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("frame") % n).cast("int")) - 1
+    return frames.filter("frame % 5 = 0").select(F.concat(F.lit("r"), F.col("frame").cast("string")).alias("ref_id"), *[F.col(c).bitwiseXOR(mask(n)).alias(c) for c, n in (("ahash", 10), ("dhash", 9), ("phash", 13))])
+
+
 def references(hashed: DataFrame, every: int = 5) -> DataFrame:
     """Every fifth hash with vec_id % 10 of its bits flipped."""
     n = (F.col("vec_id") % 10).cast("int")
@@ -202,6 +222,21 @@ hashes AS (
 refs AS (SELECT 'r' || vec_id AS ref_id, xor(h, (CAST(1 AS BIGINT) << CAST(vec_id % 10 AS INTEGER)) - 1) AS ref_h FROM hashes WHERE vec_id % 5 = 0)"""
 
 
+_BITS = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(0, 64), lambda i: CASE WHEN {} THEN CASE WHEN i = 63 THEN CAST(-9223372036854775808 AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(i AS INTEGER) END ELSE CAST(0 AS BIGINT) END)), lambda a, b: a | b)"
+#: Three families of hashes; the transform hash by sums of cosines, in millionths as in the operator.
+FAMILIES = f"""lum AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1e0) * 127e0) AS INTEGER)) AS g, list_transform(list_concat(embedding, embedding[1:8]), lambda x: CAST(floor((CAST(x AS DOUBLE) + 1e0) * 127e0) AS INTEGER)) AS w FROM embeddings),
+cells AS (SELECT vec_id, i // 32 AS r, i % 32 AS c, CAST(g[i % 64 + 1] + i // 64 AS DOUBLE) AS v FROM lum, unnest(range(0, 1024)) AS x(i)),
+across AS (SELECT vec_id, r, l, sum(v * cos((2 * c + 1) * l * pi() / 64)) AS s FROM cells, unnest(range(0, 8)) AS y(l) GROUP BY ALL),
+low AS (SELECT vec_id, k * 8 + l - 1 AS i, floor(sum(s * cos((2 * r + 1) * k * pi() / 64)) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 32e0) * sqrt(CASE WHEN l = 0 THEN 1 ELSE 2 END / 32e0) * 1e6 + 5e-1) AS x FROM across, unnest(range(0, 8)) AS z(k) WHERE k + l > 0 GROUP BY vec_id, k, l),
+trans AS (SELECT vec_id, CAST(sum(CASE WHEN x > m THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END) AS BIGINT) AS p FROM low JOIN (SELECT vec_id AS v, list_sort(list(x))[32] AS m FROM low GROUP BY vec_id) ON v = vec_id GROUP BY vec_id),
+fams AS (SELECT vec_id, {_BITS.format("g[i + 1] > floor(list_sum(g) / 64e0)")} AS a, {_BITS.format("w[i // 8 * 9 + i % 8 + 1] > w[i // 8 * 9 + i % 8 + 2]")} AS h, p FROM lum JOIN trans USING (vec_id)),
+fref AS (SELECT 'r' || vec_id AS ref_id, xor(a, (CAST(1 AS BIGINT) << CAST(vec_id % 10 AS INTEGER)) - 1) AS a, xor(h, (CAST(1 AS BIGINT) << CAST(vec_id % 9 AS INTEGER)) - 1) AS h, xor(p, (CAST(1 AS BIGINT) << CAST(vec_id % 13 AS INTEGER)) - 1) AS p FROM fams WHERE vec_id % 5 = 0),
+fmatch AS (SELECT vec_id, 0 AS fam, ref_id, CAST(bit_count(xor(f.a, r.a)) AS INTEGER) AS d FROM fams f, fref r WHERE bit_count(xor(f.a, r.a)) <= 5
+  UNION ALL SELECT vec_id, 1, ref_id, CAST(bit_count(xor(f.h, r.h)) AS INTEGER) FROM fams f, fref r WHERE bit_count(xor(f.h, r.h)) <= 6
+  UNION ALL SELECT vec_id, 2, ref_id, CAST(bit_count(xor(f.p, r.p)) AS INTEGER) FROM fams f, fref r WHERE bit_count(xor(f.p, r.p)) <= 8),
+fbest AS (SELECT video_id, m.a AS match_distance, m.b AS frame, m.c AS family_ord, m.e AS ref_id FROM (SELECT vec_id // 2 AS video_id, min(struct_pack(a := d, b := vec_id, c := fam, e := ref_id)) AS m FROM fmatch GROUP BY vec_id // 2))"""
+
+
 def tracks(spark: SparkSession, d: str, n: int = 120) -> DataFrame:
     """(track_id, frame, openness, px, py, pupil_distance): n frames for each customer, by arithmetic."""
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("track_id"))
@@ -211,11 +246,15 @@ def tracks(spark: SparkSession, d: str, n: int = 120) -> DataFrame:
     return f.select("track_id", i.cast("bigint").alias("frame"), F.when((k % 5 != 0) & shut, 0.1).otherwise(0.8).alias("openness"), (F.lit(100.0) + (i * k % 9) * (k % 4) * F.lit(0.5)).alias("px"), (F.lit(80.0) + (i * i * k % 7) * (k % 3) * F.lit(0.25)).alias("py"), F.when(k % 13 == 0, 0.0).otherwise(60.0).alias("pupil_distance"))
 
 
-TRACKS = """track_frames AS (
+def tracks_sql(n: int = 120, name: str = "track_frames") -> str:
+    return f"""{name} AS (
   SELECT c_custkey AS track_id, CAST(i AS BIGINT) AS frame,
     CASE WHEN c_custkey % 5 <> 0 AND ((i + c_custkey) % (20 + c_custkey % 7 * 10)) < (2 + c_custkey % 12) THEN 1e-1 ELSE 8e-1 END AS openness,
     1e2 + (i * c_custkey % 9) * (c_custkey % 4) * 5e-1 AS px, 8e1 + (i * i * c_custkey % 7) * (c_custkey % 3) * 25e-2 AS py, CASE WHEN c_custkey % 13 = 0 THEN 0e0 ELSE 6e1 END AS pupil_distance
-  FROM customer, unnest(range(0, 121 - CAST(c_custkey % 3 AS BIGINT) * 40)) AS x(i) WHERE c_custkey <= 40)"""
+  FROM customer, unnest(range(0, {n + 1} - CAST(c_custkey % 3 AS BIGINT) * 40)) AS x(i))"""
+
+
+TRACKS = tracks_sql()
 
 
 def with_(*parts: str) -> str:

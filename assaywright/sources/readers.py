@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import os
+import re
 import tempfile
 import uuid
 from dataclasses import dataclass, fields
@@ -23,9 +24,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """A new folder below the one that all executors share (spark.checkpoint.dir). Where that is unset, a session on one machine gets a
+    temporary one; on a cluster it is an error."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="assaywright-")
         spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/assaywright/{name}-{uuid.uuid4().hex}"
@@ -64,9 +68,12 @@ def defaulted(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 
 def write_by_month(df: DataFrame, path: str, ts: str = "ts", keys: tuple[str, ...] = ("tenant_id",), mode: str = "append") -> None:
-    """A month partition for pruning and expiry; rows sorted by key inside files, so that row-group statistics skip."""
+    """A month partition for pruning and expiry; rows sorted by key inside files, so that row-group statistics skip.
+
+    Rows are dealt by ranges of (month, keys, time), so a tenant with very many rows in a month is spread over files as others are.
+    """
     by = df.withColumn("month", F.date_format(ts, "yyyyMM"))
-    by.repartition("month", *keys).sortWithinPartitions(*keys, ts).write.mode(mode).partitionBy("month").parquet(path)
+    by.repartitionByRange("month", *keys, ts).sortWithinPartitions("month", *keys, ts).write.mode(mode).partitionBy("month").parquet(path)
 
 
 def read_months(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
@@ -74,6 +81,24 @@ def read_months(spark: SparkSession, path: str, start: str, end: str) -> DataFra
     return spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path).filter(F.col("month").cast("string").between(start, end))
 
 
+def lookup(df: DataFrame, key: str, *values: object) -> DataFrame:
+    """Rows of the given keys: an equality filter that reaches the scan, where row-group statistics of sorted files skip the rest."""
+    return df.filter(F.col(key).isin(*values))
+
+
+def archive(df: DataFrame, path: str, cut: Column, ts: str = "ts", keys: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
+    """Move rows before `cut` to month partitions below path; returns the rows that stay."""
+    write_by_month(df.filter(F.col(ts) < cut), path, ts, keys)
+    return df.filter(~F.coalesce(F.col(ts) < cut, F.lit(False)))
+
+
+def write_keyed(df: DataFrame, path: str, key: list[str], message_id: str, parts: int = 16) -> None:
+    """Messages as a topic holds them: dealt to partitions by a hash of their key, in order of their ids within each, as lines of JSON."""
+    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+    lines = df.select(part.alias("partition"), F.concat_ws(":", *key).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"), message_id)
+    lines.repartition(parts, "partition").sortWithinPartitions("partition", message_id).drop(message_id).write.partitionBy("partition").option("compression", "lz4").json(path)
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
     if fmt not in ("json", "csv"):
         raise ValueError("reports are written as json or csv")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -39,11 +40,12 @@ def correlate(layers: DataFrame, late: str = "1 hour", timeout_ms: int = 3_600_0
             return
         got = list(state.get) if state.exists else [None, -1, None, -1, None, -1, 3]
         for pdf in batches:
-            for r in pdf.sort_values("ts").itertuples(index=False):
+            pdf = pdf.sort_values(["ts", "score"], kind="stable")
+            got[6] = int(pdf["terminal_tier"].iloc[-1])
+            for r in pdf.groupby("tier").tail(1).itertuples(index=False):  # the last of each tier: three rows at most
                 at, t = 2 * (int(r.tier) - 1), int(pd.Timestamp(r.ts).value // 1000)
                 if t >= got[at + 1]:
                     got[at], got[at + 1] = float(r.score), t
-                got[6] = int(r.terminal_tier)
         last = max(got[1], got[3], got[5])
         if got[2 * (got[6] - 1)] is not None and all(got[2 * (k - 1)] is not None for k in range(1, got[6] + 1)):
             if state.exists:
@@ -90,6 +92,39 @@ def fan_out(sinks: dict[str, Callable[[DataFrame], DataFrame]], root: str) -> Ca
     return write
 
 
+def session_counts(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "1 hour") -> DataFrame:
+    """Sessions of each key, closed by a gap without events: (by..., session_start, session_end, n)."""
+    s = F.session_window(ts, gap)
+    return events.withWatermark(ts, late).groupBy(*by, s.alias("w")).agg(F.count("*").alias("n")).select(*by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def guarded(write: Callable[[DataFrame, int], None], dead: str, attempts: int = 3, wait: Callable[[int], float] = lambda n: 0.0) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: up to `attempts` tries of write, wait(n) seconds after the n-th; then the batch goes to the dead letters below
+    `dead`, with what stopped it, and the stream goes on. A batch that comes again replaces its own letters."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for n in range(1, attempts + 1):
+                try:
+                    write(batch, number)
+                    return
+                except Exception as e:  # noqa: BLE001  whatever stops a batch must not stop the stream
+                    said = f"{type(e).__name__}: {e}"[:200]
+                    if n < attempts:
+                        time.sleep(wait(n))
+            batch.withColumns({"error": F.lit(said), "attempts": F.lit(attempts)}).write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def run_every(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 seconds"):
+    """A periodic job: starts a query that looks for new rows at fixed times, and returns it to be stopped by the caller."""
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there and stop."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
