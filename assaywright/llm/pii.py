@@ -92,7 +92,8 @@ def tokens(text: Column) -> Column:
     """All words and numbers with code points: array of (start, end, term), terms in lower case. As located(), but its sums run over
     pieces of PIECE tokens, so that the time of very long texts stays in proportion to their length."""
     parts = F.filter(F.zip_with(F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda gap, word: F.struct(F.length(gap).alias("gap"), F.length(word).alias("size"), F.lower(word).alias("term"))), lambda x: x["term"].isNotNull())
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(PIECE)), lambda i: F.slice(parts, i, F.lit(PIECE)))
+    # bound to a name, as a lambda would find all tokens anew for every piece
+    pieces = F.transform(F.array(parts), lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(PIECE)), lambda i: F.slice(p, i, F.lit(PIECE))))[0]
 
     def long(piece: Column) -> Column:
         return F.aggregate(piece, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
