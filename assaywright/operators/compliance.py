@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ed25519
 from ..functions.numeric import fixed, listed
 
 
@@ -132,10 +134,31 @@ def canonical(cols: list[str]) -> Column:
 
 
 def sign(df: DataFrame, cols: list[str], key_id: str) -> DataFrame:
-    """Adds content_hash (SHA-512 of the canonical JSON) and the key's id; the signature itself is made outside."""
+    """Adds content_hash (SHA-512 of the canonical JSON) and the key's id; the signature itself is made by sign_ed25519() or outside."""
     return df.withColumns({"content_hash": F.sha2(canonical(cols), 512), "key_id": F.lit(key_id)})
 
 
+def sign_ed25519(signed: DataFrame, seeds: dict[str, bytes]) -> DataFrame:
+    """Adds signature (Ed25519 over the bytes of content_hash) by the key of each row's key_id, in Arrow batches; null where there is no such
+    key. Keys are few and known to the caller."""
+
+    @F.pandas_udf("binary")
+    def run(key_id: pd.Series, content_hash: pd.Series) -> pd.Series:
+        return pd.Series([ed25519.sign(seeds[k], bytes.fromhex(h)) if k in seeds and h is not None else None for k, h in zip(key_id, content_hash, strict=True)])
+
+    return signed.withColumn("signature", run("key_id", "content_hash"))
+
+
+def check_ed25519(signed: DataFrame, public: dict[str, bytes]) -> DataFrame:
+    """Adds signature_valid: whether signature is that of content_hash by the key of key_id; false without a key or a signature."""
+
+    @F.pandas_udf("boolean")
+    def run(key_id: pd.Series, content_hash: pd.Series, signature: pd.Series) -> pd.Series:
+        return pd.Series([k in public and h is not None and s is not None and ed25519.verify(public[k], bytes.fromhex(h), bytes(s)) for k, h, s in zip(key_id, content_hash, signature, strict=True)])
+
+    return signed.withColumn("signature_valid", run("key_id", "content_hash", "signature"))
+
+
 def verify(signed: DataFrame, keys: DataFrame, cols: list[str], signed_at: str = "signed_at") -> DataFrame:
     """Adds content_hash_valid (the hash computed anew), key_status and key_valid_at_signing. keys: (key_id, status, valid_from, valid_until)."""
     got = signed.join(keys, "key_id", "left")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
@@ -52,3 +53,48 @@ def _guarded(fn: Callable[[pd.DataFrame], pd.Series]) -> Callable[[pd.DataFrame]
             return pd.DataFrame({"score": [0.0] * len(pdf), "failed": True})
 
     return call
+
+
+def platt_fit(df: DataFrame, score: str, label: str, rounds: int = 25) -> tuple[float, float]:
+    """(a, b) of the calibrated probability 1 / (1 + exp(-(a * score + b))), by Newton steps whose five sums are one aggregate each. Targets
+    are drawn in from 0 and 1 by the counts of either class, as Platt has it."""
+    rows = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("double").alias("y")).filter("s is not null and y is not null")
+    n = rows.agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).first()
+    if not n["p"] or not n["n"]:
+        raise ValueError("calibration needs rows of both classes")
+    target = F.when(F.col("y") > 0.5, (n["p"] + 1) / (n["p"] + 2)).otherwise(1 / (n["n"] + 2))
+    rows = rows.groupBy("s", target.alias("t")).agg(F.count("*").alias("k")).persist()  # at most two rows for each different score
+    a, b = 0.0, math.log((n["p"] + 1) / (n["n"] + 1))
+    try:
+        for _ in range(rounds):
+            p = 1 / (1 + F.exp(-(F.col("s") * a + b)))
+            d, w, k = p - F.col("t"), p * (1 - p), F.col("k")
+            g = rows.agg(F.sum(k * d * F.col("s")), F.sum(k * d), F.sum(k * w * F.col("s") * F.col("s")), F.sum(k * w * F.col("s")), F.sum(k * w)).first()
+            ga, gb, aa, ab, bb = (float(x) for x in g)
+            det = (aa + 1e-12) * (bb + 1e-12) - ab * ab
+            da, db = ((bb + 1e-12) * ga - ab * gb) / det, ((aa + 1e-12) * gb - ab * ga) / det
+            a, b = a - da, b - db
+            if abs(da) + abs(db) < 1e-10:
+                break
+    finally:
+        rows.unpersist()
+    return a, b
+
+
+def calibrated(score: Column, a: float, b: float) -> Column:
+    return 1 / (1 + F.exp(-(score * a + b)))
+
+
+def assigned(df: DataFrame, key: str, experiment: str, share: float) -> DataFrame:
+    """Adds variant: `candidate` for a share of keys, by a hash of the experiment's name and the key, so that a key stays where it is."""
+    point = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(experiment), F.col(key).cast("string")), 256), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn("variant", F.when(point < int(share * 2**32), "candidate").otherwise("current"))
+
+
+def canary(stats: DataFrame, least: int = 100, worse: float = 0.02) -> DataFrame:
+    """stats: (model, variant, scans, errors). For each model whether its candidate goes on, goes back (its error rate is more than `worse`
+    over the current one's) or waits for `least` scans."""
+    of = lambda v, c: F.coalesce(F.sum(F.when(F.col("variant") == v, F.col(c))), F.lit(0)).cast("bigint")
+    g = stats.groupBy("model").agg(of("candidate", "scans").alias("n"), of("candidate", "errors").alias("e"), of("current", "scans").alias("n0"), of("current", "errors").alias("e0"))
+    gap = F.coalesce(F.try_divide(F.col("e").cast("double"), F.col("n").cast("double")) - F.try_divide(F.col("e0").cast("double"), F.col("n0").cast("double")), F.lit(0.0))
+    return g.select("model", F.col("n").alias("candidate_scans"), gap.alias("error_gap"), F.when(F.col("n") < least, "WAIT").when(gap > worse, "ROLLBACK").otherwise("PROMOTE").alias("decision"))

@@ -102,3 +102,19 @@ def edge_action(df: DataFrame, most_bytes: int = 500_000_000) -> DataFrame:
     bad = ~F.coalesce(F.col("valid_format"), F.lit(False)) | (F.col("size_bytes") > most_bytes)
     action = F.when(bad, "REJECT").when(F.col("match_distance") == 0, "BLOCK").when(F.size("detected_tools") > 0, "FORWARD_HIGH").otherwise("FORWARD_NORMAL")
     return df.withColumn("edge_action", action).withColumn("cloud_tiers", F.when(F.col("edge_action") == "FORWARD_HIGH", "L1+L2+L3").when(F.col("edge_action") == "FORWARD_NORMAL", "L1+L2").when(F.col("edge_action") == "BLOCK", "AUDIT").otherwise("NONE"))
+
+
+def frame_entropy(grid: Column, levels: int = 16) -> Column:
+    """Shannon entropy in bits of the luminances (0 to 255) of a frame, over `levels` equal steps."""
+    step = 256 // levels
+    counts = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.size(F.filter(grid, lambda x: F.floor(x / step) == k)))
+    share = lambda n: n / F.size(grid)
+    return F.aggregate(counts, F.lit(0.0), lambda acc, n: acc - F.when(n > 0, share(n) * F.log2(share(n))).otherwise(0.0))
+
+
+def timestamp_scan(df: DataFrame, created: str = "created_at", modified: str = "modified_at", uploaded: str = "uploaded_at", slack: int = 86400) -> DataFrame:
+    """Adds timestamp_codes: a modification before the creation, either after the upload (but for `slack` seconds of wrong clocks), and
+    missing times."""
+    t = lambda c: F.unix_timestamp(c)
+    late = F.greatest(t(created), t(modified)) > t(uploaded) + slack
+    return df.withColumn("timestamp_codes", listed(F.when(t(modified) < t(created), F.lit("L1_META_TIME_ORDER")), F.when(late, F.lit("L1_META_TIME_FUTURE")), F.when(F.col(created).isNull() & F.col(modified).isNull(), F.lit("L1_META_TIME_MISSING"))))

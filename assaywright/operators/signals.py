@@ -218,3 +218,22 @@ def skin_means(pixels: DataFrame) -> DataFrame:
     """pixels: (track_id, frame, blue, green, red, skin). Mean colours of skin pixels; frames without any give 0."""
     m = lambda c: F.coalesce(F.avg(F.when(F.col("skin"), F.col(c))), F.lit(0.0)).alias(c)
     return pixels.groupBy("track_id", "frame").agg(m("red"), m("green"), m("blue"))
+
+
+def cheek_sync(frames: DataFrame, least: float = 0.0) -> DataFrame:
+    """frames: (track_id, frame, left, right), mean green of each cheek. Their correlation by track, from plain sums, and whether the blood
+    flow of the two sides runs against each other. A side without any change has no correlation."""
+    x, y = F.col("left").cast("double"), F.col("right").cast("double")
+    g = frames.filter(x.isNotNull() & y.isNotNull()).groupBy("track_id").agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))
+    n, sx, sy, xx, yy, xy = (F.col(c) for c in ("n", "x", "y", "xx", "yy", "xy"))
+    r = F.try_divide(n * xy - sx * sy, F.sqrt(n * xx - sx * sx) * F.sqrt(n * yy - sy * sy))
+    return g.select("track_id", r.alias("cheek_correlation")).withColumn("sync_fail", F.coalesce(F.col("cheek_correlation") < least, F.lit(False)))
+
+
+def facial_symmetry(marks: DataFrame) -> DataFrame:
+    """marks: (track_id, frame, pair, left_x, left_y, right_x, right_y, axis_x), pairs of landmarks on both sides of the face's axis. Mean
+    distance between a landmark and its mirrored partner, as a share of the mean width between them; by track."""
+    off = F.sqrt(F.pow(2 * F.col("axis_x") - F.col("right_x") - F.col("left_x"), 2) + F.pow(F.col("right_y") - F.col("left_y"), 2))
+    width = F.abs(F.col("right_x") - F.col("left_x"))
+    micro = lambda c: F.sum(F.floor(c * 1e6 + 0.5).cast("bigint"))
+    return marks.groupBy("track_id").agg(clamp01(F.coalesce(F.try_divide(micro(off).cast("double"), micro(width).cast("double")), F.lit(0.0))).alias("asymmetry"))

@@ -387,3 +387,55 @@ def upper_medians(spark, d):
 
     g = V.t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
     return g.select("l_orderkey", upper_median("q").alias("m"))
+
+
+@query(V.with_(V.HASHES, "g AS (SELECT vec_id, list_transform(range(0, 16), lambda k: len(list_filter(g, lambda x: x // 16 = k)) / 64e0) AS p FROM grids)") + f"SELECT vec_id, {_r6('list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN -x * log2(x) ELSE 0e0 END))')} AS entropy FROM g")
+def frame_entropy(spark, d):
+    grid = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1.0) * 127.0).cast("int"))
+    return V.t(spark, d, "embeddings").select("vec_id", round_to(l1.frame_entropy(grid), 6).alias("entropy"))
+
+
+@query("SELECT o_orderkey, concat_ws(',', CASE WHEN m < c THEN 'L1_META_TIME_ORDER' END, CASE WHEN greatest(c, m) > u + INTERVAL 1 DAY THEN 'L1_META_TIME_FUTURE' END, CASE WHEN c IS NULL AND m IS NULL THEN 'L1_META_TIME_MISSING' END) AS codes FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS c, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_days(CAST(o_custkey % 7 - 2 AS INTEGER)) END AS m, o_orderdate + to_days(2) AS u FROM orders)")
+def timestamp_scan(spark, d):
+    day = lambda n: F.make_dt_interval(days=n.cast("int"))
+    known = lambda c: F.when(F.col("o_orderstatus") != "P", c)
+    o = V.t(spark, d, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp"))
+    v = o.select("o_orderkey", known(F.col("t")).alias("created_at"), known(F.col("t") + day(F.col("o_custkey") % 7 - 2)).alias("modified_at"), (F.col("t") + day(F.lit(2))).alias("uploaded_at"))
+    return l1.timestamp_scan(v).select("o_orderkey", F.array_join("timestamp_codes", ",").alias("codes"))
+
+
+@query(f"WITH g AS (SELECT l_suppkey AS track_id, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy FROM (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS x, CAST(l_partkey % 97 AS DOUBLE) AS y FROM lineitem) GROUP BY l_suppkey), r AS (SELECT track_id, (n * xy - x * y) / nullif(sqrt(n * xx - x * x) * sqrt(n * yy - y * y), 0) AS r FROM g) SELECT track_id, {_r6('r')} AS cheek_correlation, coalesce(r < 0, false) AS sync_fail FROM r")
+def cheek_sync(spark, d):
+    f = V.t(spark, d, "lineitem").select(F.col("l_suppkey").alias("track_id"), F.col("l_orderkey").alias("frame"), F.col("l_quantity").alias("left"), (F.col("l_partkey") % 97).alias("right"))
+    return _rounded(signals.cheek_sync(f), "cheek_correlation")
+
+
+@query(f"WITH m AS (SELECT l_suppkey AS track_id, CAST(floor(sqrt(pow(2 * 100 - (130 + l_partkey % 7) - (60 + l_quantity % 5), 2) + pow(l_linenumber - 3, 2)) * 1e6 + 5e-1) AS BIGINT) AS o, CAST(floor(abs(130 + l_partkey % 7 - (60 + l_quantity % 5)) * 1e6 + 5e-1) AS BIGINT) AS w FROM lineitem) SELECT track_id, {_r6('greatest(0e0, least(1e0, CAST(sum(o) AS DOUBLE) / CAST(sum(w) AS DOUBLE)))')} AS asymmetry FROM m GROUP BY track_id")
+def facial_symmetry(spark, d):
+    m = V.t(spark, d, "lineitem").select(F.col("l_suppkey").alias("track_id"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("pair"), (F.col("l_quantity").cast("double") % 5 + 60).alias("left_x"), F.lit(3.0).alias("left_y"), (F.col("l_partkey") % 7 + 130.0).alias("right_x"), F.col("l_linenumber").cast("double").alias("right_y"), F.lit(100.0).alias("axis_x"))
+    return _rounded(signals.facial_symmetry(m), "asymmetry")
+
+
+@query("SELECT o_orderkey, CASE WHEN CAST('0x' || substr(sha256('tcn-v2:' || o_orderkey), 1, 8) AS BIGINT) < 858993459 THEN 'candidate' ELSE 'current' END AS variant FROM orders")
+def ab_assignment(spark, d):
+    from ..operators import ensemble
+
+    return ensemble.assigned(V.t(spark, d, "orders").select("o_orderkey"), "o_orderkey", "tcn-v2", 0.2)
+
+
+@query("WITH s AS (SELECT event_type AS model, sum(CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END) AS n, sum(CASE WHEN user_id % 5 = 0 AND value > 20 THEN 1 ELSE 0 END) AS e, sum(CASE WHEN user_id % 5 <> 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN user_id % 5 <> 0 AND value > 20 THEN 1 ELSE 0 END) AS e0 FROM events GROUP BY event_type), g AS (SELECT *, coalesce(CAST(e AS DOUBLE) / nullif(n, 0) - CAST(e0 AS DOUBLE) / nullif(n0, 0), 0e0) AS gap FROM s) SELECT model, CAST(n AS BIGINT) AS candidate_scans, floor(gap * 1e6 + 5e-1) / 1e6 AS error_gap, CASE WHEN n < 30 THEN 'WAIT' WHEN gap > 1e-3 THEN 'ROLLBACK' ELSE 'PROMOTE' END AS decision FROM g")
+def canary_decision(spark, d):
+    from ..operators import ensemble
+
+    e = V.t(spark, d, "events").groupBy(F.col("event_type").alias("model"), F.when(F.col("user_id") % 5 == 0, "candidate").otherwise("current").alias("variant")).agg(F.count("*").alias("scans"), F.count_if(F.col("value") > 20).alias("errors"))
+    return _rounded(ensemble.canary(e, 30, 1e-3), "error_gap")
+
+
+@query()
+def platt_calibration(spark, d):
+    """Scores of labelled documents, calibrated. Newton's steps have no equal in SQL; a test compares with numpy."""
+    from ..operators import ensemble
+
+    x = V.t(spark, d, "labels").select("doc_id", ((F.col("doc_id") * 7919 % 1000) / F.lit(1000.0) + F.col("toxic") * 0.3).alias("score"), "toxic")
+    a, b = ensemble.platt_fit(x, "score", "toxic")
+    return x.select("doc_id", round_to(ensemble.calibrated(F.col("score"), a, b), 6).alias("probability"))

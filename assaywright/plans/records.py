@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ed25519
 from ..functions.numeric import mean6
 from ..operators import compliance, ops, policy, quality, scoring
 from ..sources import readers
@@ -337,6 +338,31 @@ def sandbox_ground_truth(spark, d):
     return s.groupBy("category").agg(F.count("*").alias("samples"), F.count_if("is_fake").alias("fakes"), mean6("doc_len").alias("avg_chars"))
 
 
+SEEDS = {"k1": b"assaywright test key number one!", "k2": b"assaywright test key number two!"}
+
+
+@query("SELECT event_id AS scan_id, CASE WHEN user_id % 2 = 0 THEN 'k1' ELSE 'k2' END AS key_id, event_type <> 'error' AND NOT (event_type = 'click' AND user_id % 2 = 1) AS signature_valid FROM events")
+def ed25519_signatures(spark, d):
+    """Every event signed and checked: errors were changed after signing, and clicks of the second key are checked against the first."""
+    e = V.t(spark, d, "events").select(F.col("event_id").alias("scan_id"), "user_id", "event_type", "value")
+    e = e.repartition(spark.sparkContext.defaultParallelism)  # milliseconds a row: worth more tasks than a small file has
+    key = F.when(F.col("user_id") % 2 == 0, "k1").otherwise("k2")
+    signed = compliance.sign_ed25519(compliance.sign(e, ["scan_id", "event_type", "value"], "").withColumn("key_id", key), SEEDS)
+    later = signed.withColumn("content_hash", F.when(F.col("event_type") == "error", F.sha2(F.concat("content_hash", F.lit("x")), 512)).otherwise(F.col("content_hash")))
+    later = later.withColumn("key_id", F.when((F.col("event_type") == "click") & (F.col("user_id") % 2 == 1), "k1").otherwise(F.col("key_id")))
+    got = compliance.check_ed25519(later, {k: ed25519.public_key(v) for k, v in SEEDS.items()})
+    return got.select("scan_id", key.alias("key_id"), "signature_valid")
+
+
+@query("WITH a AS (SELECT user_id AS delivery_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events), d AS (SELECT delivery_id, max(attempt) AS attempts, bool_or(event_type = 'purchase') AS ok, max(struct_pack(a := attempt, t := ts)).t AS t FROM a WHERE attempt <= 1 + delivery_id % 5 GROUP BY delivery_id) SELECT delivery_id, CAST(attempts AS INTEGER) AS attempts, CASE WHEN ok THEN 'DELIVERED' WHEN attempts > 3 THEN 'DEAD' ELSE 'RETRY' END AS state, CASE WHEN NOT ok AND attempts <= 3 THEN t + to_seconds(CASE attempts WHEN 1 THEN 1 WHEN 2 THEN 10 ELSE 60 END) END AS next_at FROM d")
+def webhook_retries(spark, d):
+    """The first events of a user stand for the attempts of a delivery, which purchases end."""
+    from pyspark.sql import Window
+
+    e = V.t(spark, d, "events").withColumn("attempt", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter(F.col("attempt") <= 1 + F.col("user_id") % 5)
+    return readers.retry_schedule(e.select(F.col("user_id").alias("delivery_id"), "attempt", F.col("ts").cast("timestamp"), (F.col("event_type") == "purchase").alias("ok")))
+
+
 # ---- storage
 @query("SELECT o_orderkey, o_custkey, o_orderdate, strftime(o_orderdate, '%Y%m') AS month FROM orders WHERE strftime(o_orderdate, '%Y%m') BETWEEN '199703' AND '199806'")
 def month_scan(spark, d):

@@ -121,6 +121,16 @@ def fresh(ts: str, as_of: Column, seconds: int = 300) -> Column:
     return F.abs(F.unix_timestamp(as_of) - F.unix_timestamp(ts)) <= seconds
 
 
+def retry_schedule(attempts: DataFrame, waits: tuple[int, ...] = (1, 10, 60)) -> DataFrame:
+    """attempts: (delivery_id, attempt, ts, ok), attempts from 1. For each delivery its state (DELIVERED, RETRY or DEAD) and, where it is to be
+    tried again, when: after the n-th failure waits[n - 1] seconds on; after one more there is no next time."""
+    last = attempts.groupBy("delivery_id").agg(F.max(F.struct("attempt", "ts")).alias("m"), F.bool_or("ok").alias("ok"))
+    n = F.col("m.attempt")
+    wait = F.get(F.array(*[F.lit(w) for w in waits]), n - 1)
+    state = F.when(F.col("ok"), "DELIVERED").when(n > len(waits), "DEAD").otherwise("RETRY")
+    return last.select("delivery_id", n.alias("attempts"), state.alias("state"), F.when(state == "RETRY", F.col("m.ts") + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))).alias("next_at"))
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings with defaults, overridden by environment variables PREFIX__NAME."""
