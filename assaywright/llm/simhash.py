@@ -13,10 +13,14 @@ so mask i goes with flips in later blocks: 4 + 48 + 32 + 16 = 100 variants for e
 ball of radius two. Variants are shuffled, and colliding fingerprints are verified by their distance. A bucket holds at most
 49 * 2**16 distinct fingerprints (25 MB), so its size is bounded however many documents there are; large buckets are verified on
 65,536 words of flips and not by comparing all pairs. Buckets emit a star for each linked set, not pairs.
+
+near_copies() finds copies by similarity: fingerprints of single words, which single replaced words move by a bit or two, propose pairs by the
+same balls, and the share of common five-word shingles decides on them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,17 +150,30 @@ def bucket_stars(fps: np.ndarray, block: int, key: int) -> tuple[np.ndarray, np.
     return _stars_of(fps, label[v + size * (diff != 0)])
 
 
-def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
-    """(node, root): the distinct fingerprints that link with another, and the smallest (as unsigned) that each reaches.
+def neighbours(fps: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs among ascending fingerprints of one bucket: all among few, else of each with the next three and the first."""
+    if len(fps) <= few:
+        r, c = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= RADIUS, 1))
+        return fps[r], fps[c]
+    pairs = [(fps[:-k], fps[k:]) for k in (1, 2, 3)] + [(np.full(len(fps) - 1, fps[0]), fps[1:])]
+    near = [np.bitwise_count(x ^ y) <= RADIUS for x, y in pairs]
+    return tuple(np.concatenate([p[i][m] for p, m in zip(pairs, near, strict=True)]) for i in (0, 1))
 
-    fps: distinct fingerprints, stored.
-    """
-    spark = fps.sparkSession
-    ready(spark)
+
+def colliding(fps: DataFrame, fp: str = "fp", pairs: bool = False) -> DataFrame:
+    """(a, b): edges between distinct fingerprints (stored) that collide in a bucket and lie within the radius: a star for each linked set, or,
+    with pairs, neighbours()."""
+    ready(fps.sparkSession)
     plan = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("i"), F.lit(keep).cast("bigint").alias("keep"), F.lit(flip).cast("bigint").alias("flip")) for i, keep, flip in variant_plan()])
     variants = fps.select(fp, F.explode(plan).alias("v")).select(F.col("v.i").alias("i"), F.col(fp).bitwiseAND(F.col("v.keep")).bitwiseXOR(F.col("v.flip")).alias("k"), fp)
     dealt = variants.repartition("i", "k").sortWithinPartitions("i", "k", fp)
 
+    def of(some: np.ndarray, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        some = np.unique(some.view(np.uint64))
+        if pairs:
+            return neighbours(some)
+        return stars(some) if len(some) <= 4096 else bucket_stars(some, i, k)
+
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         rest = np.zeros((3, 0), np.int64)
@@ -172,8 +189,7 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
             a.append(np.minimum(u, v)[near])
             b.append(np.maximum(u, v)[near])
             for s, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                some = np.unique(x[s : s + n].view(np.uint64))
-                p, q = stars(some) if n <= 4096 else bucket_stars(some, int(i[s]), int(k[s]))
+                p, q = of(x[s : s + n], int(i[s]), int(k[s]))
                 a.append(p)
                 b.append(q)
             p, q = np.concatenate(a).tolist(), np.concatenate(b).tolist()
@@ -195,7 +211,15 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
         if rest.shape[1]:
             yield edges(*rest)
 
-    found = dealt.mapInArrow(released(verify, 1 << 20), "a bigint, b bigint")
+    return dealt.mapInArrow(released(verify, 1 << 20), "a bigint, b bigint")
+
+
+def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
+    """(node, root): the distinct fingerprints that link with another, and the smallest (as unsigned) that each reaches.
+
+    fps: distinct fingerprints, stored.
+    """
+    found = colliding(fps, fp)
     flip = F.lit(-(1 << 63)).cast("bigint")  # so that signed order is the order of unsigned values
     return components(found.select(F.col("a").bitwiseXOR(flip).alias("a"), F.col("b").bitwiseXOR(flip).alias("b"))).select(F.col("node").bitwiseXOR(flip).alias("node"), F.col("root").bitwiseXOR(flip).alias("root"))
 
@@ -217,6 +241,163 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.join(ids, "fp")
 
 
+# ---- copies by similarity
+class _Words:
+    """Hashes of words, kept for the next texts."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > 200_000:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-th of several independent hashes of what h is a hash of."""
+    if n:
+        h = h + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _majority(h: np.ndarray) -> int:
+    total = np.zeros(64, np.int64)
+    for lo in range(0, len(h), 1 << 16):
+        total += np.unpackbits(np.ascontiguousarray(h[lo : lo + (1 << 16)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0])
+
+
+def _shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """Different hashes of the runs of `words` words; of fewer, of the whole."""
+    n = max(1, len(h) - words + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(words, len(h))):
+        out = (out ^ h[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def _sequence(raw: bytes) -> tuple[list[bytes], bytes]:
+    """The lower-cased words of a text in UTF-8, and a digest that stands for their sequence."""
+    parts = raw.lower().split()
+    return parts, hashlib.blake2b(b" ".join(parts), digest_size=16).digest()
+
+
+def with_sequence(df: DataFrame, text: str = "text", name: str = "digest") -> DataFrame:
+    """Adds the digest of each text's sequence of lower-cased words, as near_copies() has it. A column of this name is replaced."""
+    ready(df.sparkSession)
+    df = df.drop(name)
+    schema = df.select("*", F.lit(None).cast("binary").alias(name)).schema
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            data, offs = flat_utf8(batch.column(batch.schema.get_field_index(text)))
+            raw = data.tobytes()
+            got = [_sequence(raw[s:e])[1] for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, name])
+
+    return df.mapInArrow(released(run), schema)
+
+
+def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8, hashes: int = 2) -> DataFrame:
+    """(key, digest, low, low_digest) of every row: digest names the text's sequence of lower-cased words; low and low_digest are the smallest key
+    of its group, and the digest of that row.
+
+    Texts of one word sequence are one group. Two others link if their shingles of `words` words (fewer: the whole) are alike: common ones
+    over all of both, at least `similarity`, counted exactly. Pairs are proposed where one of `hashes` fingerprints over single words lies
+    within three bits, so most links are found, not all (README); none below `similarity` is made. In groups of many copies each is tried with
+    some neighbours and not with all. Null texts, and texts without words, are one sequence. A null key is larger than any other. An empty
+    table gives no rows.
+    """
+    ready(df.sparkSession)
+    kind = df.schema[key].dataType.simpleString()
+    names = [f"f{k}" for k in range(hashes)]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = _Words()
+        for batch in it:
+            data, offs = flat_utf8(batch.column(1))
+            raw = data.tobytes()
+            digests, prints = [], []
+            for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                parts, digest = _sequence(raw[s:e])
+                digests.append(digest)
+                h = look(parts)
+                prints.append([_majority(_mixed(h, k)) if len(h) else 0 for k in range(hashes)])
+            cols = np.array(prints, np.int64).reshape(-1, hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(cols[:, k]) for k in range(hashes))], [key, "digest", *names])
+
+    rows = stored(df.select(key, text).mapInArrow(released(run), f"`{key}` {kind}, digest binary, " + ", ".join(f"{c} bigint" for c in names)), "word-fingerprints")
+    items = stored(rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in names], F.min(key).alias("low")), "word-sequences")
+    proposed = None
+    for k, name in enumerate(names):
+        other = names[k - 1]
+        one = stored(items.groupBy(name).agg(F.min("digest").alias("rep")), "word-classes")
+        far = colliding(one.select(F.col(name).alias("fp")), pairs=True).distinct()
+        far = far.join(one.select(F.col(name).alias("a"), F.col("rep").alias("ra")), "a").join(one.select(F.col(name).alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
+
+        def chain(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                f, g = np.asarray(batch.column(0)), batch.column(1)
+                at = np.concatenate([np.flatnonzero(f[step:] == f[:-step]) * 4 + step for step in (1, 2, 3) if len(f) > step] or [np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([g.take(pa.array(at // 4)), g.take(pa.array(at // 4 + at % 4))], ["ra", "rb"])
+
+        # texts of one fingerprint: each with the next ones in the order of another fingerprint, and with the first
+        same = items.select(name, "digest", other).repartitionByRange(name, other, "digest").sortWithinPartitions(name, other, "digest").select(name, "digest").mapInArrow(released(chain, 1 << 16), "ra binary, rb binary")
+        first = items.join(one, name).filter("digest <> rep").select(F.col("rep").alias("ra"), F.col("digest").alias("rb"))
+        for more in (far, same, first):
+            proposed = more if proposed is None else proposed.union(more)
+    pairs = stored(proposed.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "proposed-pairs")
+
+    # the texts of proposed pairs, one of each sequence
+    needed = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    sequences = rows.join(needed, "digest", "left_semi").select(key, "digest")
+    one_row = sequences.groupBy("digest").agg(F.min(key).alias("_key"))
+    texts = stored(df.select(key, F.coalesce(text, F.lit("")).alias("t")).join(one_row, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).select("digest", "t").mapInArrow(released(_true_texts), "digest binary, t string").groupBy("digest").agg(F.first("t").alias("t")), "pair-texts")
+
+    def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, held = _Words(), {}
+
+        def of(name: bytes, t: str) -> np.ndarray:
+            if name not in held:
+                if len(held) > 32:
+                    held.clear()
+                held[name] = _shingles(look(t.encode().lower().split()), words)
+            return held[name]
+
+        for batch in it:
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for i in range(len(a)):
+                x, y = of(a[i], ta[i]), of(b[i], tb[i])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
+
+    side = lambda c: texts.select(F.col("digest").alias(c), F.col("t").alias(f"t{c}"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(released(alike), "a binary, b binary")
+    roots = components(close)
+    grouped = stored(items.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")), "copy-groups")
+    best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest"))
+    lows = grouped.groupBy("root").agg(best.alias("m")).select("root", F.col("m.low").alias("low"), F.col("m.digest").alias("low_digest"))
+    return rows.select(key, "digest").join(grouped.select("digest", "root"), "digest").join(lows, "root").select(key, "digest", "low", "low_digest")
+
+
+def _true_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (digest, text) rows those whose text has that sequence of words: a key may stand for several texts."""
+    for batch in it:
+        keep = [i for i, (d, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if _sequence(t.encode())[1] == d]
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     docs = table(spark, sf_dir, "documents")

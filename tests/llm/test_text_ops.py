@@ -175,6 +175,53 @@ def test_large_buckets(spread):
         assert as_sets(small) == as_sets(large)
 
 
+def alike(a: str | None, b: str | None) -> float:
+    x, y = ((t or "").lower().split() for t in (a, b))
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies(spark):
+    """No link below the similarity, most links at or above it, one group for each word sequence."""
+    r = random.Random(17)
+    vocab = [f"w{k}" for k in range(900)]
+    base = [" ".join(r.choice(vocab) for _ in range(r.randint(60, 300))) for _ in range(60)]
+    texts = list(base)
+    for t in base[:40]:
+        for p in (0.004, 0.01, 0.015, 0.03, 0.08):
+            texts.append(" ".join(r.choice(vocab) if r.random() < p else w for w in t.split()))
+    texts += [base[0].upper().replace(" ", "  "), base[1], "", None, "  ", "one two", "one two", "one three", "w1 w2 w3 w4 w5", "w1 w2 w3 w4 w6"] + ["same " * 50 + x for x in ("a", "b")]
+    many = " ".join(r.choice(vocab) for _ in range(400))  # a large group of copies, more than are tried with each other
+    texts += [" ".join(w if k != i else "changed" for k, w in enumerate(many.split())) for i in range(0, 400, 4)]
+    rows = [(100 + i, t, "own") for i, t in enumerate(texts)] + [(100, texts[0], "own"), (None, "null key", "own"), (None, "null key too", "own"), (7, base[3], "own")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, digest string").repartition(3)
+    got = simhash.near_copies(df, "doc_id").collect()
+    assert len(got) == len(rows)
+    group = {(x["doc_id"], x["digest"]): (x["low"], x["low_digest"]) for x in got}
+    by_text = {}
+    for i, t, _ in rows:
+        key = " ".join((t or "").lower().split())
+        by_text.setdefault(key, set()).add(group[i, hashlib.blake2b(key.encode(), digest_size=16).digest()])
+    assert all(len(v) == 1 for v in by_text.values())  # one sequence, one group
+    seqs = sorted(by_text)
+    root = {k: next(iter(by_text[k])) for k in seqs}
+    near = [(a, b) for i, a in enumerate(seqs) for b in seqs[:i] if alike(a, b) >= 0.8]
+    par = {k: k for k in seqs}
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a, b in near:
+        par[find(a)] = find(b)
+    for a in seqs:  # groups are parts of the true ones
+        assert all(find(a) == find(b) for b in seqs if root[a] == root[b])
+    assert np.mean([root[a] == root[b] for a, b in near]) > 0.93
+    assert sum(v == (7, hashlib.blake2b(base[3].lower().encode(), digest_size=16).digest()) for v in root.values()) >= 2  # the smallest id stands for them
+    assert simhash.near_copies(df.limit(0), "doc_id").count() == 0
+
+
 def test_simhash_links_all_distances(spark):
     r = np.random.default_rng(1)
     fps = []
