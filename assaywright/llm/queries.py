@@ -35,8 +35,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-#: The other operators have no equal in SQL: hashes, models, codecs and packings.
+#: The other operators have no equal in SQL: hashes, models, codecs and packings. op3 tells windows by their MD5 here.
 ORACLE = {
+    "op3_suffix_array_dedup": """WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(range(0, len(h) // 2 - 199)) AS u(i)),
+again AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT k, i FROM w WHERE s IN (SELECT s FROM again)),
+runs AS (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS r FROM (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM hits)),
+spans AS (SELECT k, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY k, r),
+gaps AS (SELECT k, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT k, max(b), NULL FROM spans GROUP BY k),
+kept AS (SELECT k, string_agg(CASE WHEN g.b IS NULL THEN substr(h, 2 * g.a + 1) ELSE substr(h, 2 * g.a + 1, 2 * (g.b - g.a)) END, '' ORDER BY g.a, g.b NULLS LAST) AS h FROM gaps g JOIN d USING (k) GROUP BY k),
+n AS (SELECT k, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY k)
+SELECT doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept USING (k) LEFT JOIN n USING (k)""",
     "op10_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 ok AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 95e-2),

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import flat_utf8, ready, released, stored, table
+from ._common import discard, flat_utf8, ready, released, stored, table
 from .components import components
 
 RADIUS = 3
@@ -334,12 +334,18 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
             cols = np.array(prints, np.int64).reshape(-1, hashes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(cols[:, k]) for k in range(hashes))], [key, "digest", *names])
 
+    made: list[DataFrame] = []
+
+    def held(some: DataFrame, name: str) -> DataFrame:
+        made.append(stored(some, name))
+        return made[-1]
+
     rows = stored(df.select(key, text).mapInArrow(released(run), f"`{key}` {kind}, digest binary, " + ", ".join(f"{c} bigint" for c in names)), "word-fingerprints")
-    items = stored(rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in names], F.min(key).alias("low")), "word-sequences")
+    items = held(rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in names], F.min(key).alias("low")), "word-sequences")
     proposed = None
     for k, name in enumerate(names):
         other = names[k - 1]
-        one = stored(items.groupBy(name).agg(F.min("digest").alias("rep")), "word-classes")
+        one = held(items.groupBy(name).agg(F.min("digest").alias("rep")), "word-classes")
         far = colliding(one.select(F.col(name).alias("fp")), pairs=True).distinct()
         far = far.join(one.select(F.col(name).alias("a"), F.col("rep").alias("ra")), "a").join(one.select(F.col(name).alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
 
@@ -354,23 +360,23 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
         first = items.join(one, name).filter("digest <> rep").select(F.col("rep").alias("ra"), F.col("digest").alias("rb"))
         for more in (far, same, first):
             proposed = more if proposed is None else proposed.union(more)
-    pairs = stored(proposed.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "proposed-pairs")
+    pairs = held(proposed.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "proposed-pairs")
 
     # the texts of proposed pairs, one of each sequence
     needed = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     sequences = rows.join(needed, "digest", "left_semi").select(key, "digest")
     one_row = sequences.groupBy("digest").agg(F.min(key).alias("_key"))
-    texts = stored(df.select(key, F.coalesce(text, F.lit("")).alias("t")).join(one_row, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).select("digest", "t").mapInArrow(released(_true_texts), "digest binary, t string").groupBy("digest").agg(F.first("t").alias("t")), "pair-texts")
+    texts = held(df.select(key, F.coalesce(text, F.lit("")).alias("t")).join(one_row, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).select("digest", "t").mapInArrow(released(_true_texts), "digest binary, t string").groupBy("digest").agg(F.first("t").alias("t")), "pair-texts")
 
     def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, held = _Words(), {}
+        look, last = _Words(), {}
 
         def of(name: bytes, t: str) -> np.ndarray:
-            if name not in held:
-                if len(held) > 32:
-                    held.clear()
-                held[name] = _shingles(look(t.encode().lower().split()), words)
-            return held[name]
+            if name not in last:
+                if len(last) > 32:
+                    last.clear()
+                last[name] = _shingles(look(t.encode().lower().split()), words)
+            return last[name]
 
         for batch in it:
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
@@ -386,6 +392,8 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
     close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(released(alike), "a binary, b binary")
     roots = components(close)
     grouped = stored(items.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")), "copy-groups")
+    for table_ in made:
+        discard(table_)
     best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest"))
     lows = grouped.groupBy("root").agg(best.alias("m")).select("root", F.col("m.low").alias("low"), F.col("m.digest").alias("low_digest"))
     return rows.select(key, "digest").join(grouped.select("digest", "root"), "digest").join(lows, "root").select(key, "digest", "low", "low_digest")
