@@ -431,9 +431,15 @@ def canary_decision(spark, d):
     return _rounded(ensemble.canary(e, 30, 1e-3), "error_gap")
 
 
-@query()
+_PLATT = """x AS (SELECT doc_id, (doc_id * 7919 % 1000) / 1e3 + toxic * 3e-1 AS s, toxic FROM labels), c AS (SELECT sum(toxic) AS p, sum(1 - toxic) AS n FROM x), y AS (SELECT s, CASE WHEN toxic = 1 THEN (p + 1) / CAST(p + 2 AS DOUBLE) ELSE 1 / CAST(n + 2 AS DOUBLE) END AS t FROM x, c),
+it AS (SELECT 0 AS k, 0e0 AS a, ln((p + 1) / CAST(n + 1 AS DOUBLE)) AS b FROM c
+  UNION ALL SELECT k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT k, a, b, sum((q - t) * s) AS ga, sum(q - t) AS gb, sum(q * (1 - q) * s * s) + 1e-12 AS haa, sum(q * (1 - q) * s) AS hab, sum(q * (1 - q)) + 1e-12 AS hbb FROM (SELECT k, a, b, s, t, 1 / (1 + exp(-(s * a + b))) AS q FROM it, y) GROUP BY k, a, b) WHERE k < 15)"""
+
+
+@query(f"WITH RECURSIVE {_PLATT} SELECT doc_id, {_r6('1 / (1 + exp(-(s * a + b)))').replace('floor(1 / (1 + exp(-(s * a + b))) * 1e6', 'floor((1 / (1 + exp(-(s * a + b)))) * 1e6')} AS probability FROM x, it WHERE k = 15")
 def platt_calibration(spark, d):
-    """Scores of labelled documents, calibrated. Newton's steps have no equal in SQL; a test compares with numpy."""
+    """Scores of labelled documents, calibrated by Newton's steps."""
     from ..operators import ensemble
 
     x = V.t(spark, d, "labels").select("doc_id", ((F.col("doc_id") * 7919 % 1000) / F.lit(1000.0) + F.col("toxic") * 0.3).alias("score"), "toxic")
