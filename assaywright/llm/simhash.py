@@ -14,8 +14,9 @@ ball of radius two. Variants are shuffled, and colliding fingerprints are verifi
 49 * 2**16 distinct fingerprints (25 MB), so its size is bounded however many documents there are; large buckets are verified on
 65,536 words of flips and not by comparing all pairs. Buckets emit a star for each linked set, not pairs.
 
-near_copies() finds copies by similarity: fingerprints of single words, which single replaced words move by a bit or two, propose pairs by the
-same balls, and the share of common five-word shingles decides on them.
+near_copies() finds copies by similarity: fingerprints over a text's different words, which replaced words move less than those over
+shingles, propose pairs by the same balls, and the share of common five-word shingles decides on them. Each word counts once, as the
+frequent words of a language would make all its long texts alike.
 """
 
 from __future__ import annotations
@@ -260,7 +261,7 @@ class _Words:
 def _mixed(h: np.ndarray, n: int) -> np.ndarray:
     """The n-th of several independent hashes of what h is a hash of."""
     if n:
-        h = h + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+        h = h + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
         h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
@@ -306,12 +307,12 @@ def with_sequence(df: DataFrame, text: str = "text", name: str = "digest") -> Da
     return df.mapInArrow(released(run), schema)
 
 
-def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8, hashes: int = 2) -> DataFrame:
+def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8, hashes: int = 3) -> DataFrame:
     """(key, digest, low, low_digest) of every row: digest names the text's sequence of lower-cased words; low and low_digest are the smallest key
     of its group, and the digest of that row.
 
     Texts of one word sequence are one group. Two others link if their shingles of `words` words (fewer: the whole) are alike: common ones
-    over all of both, at least `similarity`, counted exactly. Pairs are proposed where one of `hashes` fingerprints over single words lies
+    over all of both, at least `similarity`, counted exactly. Pairs are proposed where one of `hashes` fingerprints over different words lies
     within three bits, so most links are found, not all (README); none below `similarity` is made. In groups of many copies each is tried with
     some neighbours and not with all. Null texts, and texts without words, are one sequence. A null key is larger than any other. An empty
     table gives no rows.
@@ -329,7 +330,7 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
             for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 parts, digest = _sequence(raw[s:e])
                 digests.append(digest)
-                h = look(parts)
+                h = np.unique(look(parts))
                 prints.append([_majority(_mixed(h, k)) if len(h) else 0 for k in range(hashes)])
             cols = np.array(prints, np.int64).reshape(-1, hashes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(cols[:, k]) for k in range(hashes))], [key, "digest", *names])
