@@ -19,6 +19,8 @@ import ctypes
 import functools
 import hashlib
 import html as entities
+import io
+import pkgutil
 import re
 import zlib
 from collections.abc import Iterator
@@ -460,7 +462,7 @@ def fit(pages: int, epochs: int, seed: int) -> Labeller:
 
 def recipe() -> str:
     """What the weights hang on: the numbers above and a digest of the page maker and of this module's reading of pages."""
-    made = hashlib.sha256((Path(__file__).with_name("_pages.py").read_text()).encode())
+    made = hashlib.sha256(pkgutil.get_data(__package__, "_pages.py") or b"")
     made.update("".join(f"{b.text}|{b.path.tolist()}|{b.linked}" for b in blocks(Maker(SEED).page())).encode())
     return f"{TRAIN_PAGES} pages, {EPOCHS} epochs, seed {SEED}, {made.hexdigest()}"
 
@@ -469,8 +471,12 @@ def recipe() -> str:
 def trained() -> Labeller:
     """The labeller with the stored weights, or trained anew if there are none of this recipe."""
     model = Labeller()
-    if WEIGHTS.is_file():
-        with np.load(WEIGHTS, allow_pickle=False) as f:
+    try:
+        stored = pkgutil.get_data(__package__, WEIGHTS.name)  # from a folder or a zip
+    except FileNotFoundError:
+        stored = None
+    if stored:
+        with np.load(io.BytesIO(stored), allow_pickle=False) as f:
             if str(f["recipe"]) == recipe():
                 model.w = {k: f[k].astype(np.float32) for k in model.w}
                 return model

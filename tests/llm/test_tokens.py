@@ -192,6 +192,24 @@ def test_packing(spark):
     assert packing.pack(packing.stored(packing.token_pieces(df.limit(0), "doc_id"), "none"), "doc_id").count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from assaywright.llm._common import shared_dir
+
+    def session(master: str, found: str | None):
+        kept = []
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: found, setCheckpointDir=kept.append)
+        return SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d)), kept
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master, None)[0])
+        assert shared_dir(session(master, "hdfs://x/cp")[0]) == "hdfs://x/cp"
+    one, kept = session("local[4]", None)
+    assert shared_dir(one).startswith("file://") and len(kept) == 1
+
+
 # ---- the registered queries
 def corpus(spark, tmp_path):
     """A documents table with hard rows and a clash of every column that a query adds."""
