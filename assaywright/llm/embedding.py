@@ -2,8 +2,9 @@
 
 Unit vectors are rotated onto the eigenvectors of the corpus' second moments (a rotation keeps every cosine), largest first, and
 ordered by their first coordinate into blocks of bounded size: intervals of it, of which one that too many vectors share is dealt to
-several blocks by hash. Two blocks meet in a tile only if their first coordinates are near enough for the threshold. In a tile the
-leading coordinates are multiplied first; what the rest can add is at most the product of the suffix norms, and pairs for which
+several blocks by hash. Two blocks meet in a tile only if their first coordinates are near enough for the threshold. In a tile,
+vectors are compared in parts that lie in small boxes of the leading coordinates, and parts whose boxes are too far apart are not
+compared at all. Leading coordinates are multiplied first; what the rest can add is at most the product of the suffix norms, and pairs for which
 even that stays below the threshold stop there. Survivors get further coordinates, and those left are decided by the cosine in double
 precision; so near the threshold that rounding could tell, by dot products of the vectors as given. A tile returns one row for
 each vector that has a link in it: its number of links and the smallest vector that it reaches there, so dense groups never
@@ -28,6 +29,8 @@ THRESHOLD = 0.95
 BLOCK_BYTES, LEAST_BLOCKS = 4 << 20, 4
 #: Intervals of the first coordinate that are counted, and vectors that are compared at once.
 BINS, SUB = 1 << 16, 1024
+#: Leading coordinates in which vectors that are compared at once are bounded.
+BOX = 8
 #: Coordinates after which the bound is tried.
 STAGES = (16, 32)
 #: What rounding in single precision, and in products of unit vectors, may hide.
@@ -106,6 +109,9 @@ def compare_tile(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, raw: np
     first = np.flatnonzero(block == block.min())
     second = np.flatnonzero(block == block.max())
     same = block.min() == block.max()
+    # in the order of the second coordinate, so that what is compared at once lies in a small box of the leading ones
+    first, second = (x[np.argsort(rotated[x, min(1, rotated.shape[1] - 1)], kind="stable")] for x in (first, second))
+    boxes = {id(x): [(p.min(axis=0), p.max(axis=0)) for p in (rotated[x[i : i + SUB], :BOX] for i in range(0, len(x), SUB))] for x in (first, second)}
     links = np.zeros(len(ids), np.int64)
     parent = list(range(len(ids)))
 
@@ -119,6 +125,10 @@ def compare_tile(ids: np.ndarray, copies: np.ndarray, block: np.ndarray, raw: np
         a = first[i : i + SUB]
         for j in range(i if same else 0, len(second), SUB):
             b = second[j : j + SUB]
+            (a_low, a_high), (b_low, b_high) = boxes[id(first)][i // SUB], boxes[id(second)][j // SUB]
+            apart = np.maximum(0, np.maximum(a_low - b_high, b_low - a_high)).astype(np.float64)
+            if (apart * apart).sum() > 2 - 2 * threshold + SLACK:  # no two of them are near enough
+                continue
             near = near_pairs((raw[a], raw[b]), (units[a], units[b]), (rotated[a], rotated[b]), threshold)
             if same and i == j:
                 near &= ~np.eye(len(a), dtype=bool)
