@@ -38,14 +38,16 @@ def dhash(grid: Column) -> Column:
     return _bits(F.transform(at, lambda i: F.get(grid, (F.floor(i / 8) * 9 + i % 8).cast("int")) > F.get(grid, (F.floor(i / 8) * 9 + i % 8 + 1).cast("int"))))
 
 
-def phash_of(grid: np.ndarray) -> int:
-    """grid: 32 x 32. The 63 lowest frequencies of the orthonormal cosine transform without the constant, against their upper median; in
+def phash_of(grids: np.ndarray) -> np.ndarray:
+    """grids: any number of 32 x 32. The 63 lowest frequencies of the orthonormal cosine transform without the constant, against their upper median; in
     millionths, so that frequencies that are equal but for rounding are equal."""
     n = 32
     k = np.arange(n)
     c = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / (2 * n)) * np.sqrt(np.where(k == 0, 1, 2) / n)[:, None]
-    low = np.floor((c @ np.asarray(grid, float).reshape(n, n) @ c.T)[:8, :8].reshape(-1)[1:] * 1e6 + 0.5)
-    return sum(1 << i for i, x in enumerate(low) if x > np.sort(low)[31])
+    c = c[:8]
+    low = np.floor((c @ np.asarray(grids, float).reshape(-1, n, n) @ c.T).reshape(-1, 64)[:, 1:] * 1e6 + 0.5)
+    bits = low > np.sort(low, axis=1)[:, 31:32]
+    return (bits.astype(np.int64) << np.arange(63)).sum(axis=1)
 
 
 def phash(df: DataFrame, grid: str = "grid", name: str = "phash") -> DataFrame:
@@ -54,8 +56,12 @@ def phash(df: DataFrame, grid: str = "grid", name: str = "phash") -> DataFrame:
 
     def run(it):
         for batch in it:
-            got = [None if g is None else phash_of(g) for g in batch.column(batch.schema.get_field_index(grid)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], [*batch.schema.names, name])
+            col = batch.column(batch.schema.get_field_index(grid))
+            there = np.asarray(col.is_valid())
+            got = np.zeros(batch.num_rows, np.int64)
+            if there.any():
+                got[there] = phash_of(np.asarray(col.drop_null().flatten(), float))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64(), mask=~there)], [*batch.schema.names, name])
 
     return df.mapInArrow(run, out)
 
