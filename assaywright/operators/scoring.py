@@ -16,6 +16,8 @@ from ..functions.numeric import clamp01, fixed, listed
 
 @dataclass(frozen=True)
 class Weights:
+    """Weights of the layers."""
+
     l1: float = 0.20
     l2: float = 0.35
     l3: float = 0.45
@@ -23,13 +25,16 @@ class Weights:
 
 @dataclass(frozen=True)
 class Thresholds:
+    """Upper ends of the verdicts' bands."""
+
     allow_max: float = 0.30
     flag_max: float = 0.60
     flag_urgent_max: float = 0.85
 
 
+#: What context adds to the multiplier.
 PUBLIC_FIGURE, POLITICAL, TRUST_ANOMALY = 0.30, 0.20, 0.15
-#: Weights of the signals of the second layer.
+#: Weights of the signals of the second layer.
 L2_WEIGHTS = {"micro_flicker_score": 0.20, "rppg_absence_score": 0.25, "eye_movement_anomaly_score": 0.20, "skin_texture_anomaly_score": 0.15, "facial_symmetry_score": 0.20}
 
 
@@ -82,6 +87,7 @@ def _scored(text: str, score: Column, tail: str = ")") -> Column:
 
 
 def l1_reasons(l1: Column, composite: Column) -> list[Column]:
+    # fixed values: bounds, codes, wording and confidences
     tools = l1["detected_editing_tools"]
     return [
         _reason(l1["hash_match_found"], "L1_HASH_MATCH", "L1_HASH", F.concat(F.lit("Media matches known deepfake hash"), F.coalesce(F.concat(F.lit(" (id: "), l1["hash_match_id"], F.lit(")")), F.lit(""))), 0.99),
@@ -100,6 +106,7 @@ L2_RULES = (
     ("skin_texture_anomaly_score", 0.5, "L2_SKIN_TEXTURE", "Skin texture inconsistency detected"),
     ("facial_symmetry_score", 0.5, "L2_FACIAL_SYMMETRY", "Unnatural facial symmetry pattern"),
 )
+#: Fixed values, as above.
 L3_RULES = (
     ("vit_general_score", 0.6, "L3_VIT_DETECTION", "Vision Transformer detected synthetic artifacts"),
     ("efficientnet_gan_score", 0.6, "L3_GAN_DETECTION", "GAN-specific detector triggered"),
@@ -120,6 +127,7 @@ def l3_reasons(l3: Column) -> list[Column]:
 
 
 def context_reasons(ctx: Column) -> list[Column]:
+    # fixed values: bound, codes, wording and confidences
     p = ctx["political_content_score"]
     return [
         _reason(ctx["public_figure_detected"], "CTX_PUBLIC_FIGURE", "CONTEXT", "Public figure detected -- risk multiplier applied (+0.30)", 0.90),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp01, listed
 
+#: Least frames, frequencies in Hz, filter order, and where scores are full; eye openness and gaze jumps; the bound to go on.
 FLICKER_FRAMES, FLICKER_HZ, FLICKER_FULL = 60, 8.0, 0.30
 PULSE_FRAMES, PULSE_LOW, PULSE_HIGH, PULSE_ORDER, PULSE_FULL = 150, 0.7, 4.0, 4, 6.0
 EYE_FRAMES, CLOSED, JUMP = 90, 0.3, 0.02

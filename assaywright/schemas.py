@@ -13,6 +13,7 @@ def _struct(ddl: str) -> T.StructType:
     return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in ddl.split(","))])
 
 
+#: Names of verdicts, priorities and permissions.
 VERDICTS = ("ALLOW", "FLAG", "FLAG_URGENT", "BLOCK")
 PRIORITIES = ("LOW", "NORMAL", "HIGH", "CRITICAL")
 PERMISSIONS = ("analyze", "read_verdicts", "manage_policies", "review", "view_analytics", "export_reports", "manage_keys", "sandbox", "admin")
@@ -24,5 +25,5 @@ L3 = _struct("vit_general_score double, efficientnet_gan_score double, tcn_tempo
 CONTEXT = _struct("public_figure_detected boolean, political_content_score double, account_trust_anomaly boolean")
 ENVELOPE = _struct("message_id string, timestamp timestamp, tenant_id string, scan_id string, payload string")
 METADATA = _struct("codec string, container string, encoder string, exif_tags array<tag>, bitrate_kbps double, fps double, duration_secs double, width int, height int, gop_sizes array<int>, c2pa_valid boolean")
-#: The five models of the last layer: column of their score and weight in the ensemble.
+#: The five models of the last layer: column of their score and weight in the ensemble.
 MODELS = {"vit_general": 0.30, "efficientnet_gan": 0.25, "tcn_temporal": 0.20, "diffusion_artifact": 0.15, "lipsync_mismatch": 0.10}
