@@ -37,6 +37,8 @@ RADIUS = 3
 WORDS = 3
 SEED = 42
 BLOCK = 16
+#: Rounds in which near_copies() decides a few pairs of each text, before it decides all that are left.
+ROUNDS = 2
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -390,8 +392,28 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
     side = lambda c: texts.select(F.col("digest").alias(c), F.col("t").alias(f"t{c}"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(released(alike), "a binary, b binary")
-    roots = components(close)
+
+    def decided(some: DataFrame, name: str) -> DataFrame:
+        return held(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(released(alike), "a binary, b binary"), name)
+
+    # In a group of copies a few links join all, so pairs are decided in rounds: first two of each text, then two more of each that still lie in
+    # different groups, then all that do. Pairs within a group that is joined already need no decision.
+    close, roots, left = None, None, pairs
+    for turn in range(ROUNDS + 1):
+        some = left
+        if turn < ROUNDS:
+            hash_ = F.xxhash64(F.lit(turn), "a", "b")
+            one = lambda c, d: left.groupBy(c).agg(F.min(F.struct(hash_.alias("h"), d)).alias("m")).select(F.col(c), F.col(f"m.{d}").alias(d))  # noqa: B023, E731
+            some = held(one("a", "b").select("a", "b").union(one("b", "a").select("a", "b")).distinct(), "pairs-of-a-round")
+        more = decided(some, "alike-pairs")
+        close = more if close is None else close.union(more)
+        roots = components(close)
+        if turn < ROUNDS:
+            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+            apart = left.join(some, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+            left = held(apart.select("a", "b"), "pairs-apart")
+            if not left.limit(1).count():
+                break
     grouped = stored(items.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")), "copy-groups")
     for table_ in made:
         discard(table_)

@@ -37,10 +37,10 @@ from ._common import discard, flat_utf8, ranges, ready, released, row_groups, sa
 
 LENGTH = 200
 GRAM = 32
-#: Different segments of one anchor that a shard takes, about 1 MB at most; anchors with more are dealt out by more content.
-MOST_SEGMENTS = 4096
+#: Different segments of one anchor that a shard takes, about 300 kB at most; anchors with more are dealt out by more content.
+MOST_SEGMENTS = 1024
 #: A shard's suffix array is made over about this many bytes.
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
 #: Windows of a hot anchor that are looked at together.
 PIECE = 8
 _CHUNK = 1 << 17
