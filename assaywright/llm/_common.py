@@ -74,10 +74,14 @@ def discard(df: DataFrame) -> None:
     """Delete the files of stored(df) once nothing reads them any more."""
     path = getattr(df, "_assay_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def salted_semi_join(left: DataFrame, right: DataFrame, keys: list[str], place: list[str], share: int = 10_000, salts: int = 64) -> DataFrame:

@@ -19,6 +19,9 @@ WHERE = {
     "op8_html_extraction": "html",
     "op9_bpe_round_trip": "tokens",
     "op10_embedding_near_dedup": "embedding",
+    "op11_cross_tokenizer_alignment": "align",
+    "op12_periodic_runs": "periodic",
+    "op13_sharding": "sharding",
 }
 
 
