@@ -38,8 +38,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-#: The other operators have no equal in SQL: hashes, models, codecs and packings. op3 tells windows by their MD5 here.
+#: The other operators have no equal in SQL: hashes, models, codecs and packings. op3 tells windows by their MD5 here; op12 joins equal words of
+#: a text, and CRC-32 is a sum over bits.
 ORACLE = {
+    "op12_periodic_runs": """WITH d AS (SELECT row_number() OVER () AS k, doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+h AS (SELECT *, len(w) AS n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), range(0, 8 * len(s))), lambda c, j: xor(xor(c, CASE WHEN j % 8 = 0 THEN ascii(s[j // 8 + 1]) ELSE 0 END) >> 1,
+  3988292384 * (xor(c, CASE WHEN j % 8 = 0 THEN ascii(s[j // 8 + 1]) ELSE 0 END) & 1))), CAST(4294967295 AS BIGINT)) AS h FROM d),
+a AS (SELECT *, h % 10 = 0 AND n > 0 AS planted, h // 10 % greatest(n, 1) AS a, 3 + h // 10 % 8 AS c FROM h),
+v AS (SELECT k, doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // c) + 1] END) ELSE w END AS w FROM a),
+words AS (SELECT k, n, unnest(range(0, n)) AS i, unnest(w) AS w FROM v),
+same AS (SELECT x.k, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.k = y.k AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 3),
+lags AS (SELECT k, q FROM same GROUP BY k, q HAVING count(*) >= greatest(24 - q, 2 * q)),
+isles AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS g FROM same SEMI JOIN lags USING (k, q)),
+found AS (SELECT k, q, min(i) AS start, count(*) + q AS length FROM isles GROUP BY k, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT k, start, length, min(q) AS period FROM found GROUP BY k, start, length),
+best AS (SELECT k, start, length, period FROM runs QUALIFY row_number() OVER (PARTITION BY k ORDER BY length / period DESC, start, period) = 1),
+told AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY k),
+gone AS (SELECT DISTINCT r.k, i FROM (SELECT k, unnest(range(start + period, start + length)) AS i FROM runs) r),
+kept AS (SELECT k, string_agg(w, ' ' ORDER BY i) AS said FROM words ANTI JOIN gone USING (k, i) GROUP BY k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(told.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+FROM v LEFT JOIN best USING (k) LEFT JOIN told USING (k) LEFT JOIN kept USING (k)""",
     "op3_suffix_array_dedup": """WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT k, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM d, unnest(range(0, len(h) // 2 - 199)) AS u(i)),
 again AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
