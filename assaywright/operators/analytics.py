@@ -38,6 +38,16 @@ def long_form(df: DataFrame) -> DataFrame:
     return df.select("scan_id", "tenant_id", "ts", "verdict", "duration_ms", F.explode(F.array_compact(F.array(*parts))).alias("p")).select("scan_id", "tenant_id", "ts", "verdict", "duration_ms", "p.tier", "p.model", "p.score")
 
 
+def detection_state(df: DataFrame) -> DataFrame:
+    """What a daily roll-up of detections stores: counts and sums by tenant, day, tier and model."""
+    by = long_form(df).groupBy("tenant_id", F.date_trunc("day", "ts").alias("period"), "tier", "model")
+    return by.agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.sum(micro("score")).alias("score_micro"), F.count("duration_ms").alias("timed"), F.sum(micro("duration_ms")).alias("duration_micro"))
+
+
+def detection_means(state: DataFrame) -> DataFrame:
+    return state.select("tenant_id", F.col("period").alias("day"), "tier", "model", "n", (F.col("score_micro") / F.col("scored") / 1e6).alias("avg_score"), (F.col("duration_micro") / F.col("timed") / 1e6).alias("avg_duration_ms"))
+
+
 def model_accuracy(long: DataFrame, unit: str = "day") -> DataFrame:
     """By day and model of the third layer: hits against BLOCK and ALLOW verdicts at one half."""
     s, v = F.col("score") > 0.5, F.col("verdict")

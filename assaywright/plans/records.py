@@ -408,11 +408,15 @@ def _source(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _in_turn(spark, root: str, *parts):
-    """A stream that gets each part as a micro-batch of its own."""
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+def _in_turn(spark, root: str, *parts, files: int = 8):
+    """A stream that gets each part as a micro-batch of its own: every part is `files` files, and a batch takes as many, oldest first."""
+    count = lambda: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/in/part-*.parquet")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for k, part in enumerate(parts):
+        part.repartition(files).write.mode("append").parquet(f"{root}/in")
+        while len(count().getFileSystem(conf).globStatus(count()) or []) < files * (k + 1):  # small parts leave some files out
+            spark.createDataFrame([], part.schema).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
 
 
 def _complete(df, root: str) -> None:

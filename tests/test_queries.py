@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from assaywright.plans import detection, records, registry, scores  # noqa: F401
+from assaywright.plans import detection, kept, records, registry, scores  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
