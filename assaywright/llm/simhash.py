@@ -14,15 +14,18 @@ ball of radius two. Variants are shuffled, and colliding fingerprints are verifi
 49 * 2**16 distinct fingerprints (25 MB), so its size is bounded however many documents there are; large buckets are verified on
 65,536 words of flips and not by comparing all pairs. Buckets emit a star for each linked set, not pairs.
 
-near_copies() finds copies by similarity: fingerprints over a text's different words, which replaced words move less than those over
-shingles, propose pairs by the same balls, and the share of common five-word shingles decides on them. Each word counts once, as the
-frequent words of a language would make all its long texts alike.
+near_copies() finds copies by similarity, the exact share of common five-word shingles. Fingerprints over a text's different words, which
+replaced words move less than those over shingles, propose pairs by the same balls; three bits cannot hold all texts of a similarity of 0.8,
+so a sketch of each text, its SKETCH smallest shingles by hash, proposes what the balls miss: of two texts of similarity 0.8 all but one pair
+in ten million have one of them in common, the shortest texts always. Shingles of many texts split into buckets of two, three and four of a
+text's sketch; see sketch_buckets().
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, flat_utf8, ready, released, stored, table
+from ._common import discard, flat_utf8, ready, released, salted_semi_join, stored, table
 from .components import components
 
 RADIUS = 3
@@ -39,6 +42,8 @@ SEED = 42
 BLOCK = 16
 #: Rounds in which near_copies() decides a few pairs of each text, before it decides all that are left.
 ROUNDS = 2
+#: Shingles in a text's sketch; texts that a bucket may have for all its pairs to be tried; shingles that make a bucket at most.
+SKETCH, CROWD, LEVELS = 8, 16, 4
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -260,16 +265,6 @@ class _Words:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def _mixed(h: np.ndarray, n: int) -> np.ndarray:
-    """The n-th of several independent hashes of what h is a hash of."""
-    if n:
-        h = h + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))
-        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-    return h
-
-
 def _majority(h: np.ndarray) -> int:
     total = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 16):
@@ -309,33 +304,88 @@ def with_sequence(df: DataFrame, text: str = "text", name: str = "digest") -> Da
     return df.mapInArrow(released(run), schema)
 
 
-def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8, hashes: int = 3) -> DataFrame:
+def _hot(counts: DataFrame) -> DataFrame:
+    """Keys with more than CROWD rows and one in 10,000 of all, so 10,000 keys at most."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(counts.filter(F.col("n") > max(CROWD, total // 10_000)).select("k"))
+
+
+def sketch_buckets(items: DataFrame, held: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowds) from items with digest, size (different shingles) and sketch: pairs (ra, rb) of all buckets of up to CROWD texts, and
+    (k, digest, size) of those that are left.
+
+    A bucket is a shingle that stands in the sketches of several texts. Where these are more than CROWD, as of a passage that many texts
+    have, two such shingles of a text make a bucket, then three, then four, so texts that have only the passage in common part. What is
+    crowded even then shares half of its sketch. Of two texts of similarity 0.8 whose common sketch is crowded throughout, one pair in a
+    hundred has fewer than four shingles in common and is not proposed; of 0.85 one in 300.
+    """
+    base = rows = held(items.select(F.explode("sketch").alias("k"), "digest"), "sketches")
+    pairs = None
+    for level in range(1, LEVELS + 1):
+        counts = held(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "sketch-counts")
+        few = rows.join(_hot(counts), "k", "left_anti").join(counts.filter(F.col("n") <= CROWD), "k", "left_semi").groupBy("k").agg(F.sort_array(F.collect_list("digest")).alias("d"))
+        two = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda y: F.struct(x.alias("ra"), y.alias("rb")))))  # noqa: B023
+        new = few.select(F.explode(two).alias("p")).select("p.ra", "p.rb")
+        pairs = new if pairs is None else pairs.unionByName(new)
+        crowded = salted_semi_join(rows, counts.filter(F.col("n") > CROWD), ["k"], ["digest"], least=CROWD)
+        if level == 1:
+            base = crowded = held(crowded, "crowded-shingles")
+        if level == LEVELS:
+            break
+        if level > 1:  # texts with a crowded bucket of this level go on, with all their crowded shingles
+            again = crowded.select("digest").distinct()
+            sets = base.join(again, "digest", "left_semi")
+        else:
+            sets = base
+        rows = held(sets.groupBy("digest").agg(F.sort_array(F.collect_list("k")).alias("c")).mapInArrow(released(_combined(level + 1), 1 << 14), "k bigint, digest binary"), "sketch-groups")
+    crowds = held(crowded.join(items.select("digest", "size"), "digest").select("k", "digest", "size"), "crowds")
+    return pairs, crowds
+
+
+def _combined(many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (digest, shingles in order) a row for each combination of `many` shingles."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keys, at = [], []
+            for i, c in enumerate(batch.column(1).to_pylist()):
+                new = [xxhash.xxh64_intdigest(np.array(x, np.int64).tobytes(), many) for x in combinations(c, many)]
+                keys += new
+                at += [i] * len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column(0).take(pa.array(at, pa.int64()))], ["k", "digest"])
+
+    return run
+
+
+def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, digest, low, low_digest) of every row: digest names the text's sequence of lower-cased words; low and low_digest are the smallest key
     of its group, and the digest of that row.
 
     Texts of one word sequence are one group. Two others link if their shingles of `words` words (fewer: the whole) are alike: common ones
-    over all of both, at least `similarity`, counted exactly. Pairs are proposed where one of `hashes` fingerprints over different words lies
-    within three bits, so most links are found, not all (README); none below `similarity` is made. In groups of many copies each is tried with
-    some neighbours and not with all. Null texts, and texts without words, are one sequence. A null key is larger than any other. An empty
-    table gives no rows.
+    over all of both, at least `similarity`, counted exactly on whole texts of any length. Pairs are proposed where fingerprints over different
+    words lie within three bits, and by sketch_buckets(), which says what may be missed; none below `similarity` is made. Null texts, and texts
+    without words, are one sequence. A null key is larger than any other. An empty table gives no rows. Columns of df besides key and text
+    are not looked at, whatever their names.
     """
     ready(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
-    names = [f"f{k}" for k in range(hashes)]
+    df = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Words()
         for batch in it:
             data, offs = flat_utf8(batch.column(1))
             raw = data.tobytes()
-            digests, prints = [], []
+            digests, prints, sizes, sketches = [], [], [], []
             for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 parts, digest = _sequence(raw[s:e])
                 digests.append(digest)
-                h = np.unique(look(parts))
-                prints.append([_majority(_mixed(h, k)) if len(h) else 0 for k in range(hashes)])
-            cols = np.array(prints, np.int64).reshape(-1, hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(cols[:, k]) for k in range(hashes))], [key, "digest", *names])
+                h = look(parts)
+                prints.append(_majority(np.unique(h)) if len(h) else 0)
+                all_ = _shingles(h, words)
+                sizes.append(len(all_))
+                sketches.append(all_[:SKETCH].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["_key", "digest", "fp", "size", "sketch"])
 
     made: list[DataFrame] = []
 
@@ -343,33 +393,25 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
         made.append(stored(some, name))
         return made[-1]
 
-    rows = stored(df.select(key, text).mapInArrow(released(run), f"`{key}` {kind}, digest binary, " + ", ".join(f"{c} bigint" for c in names)), "word-fingerprints")
-    items = held(rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in names], F.min(key).alias("low")), "word-sequences")
-    proposed = None
-    for k, name in enumerate(names):
-        other = names[k - 1]
-        one = held(items.groupBy(name).agg(F.min("digest").alias("rep")), "word-classes")
-        far = colliding(one.select(F.col(name).alias("fp")), pairs=True).distinct()
-        far = far.join(one.select(F.col(name).alias("a"), F.col("rep").alias("ra")), "a").join(one.select(F.col(name).alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
-
-        def chain(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                f, g = np.asarray(batch.column(0)), batch.column(1)
-                at = np.concatenate([np.flatnonzero(f[step:] == f[:-step]) * 4 + step for step in (1, 2, 3) if len(f) > step] or [np.zeros(0, np.int64)])
-                yield pa.RecordBatch.from_arrays([g.take(pa.array(at // 4)), g.take(pa.array(at // 4 + at % 4))], ["ra", "rb"])
-
-        # texts of one fingerprint: each with the next ones in the order of another fingerprint, and with the first
-        same = items.select(name, "digest", other).repartitionByRange(name, other, "digest").sortWithinPartitions(name, other, "digest").select(name, "digest").mapInArrow(released(chain, 1 << 16), "ra binary, rb binary")
-        first = items.join(one, name).filter("digest <> rep").select(F.col("rep").alias("ra"), F.col("digest").alias("rb"))
-        for more in (far, same, first):
-            proposed = more if proposed is None else proposed.union(more)
+    rows = stored(df.mapInArrow(released(run), f"_key {kind}, digest binary, fp bigint, size bigint, sketch array<bigint>"), "word-fingerprints")
+    items = held(rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("_key").alias("low")), "word-sequences")
+    one = held(items.groupBy("fp").agg(F.min("digest").alias("rep")), "word-classes")
+    far = colliding(one.select("fp"), pairs=True).distinct()
+    far = far.join(one.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(one.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
+    sketched, crowds = sketch_buckets(items, held)
+    # of a crowd each with the smallest, as far as their sizes allow the similarity
+    low = crowds.groupBy("k").agg(F.min(F.struct("digest", "size")).alias("m")).select("k", F.col("m.digest").alias("ra"), F.col("m.size").alias("sa"))
+    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
+    star = crowds.join(low, "k").filter((F.col("digest") != F.col("ra")) & fits(F.col("size"), F.col("sa"))).select("ra", F.col("digest").alias("rb"))
+    proposed = far.unionByName(sketched).unionByName(star)
     pairs = held(proposed.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "proposed-pairs")
 
-    # the texts of proposed pairs, one of each sequence
-    needed = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    sequences = rows.join(needed, "digest", "left_semi").select(key, "digest")
-    one_row = sequences.groupBy("digest").agg(F.min(key).alias("_key"))
-    texts = held(df.select(key, F.coalesce(text, F.lit("")).alias("t")).join(one_row, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).select("digest", "t").mapInArrow(released(_true_texts), "digest binary, t string").groupBy("digest").agg(F.first("t").alias("t")), "pair-texts")
+    def texts_of(some: DataFrame) -> DataFrame:
+        """The texts of pairs, one of each sequence."""
+        needed = some.select(F.col("a").alias("digest")).union(some.select("b")).distinct()
+        one_row = rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min("_key").alias("_one"))
+        whole = df.select("_key", F.coalesce("_text", F.lit("")).alias("t")).join(one_row, F.col("_key").eqNullSafe(F.col("_one"))).select("digest", "t")
+        return held(whole.mapInArrow(released(_true_texts), "digest binary, t string").groupBy("digest").agg(F.first("t").alias("t")), "pair-texts")
 
     def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, last = _Words(), {}
@@ -391,35 +433,51 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    side = lambda c: texts.select(F.col("digest").alias(c), F.col("t").alias(f"t{c}"))
-
-    def decided(some: DataFrame, name: str) -> DataFrame:
-        return held(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(released(alike), "a binary, b binary"), name)
-
-    # In a group of copies a few links join all, so pairs are decided in rounds: first two of each text, then two more of each that still lie in
-    # different groups, then all that do. Pairs within a group that is joined already need no decision.
-    close, roots, left = None, None, pairs
-    for turn in range(ROUNDS + 1):
-        some = left
-        if turn < ROUNDS:
-            hash_ = F.xxhash64(F.lit(turn), "a", "b")
-            one = lambda c, d: left.groupBy(c).agg(F.min(F.struct(hash_.alias("h"), d)).alias("m")).select(F.col(c), F.col(f"m.{d}").alias(d))  # noqa: B023, E731
-            some = held(one("a", "b").select("a", "b").union(one("b", "a").select("a", "b")).distinct(), "pairs-of-a-round")
-        more = decided(some, "alike-pairs")
-        close = more if close is None else close.union(more)
-        roots = components(close)
-        if turn < ROUNDS:
-            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-            apart = left.join(some, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-            left = held(apart.select("a", "b"), "pairs-apart")
-            if not left.limit(1).count():
-                break
+    def decided(some: DataFrame, texts: DataFrame) -> DataFrame:
+        side = lambda c: texts.select(F.col("digest").alias(c), F.col("t").alias(f"t{c}"))
+        return held(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(released(alike), "a binary, b binary"), "alike-pairs")
+
+    def rooted(some: DataFrame, name: str, roots: DataFrame, to: str) -> DataFrame:
+        return some.join(roots.select(F.col("node").alias(name), F.col("root").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
+
+    def settled(left: DataFrame, close: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """All links so far and the components they make. In a group of copies a few links join all, so pairs are decided in rounds: first two of
+        each text, then two more of each that still lie in different groups, then all that do. Pairs within a group that is joined already
+        need no decision."""
+        texts, roots = texts_of(left), None
+        for turn in range(ROUNDS + 1):
+            some = left
+            if turn < ROUNDS:
+                hash_ = F.xxhash64(F.lit(turn), "a", "b")
+                one = lambda c, d: left.groupBy(c).agg(F.min(F.struct(hash_.alias("h"), d)).alias("m")).select(F.col(c), F.col(f"m.{d}").alias(d))  # noqa: B023, E731
+                some = held(one("a", "b").select("a", "b").union(one("b", "a").select("a", "b")).distinct(), "pairs-of-a-round")
+            more = decided(some, texts)
+            close = more if close is None else close.union(more)
+            roots = held(components(close), "roots")
+            if turn < ROUNDS:
+                apart = rooted(rooted(left.join(some, ["a", "b"], "left_anti"), "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb")
+                left = held(apart.select("a", "b"), "pairs-apart")
+                if not left.limit(1).count():
+                    break
+        return close, roots
+
+    close, roots = settled(pairs, None)
+    # crowds that are not one group yet: every text with those of other groups
+    split = held(rooted(crowds, "digest", roots, "root"), "crowds-by-group")
+    many = split.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("k")
+    split = held(split.join(many, "k", "left_semi"), "crowds-apart")
+    if split.limit(1).count():
+        x, y = (split.select("k", F.col("digest").alias(c), F.col("size").alias(f"s{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+        rest = x.join(y, "k").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
+        rest = held(rest.join(pairs, ["a", "b"], "left_anti"), "pairs-of-crowds")
+        _, roots = settled(rest, close)
     grouped = stored(items.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")), "copy-groups")
-    for table_ in made:
-        discard(table_)
     best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest"))
     lows = grouped.groupBy("root").agg(best.alias("m")).select("root", F.col("m.low").alias("low"), F.col("m.digest").alias("low_digest"))
-    return rows.select(key, "digest").join(grouped.select("digest", "root"), "digest").join(lows, "root").select(key, "digest", "low", "low_digest")
+    out = stored(rows.select(F.col("_key").alias(key), "digest").join(grouped.select("digest", "root"), "digest").join(lows, "root").select(key, "digest", "low", "low_digest"), "near-copies")
+    for table_ in [*made, rows, grouped]:
+        discard(table_)
+    return out
 
 
 def _true_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
