@@ -38,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of copies, the document with the smallest doc_id: texts of one sequence of words, and texts that share 0.8 of
     their five-word shingles with another of the group. Rows that are there several times stay once; null and empty texts are one group."""
-    groups = stored(simhash.near_copies(docs, "doc_id"), "groups")
+    groups = simhash.near_copies(docs, "doc_id")
     first = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("digest") == F.col("low_digest"))
     stay = stored(groups.filter(first).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_keep")).agg(F.count("*").alias("_n")), "stay")
     kept = simhash.with_sequence(docs, name="_digest").join(stay.select("_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_keep")), "left_semi")
