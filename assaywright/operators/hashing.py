@@ -126,12 +126,56 @@ def best_match(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(F.min(F.struct("distance", "frame", "family_ord", "ref_id")).alias("m")).select(key, "m.distance", "m.frame", "m.family_ord", "m.ref_id")
 
 
+def largest(refs: DataFrame, n: int, by: str, key: str = "ref_id") -> DataFrame:
+    """The keys of the n rows with the largest values of an integer column; of equal ones the first by key. key is unique; nulls come last.
+
+    Not by a global order, which ends in one task: counts by ranges of values (partial sums, 256 ranges at a time) narrow down to the value that
+    the n-th row has, all rows above it are taken, and of the rows with that value those whose keys come first, found by counts of their prefixes.
+    """
+    v = F.coalesce(F.col(by).cast("bigint"), F.lit(-(1 << 62)))
+    rows = refs.select(key, v.alias("_v"))
+    lo, hi = rows.agg(F.min("_v"), F.max("_v")).first()
+    if lo is None:
+        return rows.select(key)
+    above = 0  # rows with a value over hi
+    while lo < hi:  # the value that the n-th row has lies in lo..hi
+        step = max(1, (hi - lo + 256) // 256)
+        found = rows.filter(F.col("_v").between(lo, hi)).groupBy(F.call_function("div", F.col("_v") - lo, F.lit(step)).alias("b")).count().orderBy(F.desc("b")).collect()  # 256 at most
+        for r in found:
+            if above + r["count"] >= n:
+                lo, hi = lo + r["b"] * step, min(hi, lo + (r["b"] + 1) * step - 1)
+                break
+            above += r["count"]
+        else:
+            return rows.select(key)  # fewer than n
+    sure, tied = rows.filter(F.col("_v") > lo).select(key), rows.filter(F.col("_v") == lo).select(F.col(key).cast("string").alias("_k"), key)
+    left = n - above
+    head = ""  # all tied keys below it are in; those that begin with it are undecided
+    taken = sure
+    while True:
+        size = len(head) + 1
+        found = sorted(tied.filter(F.startswith("_k", F.lit(head))).groupBy(F.substring("_k", 1, size).alias("p")).count().collect())  # a row for each next character
+        ok, nxt = [], None
+        for r in found:
+            if r["count"] <= left:
+                ok.append(r["p"])
+                left -= r["count"]
+            else:
+                nxt = r["p"]
+                break
+        if ok:
+            taken = taken.union(tied.filter(F.substring("_k", 1, size).isin(ok)).select(key))
+        if nxt is None or not left:
+            return taken
+        head = nxt
+
+
 def edge_subset(refs: DataFrame, matched: int, newest: int, regional: int, region: str) -> DataFrame:
-    """References for an edge node: the most matched, the newest and the most matched of its region, each once."""
-    top = lambda df, n, *by: df.orderBy(*by, "ref_id").limit(n).select("ref_id")
-    a = top(refs, matched, F.desc("match_count"))
-    b = top(refs, newest, F.desc("added_at"))
-    c = top(refs.filter(F.col("region") == region), regional, F.desc("match_count"))
+    """References for an edge node: the most matched, the newest and the most matched of its region, each once. ref_id is unique."""
+    refs = refs.withColumn("_added", F.unix_micros("added_at"))
+    a = largest(refs, matched, "match_count")
+    b = largest(refs, newest, "_added")
+    c = largest(refs.filter(F.col("region") == region), regional, "match_count")
     return a.union(b).union(c).distinct()
 
 

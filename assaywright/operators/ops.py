@@ -41,6 +41,21 @@ def histogram_quantile(hist: DataFrame, q: float, by: list[str]) -> DataFrame:
     return g.select(*by, "total", value.alias("quantile"))
 
 
+def latency_sketches(df: DataFrame, value: str, by: list[str], k: int = 400) -> DataFrame:
+    """(by..., sketch, n): a KLL sketch of the values of each group, of bounded size however many there are, to be stored and merged later."""
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"), F.count(value).alias("n"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of a coarser grouping from those of a finer one."""
+    return sketches.filter("n > 0").groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+
+
+def sketch_quantile(sketches: DataFrame, q: float, name: str = "quantile") -> DataFrame:
+    """Adds the quantile. Its rank is off by no more than some 2.3 / k ** 0.9 of the values, with 99 % confidence: 1.1 % for k = 400."""
+    return sketches.withColumn(name, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+
+
 def availability(requests: DataFrame, by: list[str]) -> DataFrame:
     """requests: status. Share of answers that are no server errors."""
     return requests.groupBy(*by).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), share(F.count_if(F.col("status") < 500), F.count("*")).alias("availability"))
@@ -99,9 +114,23 @@ def clusters(rows: DataFrame, by: list[str], least: int) -> DataFrame:
 
 
 def circuit_breaker(calls: DataFrame, failures: int, seconds: int) -> DataFrame:
-    """calls: (service, call_id, ts, failed). Adds the failures of the last seconds and whether the circuit opens."""
-    w = Window.partitionBy("service").orderBy(F.unix_timestamp("ts")).rangeBetween(-seconds, 0)
-    return calls.withColumn("recent_failures", F.sum(F.col("failed").cast("int")).over(w)).withColumn("open", F.col("recent_failures") >= failures)
+    """calls: (service, call_id, ts, failed). Adds the failures of the last seconds and whether the circuit opens.
+
+    Calls are summed by second first, in partial sums; the window runs over seconds and stays inside blocks of the frame's length: what lies
+    behind a block's start is the rest of the block before. So a service with very many calls is dealt by block, not one task. Calls without
+    service or time have no failures behind them.
+    """
+    second = F.unix_timestamp("ts")
+    span = seconds + 1
+    sums = calls.filter("failed").groupBy("service", second.alias("_sec")).agg(F.count("*").alias("_f"))
+    # a second counts in its own block and, with a frame that reaches back, in the one after
+    both = sums.withColumn("_block", F.explode(F.array(F.floor(F.col("_sec") / span), F.floor(F.col("_sec") / span) + 1)))
+    asked = calls.select("service", second.alias("_sec")).distinct().select("service", F.floor(F.col("_sec") / span).alias("_block"), "_sec", F.lit(0).cast("bigint").alias("_f"), F.lit(True).alias("_asked"))
+    rows = both.select("service", "_block", "_sec", "_f", F.lit(False).alias("_asked")).unionByName(asked)
+    w = Window.partitionBy("service", "_block").orderBy("_sec").rangeBetween(-seconds, 0)
+    recent = rows.withColumn("recent_failures", F.sum("_f").over(w)).filter("_asked").select("service", "_sec", "recent_failures")
+    got = calls.withColumn("_sec", second).join(recent, ["service", "_sec"], "left").drop("_sec")
+    return got.withColumn("recent_failures", F.coalesce("recent_failures", F.lit(0))).withColumn("open", F.col("recent_failures") >= failures)
 
 
 def incident_metrics(incidents: DataFrame) -> DataFrame:
