@@ -61,7 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back: cuts the lineage, survives lost executors, and gives
-    the planner true sizes. The files stay as long as checkpoint files do."""
+    the planner true sizes. discard() takes the files away; the operators do so with all but the table that holds their result."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/assaywright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -84,17 +84,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def salted_semi_join(left: DataFrame, right: DataFrame, keys: list[str], place: list[str], share: int = 10_000, salts: int = 64, least: int = 10_000) -> DataFrame:
+def salted_semi_join(left: DataFrame, right: DataFrame, keys: list[str], place: list[str], share: int = 10_000, salts: int = 64) -> DataFrame:
     """Rows of left whose keys stand in right, which has one row for each key and n, how many rows of left it has.
 
-    Keys with more than `least` rows and more than one in `share` of all (so at most `share` of them, a broadcast of bounded size)
+    Keys with more than 10,000 rows and more than one in `share` of all (so at most `share` of them, a broadcast of bounded size)
     are dealt to `salts` tasks by a hash of `place`; all others need no salt.
     """
     total = right.agg(F.sum("n")).first()[0] or 0
-    hot = right.filter(F.col("n") > max(least, total // share)).select(*keys)
+    hot = right.filter(F.col("n") > max(10_000, total // share)).select(*keys)
     salt = F.pmod(F.xxhash64(*place), F.lit(salts)).cast("int")
     dealt = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
-    each = F.when(F.col("n") > max(least, total // share), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    each = F.when(F.col("n") > max(10_000, total // share), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return dealt.join(right.select(*keys, F.explode(each).alias("_salt")), [*keys, "_salt"], "left_semi").drop("_salt").select(*left.columns)
 
 

@@ -9,7 +9,7 @@ from ._common import discard, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, root): for every node of an edge the smallest node that it can reach.
+    """(node, root), stored: for every node of an edge the smallest node that it can reach.
 
     Large-star and small-star steps in turn: each hangs neighbours on the smallest node around. They halve the paths, so a few
     rounds do, about the logarithm of the longest. Smallest neighbours come from partial sums, so a node with very many
@@ -33,4 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         before = state
     else:
         raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = stored(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    discard(e)
+    return out

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ready, released, stored, table
+from ._common import discard, ready, released, stored, table
 from .components import components
 
 THRESHOLD = 0.95
@@ -170,7 +170,8 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = THR
     # lengths of which a block holds all vectors are compared in one pass, grouped by length; of others there are few
     shapes = distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).withColumn("n_least", F.greatest(F.floor(F.lit(block_bytes) / (8 * F.col("d"))), F.lit(1)))
     large = {r["d"]: r["n"] for r in shapes.filter("n > n_least").collect()}
-    made = [_compare(distinct.filter(F.size("v") == d), d, n, threshold, block_bytes) for d, n in sorted(large.items())]
+    turned: list[DataFrame] = []
+    made = [_compare(distinct.filter(F.size("v") == d), d, n, threshold, block_bytes, turned) for d, n in sorted(large.items())]
     if shapes.filter("n <= n_least").limit(1).count():
         made.append(_compare_small(distinct.filter(~F.size("v").isin(list(large))) if large else distinct, threshold))
     slim = keyed.select("id", "h", "g")
@@ -180,13 +181,18 @@ def near_duplicates(df: DataFrame, key: str, vector: str, threshold: float = THR
     for more in made[1:]:
         found = found.union(more)
     found = stored(found, "vector-links")
+    for done in turned:
+        discard(done)
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("h", "g").agg(F.sum("links").alias("links"))
     classes = distinct.select("h", "g", "id", "copies").join(links, ["h", "g"], "left").join(roots, F.col("id") == F.col("node"), "left")
     classes = classes.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     out = slim.join(classes, ["h", "g"], "left")
     out = out.select(F.col("id").alias(key), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+    out = stored(out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False))), "vector-classes")
+    for done in (distinct, found, roots):
+        discard(done)
+    return out
 
 
 LINKS = "id bigint, h bigint, g bigint, links bigint, root bigint"
@@ -240,8 +246,8 @@ def blocks_of(counts: np.ndarray, rows: int, reach: float) -> tuple[np.ndarray,
     return first, shared, np.minimum(lowest, np.arange(len(low_))), np.maximum(last, np.arange(len(low_)))
 
 
-def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_bytes: int) -> DataFrame:
-    """(id, h, g, links, root): a row for each vector and tile in which it has links."""
+def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_bytes: int, made: list[DataFrame]) -> DataFrame:
+    """(id, h, g, links, root): a row for each vector and tile in which it has links. made: gets the stored table that this reads."""
     spark = distinct.sparkSession
 
     def moments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +274,7 @@ def _compare(distinct: DataFrame, d: int, n: int, threshold: float, block_bytes:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary()), pa.array(bin_)], ["h", "g", "id", "copies", "u", "bin"])
 
     turned = stored(distinct.select("h", "g", "id", "copies", "v").mapInArrow(released(rotate, 4096), f"h bigint, g bigint, id {kind}, copies bigint, u binary, bin int"), "vectors-rotated")
+    made.append(turned)
     counts = np.zeros(BINS, np.int64)
     for r in turned.groupBy("bin").agg(F.count("*").alias("n")).collect():  # at most BINS rows
         counts[r["bin"]] = r["n"]

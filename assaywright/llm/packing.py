@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytelevel import codec
-from ._common import ready, released, stored, table
+from ._common import discard, ready, released, stored, table
 from .tokens import codec_parts, encoded_rows, vocabulary_path
 
 CAPACITY = 1024
@@ -146,11 +146,15 @@ def pack(pieces: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
             keep = [i for i, x in enumerate(batch.schema.names) if x != "_r"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(seq), pa.array(off)], [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
-    return ranked.mapInArrow(released(place, 1 << 16), schema)
+    out = stored(ranked.mapInArrow(released(place, 1 << 16), schema), "packed")
+    discard(counted)
+    return out
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place."""
     docs = table(spark, sf_dir, "documents")
     pieces = stored(token_pieces(docs, "doc_id"), "packing-pieces")
-    return pack(pieces, "doc_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack(pieces, "doc_id")
+    discard(pieces)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

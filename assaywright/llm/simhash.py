@@ -17,8 +17,8 @@ ball of radius two. Variants are shuffled, and colliding fingerprints are verifi
 near_copies() finds copies by similarity, the exact share of common five-word shingles. Fingerprints over a text's different words, which
 replaced words move less than those over shingles, propose pairs by the same balls; three bits cannot hold all texts of a similarity of 0.8,
 so a sketch of each text, its SKETCH smallest shingles by hash, proposes what the balls miss: of two texts of similarity 0.8 all but one pair
-in ten million have one of them in common, the shortest texts always. Shingles of many texts split into buckets of two, three and four of a
-text's sketch; see sketch_buckets().
+in ten million have one of the LEAD smallest in common, the shortest texts always. Shingles of many texts split into buckets of two, three and
+four of them; see sketch_buckets(). A pair is proposed if half of the sketches is common too, which all but six in 100,000 such pairs have.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, flat_utf8, ready, released, salted_semi_join, stored, table
+from ._common import discard, flat_utf8, ready, released, stored, table
 from .components import components
 
 RADIUS = 3
@@ -41,9 +41,10 @@ WORDS = 3
 SEED = 42
 BLOCK = 16
 #: Rounds in which near_copies() decides a few pairs of each text, before it decides all that are left.
-ROUNDS = 2
-#: Shingles in a text's sketch; texts that a bucket may have for all its pairs to be tried; shingles that make a bucket at most.
-SKETCH, CROWD, LEVELS = 8, 16, 4
+ROUNDS = 1
+#: Shingles in a text's sketch, and those of them that make buckets; texts that a bucket may have for all its pairs to be tried; shingles that make
+#: a bucket together at most.
+SKETCH, LEAD, CROWD, LEVELS = 32, 8, 16, 4
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -229,7 +230,10 @@ def linked(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """
     found = colliding(fps, fp)
     flip = F.lit(-(1 << 63)).cast("bigint")  # so that signed order is the order of unsigned values
-    return components(found.select(F.col("a").bitwiseXOR(flip).alias("a"), F.col("b").bitwiseXOR(flip).alias("b"))).select(F.col("node").bitwiseXOR(flip).alias("node"), F.col("root").bitwiseXOR(flip).alias("root"))
+    roots = components(found.select(F.col("a").bitwiseXOR(flip).alias("a"), F.col("b").bitwiseXOR(flip).alias("b")))
+    out = roots.select(F.col("node").bitwiseXOR(flip).alias("node"), F.col("root").bitwiseXOR(flip).alias("root"))
+    out._assay_path = roots._assay_path  # for discard()
+    return out
 
 
 def near_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -246,7 +250,10 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     by_root = stored(by_root, "fingerprint-roots")
     low = by_root.groupBy("_root").agg(F.min("_low").alias("component_id"))
     ids = by_root.join(low, "_root").select("fp", "component_id")
-    return rows.join(ids, "fp")
+    out = stored(rows.join(ids, "fp"), "near-duplicates")
+    for done in (rows, distinct, roots, by_root):
+        discard(done)
+    return out
 
 
 # ---- copies by similarity
@@ -304,41 +311,49 @@ def with_sequence(df: DataFrame, text: str = "text", name: str = "digest") -> Da
     return df.mapInArrow(released(run), schema)
 
 
-def _hot(counts: DataFrame) -> DataFrame:
-    """Keys with more than CROWD rows and one in 10,000 of all, so 10,000 keys at most."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return F.broadcast(counts.filter(F.col("n") > max(CROWD, total // 10_000)).select("k"))
+def _may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
+    """Whether sizes and sketches (`low`) of two texts allow the similarity: half of the sketch at 0.8; of texts that are all sketch, what is asked."""
+    n = lambda of: F.least(of("size"), F.lit(SKETCH))
+    asked = F.ceil(F.lit(similarity / (1 + similarity)) * (n(x) + n(y)) - F.lit(1e-9))
+    common = F.size(F.array_intersect(x("low"), y("low")))
+    return (F.least(x("size"), y("size")) >= F.lit(similarity) * F.greatest(x("size"), y("size"))) & (common >= F.least(asked, F.lit(max(1, int(SKETCH * (similarity - 0.3))))))
 
 
-def sketch_buckets(items: DataFrame, held: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowds) from items with digest, size (different shingles) and sketch: pairs (ra, rb) of all buckets of up to CROWD texts, and
-    (k, digest, size) of those that are left.
+def sketch_buckets(items: DataFrame, held: Callable[[DataFrame, str], DataFrame], similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowds) from items with digest, size (different shingles), sketch (LEAD shingles) and low (all of the sketch, in brief): pairs (ra,
+    rb) of all buckets of up to CROWD texts that may be alike, and (k, digest, size, low) of the buckets that are left.
 
     A bucket is a shingle that stands in the sketches of several texts. Where these are more than CROWD, as of a passage that many texts
     have, two such shingles of a text make a bucket, then three, then four, so texts that have only the passage in common part. What is
-    crowded even then shares half of its sketch. Of two texts of similarity 0.8 whose common sketch is crowded throughout, one pair in a
-    hundred has fewer than four shingles in common and is not proposed; of 0.85 one in 300.
+    crowded even then shares half of its LEAD shingles. Of two texts of similarity 0.8 whose common shingles are crowded throughout, one pair in
+    a hundred has fewer than four of them in common and is not proposed; of 0.85 one in 300.
     """
     base = rows = held(items.select(F.explode("sketch").alias("k"), "digest"), "sketches")
+    brief = items.select("digest", "size", "low")
     pairs = None
     for level in range(1, LEVELS + 1):
         counts = held(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "sketch-counts")
-        few = rows.join(_hot(counts), "k", "left_anti").join(counts.filter(F.col("n") <= CROWD), "k", "left_semi").groupBy("k").agg(F.sort_array(F.collect_list("digest")).alias("d"))
-        two = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda y: F.struct(x.alias("ra"), y.alias("rb")))))  # noqa: B023
-        new = few.select(F.explode(two).alias("p")).select("p.ra", "p.rb")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        hot = F.broadcast(counts.filter(F.col("n") > max(CROWD, total // 10_000)).select("k"))  # 10,000 at most
+        cool = rows.join(hot, "k", "left_anti")
+        few = cool.join(counts.filter(F.col("n") <= CROWD), "k", "left_semi").join(brief, "digest")
+        few = few.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("digest", "size", "low"))).alias("d"))
+
+        def met(x: Column, i: Column) -> Column:
+            near = F.filter(F.slice("d", i + 2, F.size("d")), lambda y: _may_be_alike(x.getField, y.getField, similarity))
+            return F.transform(near, lambda y: F.struct(x["digest"].alias("ra"), y["digest"].alias("rb")))
+
+        new = held(few.select(F.explode(F.flatten(F.transform("d", met))).alias("p")).select("p.ra", "p.rb").distinct(), "sketch-pairs")
         pairs = new if pairs is None else pairs.unionByName(new)
-        crowded = salted_semi_join(rows, counts.filter(F.col("n") > CROWD), ["k"], ["digest"], least=CROWD)
+        crowded = rows.join(hot, "k", "left_semi").unionByName(cool.join(counts.filter(F.col("n") > CROWD), "k", "left_semi"))
         if level == 1:
             base = crowded = held(crowded, "crowded-shingles")
         if level == LEVELS:
             break
-        if level > 1:  # texts with a crowded bucket of this level go on, with all their crowded shingles
-            again = crowded.select("digest").distinct()
-            sets = base.join(again, "digest", "left_semi")
-        else:
-            sets = base
+        # texts with a crowded bucket of this level go on, with all their crowded shingles
+        sets = base if level == 1 else base.join(crowded.select("digest").distinct(), "digest", "left_semi")
         rows = held(sets.groupBy("digest").agg(F.sort_array(F.collect_list("k")).alias("c")).mapInArrow(released(_combined(level + 1), 1 << 14), "k bigint, digest binary"), "sketch-groups")
-    crowds = held(crowded.join(items.select("digest", "size"), "digest").select("k", "digest", "size"), "crowds")
+    crowds = held(crowded.join(brief, "digest").select("k", "digest", "size", "low"), "crowds")
     return pairs, crowds
 
 
@@ -376,7 +391,7 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
         for batch in it:
             data, offs = flat_utf8(batch.column(1))
             raw = data.tobytes()
-            digests, prints, sizes, sketches = [], [], [], []
+            digests, prints, sizes, sketches, lows = [], [], [], [], []
             for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 parts, digest = _sequence(raw[s:e])
                 digests.append(digest)
@@ -384,8 +399,9 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
                 prints.append(_majority(np.unique(h)) if len(h) else 0)
                 all_ = _shingles(h, words)
                 sizes.append(len(all_))
-                sketches.append(all_[:SKETCH].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], ["_key", "digest", "fp", "size", "sketch"])
+                sketches.append(all_[:LEAD].view(np.int64))
+                lows.append(all_[:SKETCH].astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int32()))], ["_key", "digest", "fp", "size", "sketch", "low"])
 
     made: list[DataFrame] = []
 
@@ -393,16 +409,18 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
         made.append(stored(some, name))
         return made[-1]
 
-    rows = stored(df.mapInArrow(released(run), f"_key {kind}, digest binary, fp bigint, size bigint, sketch array<bigint>"), "word-fingerprints")
-    items = held(rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("_key").alias("low")), "word-sequences")
+    rows = stored(df.mapInArrow(released(run), f"_key {kind}, digest binary, fp bigint, size bigint, sketch array<bigint>, low array<int>"), "word-fingerprints")
+    items = held(rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("low").alias("low"), F.min("_key").alias("least")), "word-sequences")
     one = held(items.groupBy("fp").agg(F.min("digest").alias("rep")), "word-classes")
     far = colliding(one.select("fp"), pairs=True).distinct()
     far = far.join(one.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(one.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
-    sketched, crowds = sketch_buckets(items, held)
-    # of a crowd each with the smallest, as far as their sizes allow the similarity
-    low = crowds.groupBy("k").agg(F.min(F.struct("digest", "size")).alias("m")).select("k", F.col("m.digest").alias("ra"), F.col("m.size").alias("sa"))
-    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    star = crowds.join(low, "k").filter((F.col("digest") != F.col("ra")) & fits(F.col("size"), F.col("sa"))).select("ra", F.col("digest").alias("rb"))
+    sketched, crowds = sketch_buckets(items, held, similarity)
+    # of a crowd each with the smallest
+    side = lambda c: crowds.select("k", *[F.col(x).alias(f"{x}_{c}") for x in ("digest", "size", "low")])
+    of = lambda c: lambda x: F.col(f"{x}_{c}")
+    fits = _may_be_alike(of("a"), of("b"), similarity)
+    first = crowds.groupBy("k").agg(F.min(F.struct("digest", "size", "low")).alias("m")).select("k", *[F.col(f"m.{x}").alias(f"{x}_a") for x in ("digest", "size", "low")])
+    star = side("b").join(first, "k").filter((F.col("digest_a") != F.col("digest_b")) & fits).select(F.col("digest_a").alias("ra"), F.col("digest_b").alias("rb"))
     proposed = far.unionByName(sketched).unionByName(star)
     pairs = held(proposed.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "proposed-pairs")
 
@@ -453,7 +471,8 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
                 some = held(one("a", "b").select("a", "b").union(one("b", "a").select("a", "b")).distinct(), "pairs-of-a-round")
             more = decided(some, texts)
             close = more if close is None else close.union(more)
-            roots = held(components(close), "roots")
+            roots = components(close)
+            made.append(roots)
             if turn < ROUNDS:
                 apart = rooted(rooted(left.join(some, ["a", "b"], "left_anti"), "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb")
                 left = held(apart.select("a", "b"), "pairs-apart")
@@ -467,11 +486,11 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
     many = split.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("k")
     split = held(split.join(many, "k", "left_semi"), "crowds-apart")
     if split.limit(1).count():
-        x, y = (split.select("k", F.col("digest").alias(c), F.col("size").alias(f"s{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-        rest = x.join(y, "k").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
+        x, y = (split.select("k", *[F.col(x).alias(f"{x}_{c}") for x in ("digest", "size", "low", "root")]) for c in "ab")
+        rest = x.join(y, "k").filter((F.col("digest_a") < F.col("digest_b")) & (F.col("root_a") != F.col("root_b")) & fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
         rest = held(rest.join(pairs, ["a", "b"], "left_anti"), "pairs-of-crowds")
         _, roots = settled(rest, close)
-    grouped = stored(items.select("digest", "low").join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")), "copy-groups")
+    grouped = stored(items.select("digest", F.col("least").alias("low")).join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")), "copy-groups")
     best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest"))
     lows = grouped.groupBy("root").agg(best.alias("m")).select("root", F.col("m.low").alias("low"), F.col("m.digest").alias("low_digest"))
     out = stored(rows.select(F.col("_key").alias(key), "digest").join(grouped.select("digest", "root"), "digest").join(lows, "root").select(key, "digest", "low", "low_digest"), "near-copies")
