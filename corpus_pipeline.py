@@ -37,7 +37,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of copies, the document with the smallest doc_id: texts of one sequence of words, and texts that share 0.8 of
-    their five-word shingles with another of the group. Rows that are there several times stay once; null and empty texts are one group."""
+    their five-word shingles with another of the group. Rows that are there several times stay once; null and empty texts are one group; texts
+    of any length are compared whole; an empty table stays empty; other columns pass, whatever their names."""
     groups = simhash.near_copies(docs, "doc_id")
     first = F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("digest") == F.col("low_digest"))
     stay = stored(groups.filter(first).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_keep")).agg(F.count("*").alias("_n")), "stay")
@@ -49,7 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out of texts all strings of 200 bytes that start anywhere else too. No document goes: null texts stay null, and a text that
-    repeats as a whole stays as an empty one."""
+    repeats as a whole stays as an empty one, as do all rows of a repeated one. Texts of any length are taken whole; an empty table stays empty."""
     named = {c: f"_doc_{i}" for i, c in enumerate(docs.columns) if c != "text"}
     got = suffix.remove_repeats(docs.withColumnsRenamed(named), named["doc_id"], name="kept", as_text=True)
     got = got.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept"))).select("text", *named.values())
@@ -57,15 +58,18 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts [EMAIL] and the like in place of personal data and of the terms that give it away. No document goes; null texts stay null."""
-    return _with_text(pii.sanitise(docs, "doc_id", least_texts=1), docs)
+    """Puts [EMAIL] and the like in place of personal data and of the terms that give it away. No document goes; null texts stay null. Texts of any
+    length are cleaned whole, repeated rows alike; an empty table stays empty; other columns pass, whatever their names."""
+    return _with_text(pii.sanitise(docs, "doc_id"), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 tokens. Null and empty texts are one piece of one token, long texts several pieces,
     repeated rows repeated pieces; an empty table gives no rows."""
     pieces = stored(packing.token_pieces(docs, "doc_id"), "pieces")
-    return packing.pack(pieces, "doc_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    out = packing.pack(pieces, "doc_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    discard(pieces)
+    return out
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
