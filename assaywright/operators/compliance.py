@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ed25519
 from ..functions.numeric import fixed, listed
@@ -128,14 +129,47 @@ def route(events: DataFrame) -> DataFrame:
     return events.withColumn("handler", F.when(t == "model_version_update", "model_change").when(t == "c2pa_manifest_generated", "manifest_issued").when(t == "audit_requested", "audit_snapshot").otherwise("ignored"))
 
 
-def canonical(cols: list[str]) -> Column:
-    """JSON of the given columns with keys in sorted order."""
-    return F.to_json(F.struct(*sorted(cols)))
+def _in_order(x: Column, kind: T.DataType) -> Column:
+    """x with the fields of all structs inside it in order of their names, and maps as their entries in order of their keys."""
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_in_order(x.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(x.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda y: _in_order(y, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform(F.array_sort(F.transform(F.map_entries(x), lambda e: F.struct(e["key"].alias("key"), _in_order(e["value"], kind.valueType).alias("value")))), lambda e: e)
+    return x
+
+
+def canonical(df: DataFrame, cols: list[str]) -> Column:
+    """JSON of columns of df with keys in sorted order at every depth, nulls written: equal content has equal text, and a null is not an absence."""
+    return F.to_json(F.struct(*[_in_order(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(cols)]), {"ignoreNullFields": "false"})
 
 
 def sign(df: DataFrame, cols: list[str], key_id: str) -> DataFrame:
     """Adds content_hash (SHA-512 of the canonical JSON) and the key's id; the signature itself is made by sign_ed25519() or outside."""
-    return df.withColumns({"content_hash": F.sha2(canonical(cols), 512), "key_id": F.lit(key_id)})
+    return df.withColumns({"content_hash": F.sha2(canonical(df, cols), 512), "key_id": F.lit(key_id)})
+
+
+def batch_roots(signed: DataFrame, batch: list[str], digits: tuple[int, ...] = (6, 4, 2)) -> DataFrame:
+    """(batch..., content_hash, rows): one hash over the content_hash of all rows of each batch, to be signed instead of every row.
+
+    A tree over the hashes: those that begin with the same `digits` hexadecimal digits are hashed together in order, their hashes by fewer digits, and
+    at last those of a batch. So no task gets a whole batch; repeated rows count as often as they are there. Rows without a hash count as ''.
+    """
+    level = signed.select(*batch, F.coalesce("content_hash", F.lit("")).alias("at"), F.coalesce("content_hash", F.lit("")).alias("h"), F.lit(1).cast("bigint").alias("n"))
+    for k in (*digits, 0):
+        level = level.withColumn("at", F.substring("at", 1, k)).groupBy(*batch, "at").agg(F.sort_array(F.collect_list("h")).alias("all"), F.sum("n").alias("n"))
+        level = level.select(*batch, "at", F.sha2(F.concat_ws(",", "all"), 512).alias("h"), "n")
+    return level.select(*batch, F.col("h").alias("content_hash"), F.col("n").alias("rows"))
+
+
+def check_batches(rows: DataFrame, roots: DataFrame, batch: list[str], public: dict[str, bytes]) -> DataFrame:
+    """(batch..., rows, batch_valid) of signed roots (batch..., content_hash, key_id, signature): whether the rows that are there now, with
+    content_hash counted anew, have the root that was signed. One signature is checked for each batch and none for each row."""
+    now = batch_roots(rows, batch).select(*batch, F.col("content_hash").alias("_now"), "rows")
+    checked = check_ed25519(roots.drop("rows"), public).join(now, batch, "left")
+    return checked.select(*batch, F.coalesce("rows", F.lit(0)).alias("rows"), (F.col("signature_valid") & F.coalesce(F.col("_now") == F.col("content_hash"), F.lit(False))).alias("batch_valid"))
 
 
 def sign_ed25519(signed: DataFrame, seeds: dict[str, bytes]) -> DataFrame:
@@ -163,7 +197,7 @@ def verify(signed: DataFrame, keys: DataFrame, cols: list[str], signed_at: str =
     """Adds content_hash_valid (the hash computed anew), key_status and key_valid_at_signing. keys: (key_id, status, valid_from, valid_until)."""
     got = signed.join(keys, "key_id", "left")
     inside = (F.col(signed_at) >= F.col("valid_from")) & (F.col("valid_until").isNull() | (F.col(signed_at) < F.col("valid_until")))
-    return got.withColumns({"content_hash_valid": F.col("content_hash") == F.sha2(canonical(cols), 512), "key_status": F.coalesce("status", F.lit("UNKNOWN")), "key_valid_at_signing": F.coalesce(inside & (F.col("status") != "REVOKED"), F.lit(False))}).drop("status", "valid_from", "valid_until")
+    return got.withColumns({"content_hash_valid": F.col("content_hash") == F.sha2(canonical(signed, cols), 512), "key_status": F.coalesce("status", F.lit("UNKNOWN")), "key_valid_at_signing": F.coalesce(inside & (F.col("status") != "REVOKED"), F.lit(False))}).drop("status", "valid_from", "valid_until")
 
 
 def outside_region(scans: DataFrame, tenants: DataFrame) -> DataFrame:

@@ -42,6 +42,13 @@ def check_keys(calls: DataFrame, keys: DataFrame, secret: str = "api_key") -> Da
     return got.withColumn("status", F.when(~F.col("_good"), "MALFORMED").when(F.col("tenant_id").isNull(), "UNKNOWN").when(F.col("revoked"), "REVOKED").otherwise("OK")).drop("_good", "key_hash", "revoked", secret)
 
 
+def catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, data_type) of given tables; only their schemas are read."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+
+
 def columns_like(catalog: DataFrame, pattern: str, unlike: str) -> DataFrame:
     """catalog: (table_name, column_name). How many columns match, tables like `unlike` left out."""
     return catalog.filter(F.col("column_name").like(pattern) & ~F.col("table_name").like(unlike)).agg(F.count("*").alias("n"))

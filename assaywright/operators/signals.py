@@ -21,25 +21,33 @@ ESCALATE = 0.35
 
 
 # ---- numpy parts
+def flickers(boxes: np.ndarray, fps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, dominant frequencies, ratios) of tracks of one length, boxes (tracks, frames, 4): the share of boundary motion at 8 Hz and more,
+    the largest of six edges. All edges of all tracks are one matrix: a projection takes the lines out, one transform along the frames
+    gives the spectra. The frequency is NaN where nothing moves."""
+    m, n = boxes.shape[:2]
+    none = np.zeros(m), np.full(m, np.nan), np.zeros(m)
+    freqs = np.fft.rfftfreq(n, 1.0 / fps) if n else np.zeros(0)
+    fast = freqs >= FLICKER_HZ
+    if n < FLICKER_FRAMES or not fast.any():
+        return none
+    edges = np.concatenate([boxes, boxes[..., 2:] - boxes[..., :2]], axis=2).transpose(0, 2, 1)
+    line, _ = np.linalg.qr(np.column_stack([np.ones(n), np.arange(n)]))  # what a straight line can explain
+    moved = edges - (edges @ line) @ line.T
+    power = np.abs(np.fft.rfft(moved * np.hanning(n), axis=2)) ** 2
+    total = power.sum(axis=2)
+    ratio = np.divide(power[..., fast].sum(axis=2), total, out=np.zeros_like(total), where=total >= 1e-12)
+    best = ratio.argmax(axis=1)
+    row = np.arange(m)
+    top = ratio[row, best]
+    peak = np.where(top > 0, freqs[fast][power[row, best][:, fast].argmax(axis=1)], np.nan)
+    return np.minimum(1.0, top / FLICKER_FULL), peak, top
+
+
 def flicker(boxes: np.ndarray, fps: float) -> tuple[float, float | None, float]:
-    """(score, dominant frequency, ratio): share of boundary motion at 8 Hz and more, the largest of six edges."""
-    n = len(boxes)
-    if n < FLICKER_FRAMES:
-        return 0.0, None, 0.0
-    x0, y0, x1, y1 = boxes.T
-    best, peak = 0.0, None
-    t = np.arange(n, dtype=float)
-    freqs = np.fft.rfftfreq(n, 1.0 / fps)
-    high = freqs >= FLICKER_HZ
-    for s in (x0, y0, x1, y1, x1 - x0, y1 - y0):
-        s = s - np.polyval(np.polyfit(t, s, 1), t)
-        power = np.abs(np.fft.rfft(s * np.hanning(n))) ** 2
-        if power.sum() < 1e-12 or not high.any():
-            continue
-        ratio = float(power[high].sum() / power.sum())
-        if ratio > best:
-            best, peak = ratio, float(freqs[high][np.argmax(power[high])])
-    return min(1.0, best / FLICKER_FULL) if best > 0 else 0.0, peak, best
+    """flickers() of one track, (frames, 4)."""
+    score, peak, ratio = (float(x[0]) for x in flickers(np.asarray(boxes, float).reshape(1, -1, 4), fps))
+    return score, None if np.isnan(peak) else peak, ratio
 
 
 def butter_band(order: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
@@ -86,42 +94,40 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[:, pad:-pad]
 
 
-def filtered(greens: list[np.ndarray], fps: list[float]) -> list[np.ndarray | None]:
-    """The pulse band of each series; tracks of equal length and rate are filtered together. None for those too short or flat."""
-    out: list[np.ndarray | None] = [None] * len(greens)
-    alike: dict[tuple[int, float], list[int]] = {}
-    for i, (g, f) in enumerate(zip(greens, fps, strict=True)):
-        if len(g) >= PULSE_FRAMES and g.std() >= 1e-8:
-            alike.setdefault((len(g), f), []).append(i)
-    for (_, f), some in alike.items():
-        x = np.stack([(greens[i] - greens[i].mean()) / greens[i].std() for i in some])
-        got = zero_phase(*butter_band(PULSE_ORDER, PULSE_LOW / (f / 2), min(PULSE_HIGH / (f / 2), 0.99)), x)
-        for i, y in zip(some, got, strict=True):
-            out[i] = y
-    return out
-
-
-def pulse(green: np.ndarray, fps: float, x: np.ndarray | None = None) -> tuple[float, float, float | None]:
-    """(absence, quality, beats a minute) from the mean green of the skin in each frame. x: filtered() of it, if it is there already."""
-    n = len(green)
+def pulses(green: np.ndarray, fps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(absences, qualities, beats a minute) of tracks of one length, from the mean green of the skin in each frame (tracks, frames): how far the
+    highest line of the pulse's band stands above the rest of the band, its neighbours left out. The rate is NaN where there is no line."""
+    m, n = green.shape
+    absence, quality, bpm = np.full(m, 0.5), np.zeros(m), np.full(m, np.nan)
     if n < PULSE_FRAMES:
-        return 0.5, 0.0, None
-    if green.std() < 1e-8:
-        return 1.0, 0.0, None
-    x = filtered([green], [fps])[0] if x is None else x
-    power = np.abs(np.fft.rfft(x * np.hanning(n)))
+        return absence, quality, bpm
+    spread = green.std(axis=1)
+    live = np.flatnonzero(spread >= 1e-8)
+    absence[:] = 1.0
     freqs = np.fft.rfftfreq(n, 1.0 / fps)
-    band = (freqs >= PULSE_LOW) & (freqs <= PULSE_HIGH)
-    snr, bpm = 0.0, None
-    if band.any():
-        p = power[band]
-        k = int(np.argmax(p))
-        noise = np.delete(p, range(max(0, k - 1), min(len(p), k + 2)))
-        if len(noise) and p[k] > 0:
-            snr = float(p[k] / noise.mean()) if noise.mean() > 0 else float(p[k])
-            bpm = float(freqs[band][k] * 60)
-    absence = 1.0 if snr <= 0 else 0.0 if snr >= PULSE_FULL else 1.0 - snr / PULSE_FULL
-    return absence, min(snr / (PULSE_FULL / 2), 1.0), bpm
+    inside = np.flatnonzero((freqs >= PULSE_LOW) & (freqs <= PULSE_HIGH))
+    if not len(live) or not len(inside):
+        return absence, quality, bpm
+    x = (green[live] - green[live].mean(axis=1, keepdims=True)) / spread[live, None]
+    x = zero_phase(*butter_band(PULSE_ORDER, PULSE_LOW / (fps / 2), min(PULSE_HIGH / (fps / 2), 0.99)), x)
+    lines = np.abs(np.fft.rfft(x * np.hanning(n), axis=1))[:, inside]
+    at = lines.argmax(axis=1)
+    high = lines[np.arange(len(live)), at]
+    rest = np.abs(np.arange(len(inside))[None, :] - at[:, None]) > 1
+    count = rest.sum(axis=1)
+    floor = np.divide((lines * rest).sum(axis=1), count, out=np.zeros(len(live)), where=count > 0)
+    snr = np.where((count > 0) & (high > 0), np.divide(high, floor, out=high.copy(), where=floor > 0), 0.0)
+    found = (count > 0) & (high > 0)
+    absence[live] = np.where(snr <= 0, 1.0, np.where(snr >= PULSE_FULL, 0.0, 1.0 - snr / PULSE_FULL))
+    quality[live] = np.minimum(snr / (PULSE_FULL / 2), 1.0)
+    bpm[live] = np.where(found, freqs[inside][at] * 60, np.nan)
+    return absence, quality, bpm
+
+
+def pulse(green: np.ndarray, fps: float) -> tuple[float, float, float | None]:
+    """pulses() of one track."""
+    absence, quality, bpm = (float(x[0]) for x in pulses(np.asarray(green, float).reshape(1, -1), fps))
+    return absence, quality, None if np.isnan(bpm) else bpm
 
 
 def track_spectra(tracks: DataFrame) -> DataFrame:
@@ -130,12 +136,18 @@ def track_spectra(tracks: DataFrame) -> DataFrame:
 
     def run(it):
         for pdf in it:
-            rows = []
             greens = [np.asarray(g, float) for g in pdf["green"]]
-            for r, green, x in zip(pdf.itertuples(index=False), greens, filtered(greens, pdf["fps"].tolist()), strict=True):
-                boxes = np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in r.boxes], float).reshape(-1, 4)
-                rows.append((r.scan_id, r.face_id, *flicker(boxes, r.fps), *pulse(green, r.fps, x)))
-            yield pd.DataFrame(rows, columns=["scan_id", "face_id", "flicker_score", "flicker_hz", "flicker_ratio", "rppg_absence", "rppg_quality", "bpm"])
+            boxes = [np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in some], float).reshape(-1, 4) for some in pdf["boxes"]]
+            out = np.full((len(pdf), 6), np.nan)
+            for series, where, measure in ((boxes, slice(0, 3), flickers), (greens, slice(3, 6), pulses)):
+                alike: dict[tuple[int, float], list[int]] = {}  # tracks of one length and rate go together
+                for i, (x, f) in enumerate(zip(series, pdf["fps"], strict=True)):
+                    alike.setdefault((len(x), float(f)), []).append(i)
+                for (_, f), some in alike.items():
+                    out[some, where] = np.column_stack(measure(np.stack([series[i] for i in some]), f))
+            got = pd.DataFrame(out, columns=["flicker_score", "flicker_hz", "flicker_ratio", "rppg_absence", "rppg_quality", "bpm"]).astype(object)
+            got = got.where(got.notna(), None)
+            yield pd.concat([pdf[["scan_id", "face_id"]].reset_index(drop=True), got], axis=1)
 
     return tracks.select("scan_id", "face_id", "boxes", "green", "fps").mapInPandas(run, "scan_id bigint, face_id bigint, flicker_score double, flicker_hz double, flicker_ratio double, rppg_absence double, rppg_quality double, bpm double")
 

@@ -130,3 +130,37 @@ def test_filters_of_many_tracks_are_those_of_one():
     b, a = signals.butter_band(4, 0.05, 0.27)
     x = r.normal(size=(5, 200))
     assert np.allclose(signals.zero_phase(b, a, x), [signals.zero_phase(b, a, one) for one in x])
+
+
+def test_canonical_text_is_sorted_at_every_depth(spark):
+    a = spark.sql("SELECT 1 AS i, named_struct('b', 1, 'a', named_struct('z', CAST(NULL AS INT), 'y', array(named_struct('q', 1, 'p', 2)))) AS s, map('k2', 1, 'k1', 2) AS m")
+    b = spark.sql("SELECT map('k1', 2, 'k2', 1) AS m, named_struct('a', named_struct('y', array(named_struct('p', 2, 'q', 1)), 'z', CAST(NULL AS INT)), 'b', 1) AS s, 1 AS i")
+    text = [x.select(compliance.canonical(x, ["s", "m", "i"]).alias("t")).first()["t"] for x in (a, b)]
+    assert text[0] == text[1] == '{"i":1,"m":[{"key":"k1","value":2},{"key":"k2","value":1}],"s":{"a":{"y":[{"p":2,"q":1}],"z":null},"b":1}}'
+    gone = spark.sql("SELECT 1 AS i, CAST(NULL AS STRING) AS s")
+    assert gone.select(compliance.canonical(gone, ["i", "s"]).alias("t")).first()["t"] == '{"i":1,"s":null}'
+
+
+def test_batches_are_signed_as_one(spark):
+    rows = [(i % 3, i, f"v{i}") for i in range(600)] + [(0, 5, "v5")] * 2
+    df = spark.createDataFrame(rows, "b int, i int, v string")
+    seeds = {"k": b"s" * 32}
+    roots = compliance.sign_ed25519(compliance.batch_roots(compliance.sign(df, ["i", "v"], "k"), ["b"]).withColumn("key_id", F.lit("k")), seeds)
+    check = lambda now: {r["b"]: (r["rows"], r["batch_valid"]) for r in compliance.check_batches(compliance.sign(now, ["i", "v"], ""), roots, ["b"], {"k": ed25519.public_key(seeds["k"])}).collect()}
+    assert check(df.repartition(7)) == {0: (202, True), 1: (200, True), 2: (200, True)}
+    changed = df.withColumn("v", F.when(F.col("i") == 7, "other").otherwise(F.col("v")))
+    assert check(changed) == {0: (202, True), 1: (200, False), 2: (200, True)}
+    assert check(df.filter("i <> 2")) == {0: (202, True), 1: (200, True), 2: (199, False)}
+    assert check(df.dropDuplicates()) == {0: (201, False), 1: (200, True), 2: (200, True)}
+    assert check(df.filter("b = 1")) == {0: (0, False), 1: (200, True), 2: (0, False)}
+    swapped = df.withColumn("b", F.when(F.col("i") == 1, 2).when(F.col("i") == 2, 1).otherwise(F.col("b")))
+    assert not check(swapped)[1][1] and not check(swapped)[2][1]
+
+
+def test_spectra_of_many_tracks_are_those_of_one():
+    r = np.random.default_rng(5)
+    boxes = r.normal(size=(4, 90, 4)).cumsum(axis=1)
+    boxes[2] = 7.0
+    for many, one in ((signals.flickers(boxes, 30.0), [signals.flicker(b, 30.0) for b in boxes]), (signals.pulses(g := np.vstack([r.normal(size=(3, 200)), np.ones((1, 200))]), 30.0), [signals.pulse(x, 30.0) for x in g])):
+        for k, x in enumerate(one):
+            assert all(np.isnan(m[k]) if v is None else m[k] == pytest.approx(v) for m, v in zip(many, x, strict=True))
