@@ -16,9 +16,9 @@ ball of radius two. Variants are shuffled, and colliding fingerprints are verifi
 
 near_copies() finds copies by similarity, the exact share of common five-word shingles. Fingerprints over a text's different words, which
 replaced words move less than those over shingles, propose pairs by the same balls; three bits cannot hold all texts of a similarity of 0.8,
-so a sketch of each text, its SKETCH smallest shingles by hash, proposes what the balls miss: of two texts of similarity 0.8 all but one pair
-in ten million have one of the LEAD smallest in common, the shortest texts always. Shingles of many texts split into buckets of two, three and
-four of them; see sketch_buckets(). A pair is proposed if half of the sketches is common too, which all but six in 100,000 such pairs have.
+so a sketch of each text, its SKETCH smallest shingles by hash, proposes what the balls miss: a pair that has one of them in common, and half
+of all, which all but six in 100,000 pairs of similarity 0.8 have, and the shortest texts always. Shingles of very many texts, such as those of
+a passage that many have, make no pairs; texts that are little else go on to buckets of two, three and four of them; see sketch_buckets().
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ SEED = 42
 BLOCK = 16
 #: Rounds in which near_copies() decides a few pairs of each text, before it decides all that are left.
 ROUNDS = 1
-#: Shingles in a text's sketch, and those of them that make buckets; texts that a bucket may have for all its pairs to be tried; shingles that make
-#: a bucket together at most.
-SKETCH, LEAD, CROWD, LEVELS = 32, 8, 16, 4
+#: Shingles in a text's sketch; texts that a bucket may have for all its pairs to be tried; shingles of crowds that a text must have to go on, how
+#: many of these make buckets, and of how many together at most.
+SKETCH, CROWD, MOSTLY, LEAD, LEVELS = 32, 16, 24, 8, 4
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -320,40 +320,39 @@ def _may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], simila
 
 
 def sketch_buckets(items: DataFrame, held: Callable[[DataFrame, str], DataFrame], similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowds) from items with digest, size (different shingles), sketch (LEAD shingles) and low (all of the sketch, in brief): pairs (ra,
-    rb) of all buckets of up to CROWD texts that may be alike, and (k, digest, size, low) of the buckets that are left.
+    """(pairs, crowds) from items with digest, size (different shingles), sketch (hashes) and low (the same in brief): pairs (ra, rb) of all
+    buckets of up to CROWD texts that may be alike, and (k, digest, size, low) of the buckets that are left.
 
-    A bucket is a shingle that stands in the sketches of several texts. Where these are more than CROWD, as of a passage that many texts
-    have, two such shingles of a text make a bucket, then three, then four, so texts that have only the passage in common part. What is
-    crowded even then shares half of its LEAD shingles. Of two texts of similarity 0.8 whose common shingles are crowded throughout, one pair in
-    a hundred has fewer than four of them in common and is not proposed; of 0.85 one in 300.
+    A bucket is a shingle that stands in the sketches of several texts. Of alike texts a fifth of one at most is not in the other, so where
+    more than that of a text stands in buckets that are not crowded, one of these brings the two together. Texts with MOSTLY of their sketch in crowds
+    go on: two of their LEAD smallest crowded shingles make a bucket, then three, then four. What is crowded even then has most of its
+    text and half of those in common. Of such texts of similarity 0.8 one pair in a hundred shares fewer than four and is not proposed; of 0.85 one in 300.
     """
     base = rows = held(items.select(F.explode("sketch").alias("k"), "digest"), "sketches")
-    brief = items.select("digest", "size", "low")
-    pairs = None
+    brief = lambda name: items.select(F.col("digest").alias(name), F.col("size").alias(f"{name}_size"), F.col("low").alias(f"{name}_low"))
+    of = lambda name: lambda x: F.col(f"{name}_{x}")
+    two = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda y: F.struct(x.alias("ra"), y.alias("rb")))))
+    met = None
     for level in range(1, LEVELS + 1):
         counts = held(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "sketch-counts")
         total = counts.agg(F.sum("n")).first()[0] or 0
         hot = F.broadcast(counts.filter(F.col("n") > max(CROWD, total // 10_000)).select("k"))  # 10,000 at most
         cool = rows.join(hot, "k", "left_anti")
-        few = cool.join(counts.filter(F.col("n") <= CROWD), "k", "left_semi").join(brief, "digest")
-        few = few.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("digest", "size", "low"))).alias("d"))
-
-        def met(x: Column, i: Column) -> Column:
-            near = F.filter(F.slice("d", i + 2, F.size("d")), lambda y: _may_be_alike(x.getField, y.getField, similarity))
-            return F.transform(near, lambda y: F.struct(x["digest"].alias("ra"), y["digest"].alias("rb")))
-
-        new = held(few.select(F.explode(F.flatten(F.transform("d", met))).alias("p")).select("p.ra", "p.rb").distinct(), "sketch-pairs")
-        pairs = new if pairs is None else pairs.unionByName(new)
+        few = cool.join(counts.filter(F.col("n") <= CROWD), "k", "left_semi").groupBy("k").agg(F.sort_array(F.collect_list("digest")).alias("d"))
+        new = held(few.select(F.explode(two).alias("p")).select("p.ra", "p.rb").distinct(), "met-in-buckets")
+        met = new if met is None else met.unionByName(new)
         crowded = rows.join(hot, "k", "left_semi").unionByName(cool.join(counts.filter(F.col("n") > CROWD), "k", "left_semi"))
         if level == 1:
-            base = crowded = held(crowded, "crowded-shingles")
-        if level == LEVELS:
-            break
-        # texts with a crowded bucket of this level go on, with all their crowded shingles
-        sets = base if level == 1 else base.join(crowded.select("digest").distinct(), "digest", "left_semi")
-        rows = held(sets.groupBy("digest").agg(F.sort_array(F.collect_list("k")).alias("c")).mapInArrow(released(_combined(level + 1), 1 << 14), "k bigint, digest binary"), "sketch-groups")
-    crowds = held(crowded.join(brief, "digest").select("k", "digest", "size", "low"), "crowds")
+            sets = crowded.groupBy("digest").agg(F.sort_array(F.collect_list("k")).alias("c"))
+            least = F.ceil(F.lit(MOSTLY / SKETCH) * F.least(F.col("size"), F.lit(SKETCH)))
+            base = held(sets.join(items.select("digest", "size"), "digest").filter(F.size("c") >= least).select("digest", F.slice("c", 1, LEAD).alias("c")), "crowded-texts")
+            sets = base
+        else:
+            sets = base.join(crowded.select("digest").distinct(), "digest", "left_semi")
+        if level < LEVELS:
+            rows = held(sets.mapInArrow(released(_combined(level + 1), 1 << 14), "k bigint, digest binary"), "sketch-groups")
+    pairs = met.distinct().join(brief("ra"), "ra").join(brief("rb"), "rb").filter(_may_be_alike(of("ra"), of("rb"), similarity)).select("ra", "rb")
+    crowds = held(crowded.join(items.select("digest", "size", "low"), "digest").select("k", "digest", "size", "low"), "crowds")
     return pairs, crowds
 
 
@@ -399,7 +398,7 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
                 prints.append(_majority(np.unique(h)) if len(h) else 0)
                 all_ = _shingles(h, words)
                 sizes.append(len(all_))
-                sketches.append(all_[:LEAD].view(np.int64))
+                sketches.append(all_[:SKETCH].view(np.int64))
                 lows.append(all_[:SKETCH].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int32()))], ["_key", "digest", "fp", "size", "sketch", "low"])
 
