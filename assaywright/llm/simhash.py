@@ -321,7 +321,7 @@ def _may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], simila
 
 def sketch_buckets(items: DataFrame, held: Callable[[DataFrame, str], DataFrame], similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(pairs, crowds) from items with digest, size (different shingles), sketch (hashes) and low (the same in brief): pairs (ra, rb) of all
-    buckets of up to CROWD texts that may be alike, and (k, digest, size, low) of the buckets that are left.
+    buckets of up to CROWD texts that may be alike, and (k, digest, size, low, c) of the buckets that are left, c being what makes a text's buckets.
 
     A bucket is a shingle that stands in the sketches of several texts. Of alike texts a fifth of one at most is not in the other, so where
     more than that of a text stands in buckets that are not crowded, one of these brings the two together. Texts with MOSTLY of their sketch in crowds
@@ -350,23 +350,28 @@ def sketch_buckets(items: DataFrame, held: Callable[[DataFrame, str], DataFrame]
         else:
             sets = base.join(crowded.select("digest").distinct(), "digest", "left_semi")
         if level < LEVELS:
-            rows = held(sets.mapInArrow(released(_combined(level + 1), 1 << 14), "k bigint, digest binary"), "sketch-groups")
+            rows = held(sets.mapInArrow(released(_combined(level + 1), 1 << 14), "q array<bigint>, digest binary").select(F.xxhash64("q").alias("k"), "digest"), "sketch-groups")
     pairs = met.distinct().join(brief("ra"), "ra").join(brief("rb"), "rb").filter(_may_be_alike(of("ra"), of("rb"), similarity)).select("ra", "rb")
-    crowds = held(crowded.join(items.select("digest", "size", "low"), "digest").select("k", "digest", "size", "low"), "crowds")
+    crowds = held(crowded.join(items.select("digest", "size", "low"), "digest").join(base, "digest").select("k", "digest", "size", "low", "c"), "crowds")
     return pairs, crowds
 
 
+def _first_common(a: str, b: str) -> Column:
+    """The first of the crowds that two texts have in common, as many as there may be: of their first LEVELS common shingles."""
+    return F.xxhash64(F.slice(F.array_intersect(a, b), 1, LEVELS))
+
+
 def _combined(many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of (digest, shingles in order) a row for each combination of `many` shingles."""
+    """Of (digest, shingles in order) a row for each combination of `many` shingles, in order."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            keys, at = [], []
+            out, at = [], []
             for i, c in enumerate(batch.column(1).to_pylist()):
-                new = [xxhash.xxh64_intdigest(np.array(x, np.int64).tobytes(), many) for x in combinations(c, many)]
-                keys += new
+                new = [list(x) for x in combinations(c, many)]
+                out += new
                 at += [i] * len(new)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column(0).take(pa.array(at, pa.int64()))], ["k", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64())), batch.column(0).take(pa.array(at, pa.int64()))], ["q", "digest"])
 
     return run
 
@@ -485,8 +490,9 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
     many = split.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("k")
     split = held(split.join(many, "k", "left_semi"), "crowds-apart")
     if split.limit(1).count():
-        x, y = (split.select("k", *[F.col(x).alias(f"{x}_{c}") for x in ("digest", "size", "low", "root")]) for c in "ab")
-        rest = x.join(y, "k").filter((F.col("digest_a") < F.col("digest_b")) & (F.col("root_a") != F.col("root_b")) & fits).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
+        x, y = (split.select("k", *[F.col(x).alias(f"{x}_{c}") for x in ("digest", "size", "low", "c", "root")]) for c in "ab")
+        once = F.col("k") == _first_common("c_a", "c_b")  # of all crowds that both are in
+        rest = x.join(y, "k").filter((F.col("digest_a") < F.col("digest_b")) & (F.col("root_a") != F.col("root_b")) & fits & once).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
         rest = held(rest.join(pairs, ["a", "b"], "left_anti"), "pairs-of-crowds")
         _, roots = settled(rest, close)
     grouped = stored(items.select("digest", F.col("least").alias("low")).join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")), "copy-groups")
