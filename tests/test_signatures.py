@@ -28,6 +28,21 @@ def test_published_vectors(vector):
     assert ed25519.public_key(seed) == public and ed25519.sign(seed, message) == signature and ed25519.verify(public, message, signature)
 
 
+def test_keys_that_come_often_take_no_doublings(monkeypatch):
+    seed, steps = b"t" * 32, []
+    public = ed25519.public_key(seed)
+    signed = [(m, ed25519.sign(seed, m)) for m in (bytes([i]) * 64 for i in range(60))]
+    monkeypatch.setattr(ed25519, "add", lambda a, b, plain=ed25519.add: steps.append(1) or plain(a, b))
+    for turn in range(2):  # by steps and by the table
+        for m, s in signed:
+            assert ed25519.verify(public, m, s) and not ed25519.verify(public, m + b"x", s) and not ed25519.verify(public, m, s[:32] + bytes([s[32] ^ 1]) + s[33:])
+        for first in (b"\x01" + bytes(31), bytes(32), b"\xed" + b"\xff" * 30 + b"\x7f", b"\x01" + bytes(30) + b"\x80", b"\xff" * 32):
+            assert not ed25519.verify(public, signed[0][0], first + signed[0][1][32:])
+        if not turn:
+            steps.clear()
+    assert not steps and ed25519.sign(seed, b"m") == ed25519.sign(seed, b"m") and not steps
+
+
 def test_signatures_of_another_implementation(spark):
     """Java's signatures are valid here, ours there, and changed ones nowhere."""
     j = spark.sparkContext._jvm
