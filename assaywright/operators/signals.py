@@ -7,7 +7,7 @@ pulse are grouped functions over one track (bounded by its frames) in numpy; the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,21 +135,26 @@ def track_spectra(tracks: DataFrame) -> DataFrame:
     and green, and fps. Arrow batches of whole tracks: no shuffle."""
 
     def run(it):
-        for pdf in it:
-            greens = [np.asarray(g, float) for g in pdf["green"]]
-            boxes = [np.array([[b["x0"], b["y0"], b["x1"], b["y1"]] for b in some], float).reshape(-1, 4) for some in pdf["boxes"]]
-            out = np.full((len(pdf), 6), np.nan)
-            for series, where, measure in ((boxes, slice(0, 3), flickers), (greens, slice(3, 6), pulses)):
-                alike: dict[tuple[int, float], list[int]] = {}  # tracks of one length and rate go together
-                for i, (x, f) in enumerate(zip(series, pdf["fps"], strict=True)):
-                    alike.setdefault((len(x), float(f)), []).append(i)
-                for (_, f), some in alike.items():
-                    out[some, where] = np.column_stack(measure(np.stack([series[i] for i in some]), f))
-            got = pd.DataFrame(out, columns=["flicker_score", "flicker_hz", "flicker_ratio", "rppg_absence", "rppg_quality", "bpm"]).astype(object)
-            got = got.where(got.notna(), None)
-            yield pd.concat([pdf[["scan_id", "face_id"]].reset_index(drop=True), got], axis=1)
-
-    return tracks.select("scan_id", "face_id", "boxes", "green", "fps").mapInPandas(run, "scan_id bigint, face_id bigint, flicker_score double, flicker_hz double, flicker_ratio double, rppg_absence double, rppg_quality double, bpm double")
+        for batch in it:
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            fps = np.asarray(col["fps"], float)
+            out = np.full((batch.num_rows, 6), np.nan)
+            boxes = col["boxes"].flatten()
+            corners = dict(zip([f.name for f in boxes.type], boxes.flatten(), strict=True))
+            corners = np.column_stack([np.asarray(corners[c].cast(pa.float64()).fill_null(np.nan)) for c in ("x0", "y0", "x1", "y1")])
+            green = np.asarray(col["green"].flatten().cast(pa.float64()).fill_null(np.nan))
+            for values, lists, where, measure in ((corners, col["boxes"], slice(0, 3), flickers), (green, col["green"], slice(3, 6), pulses)):
+                sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+                starts = np.cumsum(sizes) - sizes
+                kinds, of = np.unique(np.column_stack([sizes, fps]), axis=0, return_inverse=True)  # tracks of one length and rate go together
+                for i, (n, f) in enumerate(kinds):
+                    some = np.flatnonzero(of.ravel() == i)
+                    out[some, where] = np.column_stack(measure(values[starts[some, None] + np.arange(int(n))], float(f)))
+            got = [pa.array(x, pa.float64(), from_pandas=True) for x in out.T]  # NaN is null
+            yield pa.RecordBatch.from_arrays([col["scan_id"], col["face_id"], *got], names)
+
+    names = ["scan_id", "face_id", "flicker_score", "flicker_hz", "flicker_ratio", "rppg_absence", "rppg_quality", "bpm"]
+    return tracks.select("scan_id", "face_id", "boxes", "green", "fps").mapInArrow(run, ", ".join(f"{c} {'bigint' if c.endswith('_id') else 'double'}" for c in names))
 
 
 # ---- expressions over frames
@@ -212,7 +217,8 @@ def detrended(frames: DataFrame, value: str, key: str = "track_id", order: str =
     n, sx, sy, sxx, sxy = (F.col(c) for c in ("_n", "_x", "_y", "_xx", "_xy"))
     slope = F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))  # one frame has no slope
     fit = fit.select(key, slope.alias("_b"), F.try_divide(sy - slope * sx, n.cast("double")).alias("_a"))
-    return frames.join(fit, key).withColumn("detrended", y - F.col("_a") - F.col("_b") * x).drop("_a", "_b")
+    # a row a track is small beside the frames: those are not sorted, nor shuffled again where they lie by track
+    return frames.join(fit.hint("shuffle_hash"), key).withColumn("detrended", y - F.col("_a") - F.col("_b") * x).drop("_a", "_b")
 
 
 def face_composite(rppg: Column, flick: Column, eye: Column) -> Column:

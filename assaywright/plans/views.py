@@ -237,10 +237,20 @@ fmatch AS (SELECT vec_id, 0 AS fam, ref_id, CAST(bit_count(xor(f.a, r.a)) AS INT
 fbest AS (SELECT video_id, m.a AS match_distance, m.b AS frame, m.c AS family_ord, m.e AS ref_id FROM (SELECT vec_id // 2 AS video_id, min(struct_pack(a := d, b := vec_id, c := fam, e := ref_id)) AS m FROM fmatch GROUP BY vec_id // 2))"""
 
 
-def tracks(spark: SparkSession, d: str, n: int = 120) -> DataFrame:
-    """(track_id, frame, openness, px, py, pupil_distance): n frames for each customer, by arithmetic."""
+#: Tracks of one task: as tables of frames are stored by track, some 1,000 of them a file.
+TRACKS_A_TASK = 1024
+
+
+def track_ids(spark: SparkSession, d: str) -> DataFrame:
+    """(track_id), dealt by track before any frames are made: what is done by track needs no shuffle of frames, and a task has as many tracks
+    however many there are. The number of parts is given, as a shuffle by its small size would be put into few."""
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("track_id"))
-    f = c.select("track_id", F.explode(F.sequence(F.lit(0), F.lit(n) - F.col("track_id") % 3 * 40)).alias("frame"))
+    return c.repartition(max(spark.sparkContext.defaultParallelism, -(-c.count() // TRACKS_A_TASK)), "track_id")
+
+
+def tracks(spark: SparkSession, d: str, n: int = 120) -> DataFrame:
+    """(track_id, frame, openness, px, py, pupil_distance): n frames for each customer, by arithmetic; all frames of a track in one part."""
+    f = track_ids(spark, d).select("track_id", F.explode(F.sequence(F.lit(0), F.lit(n) - F.col("track_id") % 3 * 40)).alias("frame"))
     k, i = F.col("track_id"), F.col("frame")
     shut = ((i + k) % (20 + k % 7 * 10)) < (2 + k % 12)
     return f.select("track_id", i.cast("bigint").alias("frame"), F.when((k % 5 != 0) & shut, 0.1).otherwise(0.8).alias("openness"), (F.lit(100.0) + (i * k % 9) * (k % 4) * F.lit(0.5)).alias("px"), (F.lit(80.0) + (i * i * k % 7) * (k % 3) * F.lit(0.25)).alias("py"), F.when(k % 13 == 0, 0.0).otherwise(60.0).alias("pupil_distance"))

@@ -67,3 +67,33 @@ def test_track_queries_take_every_customer(spark):
         shake = np.sin(i * (0.1 + k % 40 * 0.07)) * (1 + k % 3)
         boxes = np.column_stack([shake + 10, 0 * i + 20, 110 + i * 0.01, 0 * i + 120 + k])
         assert faces[k]["flicker_score"] == pytest.approx(signals.flicker(boxes, 30)[0], abs=1e-6)
+
+
+def test_frames_are_made_where_their_tracks_lie(spark, monkeypatch):
+    from assaywright.plans import views
+
+    data = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{data}/customer.parquet").count()
+    monkeypatch.setattr(views, "TRACKS_A_TASK", 16)
+    frames = views.tracks(spark, data)
+    assert frames.rdd.getNumPartitions() == -(-n // 16)  # grows with the tracks
+    for got in (signals.saccade_metrics(frames), signals.blink_metrics(frames), signals.detrended(frames, "px")):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert shuffles and all("REPARTITION_BY_NUM" in x for x in shuffles)  # of tracks, none of frames
+
+
+def test_spectra_of_unequal_tracks(spark):
+    r = np.random.default_rng(3)
+    rows, expected = [], {}
+    for i, n in enumerate([200, 200, 160, 59, 0, 200]):
+        boxes, green, fps = r.normal(50, 5, (n, 4)), r.normal(128, 2, n), 25.0 if i == 5 else 30.0
+        rows.append((7, i, [tuple(map(float, b)) for b in boxes], [float(g) for g in green], fps))
+        expected[i] = (*signals.flicker(boxes, fps), *signals.pulse(green, fps))
+    rows.append((7, 6, None, None, 30.0))  # no frames at all
+    expected[6] = expected[4]
+    df = spark.createDataFrame(rows, "scan_id bigint, face_id bigint, boxes array<struct<x0: double, y0: double, x1: double, y1: double>>, green array<double>, fps double")
+    got = {x["face_id"]: tuple(x)[2:] for x in signals.track_spectra(df).collect()}
+    assert got.keys() == expected.keys()
+    for i, want in expected.items():
+        assert [x is None for x in got[i]] == [x is None for x in want] and [x for x in got[i] if x is not None] == pytest.approx([x for x in want if x is not None], abs=1e-9)
