@@ -116,19 +116,21 @@ def clusters(rows: DataFrame, by: list[str], least: int) -> DataFrame:
 def circuit_breaker(calls: DataFrame, failures: int, seconds: int) -> DataFrame:
     """calls: (service, call_id, ts, failed). Adds the failures of the last seconds and whether the circuit opens.
 
-    Calls are summed by second first, in partial sums; the window runs over seconds and stays inside blocks of the frame's length: what lies
-    behind a block's start is the rest of the block before. So a service with very many calls is dealt by block, not one task. Calls without
-    service or time have no failures behind them.
+    Calls are summed by second first, in partial sums. A failure enters at its second and leaves `seconds` + 1 later, so what lies in the frame is a
+    running sum, which grows by one step a row however many rows the frame has. Sums stay inside blocks of the frame's length: what lies behind a
+    block's start is the block before, whose failures leave in this one. So a service with very many calls is dealt by block, not one task.
+    Calls without service or time have no failures behind them.
     """
     second = F.unix_timestamp("ts")
     span = seconds + 1
+    block = F.floor(F.col("_sec") / span)
     sums = calls.filter("failed").groupBy("service", second.alias("_sec")).agg(F.count("*").alias("_f"))
-    # a second counts in its own block and, with a frame that reaches back, in the one after
-    both = sums.withColumn("_block", F.explode(F.array(F.floor(F.col("_sec") / span), F.floor(F.col("_sec") / span) + 1)))
-    asked = calls.select("service", second.alias("_sec")).distinct().select("service", F.floor(F.col("_sec") / span).alias("_block"), "_sec", F.lit(0).cast("bigint").alias("_f"), F.lit(True).alias("_asked"))
-    rows = both.select("service", "_block", "_sec", "_f", F.lit(False).alias("_asked")).unionByName(asked)
-    w = Window.partitionBy("service", "_block").orderBy("_sec").rangeBetween(-seconds, 0)
-    recent = rows.withColumn("recent_failures", F.sum("_f").over(w)).filter("_asked").select("service", "_sec", "recent_failures")
+    step = lambda block, sec, f: F.struct(block.alias("_block"), sec.alias("_sec"), f.alias("_f"))
+    f, sec = F.col("_f"), F.col("_sec")
+    both = sums.select("service", F.explode(F.array(step(block, sec, f), step(block + 1, (block + 1) * span, f), step(block + 1, sec + span, -f))).alias("_x")).select("service", "_x.*", F.lit(False).alias("_asked"))
+    asked = calls.select("service", second.alias("_sec")).distinct().select("service", block.alias("_block"), "_sec", F.lit(0).cast("bigint").alias("_f"), F.lit(True).alias("_asked"))
+    w = Window.partitionBy("service", "_block").orderBy("_sec").rangeBetween(Window.unboundedPreceding, 0)
+    recent = both.unionByName(asked).withColumn("recent_failures", F.sum("_f").over(w)).filter("_asked").select("service", "_sec", "recent_failures")
     got = calls.withColumn("_sec", second).join(recent, ["service", "_sec"], "left").drop("_sec")
     return got.withColumn("recent_failures", F.coalesce("recent_failures", F.lit(0))).withColumn("open", F.col("recent_failures") >= failures)
 

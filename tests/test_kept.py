@@ -209,3 +209,18 @@ def test_circuit_breaker_by_blocks(spark):
         for s, i, t, _ in calls:
             n = sum(f for s2, _, t2, f in calls if s2 == s and timedelta(0) <= t - t2 <= timedelta(seconds=seconds))
             assert got[i] == (n, n >= 3)
+
+
+def test_circuit_breaker_takes_running_sums(spark):
+    """A frame that is summed anew for each of its seconds takes the square of its length."""
+    df = spark.createDataFrame([("a", 1, 100, True)], "service string, call_id bigint, t bigint, failed boolean").withColumn("ts", F.timestamp_seconds("t"))
+    plan = ops.circuit_breaker(df, 3, 21600)._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in plan and "-21600" not in plan
+
+
+def test_circuit_breaker_against_brute_force_over_full_seconds(spark):
+    rows = [("ab"[i % 2], i, (i * 7919) % 97 - 40, i % 3 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "service string, call_id bigint, t bigint, failed boolean").withColumn("ts", F.timestamp_seconds("t"))
+    for seconds in (0, 1, 9, 200):
+        want = {i: sum(f and s == service and t - seconds <= u <= t for s, _, u, f in rows) for service, i, t, _ in rows}
+        assert {r["call_id"]: r["recent_failures"] for r in ops.circuit_breaker(df, 3, seconds).collect()} == want
