@@ -3,13 +3,15 @@
 The lookup is an equi join on bands: of three bands (more beyond a distance of eight) two hashes within the distance differ in some band
 by a third of it at most. Each side emits its bands, and as many flips of single bits as make such bands meet: none, on one side, or on
 both. So bands are wide (21 bits), and few pairs that lie apart meet by chance. Candidates are checked by the bit count of the exclusive
-or. A reference set that has been counted and found small is broadcast instead, on request. Both ways give the same rows.
+or. A reference set that has been counted and found small is broadcast instead, on request. Both ways give the same rows. Families of hashes, of which
+some differ in few bits, are compared block by block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,8 @@ from pyspark.sql import types as T
 FAMILIES = {"ahash": 5, "dhash": 6, "phash": 8}
 #: References up to this many are compared with all queries, where the caller asks for it.
 MOST_BROADCAST = 10_000
+#: Rows of a block, and parts of the pairs of blocks: a pair takes a fraction of a second and 1 MB.
+BLOCK, MOST_TILES = 8192, 4000
 
 
 def _bits(flags: Column) -> Column:
@@ -109,16 +113,77 @@ def matches(queries: DataFrame, refs: DataFrame, threshold: int, method: str = "
     return queries.join(pairs, "h").join(refs, "ref_h").withColumn("distance", hamming(F.col("h"), F.col("ref_h"))).drop("ref_h")
 
 
-def family_matches(frames: DataFrame, refs: DataFrame, key: list[str], families: dict[str, int] = FAMILIES) -> DataFrame:
+def _blocks(df: DataFrame, name: str, by: list[str]) -> tuple[DataFrame, int]:
+    """One row for each block of some BLOCK rows: its rows as one array. Rows are dealt by a hash of `by`, so equal hashes don't make a large block."""
+    n = max(1, -(-df.count() // BLOCK))
+    at = F.pmod(F.xxhash64(*by), F.lit(n)).alias(f"_{name}")
+    return df.groupBy(at).agg(F.collect_list(F.struct(*df.columns)).alias(name)), n
+
+
+def family_matches(frames: DataFrame, refs: DataFrame, key: list[str], families: dict[str, int] = FAMILIES, best: bool = False) -> DataFrame:
     """frames: key columns and a hash column for each family; refs: ref_id and the same. All matches within each family's distance:
-    (key..., family_ord, family, ref_id, distance)."""
-    out = None
-    for i, (name, threshold) in enumerate(families.items()):
-        q = frames.filter(F.col(name).isNotNull()).select(*key, F.col(name).alias("h"))
-        r = refs.filter(F.col(name).isNotNull()).select("ref_id", F.col(name).alias("ref_h"))
-        one = matches(q, r, threshold).select(*key, F.lit(i).alias("family_ord"), F.lit(name).alias("family"), "ref_id", "distance")
-        out = one if out is None else out.unionByName(one)
-    return out
+    (key..., family_ord, family, ref_id, distance). best: at least the one of each row of frames with the least distance, then family, then ref_id,
+    and no more than one for each block of references.
+
+    Transform hashes of like pictures differ in so few bits that their bands hold a large share of all hashes, and matches grow with the square of
+    the rows. So blocks of frames meet blocks of references, and bits are counted for all pairs of two blocks at once, a nanosecond a pair: a task
+    holds two blocks, however many rows match. Matches are neither joined nor shuffled.
+    """
+    names = list(families)
+    q, m = _blocks(frames.select(*key, *names), "q", key)
+    r, n = _blocks(refs.select("ref_id", *names), "r", ["ref_id"])
+    tiles = q.crossJoin(r).repartition(min(m * n, MOST_TILES), "_q", "_r").select("q", "r")
+    kept = [*[frames.schema[c] for c in key], T.StructField("family_ord", T.IntegerType()), T.StructField("family", T.StringType()), refs.schema["ref_id"], T.StructField("distance", T.IntegerType())]
+
+    def run(it):
+        for batch in it:
+            for i in range(batch.num_rows):
+                yield from _tile(batch.column(0)[i].values, batch.column(1)[i].values, key, families, best)
+
+    return tiles.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in kept]))
+
+
+def _tile(rows: pa.StructArray, refs: pa.StructArray, key: list[str], families: dict[str, int], best: bool):
+    """Matches of a block of rows with a block of references, in Arrow batches of some 100,000."""
+    ids = refs.field("ref_id")
+    if best:  # the first of equally distant references is the one to take
+        order = pc.sort_indices(ids)
+        refs, ids = refs.take(order), ids.take(order)
+    names, chunk, found = list(families), 64, []
+    hashes = [(np.asarray(x.field(c).fill_null(0)).view(np.uint64), np.asarray(x.field(c).is_valid())) for c in names for x in (rows, refs)]
+
+    def out():
+        if not found:
+            return
+        a, b, k, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        cols = [*[rows.field(c).take(pa.array(a)) for c in key], pa.array(k, pa.int32()), pa.array(names).take(pa.array(k)), ids.take(pa.array(b)), pa.array(d, pa.int32())]
+        for at in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in cols], [*key, "family_ord", "family", "ref_id", "distance"])
+
+    for at in range(0, len(rows), chunk):
+        nearest = []
+        for k, c in enumerate(names):
+            (h, there), (ref, ref_there) = hashes[2 * k], hashes[2 * k + 1]
+            d = np.bitwise_count(h[at : at + chunk, None] ^ ref[None, :])
+            d[~there[at : at + chunk]] = 255
+            d[:, ~ref_there] = 255
+            if best:
+                j = d.argmin(axis=1)
+                low = d[np.arange(len(d)), j].astype(np.int64)
+                nearest.append((np.where(low <= families[c], low, 255), j))
+            else:
+                a, b = np.nonzero(d <= families[c])
+                found.append((a + at, b, np.full(len(a), k), d[a, b].astype(np.int64)))
+        if best:
+            low = np.stack([x for x, _ in nearest])
+            k = low.argmin(axis=0)  # the first family of equal distances
+            each = np.arange(low.shape[1])
+            hit = np.flatnonzero(low[k, each] < 255)
+            found.append((hit + at, np.stack([j for _, j in nearest])[k, each][hit], k[hit], low[k, each][hit]))
+        if sum(len(x[0]) for x in found) >= 100_000:
+            yield from out()
+    yield from out()
 
 
 def best_match(found: DataFrame, key: str) -> DataFrame:

@@ -132,3 +132,31 @@ def test_chunks(spark):
     df = spark.createDataFrame([("u", 1, 2, "b"), ("u", 0, 2, "a"), ("u", 0, 2, "a"), ("v", 0, 3, "x")], "upload_id string, chunk_index int, total_chunks int, data string")
     got = {r["upload_id"]: r["content"] for r in ingest.assemble_chunks(df).collect()}
     assert got == {"u": "ab", "v": None}
+
+
+def test_family_matches_by_blocks(spark, monkeypatch):
+    """All matches, and the best ones, of hashes that very many rows share; no join on hashes, whose groups grow with the square of the rows."""
+    monkeypatch.setattr(hashing, "BLOCK", 16)
+    hot = [-1 << 40, 7, -(1 << 63)]
+    h = lambda i, k: None if (i + k) % 11 == 0 else hot[k] ^ ((1 << i % 9) - 1) if i % 3 else (i * 0x9E3779B97F4A7C15 + k) % (1 << 64) - (1 << 63)
+    frames = [(i // 2, i, *(h(i, k) for k in range(3))) for i in range(90)]
+    refs = [(f"r{i}", *(h(i + 1, k) for k in range(3))) for i in range(50)]
+    q = spark.createDataFrame(frames, "video_id bigint, frame bigint, ahash bigint, dhash bigint, phash bigint")
+    r = spark.createDataFrame(refs, "ref_id string, ahash bigint, dhash bigint, phash bigint")
+    want = set()
+    for v, f, *mine in frames:
+        for ref, *theirs in refs:
+            for k, (name, most) in enumerate(hashing.FAMILIES.items()):
+                if mine[k] is not None and theirs[k] is not None and (d := ((mine[k] ^ theirs[k]) % (1 << 64)).bit_count()) <= most:
+                    want.add((v, f, k, name, ref, d))
+    got = hashing.family_matches(q, r, ["video_id", "frame"])
+    rows = [tuple(x) for x in got.collect()]
+    assert len(want) > 500 and len(rows) == len(want) and set(rows) == want
+    first = {}
+    for v, f, k, _, ref, d in want:
+        first[v] = min(first.get(v, (99,)), (d, f, k, ref))
+    few = hashing.family_matches(q, r, ["video_id", "frame"], best=True)
+    assert {x["video_id"]: tuple(x)[1:] for x in hashing.best_match(few, "video_id").collect()} == first and few.count() <= 90 * 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashJoin" not in plan
+    assert hashing.family_matches(q.limit(0), r, ["frame"]).count() == 0
