@@ -411,6 +411,10 @@ def keyed_messages(spark, d):
 
 
 # ---- streams: run over the table to its end, then read what was written
+#: Rows of a file that a stream reads: some 100 MB when kept in memory.
+ROWS_A_FILE = 100_000
+
+
 def _tmp(spark) -> str:
     return readers.scratch(spark, "stream")
 
@@ -535,8 +539,8 @@ def stream_fanout(spark, d):
     """Verdicts fan out to three record tables in each micro-batch, with the same functions as in batch."""
     root = _tmp(spark)
     scans = V.scan_facts(spark, d)
-    scans.write.parquet(f"{root}/in")
-    src = scoring.risk_score(spark.readStream.schema(scans.schema).parquet(f"{root}/in"))
+    scans.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{root}/in")  # a task reads two files or so, and a batch as many as keep all cores busy
+    src = scoring.risk_score(readers.stream(spark, f"{root}/in", scans.schema, per_trigger=2 * spark.sparkContext.defaultParallelism))
     sinks = {"audit": compliance.audit_log, "statements": lambda s: compliance.statements(s).join(s.select("scan_id", "verdict"), "scan_id"), "manifests": compliance.manifests}
     flows.run_batches(src, flows.fan_out(sinks, f"{root}/out"), f"{root}/cp")
     out = None

@@ -224,3 +224,15 @@ def test_circuit_breaker_against_brute_force_over_full_seconds(spark):
     for seconds in (0, 1, 9, 200):
         want = {i: sum(f and s == service and t - seconds <= u <= t for s, _, u, f in rows) for service, i, t, _ in rows}
         assert {r["call_id"]: r["recent_failures"] for r in ops.circuit_breaker(df, 3, seconds).collect()} == want
+
+
+def test_fan_out_takes_bounded_batches(spark, monkeypatch):
+    from assaywright.plans import records
+
+    monkeypatch.setattr(records, "ROWS_A_FILE", 50, raising=False)
+    data = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    got = records.stream_fanout(spark, data)
+    assert got.filter("record = 'audit'").count() == n
+    batches = {x.split("/batch=")[1].split("/")[0] for x in got.inputFiles() if "/audit/" in x}
+    assert len(batches) >= n // 50 // (2 * spark.sparkContext.defaultParallelism) > 1
