@@ -236,3 +236,50 @@ def test_fan_out_takes_bounded_batches(spark, monkeypatch):
     assert got.filter("record = 'audit'").count() == n
     batches = {x.split("/batch=")[1].split("/")[0] for x in got.inputFiles() if "/audit/" in x}
     assert len(batches) >= n // 50 // (2 * spark.sparkContext.defaultParallelism) > 1
+
+
+def test_correlator_of_a_scan_takes_no_pandas_steps(monkeypatch):
+    """There are as many calls as scans, so sorting, grouping and converting tables of five rows was nearly all of the time."""
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        hasTimedOut, exists, got = False, False, None
+
+        def __init__(self, got=None):
+            self.exists, self.get = got is not None, got
+
+        def update(self, got):
+            self.got = got
+
+        def remove(self):
+            self.got = None
+
+        def setTimeoutTimestamp(self, t):
+            self.until = t
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    class Layers:
+        def withWatermark(self, *_):
+            return self
+
+        groupBy = withWatermark
+
+        def applyInPandasWithState(self, step, *_):
+            return step
+
+    step = flows.correlate(Layers(), timeout_ms=1000)
+
+    def never(*_, **__):
+        raise AssertionError("a step of pandas")
+
+    at = pd.to_datetime([30, 10, 30, 20], unit="s")
+    part = pd.DataFrame({"tier": [1, 2, 1, 1], "score": [0.5, 0.25, 0.125, np.nan], "terminal_tier": [3, 3, 2, 3], "ts": at})
+    for name in ("sort_values", "groupby", "astype"):
+        monkeypatch.setattr(pd.DataFrame, name, never)
+    out = list(step((7,), iter([part.iloc[:2]]), state := State()))
+    assert not out and state.got == (0.5, 30_000_000, 0.25, 10_000_000, None, -1, 3) and state.until == 31_000
+    (row,) = step((7,), iter([part.iloc[[0, 2, 1]].assign(terminal_tier=2)]), State())  # of equal times the larger score
+    assert row.iloc[0][["scan_id", "l1", "l2", "complete"]].tolist() == [7, 0.5, 0.25, True] and np.isnan(row["l3"][0]) and row["last_ts"][0] == at[0]
