@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..sources.readers import scratch
 from .hashing import matches
 
+#: Rows whose bands one task holds; each has up to 66 bands and flips on both sides.
+ROWS_A_TASK = 1024
+
 
 def shared_links(rows: DataFrame, node: str, *keys: str) -> DataFrame:
     """(a, b): each row with the first of those that share its value of all keys. A value that a million rows share makes a million links and
@@ -25,7 +28,7 @@ def near_links(rows: DataFrame, node: str, h: str, distance: int) -> DataFrame:
     there = rows.select(F.col(node).alias("_n"), F.col(h).alias("h")).dropna()
     one = there.groupBy("h").agg(F.min("_n").alias("a"))
     same = there.join(one, "h").filter("_n > a").select("a", F.col("_n").alias("b"))
-    near = matches(one.select("h", F.col("a")), one.select(F.col("a").alias("ref_id"), F.col("h").alias("ref_h")), distance)
+    near = matches(one.select("h", F.col("a")), one.select(F.col("a").alias("ref_id"), F.col("h").alias("ref_h")), distance, parts=-(-rows.count() // ROWS_A_TASK))
     return same.union(near.filter("a < ref_id").select("a", F.col("ref_id").alias("b")))
 
 

@@ -98,17 +98,20 @@ def _banded(df: DataFrame, h: str, bands: int, flips: bool) -> DataFrame:
     return df.withColumn("_band", F.explode(F.array(*[one(*x) for x in each]))).withColumns({"_b": F.col("_band.b"), "_v": F.col("_band.v")}).drop("_band")
 
 
-def matches(queries: DataFrame, refs: DataFrame, threshold: int, method: str = "banded") -> DataFrame:
+def matches(queries: DataFrame, refs: DataFrame, threshold: int, method: str = "banded", parts: int | None = None) -> DataFrame:
     """(query columns..., ref_id, distance) within threshold. queries has `h`; refs has ref_id and `ref_h`. method: banded or broadcast.
 
     Equal hashes on either side are met once: candidates are joined on distinct hashes, then joined back. broadcast counts the references
-    first, and takes bands after all if there are more than MOST_BROADCAST.
+    first, and takes bands after all if there are more than MOST_BROADCAST. parts: tasks that bands are dealt to; otherwise Spark chooses, by
+    their compressed size, and tasks grow with the input.
     """
     if method == "broadcast" and refs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return queries.join(F.broadcast(refs), hamming(F.col("h"), F.col("ref_h")) <= threshold).withColumn("distance", hamming(F.col("h"), F.col("ref_h"))).drop("ref_h")
     bands, differ = band_plan(threshold)
     a = _banded(queries.select("h").distinct(), "h", bands, differ >= 1)
     b = _banded(refs.select("ref_h").distinct(), "ref_h", bands, differ >= 2)
+    if parts:
+        a, b = (x.repartition(parts, "_b", "_v") for x in (a, b))
     pairs = a.join(b, ["_b", "_v"]).filter(hamming(F.col("h"), F.col("ref_h")) <= threshold).select("h", "ref_h").distinct()
     return queries.join(pairs, "h").join(refs, "ref_h").withColumn("distance", hamming(F.col("h"), F.col("ref_h"))).drop("ref_h")
 

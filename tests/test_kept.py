@@ -283,3 +283,13 @@ def test_correlator_of_a_scan_takes_no_pandas_steps(monkeypatch):
     assert not out and state.got == (0.5, 30_000_000, 0.25, 10_000_000, None, -1, 3) and state.until == 31_000
     (row,) = step((7,), iter([part.iloc[[0, 2, 1]].assign(terminal_tier=2)]), State())  # of equal times the larger score
     assert row.iloc[0][["scan_id", "l1", "l2", "complete"]].tolist() == [7, 0.5, 0.25, True] and np.isnan(row["l3"][0]) and row["last_ts"][0] == at[0]
+
+
+def test_near_links_are_dealt_to_more_tasks_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 8, raising=False)
+    rows = [(i, (i // 4) * 0x1234567F1 ^ (1 << i % 4)) for i in range(100)]
+    links = graph.near_links(spark.createDataFrame(rows, "n bigint, h bigint"), "n", "h", 6)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(_b#" in x and ", 13), REPARTITION_BY_NUM" in x for x in plan.splitlines()) >= 2
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and (x ^ y).bit_count() <= 6}
+    assert len(near) > 100 and {tuple(x) for x in links.collect()} == near
