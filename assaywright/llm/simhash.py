@@ -45,6 +45,8 @@ ROUNDS = 1
 #: Shingles in a text's sketch; texts that a bucket may have for all its pairs to be tried; shingles of crowds that a text must have to go on, how
 #: many of these make buckets, and of how many together at most.
 SKETCH, CROWD, MOSTLY, LEAD, LEVELS = 32, 16, 24, 8, 4
+#: Shingles of a block of texts of a crowd, and a text's least share of them: 2 MB, some 2,048 texts at most, or one that is longer.
+CROWD_BLOCK, CROWD_LEAST = 1 << 18, 128
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -321,7 +323,7 @@ def _may_be_alike(x: Callable[[str], Column], y: Callable[[str], Column], simila
 
 def sketch_buckets(items: DataFrame, held: Callable[[DataFrame, str], DataFrame], similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(pairs, crowds) from items with digest, size (different shingles), sketch (hashes) and low (the same in brief): pairs (ra, rb) of all
-    buckets of up to CROWD texts that may be alike, and (k, digest, size, low, c) of the buckets that are left, c being what makes a text's buckets.
+    buckets of up to CROWD texts that may be alike, and (k, digest, size, low) of the buckets that are left.
 
     A bucket is a shingle that stands in the sketches of several texts. Of alike texts a fifth of one at most is not in the other, so where
     more than that of a text stands in buckets that are not crowded, one of these brings the two together. Texts with MOSTLY of their sketch in crowds
@@ -352,15 +354,10 @@ def sketch_buckets(items: DataFrame, held: Callable[[DataFrame, str], DataFrame]
         if level < LEVELS:
             rows = held(sets.mapInArrow(released(_combined(level + 1), 1 << 14), "q array<bigint>, digest binary").select(F.xxhash64("q").alias("k"), "digest"), "sketch-groups")
     pairs = met.distinct().join(brief("ra"), "ra").join(brief("rb"), "rb").filter(_may_be_alike(of("ra"), of("rb"), similarity)).select("ra", "rb")
-    crowds = held(crowded.join(items.select("digest", "size", "low"), "digest").join(base, "digest").select("k", "digest", "size", "low", "c"), "crowds")
+    crowds = held(crowded.join(items.select("digest", "size", "low"), "digest").select("k", "digest", "size", "low"), "crowds")
     return pairs, crowds
 
 
-def _first_common(a: str, b: str) -> Column:
-    """The first of the crowds that two texts have in common, as many as there may be: of their first LEVELS common shingles."""
-    return F.xxhash64(F.slice(F.array_intersect(a, b), 1, LEVELS))
-
-
 def _combined(many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of (digest, shingles in order) a row for each combination of `many` shingles, in order."""
 
@@ -376,6 +373,106 @@ def _combined(many: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def crowd_links(members: DataFrame, held: Callable[[DataFrame, str], DataFrame], similarity: float = 0.8) -> DataFrame:
+    """(a, b): links that join the roots of texts of one group that are alike, from (g, digest, root, size, s), g being a group that all pairs are wanted
+    of, root what a text is joined with already, and s all its shingles in order.
+
+    Pairs are not made as rows. Texts of a group are dealt to blocks of one order of size, roots with many texts to blocks of their own, and
+    a task counts the common shingles of all texts of two blocks at once. Blocks of one root, and sizes that are too far apart, do not meet. Of
+    the links of two blocks those go out that join roots which others have not joined, so fewer than the blocks have roots.
+    """
+    ready(members.sparkSession)
+    weight = F.greatest(F.lit(CROWD_LEAST).cast("double"), F.pow(F.lit(2.0), F.col("e") + 1))
+    rows = members.withColumn("e", F.floor(F.log2(F.col("size").cast("double"))).cast("int"))
+    large = F.col("n") * weight >= CROWD_BLOCK / 2
+    own = rows.groupBy("g", "e", "root").agg(F.count("*").alias("n")).filter(large).select("g", "e", "root", F.col("root").alias("own"))
+    rows = rows.join(own, ["g", "e", "root"], "left")
+    by = F.coalesce("own", F.lit(b""))  # no digest is empty
+    parts = rows.groupBy("g", "e", by.alias("o")).agg(F.count("*").alias("n")).select("g", "e", "o", F.ceil(F.col("n") * weight / CROWD_BLOCK).cast("int").alias("m"))
+    rows = rows.withColumn("o", by).join(parts, ["g", "e", "o"]).withColumn("p", F.pmod(F.xxhash64("digest"), F.col("m")).cast("int"))
+    blocks = held(rows.groupBy("g", "e", "o", "p").agg(F.collect_list(F.struct("digest", "root", "s")).alias("t")), "crowd-blocks")
+    x, y = (blocks.select("g", *[F.col(c).alias(f"{c}{i}") for c in ("e", "o", "p")]) for i in "xy")
+    place = lambda i: F.struct(*[f"{c}{i}" for c in ("e", "o", "p")])
+    # sizes of one order differ by less than a factor of two, so those of a similarity over a half lie in the same or the next
+    meet = x.join(y, "g").filter((place("x") <= place("y")) & (F.abs(F.col("ex") - F.col("ey")) <= int(np.ceil(-np.log2(similarity)))) & ((F.col("ox") != F.col("oy")) | (F.col("ox") == F.lit(b""))))
+    for i in "xy":
+        at = blocks.select("g", *[F.col(c).alias(f"{c}{i}") for c in ("e", "o", "p")], F.col("t").alias(f"t{i}"))
+        meet = meet.join(at, ["g", *[f"{c}{i}" for c in ("e", "o", "p")]])
+    tiles = meet.select((place("x") == place("y")).alias("same"), "tx", "ty").repartition(F.xxhash64("g", place("x"), place("y")))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                a, b = _block_links(batch.column(1)[i].values, batch.column(2)[i].values, batch.column(0)[i].as_py(), similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return tiles.mapInArrow(released(run, 1), "a binary, b binary")
+
+
+def _block_links(x: pa.StructArray, y: pa.StructArray, same: bool, similarity: float, columns: int = 4096, most: int = 256) -> tuple[list[bytes], list[bytes]]:
+    """Of two blocks of (digest, root, s): links between texts of different roots, as many as join all roots that links join."""
+    root = _Joined()
+    sides = []
+    for block in (x, y):
+        s = block.field("s")
+        sizes = np.diff(np.asarray(s.offsets))
+        sides.append((block.field("digest").to_pylist(), [root.number(r) for r in block.field("root").to_pylist()], np.asarray(s.flatten()), np.repeat(np.arange(len(s)), sizes), sizes))
+    (name_x, root_x, s_x, at_x, size_x), (name_y, root_y, s_y, at_y, size_y) = sides
+    both = np.intersect1d(s_x, s_y)  # shingles of one side alone are in no pair
+    entries = []
+    for s, at in ((s_x, at_x), (s_y, at_y)):
+        where = np.minimum(np.searchsorted(both, s), max(0, len(both) - 1))
+        hit = both[where] == s if len(both) else np.zeros(len(s), bool)
+        where, at = where[hit], at[hit]
+        order = np.argsort(where, kind="stable")
+        entries.append((where[order], at[order]))
+    a, b = [], []
+    for lo in range(0, len(name_x), most):
+        hi = min(lo + most, len(name_x))
+        common = np.zeros((hi - lo, len(name_y)), np.float32)  # whole numbers below 2**24 are exact
+        for k in range(0, len(both), columns):
+            (w_x, t_x), (w_y, t_y) = ((w[p:q], t[p:q]) for w, t in entries for p, q in [np.searchsorted(w, (k, k + columns))])
+            here = (t_x >= lo) & (t_x < hi)
+            if not here.any():
+                continue
+            m_x, m_y = np.zeros((hi - lo, columns), np.float32), np.zeros((len(name_y), columns), np.float32)
+            m_x[t_x[here] - lo, w_x[here] - k] = 1
+            m_y[t_y, w_y - k] = 1
+            common += m_x @ m_y.T
+        n = common.astype(np.int64)
+        near = (n >= similarity * (size_x[lo:hi, None] + size_y[None, :] - n)) & (np.array(root_x[lo:hi])[:, None] != np.array(root_y)[None, :])
+        for i, j in zip(*np.nonzero(near), strict=True):
+            if (not same or lo + i < j) and root.join(root_x[lo + i], root_y[j]):
+                a.append(name_x[lo + i])
+                b.append(name_y[j])
+    return a, b
+
+
+class _Joined:
+    """Roots that are joined step by step."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.up: list[int] = []
+
+    def number(self, name: bytes) -> int:
+        if name not in self.numbers:
+            self.numbers[name] = len(self.up)
+            self.up.append(len(self.up))
+        return self.numbers[name]
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
 def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, digest, low, low_digest) of every row: digest names the text's sequence of lower-cased words; low and low_digest are the smallest key
     of its group, and the digest of that row.
@@ -428,9 +525,8 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
     proposed = far.unionByName(sketched).unionByName(star)
     pairs = held(proposed.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a <> b").distinct(), "proposed-pairs")
 
-    def texts_of(some: DataFrame) -> DataFrame:
-        """The texts of pairs, one of each sequence."""
-        needed = some.select(F.col("a").alias("digest")).union(some.select("b")).distinct()
+    def texts_of(needed: DataFrame) -> DataFrame:
+        """The texts of sequences (digest), one of each."""
         one_row = rows.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min("_key").alias("_one"))
         whole = df.select("_key", F.coalesce("_text", F.lit("")).alias("t")).join(one_row, F.col("_key").eqNullSafe(F.col("_one"))).select("digest", "t")
         return held(whole.mapInArrow(released(_true_texts), "digest binary, t string").groupBy("digest").agg(F.first("t").alias("t")), "pair-texts")
@@ -455,6 +551,12 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
+    def shingled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = _Words()
+        for batch in it:
+            sets = [_shingles(look(t.encode().lower().split()), words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["digest", "s"])
+
     def decided(some: DataFrame, texts: DataFrame) -> DataFrame:
         side = lambda c: texts.select(F.col("digest").alias(c), F.col("t").alias(f"t{c}"))
         return held(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(released(alike), "a binary, b binary"), "alike-pairs")
@@ -466,7 +568,7 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
         """All links so far and the components they make. In a group of copies a few links join all, so pairs are decided in rounds: first two of
         each text, then two more of each that still lie in different groups, then all that do. Pairs within a group that is joined already
         need no decision."""
-        texts, roots = texts_of(left), None
+        texts, roots = texts_of(left.select(F.col("a").alias("digest")).union(left.select("b")).distinct()), None
         for turn in range(ROUNDS + 1):
             some = left
             if turn < ROUNDS:
@@ -485,16 +587,19 @@ def near_copies(df: DataFrame, key: str, text: str = "text", words: int = 5, sim
         return close, roots
 
     close, roots = settled(pairs, None)
-    # crowds that are not one group yet: every text with those of other groups
-    split = held(rooted(crowds, "digest", roots, "root"), "crowds-by-group")
+    # crowds that are not one group yet: every text with those of other groups, in all crowds that texts bring together
+    split = held(rooted(crowds, "digest", roots, "root").select("k", "digest", "root", "size"), "crowds-by-group")
     many = split.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("k")
     split = held(split.join(many, "k", "left_semi"), "crowds-apart")
     if split.limit(1).count():
-        x, y = (split.select("k", *[F.col(x).alias(f"{x}_{c}") for x in ("digest", "size", "low", "c", "root")]) for c in "ab")
-        once = F.col("k") == _first_common("c_a", "c_b")  # of all crowds that both are in
-        rest = x.join(y, "k").filter((F.col("digest_a") < F.col("digest_b")) & (F.col("root_a") != F.col("root_b")) & fits & once).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
-        rest = held(rest.join(pairs, ["a", "b"], "left_anti"), "pairs-of-crowds")
-        _, roots = settled(rest, close)
+        heads = split.groupBy("k").agg(F.min("digest").alias("a"))
+        wide = components(held(split.join(heads, "k").select("a", F.col("digest").alias("b")).distinct(), "crowd-edges"))
+        made.append(wide)
+        inside = held(split.select("digest", "root", "size").distinct().join(wide.select(F.col("node").alias("digest"), F.col("root").alias("g")), "digest"), "crowd-texts")
+        sets = held(texts_of(inside.select("digest")).mapInArrow(released(shingled), "digest binary, s array<bigint>"), "crowd-shingles")
+        more = held(crowd_links(inside.join(sets, "digest").select("g", "digest", "root", "size", "s"), held, similarity), "crowd-links")
+        roots = components(close.union(more))
+        made.append(roots)
     grouped = stored(items.select("digest", F.col("least").alias("low")).join(roots, F.col("digest") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "digest").alias("root")), "copy-groups")
     best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "digest"))
     lows = grouped.groupBy("root").agg(best.alias("m")).select("root", F.col("m.low").alias("low"), F.col("m.digest").alias("low_digest"))

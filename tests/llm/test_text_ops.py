@@ -262,6 +262,43 @@ def test_recall_of_near_copies_by_band(spark):
     assert all(find(i) == find(low[i]) for i in low)  # and no others
 
 
+def test_crowds_of_many_groups(spark, monkeypatch):
+    """One large group of texts of which most pairs are below the similarity: exact groups over many blocks, and no table of its pairs."""
+    r = random.Random(23)
+    vocab = [f"w{k}" for k in range(900)]
+    base = [r.choice(vocab) for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(260):
+        words = list(base)
+        for at in r.sample(range(len(base)), 2 + i % 8):
+            words[at] = r.choice(vocab)
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:110] + [r.choice(vocab) for _ in range(n)]) for n in (1, 5, 20, 38)]  # sizes that differ
+    monkeypatch.setattr(simhash, "CROWD_BLOCK", 2048)
+    rows, keep = {}, simhash.stored
+
+    def counted(some, name):
+        out = keep(some, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {x["doc_id"]: x["low"] for x in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id").collect()}
+    up = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        return i if up[i] == i else find(up[i])
+
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j]) >= 0.8]
+    for i, j in near:
+        up[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in range(len(texts))}
+    assert got == want and len(set(want.values())) > 20 and len(near) > 100 and max(rows["crowd-blocks"]) > 20
+    last = list(rows).index("crowds-apart")
+    pairs = len(texts) * (len(texts) - 1) // 2
+    assert all(max(n) <= 3 * len(texts) for name, n in list(rows.items())[last + 1 :] if name != "crowd-edges") and max(rows["crowd-edges"]) < pairs / 4, rows
+
+
 def test_sketch_buckets_split(spark, monkeypatch):
     """Small crowds give all pairs; texts that are mostly crowded go on to buckets of two shingles and more, and what stays crowded is handed
     on whole; texts that have only one crowded shingle do not meet in it."""
