@@ -199,3 +199,25 @@ def test_stored_hashes_are_not_shuffled(spark, tmp_path):
     again = HammingIndex(spark, "hashes_of_a_test", f"file://{tmp_path}/index2", 8, buckets=4)
     assert again.lookup(queries).count() == 0
     again.drop()
+
+
+@pytest.mark.parametrize("threshold", [2, 5, 8, 11])
+def test_either_side_flips_half(spark, tmp_path, threshold):
+    """All pairs within each distance, against brute force; a pair meets once in a band, and few variants are made of a hash."""
+    rnd = random.Random(7)
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    refs = [(f"r{i}", sign(x)) for i, x in enumerate(base)]
+    queries = [(13 * i + d, sign(x ^ sum(1 << b for b in rnd.sample(range(rnd.choice((12, 22, 64))), d)))) for i, x in enumerate(base) for d in range(12)]
+    index = HammingIndex(spark, f"halves_{threshold}", f"file://{tmp_path}/index", threshold, buckets=2)
+    try:
+        index.add(spark.createDataFrame(refs, "ref_id string, ref_h bigint"), 1)
+        asked = spark.createDataFrame(queries, "q bigint, h bigint")
+        for most in {threshold, threshold // 2, 0}:
+            want = sorted((q, r, d) for q, h in queries for r, x in refs if (d := ((h ^ x) & ((1 << 64) - 1)).bit_count()) <= most)
+            assert sorted(map(tuple, index.lookup(asked, most).select("q", "ref_id", "distance").collect())) == want
+        stored_rows = spark.table(f"halves_{threshold}_bands").count() // len(refs)
+        made = index._variants(asked.select("h").limit(1), "h", threshold // 3 - index.stored_flips).count()
+        assert stored_rows <= 67 and made <= (718 if threshold > 8 else 67)
+    finally:
+        index.drop()
