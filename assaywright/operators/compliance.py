@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import ed25519
+from ..functions import ed25519_rows
 from ..functions.numeric import fixed, listed
 
 
@@ -178,7 +179,10 @@ def sign_ed25519(signed: DataFrame, seeds: dict[str, bytes]) -> DataFrame:
 
     @F.pandas_udf("binary")
     def run(key_id: pd.Series, content_hash: pd.Series) -> pd.Series:
-        return pd.Series([ed25519.sign(seeds[k], bytes.fromhex(h)) if k in seeds and h is not None else None for k, h in zip(key_id, content_hash, strict=True)])
+        at = [i for i, (k, h) in enumerate(zip(key_id, content_hash, strict=True)) if k in seeds and h is not None]
+        out = np.full(len(key_id), None, object)
+        out[at] = ed25519_rows.sign([seeds[key_id[i]] for i in at], [bytes.fromhex(content_hash[i]) for i in at])
+        return pd.Series(out)
 
     return signed.withColumn("signature", run("key_id", "content_hash"))
 
@@ -188,7 +192,10 @@ def check_ed25519(signed: DataFrame, public: dict[str, bytes]) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def run(key_id: pd.Series, content_hash: pd.Series, signature: pd.Series) -> pd.Series:
-        return pd.Series([k in public and h is not None and s is not None and ed25519.verify(public[k], bytes.fromhex(h), bytes(s)) for k, h, s in zip(key_id, content_hash, signature, strict=True)])
+        at = [i for i, (k, h, s) in enumerate(zip(key_id, content_hash, signature, strict=True)) if k in public and h is not None and s is not None]
+        out = np.zeros(len(key_id), bool)
+        out[at] = ed25519_rows.verify([public[key_id[i]] for i in at], [bytes.fromhex(content_hash[i]) for i in at], [bytes(signature[i]) for i in at])
+        return pd.Series(out)
 
     return signed.withColumn("signature_valid", run("key_id", "content_hash", "signature"))
 

@@ -179,3 +179,57 @@ def test_spectra_of_many_tracks_are_those_of_one():
     for many, one in ((signals.flickers(boxes, 30.0), [signals.flicker(b, 30.0) for b in boxes]), (signals.pulses(g := np.vstack([r.normal(size=(3, 200)), np.ones((1, 200))]), 30.0), [signals.pulse(x, 30.0) for x in g])):
         for k, x in enumerate(one):
             assert all(np.isnan(m[k]) if v is None else m[k] == pytest.approx(v) for m, v in zip(many, x, strict=True))
+
+
+def test_rows_are_signed_and_checked_together(spark, monkeypatch):
+    """Batches take no steps of single rows and say what single rows say, of changed and malformed signatures, too."""
+    from assaywright.functions import ed25519_rows as many
+
+    r = random.Random(6)
+    seeds = {"a": b"a" * 32, "b": b"b" * 32, "few": b"f" * 32}
+    keys = [("few" if i % 100 == 0 else "b" if i % 3 else "a") for i in range(1500)]
+    messages = [r.randbytes(i % 70) for i in range(1500)]
+    one_by_one = [ed25519.sign(seeds[k], m) for k, m in zip(keys, messages, strict=True)]
+    public = {k: ed25519.public_key(v) for k, v in seeds.items()}
+    changed = [s if i % 2 else s[: i % 64] + bytes([s[i % 64] ^ 1 << r.randrange(8)]) + s[i % 64 + 1 :] for i, s in enumerate(one_by_one)]
+    for i, first in enumerate((b"\x01" + bytes(31), bytes(32), b"\xed" + b"\xff" * 30 + b"\x7f", b"\x01" + bytes(30) + b"\x80", b"\xff" * 32)):
+        changed[10 * i] = first + one_by_one[10 * i][32:]
+    changed[4], changed[6], changed[8] = b"", one_by_one[6][:63], one_by_one[8][:32] + (int.from_bytes(one_by_one[8][32:], "little") + ed25519.ORDER).to_bytes(32, "little")
+    said = [ed25519.verify(public[k], m, s) for k, m, s in zip(keys, messages, changed, strict=True)]
+    assert said == [a == b for a, b in zip(one_by_one, changed, strict=True)] and 700 < sum(said) < 800
+    args = [public[k] for k in keys], messages
+    assert many.verify(*args, changed) == said and many.verify([b"\xff" * 32] * 300, messages[:300], one_by_one[:300]) == [False] * 300
+
+    def never(*_):
+        raise AssertionError("a row by itself")
+
+    monkeypatch.setattr(ed25519, "_from_table", never)
+    monkeypatch.setattr(ed25519, "times", never)
+    assert many.sign([seeds[k] for k in keys], messages) == one_by_one
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, k if i % 7 else None, m.hex() if i % 11 else None, s if i % 13 else None) for i, (k, m, s) in enumerate(zip(keys, messages, changed, strict=True))], "i int, key_id string, content_hash string, signature binary").coalesce(1)
+    valid = {x["i"]: x["signature_valid"] for x in compliance.check_ed25519(df, public).collect()}
+    assert valid == {i: bool(i % 7 and i % 11 and i % 13 and v) for i, v in enumerate(said)}
+    signed = {x["i"]: x["signature"] for x in compliance.sign_ed25519(df.drop("signature"), seeds).collect()}
+    assert all((signed[i] is None) if not (i % 7 and i % 11) else bytes(signed[i]) == s for i, s in enumerate(one_by_one))
+
+
+def test_limbs_are_exact():
+    from assaywright.functions import ed25519_rows as many
+
+    p, r = ed25519.P, random.Random(7)
+    values = [0, 1, 2, 18, 19, p - 1, p, p + 1, p + 18, p // 2, *(1 << e for e in many.EDGES[:12]), *(p - (1 << e) for e in many.EDGES[:12]), *(r.randrange(p) for _ in range(2000))]
+    a, b = many._limbs(values), many._limbs(values[::-1])
+    ints = lambda x: many._ints(x)
+    assert ints(a) == [v % p for v in values] and ints(0 - a) == [-v % p for v in values]
+    assert ints(many._mul(a + b, a - b)) == [(v + w) * (v - w) % p for v, w in zip(values, values[::-1], strict=True)]
+    # the largest limbs that a product leaves, as sums of two, in all signs
+    edge = many._UNIT * np.array([2.0 ** (w - 1) for w in many._WIDTH])[:, None] * 65 / 64
+    edge = np.hstack([edge, -edge, edge * np.array([[1], [-1]] * 6), *(edge * np.array([[r.choice((1, -1))] for _ in range(12)]) for _ in range(50))])
+    exact = lambda x: [sum(int(v) for v in col) for col in x.T]
+    for c in (edge, edge[:, ::-1]):
+        got = many._mul(2 * edge, 2 * c)
+        assert ints(got) == [4 * v * w % p for v, w in zip(exact(edge), exact(c), strict=True)]
+        assert (abs(got) <= abs(edge[:, :1])).all()
+    x = many._limbs([v for v in values if v % p])
+    assert ints(many._inverses(x)) == [pow(v, -1, p) for v in values if v % p]
