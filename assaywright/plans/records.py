@@ -525,7 +525,7 @@ def stream_correlator(spark, d):
     """Scans come out once, with all scores: at their terminal tier, or incomplete when the watermark has passed their timeout. Those that may
     still become complete stay in the state."""
     root = _tmp(spark)
-    flows.run_to_end(flows.correlate(_layers(_source(spark, d)), "1 hour"), f"{root}/out", f"{root}/cp")
+    flows.run_to_end(flows.correlate_grouped(_layers(_source(spark, d)), "1 hour"), f"{root}/out", f"{root}/cp")
     return spark.read.schema(flows.OUT).parquet(f"{root}/out")
 
 

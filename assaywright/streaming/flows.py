@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "scan_id bigint, l1 double, l2 double, l3 double, last_ts timestamp, complete boolean"
+#: Groups of scans whose open ones are kept and timed together, the time of what has not come, and the open scans of a group as its state has them.
+GROUPS, NEVER = 1024, -(1 << 63)
+OPEN = np.dtype([("scan_id", np.int64), ("l", np.float64, 3), ("t", np.int64, 3), ("tier", np.int64), ("last", np.int64), ("until", np.int64)])
 STATE = "l1 double, t1 bigint, l2 double, t2 bigint, l3 double, t3 bigint, tier int"
 
 
@@ -60,6 +63,71 @@ def correlate(layers: DataFrame, late: str = "1 hour", timeout_ms: int = 3_600_0
     return layers.withWatermark("ts", late).groupBy("scan_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def correlate_grouped(layers: DataFrame, late: str = "1 hour", timeout_ms: int = 3_600_000, groups: int = GROUPS) -> DataFrame:
+    """What correlate() gives, for many scans: one state and one call hold all open scans of a group (by the hash of scan_id), and a call goes through
+    its scans as arrays, where correlate() has a call, a state and a timer for each scan.
+
+    A group's timer is the first of its scans' timers. Keep `groups` for as long as a checkpoint is kept: states are found by it.
+    """
+    # messages without a scan are one scan, in a group of its own; times are counted here, whatever the session's time zone is
+    scan = F.col("scan_id")
+    group = F.when(scan.isNull(), -1).otherwise(F.pmod(F.hash(scan), F.lit(groups))).cast("int")
+    rows = layers.withWatermark("ts", late).select(group.alias("_group"), F.coalesce(scan.cast("bigint"), F.lit(0)).alias("scan_id"), "tier", F.col("score").cast("double").alias("score"), "terminal_tier", F.unix_micros("ts").alias("t"), "ts")
+    done = rows.groupBy("_group").applyInPandasWithState(_grouped_step(timeout_ms), "scan_id bigint, l1 double, l2 double, l3 double, t bigint, complete boolean", "open binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return done.select("scan_id", "l1", "l2", "l3", F.timestamp_micros("t").alias("last_ts"), "complete")
+
+
+def _grouped_step(timeout_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = np.frombuffer(bytes(state.get[0]), OPEN) if state.exists else np.empty(0, OPEN)
+        new = np.empty(0, OPEN) if state.hasTimedOut else _last_of_scans(list(batches))
+        now = state.getCurrentWatermarkMs()
+        at = np.searchsorted(old["scan_id"], new["scan_id"])
+        both = np.flatnonzero(old["scan_id"][np.minimum(at, len(old) - 1)] == new["scan_id"]) if len(old) else np.empty(0, np.int64)
+        there = old[at[both]]
+        for k in range(3):  # what is later wins; of equal times what came later
+            keep = there["t"][:, k] > new["t"][both, k]
+            for name in ("t", "l"):
+                new[name][both[keep], k] = there[name][keep, k]
+        new["last"][both] = np.maximum(new["last"][both], there["last"])
+        new["until"] = np.maximum(new["last"] // 1000 + timeout_ms, now + 1)
+        complete = ((new["t"] != NEVER) | (np.arange(1, 4) > new["tier"][:, None])).all(axis=1)
+        rest = np.delete(old, at[both])
+        late = rest["until"] < now
+        out = np.concatenate([new[complete], rest[late]])
+        still = np.concatenate([new[~complete], rest[~late]])
+        if len(still):
+            state.update((still[np.argsort(still["scan_id"])].tobytes(),))
+            state.setTimeoutTimestamp(int(still["until"].min()))
+        elif state.exists:
+            state.remove()
+        if len(out):
+            scan = out["scan_id"] if key[0] >= 0 else pd.array([pd.NA] * len(out), "Int64")
+            last = pd.array(out["last"], "Int64")
+            last[out["last"] == NEVER] = pd.NA
+            yield pd.DataFrame({"scan_id": scan, **{f"l{k + 1}": out["l"][:, k] for k in range(3)}, "t": last, "complete": np.arange(len(out)) < complete.sum()})
+
+    return step
+
+
+def _last_of_scans(batches: list[pd.DataFrame]) -> np.ndarray:
+    """The scans of some messages in order, each with the last score of its tiers; of equal times the larger score, missing ones before all."""
+    column = lambda name, kind, null=None: np.concatenate([np.asarray(b[name] if null is None else b[name].fillna(null)).astype(kind) for b in batches])
+    scan, t, score = column("scan_id", np.int64), column("t", np.int64, NEVER), column("score", np.float64)
+    tier, terminal = column("tier", np.int64, 0), column("terminal_tier", np.int64, 3)
+    order = np.lexsort((score, t, scan))
+    scan, t, score, tier, terminal = (x[order] for x in (scan, t, score, tier, terminal))
+    end = np.flatnonzero(np.append(scan[1:] != scan[:-1], True))
+    out = np.empty(len(end), OPEN)
+    out["scan_id"], out["tier"], out["last"], out["until"], out["t"], out["l"] = scan[end], terminal[end], t[end], 0, NEVER, np.nan
+    for k in range(3):
+        of = np.flatnonzero((tier == k + 1) & (t != NEVER))
+        of = of[np.append(scan[of][1:] != scan[of][:-1], True)] if len(of) else of
+        to = np.searchsorted(out["scan_id"], scan[of])
+        out["t"][to, k], out["l"][to, k] = t[of], score[of]
+    return out
+
+
 def _in_time(row: tuple) -> tuple:
     """The order of (t, score, ...): scores that are missing come last."""
     return row[0], row[1] != row[1], row[1]
