@@ -179,9 +179,10 @@ def sign_ed25519(signed: DataFrame, seeds: dict[str, bytes]) -> DataFrame:
 
     @F.pandas_udf("binary")
     def run(key_id: pd.Series, content_hash: pd.Series) -> pd.Series:
-        at = [i for i, (k, h) in enumerate(zip(key_id, content_hash, strict=True)) if k in seeds and h is not None]
-        out = np.full(len(key_id), None, object)
-        out[at] = ed25519_rows.sign([seeds[key_id[i]] for i in at], [bytes.fromhex(content_hash[i]) for i in at])
+        keys, hashes = key_id.tolist(), content_hash.tolist()
+        at = [i for i, (k, h) in enumerate(zip(keys, hashes, strict=True)) if k in seeds and h is not None]
+        out = np.full(len(keys), None, object)
+        out[at] = ed25519_rows.sign([seeds[keys[i]] for i in at], [bytes.fromhex(hashes[i]) for i in at])
         return pd.Series(out)
 
     return signed.withColumn("signature", run("key_id", "content_hash"))
@@ -192,9 +193,10 @@ def check_ed25519(signed: DataFrame, public: dict[str, bytes]) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def run(key_id: pd.Series, content_hash: pd.Series, signature: pd.Series) -> pd.Series:
-        at = [i for i, (k, h, s) in enumerate(zip(key_id, content_hash, signature, strict=True)) if k in public and h is not None and s is not None]
-        out = np.zeros(len(key_id), bool)
-        out[at] = ed25519_rows.verify([public[key_id[i]] for i in at], [bytes.fromhex(content_hash[i]) for i in at], [bytes(signature[i]) for i in at])
+        keys, hashes, signatures = key_id.tolist(), content_hash.tolist(), signature.tolist()
+        at = [i for i, (k, h, s) in enumerate(zip(keys, hashes, signatures, strict=True)) if k in public and h is not None and s is not None]
+        out = np.zeros(len(keys), bool)
+        out[at] = ed25519_rows.verify([public[keys[i]] for i in at], [bytes.fromhex(hashes[i]) for i in at], [bytes(signatures[i]) for i in at])
         return pd.Series(out)
 
     return signed.withColumn("signature_valid", run("key_id", "content_hash", "signature"))
